@@ -461,3 +461,111 @@ def mismatch_reasons(spark, sf):
         "k", (F.col("k") % 500).alias("num"), (F.year("d") * 100 + F.month("d")).alias("dt"),
         (F.col("cu") % 3).alias("nm"), F.floor(F.col("amt") / 50000).cast("bigint").alias("am"))
     return rec.classify_mismatch(xa, xb, "num", "dt", "nm", "am", "is_paper", ["k"])
+
+
+# ------------------------------------------------------------ end to end
+# The driver tables rendered as the raw text exports the jobs read: loosely
+# named headers, Italian number formats, month-first dates, blank ids.
+def _register_export(spark, sf):
+    li = read(spark, sf, "lineitem")
+    t = _money_texts(F.col("l_extendedprice"))
+    w = withholding()
+    return li.select(
+        F.concat(F.lit("Supplier#"), F.col("l_suppkey").cast("string")).alias("Ragione Sociale"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("FAT_DATDOC"),
+        F.col("l_orderkey").cast("string").alias("N. Fatture"),
+        F.date_format("l_shipdate", "MM/dd/yyyy").alias("DATA_REG_FATTURA"),
+        F.concat(F.lit(" "), F.lower(protocol())).alias("FT_PROT"),
+        F.when(F.col("l_returnflag") == "A", "A").otherwise("D").alias("FT_SEGNO"),
+        F.col("l_linenumber").cast("string").alias("N_PROTOCOLLO"),
+        t["it"].alias("IMPONIBILE"),
+        F.lit("0").alias("IMP_TOT_IVA"),
+        F.replace(w.cast("string"), F.lit("."), F.lit(",")).alias("IMP_TOT_RIT"),
+        F.when(F.col("l_partkey") % 10 == 0, F.lit("")).otherwise(F.col("l_orderkey").cast("string"))
+        .alias("IDENT_SDI"),
+        # explicit "first row" order (the tables carry no file order)
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+    )
+
+
+_EXPORT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def _portal_export(spark, sf, received: bool = False):
+    o = read(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    blank = (F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit("nan"))
+              .when(k % 4 == 2, F.lit(None).cast("string")).otherwise(F.lit("None")))
+    sdi = (F.when(F.col("o_orderstatus") == "P", blank)
+            .when((F.col("o_orderstatus") == "F") & (k % 10 == 0), F.lit("0"))
+            .otherwise(k.cast("string")))
+    price = money("o_totalprice")
+    paid = to_money(price * F.lit("0.90").cast("decimal(18,2)"))
+    t_total, t_paid = _money_texts(F.col("o_totalprice")), _money_texts(paid)
+    if received:
+        vat = to_money(price * F.lit("0.10").cast("decimal(18,2)"))
+        return o.select(
+            F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")).alias("Creditore"),
+            k.cast("string").alias("Numero fattura"),
+            F.date_format("o_orderdate", "yyyy-MM-dd").alias("Data emissione"),
+            F.date_format("o_orderdate", "yyyy-MM-dd").alias("Data documento"),
+            F.date_format("o_orderdate", "MM/dd/yyyy").alias("Data pagamento"),
+            F.replace(vat.cast("string"), F.lit("."), F.lit(",")).alias("IVA"),
+            F.when(F.col("o_orderstatus") == "F", t_total["plain"]).otherwise(t_total["comma"])
+            .alias("Importo fattura"),
+            sdi.alias("Identificativo SDI"))
+    return o.select(
+        sdi.alias("Identificativo SDI"),
+        k.cast("string").alias("C"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("F"),
+        F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")).alias("Ragione Sociale"),
+        t_total["it"].alias("Importo fattura"),
+        t_paid["it"].alias("Importo pagato"),
+    )
+
+
+def register_report(spark, sf):
+    """Register export → cleaned ledger statistics."""
+    from tallyspark.plans.jobs import register_report as job
+    out = job(_register_export(spark, sf), check_nonempty=False, order=_EXPORT_ORDER)
+    return finish(out["stats"])
+
+
+def register_code_sheets(spark, sf):
+    """The three per-class code summaries of the register report."""
+    from tallyspark.plans.jobs import register_report as job
+    out = job(_register_export(spark, sf), check_nonempty=False, order=_EXPORT_ORDER)
+    parts = [out[f"summary_{c}"].withColumn("sheet", F.lit(c)) for c in (PAPER, ELECTRONIC, SELF_INVOICE)]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return finish(res)
+
+
+def portal_paid_report(spark, sf):
+    """Portal paid export → split statistics (paid amount used)."""
+    from tallyspark.plans.jobs import portal_paid_report as job
+    return finish(job(_portal_export(spark, sf))["stats"])
+
+
+RECEIVED_FILE = "Portale Ricevute 2 TRIM 2000.xlsx"
+
+
+def portal_received_report(spark, sf):
+    """Received export, quarter of the file name on payment date."""
+    from tallyspark.plans.jobs import portal_received_report as job
+    return finish(job(_portal_export(spark, sf, received=True), RECEIVED_FILE)["stats"])
+
+
+def compare_report(spark, sf):
+    """Register export vs portal export → comparison summary."""
+    from tallyspark.plans.jobs import compare_ledgers
+    out = compare_ledgers(_register_export(spark, sf), _portal_export(spark, sf), order=_EXPORT_ORDER)
+    return finish(out["summary"])
+
+
+def compare_report_electronic(spark, sf):
+    """The electronic detail sheet (J2 with empty-id row and total)."""
+    from tallyspark.plans.jobs import compare_ledgers
+    out = compare_ledgers(_register_export(spark, sf), _portal_export(spark, sf), order=_EXPORT_ORDER)
+    return finish(out["electronic_detail"])

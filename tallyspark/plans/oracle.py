@@ -390,3 +390,88 @@ fl AS (SELECT cut.k, max(CASE WHEN xa.c = 'paper' THEN 1 ELSE 0 END) p,
        FROM cut LEFT JOIN xa ON cut.num = xa.num AND cut.dt = xa.dt GROUP BY cut.k)
 SELECT CASE WHEN pna = 1 THEN 'full_match' WHEN pn = 1 THEN 'other_amount' WHEN p = 1 THEN 'other_name'
             WHEN anyc = 1 THEN 'other_class' ELSE 'not_found' END reason, CAST(count(*) AS BIGINT) n FROM fl GROUP BY 1"""
+
+# ------------------------------------------------------------ end to end
+_PAPER_CODES = _in(CLASS_CODES["paper"])
+_EXPORT = f"""
+WITH r AS (SELECT l_shipdate d, l_orderkey k,
+             CASE WHEN l_partkey % 10 = 0 THEN '' ELSE CAST(l_orderkey AS VARCHAR) END id,
+             {PROTO} proto, l_returnflag rf, CAST(l_extendedprice AS DECIMAL(18,2)) price,
+             round_even(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)), 2) w,
+             l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
+g AS (SELECT count(*) n FROM r GROUP BY d, k, id),
+f AS (SELECT *, row_number() OVER (PARTITION BY d, k, id
+        ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) rn FROM r),
+x AS (SELECT *, CASE WHEN rf = 'A' THEN -price ELSE price END sp, CASE WHEN rf = 'A' THEN -w ELSE w END sw,
+        {_pcls('proto')} pcls FROM f WHERE rn = 1),
+y AS (SELECT *, CASE WHEN proto IN ('EL', '2EL', 'L') THEN sp - sw ELSE sp END paid FROM x)"""
+
+Q["register_report"] = _EXPORT + """
+SELECT CAST(count(*) AS BIGINT) total_records,
+  CAST(sum(CASE WHEN pcls = 'paper' THEN 1 ELSE 0 END) AS BIGINT) paper_records,
+  CAST(sum(CASE WHEN pcls IN ('electronic', 'self_invoice') THEN 1 ELSE 0 END) AS BIGINT) electronic_records,
+  CAST(coalesce(sum(CASE WHEN pcls = 'paper' THEN paid END), 0) AS DOUBLE) paper_amount,
+  CAST(coalesce(sum(CASE WHEN pcls IN ('electronic', 'self_invoice') THEN paid END), 0) AS DOUBLE) electronic_amount,
+  CAST((SELECT sum(n) - count(*) FROM g) AS BIGINT) duplicates_removed
+FROM y"""
+
+Q["register_code_sheets"] = _EXPORT + f""",
+dim AS (SELECT * FROM (VALUES {_DIM}) v(pos, code, descr, cls)),
+z AS (SELECT proto code, pcls, count(*) n, sum(paid) s FROM y GROUP BY proto, pcls),
+rr AS (SELECT dim.cls sheet, dim.pos, dim.code, dim.descr, coalesce(z.n, 0) n, coalesce(z.s, 0) amount
+       FROM dim LEFT JOIN z ON dim.code = z.code AND dim.cls = z.pcls)
+SELECT sheet, CAST(pos AS BIGINT) pos, code, descr, CAST(n AS BIGINT) n, CAST(amount AS DOUBLE) amount FROM rr
+UNION ALL SELECT sheet, 99, 'TOTALE', '', CAST(sum(n) AS BIGINT), CAST(sum(amount) AS DOUBLE) FROM rr GROUP BY sheet"""
+
+_SPLIT_STATS = """
+SELECT CAST(count(*) AS BIGINT) total_records,
+  CAST(sum(CASE WHEN paper THEN 1 ELSE 0 END) AS BIGINT) paper_records,
+  CAST(sum(CASE WHEN NOT paper THEN 1 ELSE 0 END) AS BIGINT) electronic_records,
+  CAST(coalesce(sum(CASE WHEN paper THEN amt END), 0) AS DOUBLE) paper_amount,
+  CAST(coalesce(sum(CASE WHEN NOT paper THEN amt END), 0) AS DOUBLE) electronic_amount,
+  CAST(0 AS BIGINT) duplicates_removed FROM t"""
+
+Q["portal_paid_report"] = """
+WITH t AS (SELECT o_orderstatus = 'P' paper,
+             round_even(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.90 AS DECIMAL(18,2)), 2) amt FROM orders)
+""" + _SPLIT_STATS
+
+Q["portal_received_report"] = """
+WITH t AS (SELECT o_orderstatus = 'P' paper, CAST(o_totalprice AS DECIMAL(18,2)) amt FROM orders
+           WHERE o_orderdate BETWEEN TIMESTAMP '2000-04-01' AND TIMESTAMP '2000-06-30')
+""" + _SPLIT_STATS
+
+_PORTAL_EXPORT = """,
+b0 AS (SELECT CASE WHEN o_orderstatus = 'P' THEN (CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'nan'
+                                                 WHEN 2 THEN '' ELSE 'None' END)
+                   WHEN o_orderstatus = 'F' AND o_orderkey % 10 = 0 THEN '0'
+                   ELSE CAST(o_orderkey AS VARCHAR) END id,
+         round_even(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.90 AS DECIMAL(18,2)), 2) amt FROM orders),
+xa AS (SELECT id, paid amt, CASE WHEN pcls = 'paper' THEN 'paper' ELSE 'electronic' END cls FROM y),
+xb AS (SELECT id, amt, CASE WHEN id = '' THEN 'paper' ELSE 'electronic' END cls FROM b0)"""
+
+Q["compare_report"] = _EXPORT + _PORTAL_EXPORT + """,
+u AS (SELECT cls, 'a' side, amt FROM xa UNION ALL SELECT cls, 'b' side, amt FROM xb),
+rr AS (SELECT coalesce(cls, 'total') category,
+  sum(CASE WHEN side = 'a' THEN 1 ELSE 0 END) a_n, coalesce(sum(CASE WHEN side = 'a' THEN amt END), 0) a_amt,
+  sum(CASE WHEN side = 'b' THEN 1 ELSE 0 END) b_n, coalesce(sum(CASE WHEN side = 'b' THEN amt END), 0) b_amt
+  FROM u GROUP BY ROLLUP(cls))
+SELECT category, CAST(CASE category WHEN 'paper' THEN 0 WHEN 'electronic' THEN 1 ELSE 2 END AS INTEGER) pos,
+  CAST(a_n AS BIGINT) a_n, CAST(a_amt AS DOUBLE) a_amt, CAST(b_n AS BIGINT) b_n, CAST(b_amt AS DOUBLE) b_amt,
+  CAST(a_n - b_n AS BIGINT) delta_n, CAST(a_amt - b_amt AS DOUBLE) delta_amt
+FROM rr"""
+
+Q["compare_report_electronic"] = _EXPORT + _PORTAL_EXPORT + """,
+ga AS (SELECT id, count(*) a_rows, sum(amt) a_sum FROM xa WHERE cls = 'electronic' AND id <> '' GROUP BY id),
+gb AS (SELECT id, count(*) b_rows, sum(amt) b_sum FROM xb WHERE cls = 'electronic' GROUP BY id),
+m AS (SELECT coalesce(ga.id, gb.id) k, coalesce(a_rows, 0) a_rows, coalesce(a_sum, 0) a_sum,
+        coalesce(b_rows, 0) b_rows, coalesce(b_sum, 0) b_sum FROM ga FULL OUTER JOIN gb ON ga.id = gb.id),
+l AS (SELECT CASE WHEN b_rows = 0 THEN 'only_a' WHEN a_rows = 0 THEN 'only_b' ELSE 'both_differ' END outcome, k,
+        a_rows, a_sum, b_rows, b_sum, a_rows - b_rows delta_rows, a_sum - b_sum delta_sum
+      FROM m WHERE a_rows <> b_rows OR abs(a_sum - b_sum) > 0.01
+      UNION ALL SELECT 'only_a_empty_id', '', count(*), sum(amt), 0, 0, count(*), sum(amt) FROM xa
+      WHERE cls = 'electronic' AND id = '' HAVING count(*) > 0)
+SELECT outcome, k, CAST(a_rows AS BIGINT) a_rows, CAST(a_sum AS DOUBLE) a_sum, CAST(b_rows AS BIGINT) b_rows,
+  CAST(b_sum AS DOUBLE) b_sum, CAST(delta_rows AS BIGINT) delta_rows, CAST(delta_sum AS DOUBLE) delta_sum FROM l
+UNION ALL SELECT 'total', NULL, CAST(sum(a_rows) AS BIGINT), CAST(sum(a_sum) AS DOUBLE), CAST(sum(b_rows) AS BIGINT),
+  CAST(sum(b_sum) AS DOUBLE), CAST(sum(delta_rows) AS BIGINT), CAST(sum(delta_sum) AS DOUBLE) FROM l"""
