@@ -17,32 +17,32 @@ from pyspark.sql import functions as F
 from tallyspark.functions.common import as_col, strip
 
 ISO_TEXT = r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2}(\.\d+)?)?$"
-ISO_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.S", "yyyy-MM-dd")
-_SEPARATORS = ("/", "-", ".")
-_TIMES = ("", " H:mm", " H:mm:ss")
-
-
-def _formats(day_first: bool) -> list[str]:
-    dm = "d{s}M{s}yyyy" if day_first else "M{s}d{s}yyyy"
-    out = []
-    for sep in _SEPARATORS:
-        for t in _TIMES:
-            out.append(dm.format(s=sep) + t)
-    out.extend(["yyyy/M/d", "yyyy-M-d"])
-    return out
+# Day/month/year text with '/', '-' or '.' separators and an optional time.
+DMY_TEXT = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}( \d{1,2}:\d{2}(:\d{2})?)?$"
+YMD_TEXT = r"^\d{4}[/-]\d{1,2}[/-]\d{1,2}$"
 
 
 def parse_date(c, day_first: bool = True) -> Column:
-    """text → ``timestamp_ntz``, NULL when no format fits.
+    """text → ``timestamp_ntz``, NULL when the text is not a date.
 
-    ISO text (``yyyy-MM-dd`` with optional time) is read as ISO; anything
-    else day-first (``05/01/2025`` = 5 January) or month-first.
+    ISO text (``yyyy-MM-dd`` with optional time) is read as ISO; numeric
+    day/month/year text day-first (``05/01/2025`` = 5 January) or, with
+    ``day_first=False``, month-first. The shape of each value picks exactly
+    one format (a regular expression test), so no row pays for failed parse
+    attempts.
     """
     s = strip(as_col(c).cast("string"))
-    iso = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in ISO_FORMATS])
-    other = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in _formats(day_first)])
-    parsed = F.when(s.rlike(ISO_TEXT), iso).otherwise(other)
-    return parsed.cast("timestamp_ntz")
+    dmy = F.regexp_replace(s, r"[.-]", "/")
+    n_colons = F.length(s) - F.length(F.replace(s, F.lit(":"), F.lit("")))
+    base = "d/M/yyyy" if day_first else "M/d/yyyy"
+    other = (F.when(n_colons == 0, F.try_to_timestamp(dmy, F.lit(base)))
+              .when(n_colons == 1, F.try_to_timestamp(dmy, F.lit(base + " H:mm")))
+              .otherwise(F.try_to_timestamp(dmy, F.lit(base + " H:mm:ss"))))
+    parsed = (F.when(s.rlike(ISO_TEXT), s.try_cast("timestamp_ntz"))
+               .when(s.rlike(DMY_TEXT), other.cast("timestamp_ntz"))
+               .when(s.rlike(YMD_TEXT), F.try_to_timestamp(F.replace(s, F.lit("/"), F.lit("-")),
+                                                            F.lit("yyyy-M-d")).cast("timestamp_ntz")))
+    return parsed
 
 
 def date_text(c) -> Column:

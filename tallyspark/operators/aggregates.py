@@ -45,23 +45,28 @@ def class_totals(df: DataFrame, cls_col, amount_col, classes: Sequence[str] | No
 
 
 def code_summary(df: DataFrame, dim: DataFrame, code_col, amount_col,
-                 total_label: str = "TOTAL", total_pos: int = 99) -> DataFrame:
+                 total_label: str = "TOTAL", total_pos: int = 99, by: str | None = None) -> DataFrame:
     """A2: per-code count and sum for every code of ``dim`` (pos, code,
     descr), zero rows for absent codes, plus a total row.
 
-    The fact side is aggregated first (one row per code) and restricted to
-    the dimension's codes, so the join is between two tiny relations.
+    With ``by`` (a column of both ``df`` and ``dim``, e.g. the class) every
+    group of the dimension is its own summary with its own total — all
+    groups from one aggregation of the fact side. The fact side is
+    aggregated first (one row per code) and restricted to the dimension's
+    codes, so the join is between two tiny relations.
     """
-    g = (df.groupBy(as_col(code_col).alias("code"))
+    keys = ([by] if by else []) + ["code"]
+    g = (df.groupBy(*([F.col(by)] if by else []), as_col(code_col).alias("code"))
            .agg(F.count(F.lit(1)).alias("n"), F.sum(as_col(amount_col)).alias("s"))
-           .join(dim.select("code"), "code", "left_semi"))
-    rows = (dim.join(g, "code", "left")
-               .select(F.col("pos").cast("bigint").alias("pos"), "code", "descr",
+           .join(dim.select(*keys), keys, "left_semi"))
+    rows = (dim.join(g, keys, "left")
+               .select(*([by] if by else []), F.col("pos").cast("bigint").alias("pos"), "code", "descr",
                        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
                        F.coalesce(F.col("s").cast(SUM_TYPE), _zero_sum()).alias("amount")))
-    total = rows.agg(F.lit(total_pos).cast("bigint").alias("pos"), F.lit(total_label).alias("code"),
-                     F.lit("").alias("descr"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"),
-                     money_sum("amount").alias("amount"))
+    total_aggs = [F.lit(total_pos).cast("bigint").alias("pos"), F.lit(total_label).alias("code"),
+                  F.lit("").alias("descr"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"),
+                  money_sum("amount").alias("amount")]
+    total = rows.groupBy(by).agg(*total_aggs) if by else rows.agg(*total_aggs)
     return rows.unionByName(total)
 
 

@@ -20,6 +20,7 @@ Plan shape, chosen for scale:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,12 @@ def _zero() -> Column:
     return F.lit(0).cast(SUM_TYPE)
 
 
+def _tol(tol) -> Column:
+    """Tolerance as an exact decimal: the comparison stays decimal, never
+    double."""
+    return F.lit(Decimal(str(tol)))
+
+
 # --------------------------------------------------------------------- J1
 def compare_summary(a: DataFrame, b: DataFrame, a_cls: str = "cls", b_cls: str = "cls",
                     a_amt: str = "amt", b_amt: str = "amt",
@@ -120,7 +127,7 @@ def reconcile_sums(a: DataFrame, b: DataFrame, a_key: str = "k", b_key: str = "k
         flag = is_empty_id(as_col(a_key), empty_id_rule)
         a_ok, a_empty = a.where(~flag), a.where(flag)
     m = keyed_sums(a_ok, b, a_key, b_key, a_amt, b_amt)
-    listed = (m.where((F.col("delta_rows") != 0) | (F.abs("delta_sum") > F.lit(tol)))
+    listed = (m.where((F.col("delta_rows") != 0) | (F.abs("delta_sum") > _tol(tol)))
                .select(_outcome().alias("outcome"), "k", "a_rows", "a_sum", "b_rows", "b_sum",
                        "delta_rows", "delta_sum"))
     if a_empty is not None:
@@ -153,7 +160,7 @@ def reconcile_amounts(a: DataFrame, b: DataFrame, a_key: str = "k", b_key: str =
     m = keyed_sums(a, b, a_key, b_key, a_amt, b_amt)
     outcome = (F.when((F.col("a_rows") > 0) & (F.col("b_rows") == 0), F.lit(ONLY_A))
                 .when((F.col("b_rows") > 0) & (F.col("a_rows") == 0), F.lit(ONLY_B))
-                .when(F.abs("delta_sum") > F.lit(tol), F.lit(DIFFERENT_AMOUNT)))
+                .when(F.abs("delta_sum") > _tol(tol), F.lit(DIFFERENT_AMOUNT)))
     return (m.select(outcome.alias("outcome"), "k", "a_rows", "a_sum", "b_rows", "b_sum", "delta_sum")
               .where(F.col("outcome").isNotNull()))
 
@@ -253,7 +260,7 @@ def one_to_one(a: DataFrame, b: DataFrame, key: str = "k", a_amt: str = "amt", b
     j = ga.join(gb, "k", "inner")
     return (j.select("k", F.col("a_sum").alias("a_amt"), F.col("b_sum").alias("b_amt"),
                      (F.col("a_sum") - F.col("b_sum")).cast(SUM_TYPE).alias("delta"))
-             .where(F.abs("delta") > F.lit(tol)))
+             .where(F.abs("delta") > _tol(tol)))
 
 
 # --------------------------------------------------------------------- J8

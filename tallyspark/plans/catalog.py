@@ -246,17 +246,10 @@ def class_totals(spark, sf):
 
 def code_summary(spark, sf):
     """A2: one summary per class over the full code dimension: zero rows for
-    absent codes, description, fixed order, total row."""
-    a = register(spark, sf)
-    dim = code_dimension(spark)
-    parts = []
-    for cls in (PAPER, ELECTRONIC, SELF_INVOICE):
-        s = agg.code_summary(a.where(F.col("pcls") == cls), dim.where(F.col("cls") == cls), "proto", "amt")
-        parts.append(s.withColumn("sheet", F.lit(cls)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return finish(out)
+    absent codes, description, fixed order, total row (one aggregation)."""
+    a = register(spark, sf).withColumn("cls", F.col("pcls"))
+    out = agg.code_summary(a, code_dimension(spark), "proto", "amt", by="cls")
+    return finish(out.withColumnRenamed("cls", "sheet"))
 
 
 def _portal_ids(spark, sf):
@@ -535,11 +528,7 @@ def register_code_sheets(spark, sf):
     """The three per-class code summaries of the register report."""
     from tallyspark.plans.jobs import register_report as job
     out = job(_register_export(spark, sf), check_nonempty=False, order=_EXPORT_ORDER)
-    parts = [out[f"summary_{c}"].withColumn("sheet", F.lit(c)) for c in (PAPER, ELECTRONIC, SELF_INVOICE)]
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return finish(res)
+    return finish(out["summary"].withColumnRenamed("cls", "sheet"))
 
 
 def portal_paid_report(spark, sf):

@@ -94,14 +94,12 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None) ->
      .withColumn("paid", F.col("amount")) \
      .withColumn("cls", code_class("code"))
     data = d.orderBy(F.col("reg_date").asc_nulls_last(), F.col(ROW))
-    dim = code_dimension(raw.sparkSession)
-    sheets = {}
-    for cls in (PAPER, ELECTRONIC, SELF_INVOICE):
-        sheets[f"summary_{cls}"] = agg.code_summary(d.where(F.col("cls") == cls),
-                                                   dim.where(F.col("cls") == cls), "code", "paid",
-                                                   total_label="TOTALE")
+    summary = agg.code_summary(d, code_dimension(raw.sparkSession), "code", "paid",
+                               total_label="TOTALE", by="cls")
+    sheets = {f"summary_{c}": summary.where(F.col("cls") == c).drop("cls")
+              for c in (PAPER, ELECTRONIC, SELF_INVOICE)}
     stats = _register_stats(d, dups)
-    return {"data": data, **sheets, "stats": stats}
+    return {"data": data, "summary": summary, **sheets, "stats": stats}
 
 
 def _register_stats(d: DataFrame, dups: DataFrame) -> DataFrame:
