@@ -30,6 +30,7 @@ from tallyspark.functions.numbers import SUM_TYPE
 from tallyspark.functions.text import is_empty_id
 from tallyspark.operators.aggregates import rows_and_sum_by_key
 from tallyspark.operators.dedup import dedup_first, nulls_last
+from tallyspark.operators.skew import DEFAULT_HOT_KEY_ROWS, first_rows_per_key, rank_hot_keys
 
 ONLY_A, ONLY_B, BOTH_DIFFER, DIFFERENT_AMOUNT = "only_a", "only_b", "both_differ", "different_amount"
 ONLY_A_EMPTY_ID = "only_a_empty_id"
@@ -167,7 +168,8 @@ def reconcile_amounts(a: DataFrame, b: DataFrame, a_key: str = "k", b_key: str =
 
 # --------------------------------------------------------------------- J4
 def multiset_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], a_order: Sequence,
-                  b_order: Sequence, a_amt: str | None = "amt", b_amt: str | None = "amt") -> DataFrame:
+                  b_order: Sequence, a_amt: str | None = "amt", b_amt: str | None = "amt",
+                  hot_key_rows: int | None = DEFAULT_HOT_KEY_ROWS) -> DataFrame:
     """Multiset difference with representative rows.
 
     For every key with ``n_a > n_b`` the first ``n_a - n_b`` A rows in
@@ -177,8 +179,10 @@ def multiset_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], a_order: Sequ
     With ``a_amt``/``b_amt`` None no ``delta`` column is added.
 
     Counts come from an aggregation; rows of keys absent on the other side
-    are taken whole without ranking, so only keys on both sides go through
-    a window.
+    are taken whole without ranking, so only keys on both sides are ranked:
+    by a window, or — for keys with more than ``hot_key_rows`` rows, found
+    from the counts (one small job) — by the partition-spread exact ranking
+    of :mod:`tallyspark.operators.skew`. ``None`` disables the check.
     """
     keys = list(keys)
     na = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"))
@@ -192,7 +196,12 @@ def multiset_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], a_order: Sequ
                         .select(*keys, (F.col(mine) - F.col(other)).alias("_cut"), F.col(other).alias("_other"))
         rows = df.join(surplus, keys, "inner")
         whole = rows.where(F.col("_other") == 0)
-        ranked = dedup_first_cut(rows.where(F.col("_other") > 0), keys, order)
+        hot = None
+        if hot_key_rows is not None:
+            hot = surplus.where((F.col("_other") > 0) & (F.col("_cut") + F.col("_other") > hot_key_rows)) \
+                         .select(*keys)
+            hot = None if hot.isEmpty() else hot
+        ranked = first_rows_per_key(rows.where(F.col("_other") > 0), keys, order, "_cut", hot)
         out = whole.unionByName(ranked).drop("_cut", "_other").withColumn("outcome", F.lit(outcome))
         if amt is None:
             return out
@@ -344,7 +353,8 @@ def classify_mismatch(a_all: DataFrame, b_paper: DataFrame, num: str = "num", dt
     1. Multiset surplus of B over paper A on the 4-part key
        (num, dt, name, amt): per key, the first ``n_b - n_a`` B rows.
     2. Cut: the first ``max(0, |B| - |paper A|)`` surplus rows in
-       ``b_order`` (the number is one scalar aggregate).
+       ``b_order`` (the number is one scalar aggregate; the cut is an exact
+       global rank spread over partitions, not one big ordered take).
     3. Reasons, by looking up (num, dt) in A: a paper row with the same
        name and amount → full_match; same name → other_amount; any paper
        row → other_name; any A row → other_class; else not_found.
@@ -362,7 +372,10 @@ def classify_mismatch(a_all: DataFrame, b_paper: DataFrame, num: str = "num", dt
     diff = (b_paper.select(F.lit(1).alias("_s"))
             .unionByName(a_paper.select(F.lit(-1).alias("_s")))
             .agg(F.coalesce(F.sum("_s"), F.lit(0))).first()[0])
-    cut = surplus.orderBy(*nulls_last(list(b_order))).limit(max(0, int(diff))).select(*keys, *_names(b_order))
+    # The first ``diff`` surplus rows in ``b_order``: ``diff`` grows with the
+    # data, so rank globally across partitions instead of ``orderBy.limit``.
+    cut = (rank_hot_keys(surplus.select(*keys, *_names(b_order)), [], list(b_order))
+           .where(F.col("_rn") <= F.lit(max(0, int(diff)))).drop("_rn"))
 
     any_nd = a_all.groupBy(num, dt).agg(F.max(F.lit(1)).alias("anyc"),
                                         F.max(F.when(F.col(a_is_paper), 1).otherwise(0)).alias("p"))

@@ -112,3 +112,17 @@ def test_arrival_lookup(spark):
     b = spark.createDataFrame([("x", 1), ("y", 2)], "k string, v int")
     out = {r.k: (r.months, r.n_months) for r in rec.arrival_lookup(b, a.limit(0), a, "k", "d").collect()}
     assert out == {"x": ("2025-01, 2025-03", 2), "y": ("", 0)}
+
+
+def test_hot_key_ranking_matches_window(spark):
+    """A key holding most rows: the partition-spread ranking gives exactly
+    the rows the plain window gives."""
+    a = spark.range(3000).select(F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")).alias("k"),
+                                 F.lit(Decimal(1)).cast("decimal(18,2)").alias("amt"),
+                                 ((F.col("id") * 7919) % 3000).alias("d"))
+    b = a.where(F.col("d") % 3 == 0)
+    plain = rec.multiset_diff(a, b, ["k"], ["d"], ["d"], hot_key_rows=None)
+    spread = rec.multiset_diff(a, b, ["k"], ["d"], ["d"], hot_key_rows=100)
+    key = lambda df: sorted((r.outcome, r.k, r.d) for r in df.collect())
+    assert key(plain) == key(spread)
+    assert sum(1 for r in spread.collect() if r.k == "hot") == 2400 - 800
