@@ -29,6 +29,7 @@ from tallyspark.operators import aggregates as agg
 from tallyspark.operators import filters as flt
 from tallyspark.operators import reconcile as rec
 from tallyspark.operators.dedup import dedup_first, duplicates_removed
+from tallyspark.session import checkpoint_dir
 from tallyspark.plans.layout import (
     COMPARE_PORTAL, COMPARE_REGISTER, PORTAL_OPTIONAL, PORTAL_PAID, PORTAL_REQUIRED,
     RECEIVED_COLUMNS, REGISTER, MissingColumnsError, apply_layout,
@@ -43,13 +44,25 @@ def _file_order(df: DataFrame) -> list:
     return [F.col(ROW)] if ROW in df.columns else []
 
 
+def _materialize(df: DataFrame, on: bool) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared checkpoint folder (never a
+    local checkpoint): several result tables then read the cleaned ledger
+    instead of recomputing it, and a lost executor costs no recomputation
+    of the dedup shuffle."""
+    if not on:
+        return df
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _require_order(df: DataFrame) -> DataFrame:
     """Keep-first needs a file order; add one when the source gave none."""
     return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
 
 
 # ------------------------------------------------------------------- E1
-def register_report(raw: DataFrame, check_nonempty: bool = True, order=None) -> dict[str, DataFrame]:
+def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
+                    materialize: bool = False) -> dict[str, DataFrame]:
     """Clean one register export.
 
     Layout → keep-first on (doc date, doc no, id) in file order **before**
@@ -93,6 +106,7 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None) ->
     ).drop("_amount", "_tax", "_order_total", "_withholding") \
      .withColumn("paid", F.col("amount")) \
      .withColumn("cls", code_class("code"))
+    d = _materialize(d, materialize)
     data = d.orderBy(F.col("reg_date").asc_nulls_last(), F.col(ROW))
     summary = agg.code_summary(d, code_dimension(raw.sparkSession), "code", "paid",
                                total_label="TOTALE", by="cls")
@@ -200,7 +214,7 @@ def load_compare_portal(raw: DataFrame) -> DataFrame:
 
 def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_name: str | None = None,
                     portal_name: str | None = None, top_n: int = 30, per_side: int = 20,
-                    order=None) -> dict[str, DataFrame]:
+                    order=None, materialize: bool = False) -> dict[str, DataFrame]:
     """Reconcile a register export with a portal export.
 
     Register: allowed codes (P1) **then** keep-first on (doc date, doc no,
@@ -209,7 +223,9 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
     empty id (strict rule N1). Results: ``summary`` (J1, also the second
     overview sheet), ``paper_detail`` (J4 on text number + 2-decimal
     amount), ``electronic_detail`` (J2 with the empty-id row and total),
-    ``delta`` (J3), ``drilldown`` (J5), ``overview`` (K4).
+    ``delta`` (J3), ``drilldown`` (J5), ``overview`` (K4). With
+    ``materialize`` both cleaned ledgers are checkpointed once (use it when
+    writing several of the tables).
     """
     reg_period = quarter_from_name(os.path.basename(register_name)) if register_name else None
     por_period = quarter_from_name(os.path.basename(portal_name)) if portal_name else None
@@ -240,6 +256,7 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
         to_money(parse_number_mixed("Importo fattura", default=0)).alias("amount"),
         normalize_id("Identificativo SDI").alias("ext_id"),
     ).withColumn("cls", F.when(is_empty_id("ext_id", "strict"), F.lit(PAPER)).otherwise(F.lit(ELECTRONIC)))
+    a, b = _materialize(a, materialize), _materialize(b, materialize)
 
     summary = rec.compare_summary(a, b, "cls", "cls", "amount", "amount")
 

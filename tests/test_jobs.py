@@ -167,3 +167,26 @@ def test_write_report(spark, tmpdir_path):
     out = jobs.portal_paid_report(strings(spark, FX3_HEADER, FX3))
     paths = jobs.write_report(out, os.path.join(tmpdir_path, "report"))
     assert spark.read.parquet(paths["stats"]).count() == 1
+
+
+def test_compare_materialized_report(spark, tmpdir_path):
+    reg = _with_order(strings(spark, REG6_HEADER, REG6))
+    por = _with_order(strings(spark, POR6_HEADER, POR6))
+    out = jobs.compare_ledgers(reg, por, materialize=True)
+    paths = jobs.write_report(out, os.path.join(tmpdir_path, "cmp"))
+    assert set(paths) >= {"summary", "paper_detail", "electronic_detail", "delta", "drilldown", "overview"}
+    assert spark.read.parquet(paths["summary"]).count() == 3
+
+
+def test_cli_compare(spark, tmpdir_path):
+    from tallyspark.__main__ import main
+    reg = os.path.join(tmpdir_path, "reg.csv")
+    with open(reg, "w") as fh:
+        fh.write(";".join(REG6_HEADER) + "\n" + "\n".join(";".join(r) for r in REG6) + "\n")
+    from tallyspark.sources import write_xlsx
+    por = os.path.join(tmpdir_path, "por.xlsx")
+    write_xlsx(por, POR6_HEADER, POR6)
+    out = os.path.join(tmpdir_path, "out")
+    main(["compare", reg, por, out])
+    s = {r.category: r.delta_amt for r in spark.read.parquet(out + "/summary").collect()}
+    assert s["total"] == Decimal("-410.00")
