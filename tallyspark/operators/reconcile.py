@@ -169,7 +169,8 @@ def reconcile_amounts(a: DataFrame, b: DataFrame, a_key: str = "k", b_key: str =
 # --------------------------------------------------------------------- J4
 def multiset_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], a_order: Sequence,
                   b_order: Sequence, a_amt: str | None = "amt", b_amt: str | None = "amt",
-                  hot_key_rows: int | None = DEFAULT_HOT_KEY_ROWS) -> DataFrame:
+                  hot_key_rows: int | None = DEFAULT_HOT_KEY_ROWS, sides: Sequence[str] = ("a", "b")
+                  ) -> DataFrame:
     """Multiset difference with representative rows.
 
     For every key with ``n_a > n_b`` the first ``n_a - n_b`` A rows in
@@ -183,6 +184,7 @@ def multiset_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], a_order: Sequ
     by a window, or — for keys with more than ``hot_key_rows`` rows, found
     from the counts (one small job) — by the partition-spread exact ranking
     of :mod:`tallyspark.operators.skew`. ``None`` disables the check.
+    ``sides`` limits the output to one side's surplus.
     """
     keys = list(keys)
     na = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"))
@@ -207,9 +209,15 @@ def multiset_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], a_order: Sequ
             return out
         return out.withColumn("delta", (as_col(amt) * F.lit(sign)).cast(SUM_TYPE))
 
-    sa = side(a, "_na", "_nb", a_order, a_amt, ONLY_A, 1)
-    sb = side(b, "_nb", "_na", b_order, b_amt, ONLY_B, -1)
-    return sa.unionByName(sb, allowMissingColumns=True)
+    parts = []
+    if "a" in sides:
+        parts.append(side(a, "_na", "_nb", a_order, a_amt, ONLY_A, 1))
+    if "b" in sides:
+        parts.append(side(b, "_nb", "_na", b_order, b_amt, ONLY_B, -1))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def dedup_first_cut(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
@@ -367,7 +375,7 @@ def classify_mismatch(a_all: DataFrame, b_paper: DataFrame, num: str = "num", dt
     keys = [num, dt, name, amt]
     a_paper = a_all.where(F.col(a_is_paper))
     surplus = multiset_diff(a_paper.select(*keys), b_paper, keys, [F.lit(0)], list(b_order),
-                            None, None).where(F.col("outcome") == ONLY_B)
+                            None, None, sides=("b",))
     # The cut size is one scalar (|B| - |paper A|), fetched with one job.
     diff = (b_paper.select(F.lit(1).alias("_s"))
             .unionByName(a_paper.select(F.lit(-1).alias("_s")))

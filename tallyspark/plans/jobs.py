@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import (
@@ -28,7 +28,7 @@ from tallyspark.functions.numbers import SUM_TYPE
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import filters as flt
 from tallyspark.operators import reconcile as rec
-from tallyspark.operators.dedup import dedup_first, duplicates_removed
+from tallyspark.operators.dedup import dedup_first
 from tallyspark.session import checkpoint_dir
 from tallyspark.plans.layout import (
     COMPARE_PORTAL, COMPARE_REGISTER, PORTAL_OPTIONAL, PORTAL_PAID, PORTAL_REQUIRED,
@@ -36,6 +36,30 @@ from tallyspark.plans.layout import (
 )
 
 ROW = "_row"
+
+
+class LazyTables(Mapping):
+    """Result tables built on first access (and then kept).
+
+    Building some tables runs a small job (e.g. the hot-key probe of the
+    multiset difference); a caller that reads one table pays for that table
+    only. ``write_report`` and iteration build them all.
+    """
+
+    def __init__(self, factories: dict):
+        self._factories = dict(factories)
+        self._built: dict = {}
+
+    def __getitem__(self, name):
+        if name not in self._built:
+            self._built[name] = self._factories[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._factories)
+
+    def __len__(self):
+        return len(self._factories)
 MAX_DETAIL_ROWS = 5000
 ALL_PERIOD_LABEL = "Tutto il periodo"
 
@@ -75,8 +99,11 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     df = _require_order(apply_layout(raw, REGISTER))
     df = df.withColumn("FAT_PROT", clean_code("FAT_PROT"))
     key = ["FAT_DATDOC", "FAT_NDOC", "TMC_G8"]
-    dups = duplicates_removed(df, key).select("duplicates_removed")
-    kept = dedup_first(df, key, order or [F.col(ROW)]).where(F.col("FAT_PROT").isin(*ALLOWED_CODES))
+    deduped = dedup_first(df, key, order or [F.col(ROW)])
+    kept = deduped.where(F.col("FAT_PROT").isin(*ALLOWED_CODES))
+    # D3 = rows - rows left by keep-first (before the code filter); the
+    # keep-first count reuses the dedup shuffle of the main plan.
+    dups = (df.select(F.count(F.lit(1))).scalar() - deduped.select(F.count(F.lit(1))).scalar())
     if check_nonempty and kept.isEmpty():
         raise ValueError("Nessun protocollo valido trovato nel file")
     d = kept.select(
@@ -116,7 +143,7 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     return {"data": data, "summary": summary, **sheets, "stats": stats}
 
 
-def _register_stats(d: DataFrame, dups: DataFrame) -> DataFrame:
+def _register_stats(d: DataFrame, dups: Column) -> DataFrame:
     paper = F.col("cls") == PAPER
     elec = F.col("cls").isin(ELECTRONIC, SELF_INVOICE)
     s = d.agg(
@@ -126,7 +153,7 @@ def _register_stats(d: DataFrame, dups: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(paper, F.col("paid"))), F.lit(0)).cast(SUM_TYPE).alias("paper_amount"),
         F.coalesce(F.sum(F.when(elec, F.col("paid"))), F.lit(0)).cast(SUM_TYPE).alias("electronic_amount"),
     )
-    return s.withColumn("duplicates_removed", dups.select(F.max("duplicates_removed")).scalar())
+    return s.withColumn("duplicates_removed", dups.cast("bigint"))
 
 
 # ------------------------------------------------------------------- E2
@@ -214,7 +241,7 @@ def load_compare_portal(raw: DataFrame) -> DataFrame:
 
 def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_name: str | None = None,
                     portal_name: str | None = None, top_n: int = 30, per_side: int = 20,
-                    order=None, materialize: bool = False) -> dict[str, DataFrame]:
+                    order=None, materialize: bool = False) -> Mapping[str, DataFrame]:
     """Reconcile a register export with a portal export.
 
     Register: allowed codes (P1) **then** keep-first on (doc date, doc no,
@@ -258,40 +285,53 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
     ).withColumn("cls", F.when(is_empty_id("ext_id", "strict"), F.lit(PAPER)).otherwise(F.lit(ELECTRONIC)))
     a, b = _materialize(a, materialize), _materialize(b, materialize)
 
-    summary = rec.compare_summary(a, b, "cls", "cls", "amount", "amount")
-
-    ap = a.where(F.col("cls") == PAPER).withColumn("num_key", text_key("doc_no")) \
-          .withColumn("amount_key", amount_key("amount"))
-    bp = b.where(F.col("cls") == PAPER).withColumn("num_key", text_key("doc_no")) \
-          .withColumn("amount_key", amount_key("amount"))
-    paper_detail = rec.multiset_diff(ap, bp, ["num_key", "amount_key"], ["doc_date", "doc_no", ROW],
-                                     ["doc_date", "doc_no", ROW], "amount", "amount")
-
+    period = reg_period or por_period
+    label = (f"{period[0]:%d/%m/%Y} - {period[1]:%d/%m/%Y}" if period else ALL_PERIOD_LABEL)
     ae = a.where(F.col("cls") == ELECTRONIC)
     be = b.where(F.col("cls") == ELECTRONIC)
-    electronic_detail = rec.reconcile_sums(ae, be, "ext_id", "ext_id", "amount", "amount",
-                                           empty_id_rule="strict", with_total=True)
     ae_ok = ae.where(~is_empty_id("ext_id", "strict"))
-    delta = rec.reconcile_amounts(ae_ok, be, "ext_id", "ext_id", "amount", "amount", empty_id_rule=None)
-    drill = rec.top_delta_detail(ae_ok.withColumn("k", F.col("ext_id")).withColumn("date", F.col("reg_date")),
-                                 be.withColumn("k", F.col("ext_id")).withColumn("date", F.col("doc_date")),
-                                 "k", "amount", "amount", a_order=["date", "doc_no", ROW],
-                                 b_order=["date", "doc_no", ROW], top_n=top_n, per_side=per_side,
-                                 cols=["party", "doc_no", "date"])
-    period = reg_period or por_period
-    label = (f"{period[0]:%d/%m/%Y} - {period[1]:%d/%m/%Y}" if period else ALL_PERIOD_LABEL)
-    overview = summary.where(F.col("category") != "total").groupBy().agg(
-        F.lit(label).alias("period"),
-        *[F.max(F.when(F.col("category") == c, F.struct(
-            F.col("a_n").alias("count"), F.col("a_amt").alias("amount"), F.col("a_amt").alias("imponibile"))))
-          .alias(f"a_{c}") for c in (PAPER, ELECTRONIC)],
-        *[F.max(F.when(F.col("category") == c, F.struct(
-            F.col("b_n").alias("count"), F.col("b_amt").alias("amount"), F.col("b_amt").alias("imponibile"))))
-          .alias(f"b_{c}") for c in (PAPER, ELECTRONIC)],
-    )
-    return {"summary": summary, "to_check": summary, "paper_detail": paper_detail,
-            "electronic_detail": electronic_detail, "delta": delta, "drilldown": drill,
-            "overview": overview}
+
+    def summary():
+        return rec.compare_summary(a, b, "cls", "cls", "amount", "amount")
+
+    def paper_detail():
+        ap = a.where(F.col("cls") == PAPER).withColumn("num_key", text_key("doc_no")) \
+              .withColumn("amount_key", amount_key("amount"))
+        bp = b.where(F.col("cls") == PAPER).withColumn("num_key", text_key("doc_no")) \
+              .withColumn("amount_key", amount_key("amount"))
+        return rec.multiset_diff(ap, bp, ["num_key", "amount_key"], ["doc_date", "doc_no", ROW],
+                                 ["doc_date", "doc_no", ROW], "amount", "amount")
+
+    def electronic_detail():
+        return rec.reconcile_sums(ae, be, "ext_id", "ext_id", "amount", "amount",
+                                  empty_id_rule="strict", with_total=True)
+
+    def delta():
+        return rec.reconcile_amounts(ae_ok, be, "ext_id", "ext_id", "amount", "amount", empty_id_rule=None)
+
+    def drilldown():
+        return rec.top_delta_detail(
+            ae_ok.withColumn("k", F.col("ext_id")).withColumn("date", F.col("reg_date")),
+            be.withColumn("k", F.col("ext_id")).withColumn("date", F.col("doc_date")),
+            "k", "amount", "amount", a_order=["date", "doc_no", ROW], b_order=["date", "doc_no", ROW],
+            top_n=top_n, per_side=per_side, cols=["party", "doc_no", "date"])
+
+    def overview():
+        s = tables["summary"]
+        return s.where(F.col("category") != "total").groupBy().agg(
+            F.lit(label).alias("period"),
+            *[F.max(F.when(F.col("category") == c, F.struct(
+                F.col("a_n").alias("count"), F.col("a_amt").alias("amount"), F.col("a_amt").alias("imponibile"))))
+              .alias(f"a_{c}") for c in (PAPER, ELECTRONIC)],
+            *[F.max(F.when(F.col("category") == c, F.struct(
+                F.col("b_n").alias("count"), F.col("b_amt").alias("amount"), F.col("b_amt").alias("imponibile"))))
+              .alias(f"b_{c}") for c in (PAPER, ELECTRONIC)],
+        )
+
+    tables = LazyTables({"summary": summary, "to_check": lambda: tables["summary"],
+                         "paper_detail": paper_detail, "electronic_detail": electronic_detail,
+                         "delta": delta, "drilldown": drilldown, "overview": overview})
+    return tables
 
 
 # ------------------------------------------------------------------- K1/K2

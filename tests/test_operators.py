@@ -126,3 +126,16 @@ def test_hot_key_ranking_matches_window(spark):
     key = lambda df: sorted((r.outcome, r.k, r.d) for r in df.collect())
     assert key(plain) == key(spread)
     assert sum(1 for r in spread.collect() if r.k == "hot") == 2400 - 800
+
+
+def test_count_codes_a3(spark):
+    df = spark.createDataFrame([("EP",), ("EP",), ("EL",)], "code string")
+    assert {r.code: r.n for r in agg.count_codes(df, "code", ["EP", "EL", "EZ"]).collect()} == {"EP": 2, "EL": 1, "EZ": 0}
+
+
+def test_layout_helpers_m12_m13(spark):
+    from tallyspark.plans.layout import first_present, normalize_name, project
+    assert normalize_name(" n. Fatture ") == "NFATTURE"
+    assert first_present(["FT_Prot", "X"], "FT_PROT", "FT_Prot") == "FT_Prot"
+    df = spark.createDataFrame([("a", "b")], "C_NOME string, FAT_PROT string")
+    assert project(df, {"FAT_PROT": "Protocollo", "C_NOME": "Ragione Sociale"}).columns == ["Protocollo", "Ragione Sociale"]
