@@ -24,8 +24,20 @@ SUM_TYPE = "decimal(28,2)"
 NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+# Amounts at or beyond this size do not fit the exact money type and are
+# treated as unparseable (pandas would return a float).
+MAX_ABS_AMOUNT = 1e20
+
+
 def _numeric_or_null(text: Column) -> Column:
-    return F.when(text.rlike(NUMERIC_TEXT), text.try_cast(PARSE_TYPE))
+    """Exact decimal parse of a plain numeric literal; literals the decimal
+    cast rejects although they are in range (e.g. ``0E0138``) go through
+    double."""
+    dbl = text.try_cast("double")
+    exp = F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int")
+    in_range = (F.abs(dbl) < F.lit(MAX_ABS_AMOUNT)) & (exp.isNull() | (F.abs(exp) <= 308))
+    via_double = F.when(in_range, dbl.cast(PARSE_TYPE))
+    return F.when(text.rlike(NUMERIC_TEXT), F.coalesce(text.try_cast(PARSE_TYPE), via_double))
 
 
 def _no_spaces(c) -> Column:
