@@ -1,8 +1,10 @@
-"""Command line for spark-submit: the three jobs of the source application.
+"""Command line: the three jobs of the source application.
 
-    spark-submit -m tallyspark register  <register file>               <out dir>
-    spark-submit -m tallyspark portal    <portal file> [--received]    <out dir>
-    spark-submit -m tallyspark compare   <register file> <portal file> <out dir>
+    python -m tallyspark register  <register file>               <out dir>
+    python -m tallyspark portal    <portal file> [--received]    <out dir>
+    python -m tallyspark compare   <register file> <portal file> <out dir>
+
+On a cluster: ``spark-submit --py-files tallyspark.zip tallyspark/__main__.py compare …``.
 
 Input format follows the extension (csv / xlsx / parquet). Each result
 table is written as parquet under ``<out dir>/<table>``; the stats or
