@@ -211,6 +211,9 @@ def dedup_sensitivity(spark, sf):
         "k1": (LINE_KEY, LINE_ORDER, None),
         "k2": (["l_orderkey", "l_suppkey"], ["l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice"], None),
         "filter_then_k1": (LINE_KEY, LINE_ORDER, F.col("ok")),
+        # Key *expressions* — order, day of the date, amount bucket
+        "k3_norm": ([F.col("l_orderkey"), F.to_date("l_shipdate"), F.floor(F.col("l_extendedprice") / 100)],
+                    ["l_linenumber"] + LINE_ORDER, None),
     }
     return fun.dedup_sensitivity(li, variants, "ok")
 

@@ -158,12 +158,16 @@ WITH f AS (SELECT CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END ok,
  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) r1,
  row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_shipdate, l_extendedprice) r2,
  row_number() OVER (PARTITION BY l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END
-                    ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) r3 FROM lineitem)
+                    ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) r3,
+ row_number() OVER (PARTITION BY l_orderkey, CAST(l_shipdate AS DATE), floor(l_extendedprice / 100)
+                    ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) r4 FROM lineitem)
 SELECT CAST(count(*) AS BIGINT) base_rows,
  CAST(sum(CASE WHEN r1 = 1 THEN 1 ELSE 0 END) AS BIGINT) k1, CAST(sum(CASE WHEN r1 = 1 THEN ok ELSE 0 END) AS BIGINT) k1_ok,
  CAST(sum(CASE WHEN r2 = 1 THEN 1 ELSE 0 END) AS BIGINT) k2, CAST(sum(CASE WHEN r2 = 1 THEN ok ELSE 0 END) AS BIGINT) k2_ok,
  CAST(sum(CASE WHEN r3 = 1 THEN ok ELSE 0 END) AS BIGINT) filter_then_k1,
- CAST(sum(CASE WHEN r3 = 1 THEN ok ELSE 0 END) AS BIGINT) filter_then_k1_ok FROM f"""
+ CAST(sum(CASE WHEN r3 = 1 THEN ok ELSE 0 END) AS BIGINT) filter_then_k1_ok,
+ CAST(sum(CASE WHEN r4 = 1 THEN 1 ELSE 0 END) AS BIGINT) k3_norm, CAST(sum(CASE WHEN r4 = 1 THEN ok ELSE 0 END) AS BIGINT) k3_norm_ok
+ FROM f"""
 
 Q["step_funnel"] = _RANKED + f"""
 SELECT CAST((SELECT count(*) FROM lineitem) AS BIGINT) base_rows, CAST(count(*) AS BIGINT) deduped_rows,
