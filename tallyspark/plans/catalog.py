@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import (
-    ALT_ALLOWED_CODES, amount_key, blank_null_tokens, code_class, code_dimension, date_text,
+    ALT_ALLOWED_CODES, amount_key, blank_null_tokens, code_dimension, date_text,
     is_empty_id, month_of, net_amount, normalize_id, parse_date, parse_number_comma,
     parse_number_it, parse_number_mixed, parse_number_plain, quarter_from_name, sign_multiplier,
     signed_amount, taxable, text_key, to_money,
 )
-from tallyspark.functions.codes import CLASS_CODES, ELECTRONIC, PAPER, SELF_INVOICE
-from tallyspark.functions.dates import extend_period
+from tallyspark.functions.codes import ELECTRONIC, PAPER, SELF_INVOICE
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import filters as flt
 from tallyspark.operators import funnels as fun

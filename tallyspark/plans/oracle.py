@@ -6,7 +6,7 @@ parser under test. Money leaves as DOUBLE, dates as ``yyyy-MM-dd`` text.
 
 from __future__ import annotations
 
-from tallyspark.functions.codes import ALT_ALLOWED_CODES, code_class, code_rows  # noqa: F401
+from tallyspark.functions.codes import ALT_ALLOWED_CODES, code_rows
 from tallyspark.functions.codes import CLASS_CODES
 from tallyspark.plans.ledgers import PROTOCOL_OF_PAIR
 

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.plans import jobs
-from tallyspark.plans.layout import MissingColumnsError
 from conftest import strings
 
 FX1_HEADER = ["C_NOME", "FAT_DATDOC", "FAT_NDOC", "FAT_DATREG", "FAT_PROT", "FAT_NUM", "IMPONIBILE", "FAT_TOTFAT",

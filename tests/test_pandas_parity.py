@@ -7,7 +7,6 @@ import math
 import random
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from tallyspark.functions import parse_number_comma, parse_number_it, parse_number_mixed, parse_number_plain
 from tallyspark.functions.numbers import MAX_ABS_AMOUNT
