@@ -64,8 +64,18 @@ MAX_DETAIL_ROWS = 5000
 ALL_PERIOD_LABEL = "Tutto il periodo"
 
 
+SRC = "_src"
+
+
 def _file_order(df: DataFrame) -> list:
-    return [F.col(ROW)] if ROW in df.columns else []
+    """File order: (file name, position in the file). Within one file
+    ``_row`` increases with the position; across files Spark packs splits by
+    size, so the file name comes first."""
+    return ([F.col(SRC)] if SRC in df.columns else []) + [F.col(ROW)]
+
+
+def _order_cols(df: DataFrame) -> list[str]:
+    return [c for c in (SRC, ROW) if c in df.columns]
 
 
 def _materialize(df: DataFrame, on: bool) -> DataFrame:
@@ -99,13 +109,13 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     df = _require_order(apply_layout(raw, REGISTER))
     df = df.withColumn("FAT_PROT", clean_code("FAT_PROT"))
     key = ["FAT_DATDOC", "FAT_NDOC", "TMC_G8"]
-    deduped = dedup_first(df, key, order or [F.col(ROW)])
+    deduped = dedup_first(df, key, order or _file_order(df))
     kept = deduped.where(F.col("FAT_PROT").isin(*ALLOWED_CODES))
     # D3 (before the code filter): a grouped count with map-side partial
     # aggregation — cheaper than re-running the keep-first window.
     dups = duplicates_removed(df, key).select(F.max("duplicates_removed")).scalar()
     d = kept.select(
-        F.col(ROW),
+        *_order_cols(kept),
         F.col("C_NOME").alias("party"),
         parse_date("FAT_DATDOC", day_first=False).alias("doc_date"),
         F.col("FAT_NDOC").alias("doc_no"),
@@ -136,7 +146,7 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     # one run of the dedup shuffle before the result tables are built.
     if check_nonempty and d.isEmpty():
         raise ValueError("Nessun protocollo valido trovato nel file")
-    data = d.orderBy(F.col("reg_date").asc_nulls_last(), F.col(ROW))
+    data = d.orderBy(F.col("reg_date").asc_nulls_last(), *_file_order(d))
     summary = agg.code_summary(d, code_dimension(raw.sparkSession), "code", "paid",
                                total_label="TOTALE", by="cls")
     sheets = {f"summary_{c}": summary.where(F.col("cls") == c).drop("cls")
@@ -169,14 +179,14 @@ def portal_paid_report(raw: DataFrame) -> dict[str, DataFrame]:
     """
     df = _require_order(apply_layout(raw, PORTAL_PAID))
     optional = [c for c in PORTAL_OPTIONAL if c in df.columns]
-    df = df.select(*PORTAL_REQUIRED, *optional, ROW)
+    df = df.select(*PORTAL_REQUIRED, *optional, *_order_cols(df))
     amount_col = "Importo pagato" if "Importo pagato" in df.columns else "Importo fattura"
     flagged = flt.with_empty_flag(df, "Identificativo SDI", "tokens", "is_paper")
-    shown = flt.cap_rows(df, MAX_DETAIL_ROWS, [F.col(ROW)])
+    shown = flt.cap_rows(df, MAX_DETAIL_ROWS, _file_order(df))
     money_cols = [c for c in ("Importo pagato", "Importo fattura", "Importo liquidato") if c in df.columns]
     shown_num = shown.select(*[parse_number_plain(c).cast("decimal(18,2)").alias(c) if c in money_cols
                                else F.col(f"`{c}`") for c in shown.columns])
-    data = agg.detail_with_totals(shown_num.drop(ROW), money_cols, "Creditore")
+    data = agg.detail_with_totals(shown_num.drop(ROW, SRC), money_cols, "Creditore")
     stats = _split_stats(flagged, parse_number_mixed(amount_col, default=0))
     return {"data": data, "stats": stats}
 
@@ -209,7 +219,7 @@ def portal_received_report(raw: DataFrame, file_name: str | None = None) -> dict
     total = parse_number_comma("Importo fattura")
     vat = parse_number_comma("IVA")
     out = df.select(
-        F.col(ROW),
+        *_order_cols(df),
         F.col("Creditore").alias("Ragione sociale"),
         F.col("Numero fattura").alias("N.fatture"),
         parse_date("Data emissione", day_first=False).alias("Data emissione"),
@@ -223,7 +233,7 @@ def portal_received_report(raw: DataFrame, file_name: str | None = None) -> dict
     period = quarter_from_name(os.path.basename(file_name)) if file_name else None
     out = flt.filter_period(out, "Data pagamento", period)
     flagged = flt.with_empty_flag(out, "Identificativo SDI", "tokens", "is_paper")
-    shown = flt.cap_rows(out, MAX_DETAIL_ROWS, [F.col(ROW)]).drop(ROW)
+    shown = flt.cap_rows(out, MAX_DETAIL_ROWS, _file_order(out)).drop(ROW, SRC)
     data = agg.detail_with_totals(shown, ["Ivam", "Imponibile", "Totale fatture"], "Ragione sociale")
     stats = _split_stats(flagged, F.col("Totale fatture"))
     return {"data": data, "stats": stats}
@@ -238,7 +248,7 @@ def load_compare_register(raw: DataFrame) -> DataFrame:
 
 def load_compare_portal(raw: DataFrame) -> DataFrame:
     df = _require_order(apply_layout(raw, COMPARE_PORTAL))
-    return df.select(*PORTAL_REQUIRED, ROW)
+    return df.select(*PORTAL_REQUIRED, *_order_cols(df))
 
 
 def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_name: str | None = None,
@@ -264,9 +274,9 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
     por = load_compare_portal(portal_raw)
 
     a = reg.withColumn("FAT_PROT", clean_code("FAT_PROT")).where(F.col("FAT_PROT").isin(*ALLOWED_CODES))
-    a = dedup_first(a, ["FAT_DATDOC", "FAT_NDOC", "TMC_G8"], order or [F.col(ROW)])
+    a = dedup_first(a, ["FAT_DATDOC", "FAT_NDOC", "TMC_G8"], order or _file_order(a))
     a = a.select(
-        F.col(ROW), F.col("C_NOME").alias("party"), F.col("FAT_PROT").alias("code"),
+        *_order_cols(a), F.col("C_NOME").alias("party"), F.col("FAT_PROT").alias("code"),
         F.col("FT_SEGNO").alias("sign"), F.col("FAT_NUM").alias("seq_no"), F.col("FAT_NDOC").alias("doc_no"),
         parse_date("FAT_DATDOC").alias("doc_date"), parse_date("FAT_DATREG").alias("reg_date"),
         F.col("M2_TMC_DATREG").alias("value_date"),
@@ -280,7 +290,7 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
                      .when(F.col("code").isin(*(CLASS_CODES[ELECTRONIC] + CLASS_CODES[SELF_INVOICE])),
                            F.lit(ELECTRONIC)))
     b = por.select(
-        F.col(ROW), F.col("Creditore").alias("party"), F.col("Numero fattura").alias("doc_no"),
+        *_order_cols(por), F.col("Creditore").alias("party"), F.col("Numero fattura").alias("doc_no"),
         parse_date("Data emissione").alias("doc_date"),
         to_money(parse_number_mixed("Importo fattura", default=0)).alias("amount"),
         normalize_id("Identificativo SDI").alias("ext_id"),
@@ -301,8 +311,8 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
               .withColumn("amount_key", amount_key("amount"))
         bp = b.where(F.col("cls") == PAPER).withColumn("num_key", text_key("doc_no")) \
               .withColumn("amount_key", amount_key("amount"))
-        return rec.multiset_diff(ap, bp, ["num_key", "amount_key"], ["doc_date", "doc_no", ROW],
-                                 ["doc_date", "doc_no", ROW], "amount", "amount")
+        return rec.multiset_diff(ap, bp, ["num_key", "amount_key"], ["doc_date", "doc_no", *_order_cols(ap)],
+                                 ["doc_date", "doc_no", *_order_cols(bp)], "amount", "amount")
 
     def electronic_detail():
         return rec.reconcile_sums(ae, be, "ext_id", "ext_id", "amount", "amount",
@@ -315,7 +325,8 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
         return rec.top_delta_detail(
             ae_ok.withColumn("k", F.col("ext_id")).withColumn("date", F.col("reg_date")),
             be.withColumn("k", F.col("ext_id")).withColumn("date", F.col("doc_date")),
-            "k", "amount", "amount", a_order=["date", "doc_no", ROW], b_order=["date", "doc_no", ROW],
+            "k", "amount", "amount", a_order=["date", "doc_no", *_order_cols(ae_ok)],
+            b_order=["date", "doc_no", *_order_cols(be)],
             top_n=top_n, per_side=per_side, cols=["party", "doc_no", "date"])
 
     def overview():

@@ -51,3 +51,16 @@ def test_xlsx_roundtrip_and_job(spark, tmpdir_path):
     assert df.count() == 2 and df.orderBy("_row").first()["Ragione Sociale"] == "R1"
     s = jobs.portal_paid_report(df)["stats"].first()
     assert (s.paper_records, s.electronic_records, float(s.electronic_amount)) == (1, 1, 20.5)
+
+
+def test_multi_file_first_row_is_file_order(spark, tmpdir_path):
+    """Keep-first across several files: (file name, position) decides."""
+    from tallyspark.plans.jobs import portal_paid_report
+    d = os.path.join(tmpdir_path, "multi")
+    os.makedirs(d)
+    header = "Creditore,Numero fattura,Identificativo SDI,Data emissione,Importo fattura\n"
+    _write(os.path.join(d, "a_small.csv"), header + "A,1,,2025-01-01,1\n")
+    _write(os.path.join(d, "b_big.csv"), header + "".join(f"B,{i},,2025-01-01,1\n" for i in range(2000)))
+    df = read_delimited(spark, d)
+    out = portal_paid_report(df)["data"].collect()
+    assert out[0]["Creditore"] == "A" and out[1]["Creditore"] == "B" and out[1]["Numero fattura"] == "0"
