@@ -56,3 +56,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def cluster_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized to the input, for ``spark-submit --conf`` on a cluster.
+
+    * scan splits of ``target_partition_bytes`` (``maxPartitionBytes``);
+    * initial shuffle partitions so that an average shuffle partition is
+      about the target size, never fewer than the cluster's task slots, so
+      a full dedup or keyed aggregation shuffle fits executor memory; AQE
+      then coalesces small partitions to the advisory size;
+    * skew handling: a partition 5× the median and above 4 × target is split
+      (sort-merge joins), which covers a hot key left after aggregation.
+    """
+    slots = max(1, executor_cores * executors)
+    parts = max(slots, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
