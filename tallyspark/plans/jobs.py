@@ -341,7 +341,13 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
               .alias(f"b_{c}") for c in (PAPER, ELECTRONIC)],
         )
 
-    tables = LazyTables({"summary": summary, "to_check": lambda: tables["summary"],
+    def to_check():
+        # the overview sheet: the summary plus the name of each class's detail table
+        return tables["summary"].withColumn(
+            "detail_table", F.when(F.col("category") == PAPER, F.lit("paper_detail"))
+            .when(F.col("category") == ELECTRONIC, F.lit("electronic_detail")))
+
+    tables = LazyTables({"summary": summary, "to_check": to_check,
                          "paper_detail": paper_detail, "electronic_detail": electronic_detail,
                          "delta": delta, "drilldown": drilldown, "overview": overview})
     return tables

@@ -189,3 +189,9 @@ def test_cli_compare(spark, tmpdir_path):
     main(["compare", reg, por, out])
     s = {r.category: r.delta_amt for r in spark.read.parquet(out + "/summary").collect()}
     assert s["total"] == Decimal("-410.00")
+
+
+def test_compare_to_check_sheet(spark):
+    out = jobs.compare_ledgers(strings(spark, REG6_HEADER, REG6), strings(spark, POR6_HEADER, POR6))
+    rows = {r.category: r.detail_table for r in out["to_check"].collect()}
+    assert rows == {"paper": "paper_detail", "electronic": "electronic_detail", "total": None}
