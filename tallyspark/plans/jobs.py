@@ -347,7 +347,14 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
             "detail_table", F.when(F.col("category") == PAPER, F.lit("paper_detail"))
             .when(F.col("category") == ELECTRONIC, F.lit("electronic_detail")))
 
-    tables = LazyTables({"summary": summary, "to_check": to_check,
+    def paper_detail_total():
+        # the closing row of the paper sheet: rows per side and the total delta
+        return tables["paper_detail"].agg(
+            F.sum(F.when(F.col("outcome") == rec.ONLY_A, 1).otherwise(0)).cast("bigint").alias("only_a_rows"),
+            F.sum(F.when(F.col("outcome") == rec.ONLY_B, 1).otherwise(0)).cast("bigint").alias("only_b_rows"),
+            F.coalesce(F.sum("delta"), F.lit(0)).cast(SUM_TYPE).alias("delta"))
+
+    tables = LazyTables({"summary": summary, "to_check": to_check, "paper_detail_total": paper_detail_total,
                          "paper_detail": paper_detail, "electronic_detail": electronic_detail,
                          "delta": delta, "drilldown": drilldown, "overview": overview})
     return tables

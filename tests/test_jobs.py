@@ -132,6 +132,8 @@ def test_compare_fx6_and_invariants(spark):
     assert [(r.num_key, r.amount_key) for r in pd_ if r.outcome == "only_a"] == [("F001", "100.00")]
     # invariants between sheets
     assert sum(r.delta for r in pd_) == summ["paper"][5]
+    t = out["paper_detail_total"].first()
+    assert (t.only_a_rows, t.only_b_rows, t.delta) == (1, 3, Decimal("-390.00"))
     ed = {r.outcome: r for r in out["electronic_detail"].collect()}
     assert (ed["total"].delta_rows, ed["total"].delta_sum) == (summ["electronic"][4], summ["electronic"][5])
     ov = out["overview"].first()
