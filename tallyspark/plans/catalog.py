@@ -560,3 +560,25 @@ def compare_report_electronic(spark, sf):
     from tallyspark.plans.jobs import compare_ledgers
     out = compare_ledgers(_register_export(spark, sf), _portal_export(spark, sf), order=_EXPORT_ORDER)
     return finish(out["electronic_detail"])
+
+
+def csv_roundtrip(spark, sf):
+    """The portal written as a Latin-1, ';'-separated export with
+    Italian amounts and day-first dates (in the shared scratch folder), read
+    back by the sniffing CSV reader and parsed."""
+    import uuid
+
+    from tallyspark.session import checkpoint_dir
+    from tallyspark.sources import read_delimited
+    o = read(spark, sf, "orders")
+    t = _money_texts(F.col("o_totalprice"))
+    export = o.select(F.col("o_orderkey").cast("string").alias("Numero fattura"),
+                      F.concat(F.lit("Città "), F.col("o_custkey").cast("string")).alias("Creditore"),
+                      t["it"].alias("Importo fattura"),
+                      F.date_format("o_orderdate", "dd/MM/yyyy").alias("Data emissione"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv_roundtrip/{uuid.uuid4().hex}"
+    export.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
+    df = read_delimited(spark, path)
+    return finish(df.select(F.col("Numero fattura").cast("bigint").alias("k"), "Creditore",
+                            parse_number_mixed("Importo fattura").alias("amount"),
+                            date_text(parse_date("Data emissione")).alias("d")))

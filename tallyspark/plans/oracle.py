@@ -479,3 +479,7 @@ SELECT outcome, k, CAST(a_rows AS BIGINT) a_rows, CAST(a_sum AS DOUBLE) a_sum, C
   CAST(b_sum AS DOUBLE) b_sum, CAST(delta_rows AS BIGINT) delta_rows, CAST(delta_sum AS DOUBLE) delta_sum FROM l
 UNION ALL SELECT 'total', NULL, CAST(sum(a_rows) AS BIGINT), CAST(sum(a_sum) AS DOUBLE), CAST(sum(b_rows) AS BIGINT),
   CAST(sum(b_sum) AS DOUBLE), CAST(sum(delta_rows) AS BIGINT), CAST(sum(delta_sum) AS DOUBLE) FROM l"""
+
+Q["csv_roundtrip"] = f"""
+SELECT o_orderkey k, 'Città ' || CAST(o_custkey AS VARCHAR) "Creditore",
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) amount, strftime(o_orderdate, {DAY}) d FROM orders"""
