@@ -152,7 +152,10 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     sheets = {f"summary_{c}": summary.where(F.col("cls") == c).drop("cls")
               for c in (PAPER, ELECTRONIC, SELF_INVOICE)}
     stats = _register_stats(d, dups)
-    return {"data": data, "summary": summary, **sheets, "stats": stats}
+    # A5: the totals row of the detail sheet (plain sums of the money columns)
+    data_total = d.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(SUM_TYPE).alias(c)
+                         for c in ("amount", "paid", "tax", "order_total", "withholding")])
+    return {"data": data, "data_total": data_total, "summary": summary, **sheets, "stats": stats}
 
 
 def _register_stats(d: DataFrame, dups: Column) -> DataFrame:

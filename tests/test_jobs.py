@@ -29,6 +29,7 @@ def test_register_dedup_fx1(spark):
     paper = {r.code: r.n for r in out["summary_paper"].collect()}
     assert paper["P"] == 1 and paper["2P"] == 0 and paper["TOTALE"] == 1
     assert out["data"].count() == 2
+    assert out["data_total"].first().paid == Decimal("300.00")
 
 
 def test_register_missing_columns_fx2(spark):
