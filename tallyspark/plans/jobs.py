@@ -318,11 +318,14 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
                                  ["doc_date", "doc_no", *_order_cols(bp)], "amount", "amount")
 
     def electronic_detail():
-        return rec.reconcile_sums(ae, be, "ext_id", "ext_id", "amount", "amount",
-                                  empty_id_rule="strict", with_total=True)
+        # By |delta| descending (key as tie-break), the total row last
+        out = rec.reconcile_sums(ae, be, "ext_id", "ext_id", "amount", "amount",
+                                 empty_id_rule="strict", with_total=True)
+        return out.orderBy((F.col("outcome") == "total").asc(), F.abs("delta_sum").desc(), F.col("k").asc_nulls_last())
 
     def delta():
-        return rec.reconcile_amounts(ae_ok, be, "ext_id", "ext_id", "amount", "amount", empty_id_rule=None)
+        out = rec.reconcile_amounts(ae_ok, be, "ext_id", "ext_id", "amount", "amount", empty_id_rule=None)
+        return out.orderBy(F.abs("delta_sum").desc(), F.col("k").asc_nulls_last())
 
     def drilldown():
         return rec.top_delta_detail(

@@ -135,7 +135,9 @@ def test_compare_fx6_and_invariants(spark):
     assert sum(r.delta for r in pd_) == summ["paper"][5]
     t = out["paper_detail_total"].first()
     assert (t.only_a_rows, t.only_b_rows, t.delta) == (1, 3, Decimal("-390.00"))
-    ed = {r.outcome: r for r in out["electronic_detail"].collect()}
+    ed_rows = out["electronic_detail"].collect()
+    assert ed_rows[-1].outcome == "total" and abs(ed_rows[0].delta_sum) >= abs(ed_rows[1].delta_sum)
+    ed = {r.outcome: r for r in ed_rows}
     assert (ed["total"].delta_rows, ed["total"].delta_sum) == (summ["electronic"][4], summ["electronic"][5])
     ov = out["overview"].first()
     assert ov.period == "Tutto il periodo" and ov.b_paper["count"] == 3 and ov.a_electronic["imponibile"] == Decimal("200.00")
