@@ -90,7 +90,7 @@ def test_text_and_amount_keys_g14(spark):
 
 
 def test_quarter_g15(spark):
-    assert quarter_from_name("Fatture NFS Pagato I° Trim.2026.csv") == (dt.date(2026, 1, 1), dt.date(2026, 3, 31))
+    assert quarter_from_name("Fatture Registro Pagato I° Trim.2026.csv") == (dt.date(2026, 1, 1), dt.date(2026, 3, 31))
     assert quarter_from_name("x IV TRIMESTRE 2025") == (dt.date(2025, 10, 1), dt.date(2025, 12, 31))
     assert quarter_from_name("y 2 trim 2026") == (dt.date(2026, 4, 1), dt.date(2026, 6, 30))
     assert quarter_from_name("plain.csv") is None

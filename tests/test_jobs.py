@@ -162,8 +162,8 @@ def test_compare_period_guard(spark):
     reg = strings(spark, REG6_HEADER, REG6)
     por = strings(spark, POR6_HEADER, POR6)
     with pytest.raises(ValueError, match="trimestri"):
-        jobs.compare_ledgers(reg, por, "NFS I TRIM 2025.csv", "Pisa II TRIM 2025.xlsx")
-    out = jobs.compare_ledgers(reg, por, "NFS I TRIM 2025.csv", "Pisa.xlsx")
+        jobs.compare_ledgers(reg, por, "Registro I TRIM 2025.csv", "Portale II TRIM 2025.xlsx")
+    out = jobs.compare_ledgers(reg, por, "Registro I TRIM 2025.csv", "Portale.xlsx")
     assert out["overview"].first().period == "01/01/2025 - 31/03/2025"
 
 
