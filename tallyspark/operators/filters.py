@@ -67,6 +67,22 @@ def filter_period_fallback(df: DataFrame, primary, fallback, period,
                     .otherwise(in_period(fallback, period)))
 
 
+def filter_period_if_filled(df: DataFrame, date_col, period, text_col=None) -> DataFrame:
+    """P6, second form: filter on ``date_col`` only when some row has a
+    non-blank value in it (``text_col``, default the column itself); else
+    keep all rows. Applied after another period filter this is the "both in
+    turn" variant of the scripts. One scalar subquery, no driver round trip.
+    """
+    if period is None:
+        return df
+    probe = F.col(text_col) if isinstance(text_col, str) else (text_col if text_col is not None
+                                                               else as_col(date_col))
+    filled = df.select(
+        F.max(F.when(strip(F.coalesce(probe.cast("string"), F.lit(""))) != "", 1).otherwise(0))
+    ).scalar()
+    return df.where((filled == 0) | in_period(date_col, period))
+
+
 def with_empty_flag(df: DataFrame, id_col, rule: str = "tokens", name: str = "is_empty") -> DataFrame:
     """One pass, a boolean flag instead of two filtered copies."""
     return df.withColumn(name, is_empty_id(id_col, rule))

@@ -139,3 +139,13 @@ def test_layout_helpers_m12_m13(spark):
     assert first_present(["FT_Prot", "X"], "FT_PROT", "FT_Prot") == "FT_Prot"
     df = spark.createDataFrame([("a", "b")], "C_NOME string, FAT_PROT string")
     assert project(df, {"FAT_PROT": "Protocollo", "C_NOME": "Ragione Sociale"}).columns == ["Protocollo", "Ragione Sociale"]
+
+
+def test_period_if_filled_p6(spark):
+    import datetime as dt
+    q = (dt.date(2026, 1, 1), dt.date(2026, 3, 31))
+    rows = [(dt.datetime(2026, 2, 1), "2026-02-01"), (dt.datetime(2026, 5, 1), "2026-05-01")]
+    df = spark.createDataFrame(rows, "d timestamp_ntz, t string")
+    assert flt.filter_period_if_filled(df, "d", q, "t").count() == 1
+    blank = spark.createDataFrame([(r[0], " ") for r in rows], "d timestamp_ntz, t string")
+    assert flt.filter_period_if_filled(blank, "d", q, "t").count() == 2
