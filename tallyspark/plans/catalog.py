@@ -582,3 +582,19 @@ def csv_roundtrip(spark, sf):
     return finish(df.select(F.col("Numero fattura").cast("bigint").alias("k"), "Creditore",
                             parse_number_mixed("Importo fattura").alias("amount"),
                             date_text(parse_date("Data emissione")).alias("d")))
+
+
+def period_if_filled(spark, sf):
+    """P6 "both in turn": a period on the order date, then a second period
+    on the paid date, applied because some paid dates are filled (status F:
+    order date + 3 days; other rows blank and so dropped)."""
+    import datetime as dt
+    o = read(spark, sf, "orders")
+    o = flt.filter_date_range(o, "o_orderdate", dt.date(1997, 1, 1), dt.date(1997, 12, 31))
+    o = o.withColumn("paid_text", F.when(F.col("o_orderstatus") == "F",
+                                         F.date_format(F.date_add("o_orderdate", 3), "yyyy-MM-dd"))
+                     .otherwise(F.lit("")))
+    o = o.withColumn("paid_date", parse_date("paid_text"))
+    out = flt.filter_period_if_filled(o, "paid_date", (dt.date(1997, 1, 1), dt.date(1997, 6, 30)), "paid_text")
+    return finish(out.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"),
+                             F.col("paid_date").alias("paid")))

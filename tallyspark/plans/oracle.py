@@ -483,3 +483,8 @@ UNION ALL SELECT 'total', NULL, CAST(sum(a_rows) AS BIGINT), CAST(sum(a_sum) AS
 Q["csv_roundtrip"] = f"""
 SELECT o_orderkey k, 'Città ' || CAST(o_custkey AS VARCHAR) "Creditore",
   CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) amount, strftime(o_orderdate, {DAY}) d FROM orders"""
+
+Q["period_if_filled"] = f"""
+SELECT o_orderkey k, strftime(o_orderdate, {DAY}) d, strftime(o_orderdate + INTERVAL 3 DAY, {DAY}) paid FROM orders
+WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' AND o_orderstatus = 'F'
+  AND o_orderdate + INTERVAL 3 DAY BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-06-30'"""
