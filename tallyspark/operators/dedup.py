@@ -6,6 +6,11 @@ order as a parameter and uses ``row_number() … = 1``. Catalyst plans that as
 ``WindowGroupLimit`` twice: a *partial* top-1 per key inside each map task
 before the shuffle and a final one after it, so even a key holding a third of
 all rows ships at most one row per map task.
+
+Measured alternative: ``groupBy(keys).agg(min_by(struct(row), struct(order)))``
+gives the same rows but plans as a ``SortAggregate`` (struct buffers rule out
+hash aggregation) and ran slower (about 3.6 s against 2.2 s for 600,000 rows),
+so the window form is kept.
 """
 
 from __future__ import annotations
