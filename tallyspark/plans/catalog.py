@@ -383,7 +383,12 @@ def reconcile_electronic(spark, sf):
 
 
 def multiset_diff(spark, sf):
-    """Surplus rows per (month, bucket) key, first rows by (date, key)."""
+    """Surplus rows per (month, bucket) key, first rows by (date, key).
+
+    Side A's paper invoices are the credit first lines of paper orders (one
+    paper invoice per order, ``ln = 1``) — a class definition that makes
+    surpluses occur on both sides, not a row cap; all of both tables is read.
+    """
     a = register(spark, sf).where((F.col("rf") == "A") & (F.col("cls") == "paper") & (F.col("ln") == 1))
     a = a.select((F.year("d") * 100 + F.month("d")).cast("bigint").alias("ym"), F.col("q").cast("bigint").alias("bucket"),
                  "k", "ln", "d", "amt")
@@ -447,7 +452,8 @@ def delta_by_sum_class(spark, sf):
 
 
 def mismatch_reasons(spark, sf):
-    """Reasons for the surplus paper B rows."""
+    """Reasons for the surplus paper B rows. Paper on side A = credit
+    first lines (one paper invoice per order), every A row is looked up."""
     a, b = register(spark, sf), portal(spark, sf)
     xa = a.select((F.col("k") % 500).alias("num"), (F.year("d") * 100 + F.month("d")).alias("dt"),
                   (F.col("ln") % 3).alias("nm"), F.floor(F.abs("amt") / 50000).cast("bigint").alias("am"),
