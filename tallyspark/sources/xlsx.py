@@ -155,7 +155,6 @@ class XlsxDataSource(DataSource):
         return files
 
     def schema(self):
-        from pyspark.sql.datasource import DataSource  # noqa: F401
         from tallyspark.sources.delimited import unique_names
         names = unique_names(header_of(self._files()[0], self.options.get("sheet"),
                                        int(self.options.get("headerRow", 0))))
