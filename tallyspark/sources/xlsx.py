@@ -1,16 +1,16 @@
-"""Spreadsheet ledgers as a Python Data Source.
+"""Spreadsheet ledgers.
 
 Spark has no Excel reader and no Excel library is available, so workbooks
-are read with the standard library (``zipfile`` + streamed XML). Each
-workbook is one input partition, read by one executor task; a folder of
-workbooks is read in parallel. Cells come back as text, as the source reads
-them (``dtype=str``): numbers as written in the cell, dates (cells with a
-date number format) as ``yyyy-MM-dd HH:mm:ss``.
-
-Usage::
-
-    register_xlsx(spark)
-    df = spark.read.format("xlsx").option("path", "/data/q1/*.xlsx").load()
+are parsed with the standard library (``zipfile`` + streamed XML). Cells
+come back as text, as the source reads them (``dtype=str``): numbers as
+written in the cell, dates (cells with a date number format) as
+``yyyy-MM-dd HH:mm:ss``.
+
+:func:`read_xlsx` is the cluster path: ``binaryFile`` reads the workbooks
+from any filesystem Spark reads and each workbook is parsed inside its task
+(``mapInPandas``); a folder of workbooks is parsed in parallel. A Python Data
+Source (``spark.read.format("xlsx")`` after :func:`register_xlsx`) is also
+provided for local paths.
 """
 
 from __future__ import annotations
@@ -83,8 +83,9 @@ def _date_styles(z: zipfile.ZipFile) -> set[int]:
     return out
 
 
-def iter_rows(path: str, sheet: str | None = None):
-    """Yield each sheet row as a list of text cells (None for empty)."""
+def iter_rows(path, sheet: str | None = None):
+    """Yield each sheet row as a list of text cells (None for empty).
+    ``path`` is a file name or a binary file object (workbook bytes)."""
     with zipfile.ZipFile(path) as z:
         strings = _shared_strings(z)
         dates = _date_styles(z)
@@ -190,11 +191,51 @@ def register_xlsx(spark) -> None:
 
 
 def read_xlsx(spark, path: str, sheet: str | None = None, header_row: int = 0):
-    register_xlsx(spark)
-    r = spark.read.format("xlsx").option("path", path).option("headerRow", str(header_row))
-    if sheet is not None:
-        r = r.option("sheet", sheet)
-    return r.load()
+    """Workbooks at ``path`` (file, folder or glob, on any filesystem Spark
+    reads: local, HDFS, object stores) as all-string rows plus ``_row`` and
+    ``_src``.
+
+    ``binaryFile`` gives one row per workbook (its bytes), read by the
+    executors; each workbook is parsed inside its task (``mapInPandas``).
+    Only the header names of the first workbook reach the driver.
+    """
+    import io
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tallyspark.sources.delimited import unique_names
+
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path)
+             .select("path", "content"))
+
+    def header(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                names = header_of(io.BytesIO(content), sheet, header_row)
+                yield pd.DataFrame({"name": names})
+                return
+
+    first = files.orderBy("path").limit(1)
+    names = unique_names([r.name for r in first.mapInPandas(header, "name string").collect()])
+    if not names:
+        raise ValueError(f"no header found in {path}")
+    width = len(names)
+    ddl = ", ".join(f"`{n}` string" for n in names) + ", _row bigint, _src string"
+
+    def parse(batches):
+        for pdf in batches:
+            for src, content in zip(pdf["path"], pdf["content"]):
+                rows = []
+                for i, row in enumerate(iter_rows(io.BytesIO(content), sheet)):
+                    if i <= header_row or all(v is None or str(v).strip() == "" for v in row):
+                        continue
+                    rows.append((row + [None] * width)[:width] + [i, src])
+                yield pd.DataFrame(rows, columns=names + ["_row", "_src"]).astype(
+                    {**{n: "object" for n in names}, "_row": "int64", "_src": "object"})
+
+    out = files.mapInPandas(parse, ddl)
+    return out.withColumn("_src", F.regexp_extract("_src", r"([^/]+)$", 1))
 
 
 def write_xlsx(path: str, header: list[str], rows: list[list], sheet: str = "Sheet1") -> None:
