@@ -64,3 +64,12 @@ def test_multi_file_first_row_is_file_order(spark, tmpdir_path):
     df = read_delimited(spark, d)
     out = portal_paid_report(df)["data"].collect()
     assert out[0]["Creditore"] == "A" and out[1]["Creditore"] == "B" and out[1]["Numero fattura"] == "0"
+
+
+def test_xlsx_data_source_local(spark, tmpdir_path):
+    from tallyspark.sources import register_xlsx
+    p = os.path.join(tmpdir_path, "ds.xlsx")
+    write_xlsx(p, ["a", "b"], [["x", 1], ["y", 2.5], [None, None]])
+    register_xlsx(spark)
+    df = spark.read.format("xlsx").option("path", p).load()
+    assert [(r.a, r.b) for r in df.orderBy("_row").collect()] == [("x", "1"), ("y", "2.5")]
