@@ -95,3 +95,36 @@ def test_quarter_g15(spark):
     assert quarter_from_name("y 2 trim 2026") == (dt.date(2026, 4, 1), dt.date(2026, 6, 30))
     assert quarter_from_name("plain.csv") is None
     assert _col(spark, ["a III trim-2024.xlsx", "plain"], quarter_start_col) == [dt.date(2024, 7, 1), None]
+
+
+def test_dates_random_roundtrip(spark):
+    """Random timestamps rendered in every accepted shape parse back; a
+    day/month swap parses month-first; impossible dates are NULL."""
+    import random
+    rnd = random.Random(5)
+    cases = []
+    for _ in range(400):
+        d = dt.datetime(rnd.randint(1990, 2030), rnd.randint(1, 12), rnd.randint(1, 28),
+                        rnd.randint(0, 23), rnd.randint(0, 59), rnd.randint(0, 59))
+        day_only = d.replace(hour=0, minute=0, second=0)
+        sep = rnd.choice("/-.")
+        cases += [
+            (d.strftime("%Y-%m-%d %H:%M:%S"), d, d),
+            (d.strftime("%Y-%m-%d"), day_only, day_only),
+            (f"{d.day:02d}{sep}{d.month:02d}{sep}{d.year}", day_only, None),
+            (f"{d.day}{sep}{d.month}{sep}{d.year} {d.hour}:{d.minute:02d}", d.replace(second=0), None),
+            (f"{d.day}/{d.month}/{d.year} {d.hour}:{d.minute:02d}:{d.second:02d}", d, None),
+            (f"{d.month}/{d.day}/{d.year}", None, day_only),
+        ]
+    cases += [("31/02/2025", None, None), ("2025-13-01", None, None), ("00/01/2025", None, None)]
+    df = strings(spark, ["s"], [[c[0]] for c in cases])
+    got = {r.s: (r.df, r.mf) for r in df.select("s", parse_date("s").alias("df"),
+                                                parse_date("s", day_first=False).alias("mf")).collect()}
+    for s, exp_df, exp_mf in cases:
+        g_df, g_mf = got[s]
+        if exp_df is not None:
+            assert g_df == exp_df, s
+        if exp_mf is not None:
+            assert g_mf == exp_mf, s
+        if exp_df is None and exp_mf is None:
+            assert g_df is None and g_mf is None, s
