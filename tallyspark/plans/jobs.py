@@ -36,6 +36,9 @@ from tallyspark.plans.layout import (
 )
 
 ROW = "_row"
+# How the comparison summary names the amount of each side.
+REGISTER_AMOUNT_LABEL = "IMPONIBILE (con segno) - RIT(EL/2EL/L)"
+PORTAL_AMOUNT_LABEL = "Importo pagato"
 
 
 class LazyTables(Mapping):
@@ -340,10 +343,12 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
         return s.where(F.col("category") != "total").groupBy().agg(
             F.lit(label).alias("period"),
             *[F.max(F.when(F.col("category") == c, F.struct(
-                F.col("a_n").alias("count"), F.col("a_amt").alias("amount"), F.col("a_amt").alias("imponibile"))))
+                F.col("a_n").alias("count"), F.col("a_amt").alias("amount"),
+                F.lit(REGISTER_AMOUNT_LABEL).alias("amount_column"), F.col("a_amt").alias("imponibile"))))
               .alias(f"a_{c}") for c in (PAPER, ELECTRONIC)],
             *[F.max(F.when(F.col("category") == c, F.struct(
-                F.col("b_n").alias("count"), F.col("b_amt").alias("amount"), F.col("b_amt").alias("imponibile"))))
+                F.col("b_n").alias("count"), F.col("b_amt").alias("amount"),
+                F.lit(PORTAL_AMOUNT_LABEL).alias("amount_column"), F.col("b_amt").alias("imponibile"))))
               .alias(f"b_{c}") for c in (PAPER, ELECTRONIC)],
         )
 

@@ -141,6 +141,7 @@ def test_compare_fx6_and_invariants(spark):
     assert (ed["total"].delta_rows, ed["total"].delta_sum) == (summ["electronic"][4], summ["electronic"][5])
     ov = out["overview"].first()
     assert ov.period == "Tutto il periodo" and ov.b_paper["count"] == 3 and ov.a_electronic["imponibile"] == Decimal("200.00")
+    assert ov.b_paper["amount_column"] == "Importo pagato"
     drill = out["drilldown"].collect()
     assert {r.k for r in drill} == {"ID2", "123"}
 
