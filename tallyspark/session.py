@@ -48,8 +48,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Uses ``spark.checkpoint.dir`` as configured for the cluster. Only when it
     is unset (local runs, tests) a fresh local folder is created and set.
+    Works with classic sessions and, through the session conf, with Spark
+    Connect sessions (no ``sparkContext`` there).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 — Spark Connect has no SparkContext
+        sc = None
+    if sc is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
+            spark.conf.set("spark.checkpoint.dir", configured)
+        return configured
     configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
