@@ -118,27 +118,28 @@ def reconcile_sums(a: DataFrame, b: DataFrame, a_key: str = "k", b_key: str = "k
     ``tol``; outcome only_a / only_b / both_differ.
 
     A rows with an empty key (``empty_id_rule``; None disables the split)
-    are excluded before grouping and come back as one ``only_a_empty_id``
-    row. ``with_total`` appends a ``total`` row over the listed rows (so
+    never join a B key: in the same pass over A they form one NULL-key group
+    and come back as one ``only_a_empty_id`` row (key ""). ``with_total`` appends a ``total`` row over the listed rows (so
     residuals ≤ tol with equal counts are not in it).
     Columns: outcome, k, a_rows, a_sum, b_rows, b_sum, delta_rows, delta_sum.
     """
-    a_ok, a_empty = a, None
+    # One pass over A: empty ids become a NULL key. The NULL group is one
+    # row after the (map-side partial) aggregation and never matches in the
+    # outer join, so it comes out alone and is relabelled.
+    key = as_col(a_key)
     if empty_id_rule is not None:
-        flag = is_empty_id(as_col(a_key), empty_id_rule)
-        a_ok, a_empty = a.where(~flag), a.where(flag)
-    m = keyed_sums(a_ok, b, a_key, b_key, a_amt, b_amt)
-    listed = (m.where((F.col("delta_rows") != 0) | (F.abs("delta_sum") > _tol(tol)))
-               .select(_outcome().alias("outcome"), "k", "a_rows", "a_sum", "b_rows", "b_sum",
-                       "delta_rows", "delta_sum"))
-    if a_empty is not None:
-        e = a_empty.agg(F.count(F.lit(1)).cast("bigint").alias("a_rows"),
-                        F.coalesce(F.sum(as_col(a_amt)).cast(SUM_TYPE), _zero()).alias("a_sum"))
-        e = e.where(F.col("a_rows") > 0).select(
-            F.lit(ONLY_A_EMPTY_ID).alias("outcome"), F.lit("").alias("k"), "a_rows", "a_sum",
-            F.lit(0).cast("bigint").alias("b_rows"), _zero().alias("b_sum"),
-            F.col("a_rows").alias("delta_rows"), F.col("a_sum").alias("delta_sum"))
-        listed = listed.withColumn("k", F.col("k").cast("string")).unionByName(e)
+        a = a.withColumn("_rk", F.when(~is_empty_id(key, empty_id_rule), key))
+        key = F.col("_rk")
+    m = keyed_sums(a, b, key, b_key, a_amt, b_amt)
+    listed = m.where((F.col("delta_rows") != 0) | (F.abs("delta_sum") > _tol(tol)))
+    if empty_id_rule is not None:
+        empty = F.col("k").isNull() & (F.col("a_rows") > 0) & (F.col("b_rows") == 0)
+        outcome = F.when(empty, F.lit(ONLY_A_EMPTY_ID)).otherwise(_outcome())
+        k = F.when(empty, F.lit("")).otherwise(F.col("k").cast("string"))
+    else:
+        outcome, k = _outcome(), F.col("k")
+    listed = listed.select(outcome.alias("outcome"), k.alias("k"), "a_rows", "a_sum", "b_rows", "b_sum",
+                           "delta_rows", "delta_sum")
     if with_total:
         t = listed.agg(F.lit("total").alias("outcome"), F.lit(None).cast(listed.schema["k"].dataType).alias("k"),
                        F.sum("a_rows").cast("bigint").alias("a_rows"),
