@@ -6,7 +6,7 @@ from tallyspark.functions.numbers import (
     parse_number_mixed, parse_number_plain, sign_multiplier, signed_amount, taxable, to_money,
 )
 from tallyspark.functions.dates import (
-    date_text, extend_period, month_of, parse_date, quarter_end_col, quarter_from_name,
+    date_text, extend_period, month_of, parse_date, quarter_from_name,
     quarter_start_col,
 )
 from tallyspark.functions.text import (

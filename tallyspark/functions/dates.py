@@ -92,8 +92,3 @@ def quarter_start_col(name_col) -> Column:
     q = (F.when(q_raw == "IV", 4).when(q_raw == "III", 3).when(q_raw == "II", 2)
          .when(q_raw == "I", 1).otherwise(q_raw.try_cast("int")))
     return F.when(q_raw != "", F.make_date(year.try_cast("int"), q * 3 - 2, F.lit(1)))
-
-
-def quarter_end_col(name_col) -> Column:
-    """Last day of the quarter named in the file name (see quarter_start_col)."""
-    return F.date_add(F.add_months(quarter_start_col(name_col), 3), -1)

@@ -1,8 +1,11 @@
 """Text → number parsers and money arithmetic.
 
-All parsers return ``decimal(28,8)`` (exact) or NULL on failure; money is
-rounded half-even to ``decimal(18,2)`` with :func:`to_money`. Nothing here
-leaves the JVM: every function builds a Catalyst expression.
+All parsers return ``decimal(34,8)`` (exact) or NULL on failure; money is
+rounded half-even to ``decimal(28,2)`` with :func:`to_money`. Both hold 26
+digits before the point. A number beyond that is NULL, never 0, whatever the
+default for text that isn't a number, and :func:`out_of_range` tells such rows
+so that jobs can count them. Nothing here leaves the JVM: every function builds a
+Catalyst expression.
 """
 
 from __future__ import annotations
@@ -12,11 +15,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.functions.common import as_col
+from tallyspark.functions.common import as_col, strip
 
-PARSE_TYPE = "decimal(28,8)"
-MONEY_TYPE = "decimal(18,2)"
-SUM_TYPE = "decimal(28,2)"
+PARSE_TYPE = "decimal(34,8)"
+MONEY_TYPE = "decimal(28,2)"
+SUM_TYPE = "decimal(38,2)"
 
 # A plain decimal literal after locale clean-up: optional sign, digits with an
 # optional fraction, optional exponent. Spark's cast would also accept "1d",
@@ -24,24 +27,46 @@ SUM_TYPE = "decimal(28,2)"
 NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-# Amounts at or beyond this size do not fit the exact money type and are
-# treated as unparseable (pandas would return a float).
-MAX_ABS_AMOUNT = 1e20
+# What pandas' number parser skips around a number.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def _numeric_or_null(text: Column) -> Column:
     """Exact decimal parse of a plain numeric literal; literals the decimal
     cast rejects although they are in range (e.g. ``0E0138``) go through
     double."""
-    dbl = text.try_cast("double")
-    exp = F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int")
-    in_range = (F.abs(dbl) < F.lit(MAX_ABS_AMOUNT)) & (exp.isNull() | (F.abs(exp) <= 308))
-    via_double = F.when(in_range, dbl.cast(PARSE_TYPE))
-    return F.when(text.rlike(NUMERIC_TEXT), F.coalesce(text.try_cast(PARSE_TYPE), via_double))
+    return F.when(text.rlike(NUMERIC_TEXT), F.coalesce(text.try_cast(PARSE_TYPE), text.try_cast("double").try_cast(PARSE_TYPE)))
+
+
+def _with_default(text: Column, default) -> Column:
+    """The number, or ``default`` for text that isn't one (a number that
+    can't be held stays NULL)."""
+    out = _numeric_or_null(text)
+    if default is None:
+        return out
+    return F.when(F.coalesce(text.rlike(NUMERIC_TEXT), F.lit(False)), out).otherwise(F.lit(default).cast(PARSE_TYPE))
 
 
 def _no_spaces(c) -> Column:
-    return F.trim(F.replace(as_col(c).cast("string"), F.lit(" "), F.lit("")))
+    return strip(F.replace(as_col(c).cast("string"), F.lit(" "), F.lit("")))
+
+
+def _mixed_text(c) -> Column:
+    s = _no_spaces(c)
+    both = s.contains(".") & s.contains(",")
+    s = F.when(both, F.replace(s, F.lit("."), F.lit(""))).otherwise(s)
+    return F.replace(s, F.lit(","), F.lit("."))
+
+
+def _comma_text(c) -> Column:
+    return F.replace(F.btrim(as_col(c).cast("string"), F.lit(ASCII_SPACE)), F.lit(","), F.lit("."))
+
+
+def out_of_range(c, style: str = "mixed") -> Column:
+    """Whether the text is a number (in the ``mixed`` or ``comma`` style) that
+    the exact types can't hold."""
+    text = _mixed_text(c) if style == "mixed" else _comma_text(c)
+    return F.coalesce(text.rlike(NUMERIC_TEXT) & to_money(_numeric_or_null(text)).isNull(), F.lit(False))
 
 
 def parse_number_mixed(c, default=None) -> Column:
@@ -52,52 +77,46 @@ def parse_number_mixed(c, default=None) -> Column:
     ``1,5`` → 1.5, ``1.234.567`` → fail. ``default`` replaces failures
     (the single-ledger jobs use 0, the comparison keeps NULL).
     """
-    s = _no_spaces(c)
-    both = s.contains(".") & s.contains(",")
-    s = F.when(both, F.replace(s, F.lit("."), F.lit(""))).otherwise(s)
-    out = _numeric_or_null(F.replace(s, F.lit(","), F.lit(".")))
-    return out if default is None else F.coalesce(out, F.lit(default).cast(PARSE_TYPE))
+    return _with_default(_mixed_text(c), default)
 
 
 def parse_number_it(c, default=None) -> Column:
     """strict Italian. Every '.' is a thousands separator, ',' the
     decimal mark: ``1234.56`` → 123456, ``1.234`` → 1234."""
     s = F.replace(_no_spaces(c), F.lit("."), F.lit(""))
-    out = _numeric_or_null(F.replace(s, F.lit(","), F.lit(".")))
-    return out if default is None else F.coalesce(out, F.lit(default).cast(PARSE_TYPE))
+    return _with_default(F.replace(s, F.lit(","), F.lit(".")), default)
 
 
 def parse_number_comma(c, default=None) -> Column:
     """only ',' → '.'; ``1.234,56`` fails."""
-    s = F.replace(F.trim(as_col(c).cast("string")), F.lit(","), F.lit("."))
-    out = _numeric_or_null(s)
-    return out if default is None else F.coalesce(out, F.lit(default).cast(PARSE_TYPE))
+    return _with_default(_comma_text(c), default)
 
 
 def parse_number_plain(c, default=None) -> Column:
     """plain coercion, no locale handling (``1.234,56`` fails)."""
-    out = _numeric_or_null(F.trim(as_col(c).cast("string")))
-    return out if default is None else F.coalesce(out, F.lit(default).cast(PARSE_TYPE))
+    return _with_default(F.btrim(as_col(c).cast("string"), F.lit(ASCII_SPACE)), default)
 
 
 def to_money(c) -> Column:
-    """Round half-even to 2 digits as ``decimal(18,2)``.
+    """Round half-even to 2 digits as ``decimal(28,2)`` (NULL if too large).
 
-    A direct ``cast(x as decimal(18,2))`` rounds half-up; ``bround`` first.
+    A direct cast rounds half-up; ``bround`` first.
     """
-    return F.bround(as_col(c).cast(PARSE_TYPE), 2).cast(MONEY_TYPE)
+    return F.bround(as_col(c).try_cast(PARSE_TYPE), 2).try_cast(MONEY_TYPE)
 
 
 def sign_multiplier(sign, credit: str = "A") -> Column:
     """-1 when the trimmed, upper-cased sign equals ``credit``, else +1
     (NULL sign → +1)."""
-    s = F.upper(F.trim(F.coalesce(as_col(sign).cast("string"), F.lit(""))))
+    s = F.upper(strip(F.coalesce(as_col(sign).cast("string"), F.lit(""))))
     return F.when(s == F.lit(credit), F.lit(-1)).otherwise(F.lit(1))
 
 
 def signed_amount(amount, sign, credit: str = "A") -> Column:
     """amount × sign multiplier, rounded half-even to cents."""
-    return to_money(as_col(amount).cast(PARSE_TYPE) * sign_multiplier(sign, credit))
+    # negated, not multiplied: a decimal product would give up digits of the fraction
+    a = to_money(amount)
+    return F.when(sign_multiplier(sign, credit) == -1, -a).otherwise(a)
 
 
 # Protocol codes whose paid amount is net of withholding.
@@ -112,12 +131,12 @@ def net_amount(amount, sign, code, withholding,
     cents before subtracting, as the ledgers are.
     """
     a = signed_amount(amount, sign, credit)
-    w = signed_amount(F.coalesce(as_col(withholding).cast(PARSE_TYPE), F.lit(0).cast(PARSE_TYPE)),
+    w = signed_amount(F.coalesce(as_col(withholding).try_cast(PARSE_TYPE), F.lit(0).cast(PARSE_TYPE)),
                       sign, credit)
-    k = F.upper(F.trim(F.coalesce(as_col(code).cast("string"), F.lit(""))))
+    k = F.upper(strip(F.coalesce(as_col(code).cast("string"), F.lit(""))))
     return F.when(k.isin(*list(adj_codes)), to_money(a - w)).otherwise(a)
 
 
 def taxable(total, vat) -> Column:
     """F16: taxable amount = invoice total − VAT."""
-    return as_col(total).cast(PARSE_TYPE) - as_col(vat).cast(PARSE_TYPE)
+    return as_col(total).try_cast(PARSE_TYPE) - as_col(vat).try_cast(PARSE_TYPE)

@@ -24,7 +24,7 @@ def text_key(c) -> Column:
 def amount_key(c) -> Column:
     """amount as 2-decimal text (``100.00``). Decimals have no negative
     zero, so a credited zero matches ``0.00``."""
-    return to_money(F.coalesce(as_col(c).cast(PARSE_TYPE), F.lit(0).cast(PARSE_TYPE))).cast("string")
+    return to_money(F.coalesce(as_col(c).try_cast(PARSE_TYPE), F.lit(0).cast(PARSE_TYPE))).cast("string")
 
 
 def normalize_id(c) -> Column:

@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -243,8 +244,6 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
 def decode(col: Column | str, path: str | None = None) -> Column:
     """The text of a column of ids (null or empty: the empty text)."""
-    import pandas as pd
-
     path = path or default_vocabulary()
 
     @F.pandas_udf(T.StringType())

@@ -17,8 +17,9 @@ word. This makes the model's work grow with the distinct words of the corpus:
 1. Each task cuts its texts into blocks, and writes for each block its distinct words by class with training
    counts, and for each text the numbers and counts of its words in the block's list.
 2. Units (class and word) are summed over blocks; their bytes give counts of (context, byte), again summed by Spark.
-3. The tree is weighted level by level from the longest contexts, a grouping for each depth, and
-   predictions go back down, a join for each depth. Contexts of held-out words take part with count 0.
+3. The tree is weighted from the longest contexts up, and predictions go back down: below contexts of
+   ``TOP`` bytes by subtrees, above by a grouping and a join for each depth. Contexts of held-out words
+   take part with count 0.
 4. Units' scores join the blocks' lists, and each text's score is a sum over its block's list.
 """
 
@@ -43,6 +44,8 @@ DEPTH = 5
 CLASSES = 16
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 64 << 20
+#: Depth down to which the tree's levels are tables, and rows of the subtrees weighted together.
+TOP, PART_ROWS = 2, 250_000
 #: Bytes of distinct words (and what stands before them) scored together.
 PART_BYTES = 2 << 20
 
@@ -143,41 +146,112 @@ def log_kt(zeros: Column, ones: Column) -> Column:
     return log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1.0) - F.lit(math.log(math.pi))
 
 
+def kt_logs(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log probability that the Krichevsky-Trofimov estimator gives a sequence with these counts (log
+    gamma by Stirling's series eight higher)."""
+
+    def log_gamma(x: np.ndarray) -> np.ndarray:
+        y, low = x + 8.0, np.ones_like(x)
+        for k in range(8):
+            low *= x + k
+        return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
+
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+
+
+class Subtree:
+    """The nodes of contexts of ``top`` to ``depth`` bytes above some (context, byte, n), where all rows
+    of one context of ``top`` bytes are given. A node's key: its context times 256 and the bits before."""
+
+    def __init__(self, context: np.ndarray, byte: np.ndarray, n: np.ndarray, top: int, depth: int):
+        self.top, self.depth = top, depth
+        k = np.tile(np.arange(8), len(context))
+        whole = np.repeat(byte.astype(np.int64), 8)
+        self.bit = (whole >> (7 - k)) & 1
+        keys = (np.repeat(context.astype(np.int64), 8) << 8) | ((whole + 256) >> (8 - k))
+        times = np.repeat(n.astype(np.float64), 8)
+        key, self.leaf = np.unique(keys, return_inverse=True)
+        zeros, ones = (np.bincount(self.leaf, times * (self.bit == x), len(key)) for x in (0, 1))
+        own = kt_logs(zeros, ones)
+        #: from the longest contexts up: key, counts, log probabilities, and each node's parent in the next
+        self.levels = [[key, zeros, ones, own, own, None]]
+        for d in range(depth - 1, top - 1, -1):
+            key, parent = np.unique(((key >> 8) & ((1 << (8 * d)) - 1)) << 8 | (key & 255), return_inverse=True)
+            self.levels[-1][5] = parent
+            zeros, ones, below = (np.bincount(parent, x, len(key)) for x in (zeros, ones, self.levels[-1][4]))
+            own = kt_logs(zeros, ones)
+            self.levels.append([key, zeros, ones, own, math.log(0.5) + np.logaddexp(own, below), None])
+
+    def top_nodes(self) -> dict[str, np.ndarray]:
+        key, zeros, ones, own, weighted, _ = self.levels[-1]
+        return {"context": key >> 8, "node": key & 255, "zeros": zeros, "ones": ones, "own": own, "weighted": weighted}
+
+    def scores(self, total: np.ndarray, left: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Of each given (context, byte), its log probability. Given for each top node, in the order of
+        keys: what shorter contexts add to the probability of a one, the weight they leave, and what
+        they predict by themselves."""
+        for d, (_, zeros, ones, own, weighted, _) in zip(range(self.top, self.depth + 1), reversed(self.levels), strict=True):
+            if d > self.top:
+                parent = self.levels[self.depth - d][5]
+                total, left, known = total[parent], left[parent], known[parent]
+            seen = zeros + ones
+            kt = (ones + 0.5) / (seen + 1.0)
+            # a context without counts predicts what the shorter one does
+            known = np.where(seen == 0, known, total + left * kt)
+            if d < self.depth:
+                stop = np.exp(math.log(0.5) + own - weighted)
+                total, left = total + left * stop * kt, left * (1 - stop)
+        one = known[self.leaf]
+        return np.log(np.where(self.bit == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1)
+
+
 def byte_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(context, byte, lp): the natural log probability of each byte after each context, from
-    (context, byte, n) with the training count n, 0 for what only other texts hold."""
-    bits = [F.struct(F.shiftright(F.col("byte") + 256, 8 - k).alias("node"), F.shiftright("byte", 7 - k).bitwiseAND(1).alias("bit")) for k in range(8)]
-    steps = counts.select("context", "byte", "n", F.explode(F.array(*bits)).alias("s")).select("context", "byte", "n", "s.node", "s.bit")
-    level = steps.groupBy("context", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
+    (context, byte, n) with the training count n, 0 for what only other texts hold.
+
+    The subtrees below contexts of ``TOP`` bytes are weighted in tasks, some hundred thousand rows at a
+    time; the levels above, a small share of the nodes, by a grouping and a join for each.
+    """
+    top = min(TOP, depth)
+    counts = stored(counts)
+    parts = max(1, math.ceil(counts.count() / PART_ROWS))
+    low = (1 << (8 * top)) - 1
+    counts = counts.withColumn("part", F.pmod(F.xxhash64(F.col("context").bitwiseAND(low)), F.lit(parts)))
+
+    def subtree(part: pd.DataFrame) -> Subtree:
+        return Subtree(part["context"].to_numpy(), part["byte"].to_numpy(), part["n"].to_numpy(), top, depth)
+
+    def weigh(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(subtree(part).top_nodes())
+
+    def score(part: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
+        tops = tops.sort_values(["context", "node"])  # the order of the subtree's keys
+        lp = subtree(part).scores(tops["sum"].to_numpy(), tops["left"].to_numpy(), tops["known"].to_numpy())
+        return pd.DataFrame({"context": part["context"], "byte": part["byte"], "lp": lp})
+
+    level = counts.groupBy("part").applyInPandas(weigh, "context long, node long, zeros double, ones double, own double, weighted double")
     half = math.log(0.5)
-    levels = []
-    for d in range(depth, -1, -1):
-        own = log_kt(F.col("zeros"), F.col("ones"))
-        if d == depth:
-            level = level.withColumn("own", own).withColumn("weighted", F.col("own"))
-        else:
-            # the sum of two logs, the larger taken out
-            top = F.greatest("own", "below")
-            level = level.withColumn("own", own).withColumn("weighted", top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("below") - top)) + half)
-        level = stored(level)
-        levels.append(level)
-        shorter = F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1) if d > 0 else None
-        if d:
-            level = level.groupBy(shorter.alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+    levels = [stored(level)]
+    for d in range(top - 1, -1, -1):
+        shorter = F.col("context").bitwiseAND((1 << (8 * d)) - 1)
+        level = levels[-1].groupBy(shorter.alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+        level = level.withColumn("own", log_kt(F.col("zeros"), F.col("ones")))
+        # the sum of two logs, the larger taken out
+        high = F.greatest("own", "below")
+        levels.append(stored(level.withColumn("weighted", high + F.log(F.exp(F.col("own") - high) + F.exp(F.col("below") - high)) + half)))
     above = None
-    for d, level in zip(range(depth + 1), reversed(levels), strict=True):
-        seen = F.col("zeros") + F.col("ones")
-        level = level.withColumn("kt", (F.col("ones") + 0.5) / (seen + 1.0)).withColumn("stop", F.lit(1.0) if d == depth else F.exp(F.lit(half) + F.col("own") - F.col("weighted")))
+    for d, level in zip(range(top + 1), reversed(levels), strict=True):
         if above is None:
             joined = level.withColumn("sum", F.lit(0.0)).withColumn("left", F.lit(1.0)).withColumn("known", F.lit(0.5))
         else:
-            upper = above.select(F.col("context").alias("shorter"), "node", F.col("sum_").alias("sum"), F.col("left_").alias("left"), F.col("one").alias("known"))
-            joined = level.withColumn("shorter", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)).join(upper, ["shorter", "node"])
-        # a context without counts predicts what the shorter one does
-        one = F.when(seen == 0, F.col("known")).otherwise(F.col("sum") + F.col("left") * F.col("kt"))
-        above = joined.select("context", "node", one.alias("one"), (F.col("sum") + F.col("left") * F.col("stop") * F.col("kt")).alias("sum_"), (F.col("left") * (1 - F.col("stop"))).alias("left_"))
-    found = steps.select("context", "byte", "node", "bit").join(above.select("context", "node", "one"), ["context", "node"])
-    return found.groupBy("context", "byte").agg(F.sum(F.log(F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one")))).alias("lp"))
+            joined = level.withColumn("shorter", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)).join(above, ["shorter", "node"])
+        if d < top:
+            seen = F.col("zeros") + F.col("ones")
+            kt, stop = (F.col("ones") + 0.5) / (seen + 1.0), F.exp(F.lit(half) + F.col("own") - F.col("weighted"))
+            one = F.when(seen == 0, F.col("known")).otherwise(F.col("sum") + F.col("left") * kt)
+            above = joined.select(F.col("context").alias("shorter"), "node", (F.col("sum") + F.col("left") * stop * kt).alias("sum"), (F.col("left") * (1 - stop)).alias("left"), one.alias("known"))
+    tops = joined.select("context", "node", "sum", "left", "known", F.pmod(F.xxhash64("context"), F.lit(parts)).alias("its_part"))
+    return counts.groupBy("part").cogroup(tops.groupBy("its_part")).applyInPandas(score, "context long, byte int, lp double")
 
 
 def unit_scores(units: DataFrame, depth: int = DEPTH) -> DataFrame:

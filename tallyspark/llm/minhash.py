@@ -4,12 +4,15 @@
    are taken; bands of minima give candidate buckets, and ``BITS`` low bits of ``SIGNATURE`` minima are
    packed, bit plane by bit plane, into a few longs.
 2. Equal word sequences are one class, represented by its smallest id.
-3. Every member of a bucket is paired with the bucket's smallest member, so a bucket of g members
-   gives g - 1 pairs. A pair is a candidate if the similarity estimated by counting equal bits,
+3. The head of a bucket is its member whose buckets are the fullest: in a group of near copies the
+   text that most of them come from. Every other member is paired with the head, so a bucket of g
+   members gives g - 1 pairs. A pair is a candidate if the similarity estimated by counting equal bits,
    corrected for chance collisions, isn't far below the threshold, and a link if the full sets say so.
+   Each member's likeliest head is tried first, the others if they are still in other components.
 4. Members of a bucket that are not joined yet are compared with those of other components of the
    bucket, by estimate and then on full sets. So no pair of a bucket stays untested unless both are
-   in one component already, where a link would change nothing.
+   in one component already, where a link would change nothing. Pairs are ruled out by an exact bound
+   first, from shingles that no other document of such buckets has, and by longer signatures.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from tallyspark.llm.components import components
 
 BANDS, ROWS = 32, 5
 #: Minima whose low bits make the signature, and how many bits of each.
-SIGNATURE, BITS = 128, 2
+SIGNATURE, BITS = 192, 4
+#: Minima of the longer signature with which the members of crowded buckets are compared.
+LONG_SIGNATURE = 1024
 #: Standard deviations of the estimate that a candidate may lie below the threshold.
-SLACK = 5.5
+SLACK = 4.5
 WORDS_KEPT = 500_000
 
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
@@ -138,10 +143,24 @@ def sets(df: DataFrame, shingle: int) -> DataFrame:
     return df.mapInArrow(run, _SET_OUT)
 
 
-def estimate(a: Column, b: Column) -> Column:
+def long_signatures(full: DataFrame) -> DataFrame:
+    """(doc_id, bits): the longer signature of each set of sets()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = multipliers(LONG_SIGNATURE)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                bits = [packed_bits(minima(np.asarray(s.values).view(np.uint64), factors), BITS) for s in part.column("shingles")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "bits"])
+
+    return full.select("doc_id", "shingles").mapInArrow(run, "doc_id long, bits array<long>")
+
+
+def estimate(a: Column, b: Column, length: int = SIGNATURE) -> Column:
     """Similarity from two packed signatures: the share of minima with all bits equal, less what
     chance gives."""
-    per_plane = SIGNATURE // 64
+    per_plane = length // 64
     equal = F.lit(0)
     for k in range(per_plane):
         differ = F.lit(0).cast("long")
@@ -150,14 +169,14 @@ def estimate(a: Column, b: Column) -> Column:
             differ = differ.bitwiseOR(F.get(a, F.lit(at)).bitwiseXOR(F.get(b, F.lit(at))))
         equal = equal + (F.lit(64) - F.bit_count(differ))
     chance = 2.0**-BITS
-    return (equal / F.lit(float(SIGNATURE)) - chance) / (1 - chance)
+    return (equal / F.lit(float(length)) - chance) / (1 - chance)
 
 
-def slack(similarity: float) -> float:
+def slack(similarity: float, length: int = SIGNATURE) -> float:
     """How far below the threshold an estimate may lie."""
     chance = 2.0**-BITS
     p = similarity + (1 - similarity) * chance
-    return SLACK * (p * (1 - p) / SIGNATURE) ** 0.5 / (1 - chance)
+    return SLACK * (p * (1 - p) / length) ** 0.5 / (1 - chance)
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,42 +193,70 @@ def near_duplicates(df: DataFrame, percent: int = 80, shingle: int = 5, id_col:
     named = marks.where("doc_id IS NOT NULL AND class IS NOT NULL")
     classes = stored(named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
     members = classes.select("rep", F.explode("bands").alias("key"))
-    heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = stored(members.join(heads, "key"))  # only buckets of two and more
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(members.join(sizes, "key"))  # only buckets of two and more
+    fullness = shared.groupBy("rep").agg(F.sum("size").alias("fullness"))
+    heads = shared.join(fullness, "rep").groupBy("key").agg(F.max_by("rep", F.struct("fullness", -F.col("rep"))).alias("head"))
     faces = classes.select("rep", "n", "bits")
     least = percent / 100 - slack(percent / 100)
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that can be links by the sizes of their sets and by the estimate."""
+    def faced(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(faces.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        possible = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return pairs.where(possible & (estimate(F.col("bits_a"), F.col("bits_b")) >= least)).select("a", "b")
+        return pairs
+
+    # pairs that can be links by the sizes of their sets and by the estimate
+    possible = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    guess = estimate(F.col("bits_a"), F.col("bits_b"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b), by full sets."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        full = stored(sets(rows.join(wanted, "doc_id", "left_semi"), shingle).distinct())
         a, b = (full.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"set_{s}")) for s in ("a", "b"))
         common = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - F.col("common")
-        return pairs.join(a, "a").join(b, "b").withColumn("common", common).where(100 * F.col("common").cast("long") >= percent * union).select("a", "b").distinct()
+        return stored(pairs.join(a, "a").join(b, "b").withColumn("common", common).where(100 * F.col("common").cast("long") >= percent * union).select("a", "b").distinct())
 
-    tested = stored(likely(shared.where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()))
-    links = stored(confirmed(tested))
-    joined = components(links, "a", "b")
+    def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose ends are in different components."""
+        for side in ("a", "b"):
+            pairs = pairs.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"in_{side}")), side, "left")
+        return pairs.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+
+    star = shared.join(heads, "key").where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    star = stored(faced(star).select("a", "b", guess.alias("guess"), possible.alias("possible")).where(F.col("possible") & (F.col("guess") >= least)))
+    best = stored(star.groupBy("b").agg(F.max_by("a", F.struct("guess", -F.col("a"))).alias("a")).select("a", "b"))
+    # full sets of all documents that may be needed: one pass over the texts
+    wanted = star.select(F.explode(F.array("a", "b")).alias("doc_id")).union(shared.where("size > 2").select("rep")).distinct()
+    full = stored(sets(rows.join(wanted, "doc_id", "left_semi"), shingle))
+    links = confirmed(best)
+    joined = stored(components(links, "a", "b"))
+    rest = stored(apart(star.select("a", "b").join(best, ["a", "b"], "left_anti"), joined))
+    if not rest.isEmpty():
+        links = links.union(confirmed(rest))
+        joined = stored(components(links, "a", "b"))
 
     # members of a bucket outside its most frequent component meet those of the others
     placed = shared.where("size > 2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counts = placed.groupBy("key", "component").agg(F.count("*").alias("held"))
     largest = counts.groupBy("key").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    open_ = stored(placed.select("key", "rep", "head", "component").join(largest, "key").join(faces, "rep"))
-    minor = open_.where("component != main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "bits")])
-    every = open_.select("key", "head", "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "bits")])
-    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))) & (F.col("rep_a") != F.col("head")) & (F.col("rep_b") != F.col("head"))
-    possible = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    met = minor.join(every, "key").where(apart & possible & (estimate(F.col("bits_a"), F.col("bits_b")) >= least))
-    more = stored(met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    open_ = stored(placed.select("key", "rep", "component").join(largest, "key"))
+    # shingles that no other document of these buckets has can't be common to two of them, so they
+    # bound every similarity from above; in a group of copies with edits of their own they rule out most pairs
+    who = open_.select("rep").distinct()
+    mine = full.join(who.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("h")).distinct()
+    private = mine.groupBy("h").agg(F.count("*").alias("held"), F.min("rep").alias("rep")).where("held = 1").groupBy("rep").agg(F.count("*").alias("private"))
+    longer = long_signatures(full.join(who.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
+    open_faces = stored(who.join(faces.drop("bits"), "rep").join(longer, "rep").join(private, "rep", "left").withColumn("most", F.col("n") - F.coalesce("private", F.lit(0))))
+    met_rows = open_.join(open_faces.select("rep", "n", "bits", "most"), "rep")
+    minor = met_rows.where("component != main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "bits", "most")])
+    every = met_rows.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "bits", "most")])
+    other = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b")))
+    common = F.least("most_a", "most_b")
+    bounded = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
+    surer = estimate(F.col("bits_a"), F.col("bits_b"), LONG_SIGNATURE) >= percent / 100 - slack(percent / 100, LONG_SIGNATURE)
+    met = minor.join(every, "key").where(other & bounded & surer).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    tried = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = stored(met.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         joined = components(links.union(confirmed(more)), "a", "b")
 

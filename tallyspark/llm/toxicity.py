@@ -30,7 +30,8 @@ BUCKETS = 1 << 18
 DIMENSIONS = 8
 GRAMS = (3, 4, 5, 6)
 WINDOW = 96
-EPOCHS = 8
+#: Training steps, each on ``BATCH`` texts, whatever the number of texts.
+STEPS, BATCH = 150, 256
 #: Share of a text's words left out in each training step, and decay of the weights, against learning texts by heart.
 DROP = 0.3
 DECAY = 0.01
@@ -122,7 +123,7 @@ class Model:
         return score
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7, rate: float = 0.05) -> Model:
+def fit(texts: list[str | None], labels: list[int], steps: int = STEPS, seed: int = 7, rate: float = 0.05) -> Model:
     """Joint training by Adam. In each batch a text stands for its worst window under the model as it
     is, so windows need no labels of their own."""
     rng = np.random.default_rng(seed)
@@ -133,24 +134,33 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
     share = np.bincount(y, minlength=2) / max(len(y), 1)
     if not share.all():  # nothing to tell apart
         return Model(np.zeros(BUCKETS), -20.0 if share[0] else 20.0 if share[1] else 0.0)
-    split = [tokens(t) for t in texts]
-    keep = [k for k, w in enumerate(split) if w]
     number: dict[bytes, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in split[k]], np.int64) if split[k] else np.zeros(0, np.int64) for k in range(len(split))]
-    del split
+    ids = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], np.int32) for t in texts]
+    keep = [k for k, w in enumerate(ids) if len(w)]
     first = [fresh(w) for w in ids]
-    buckets, owners = grams(list(number))
-    counts = np.bincount(owners, minlength=len(number))
+    words, buckets, counts = list(number), [], []
+    del number
+    for at in range(0, len(words), 20_000):
+        bucket, owner = grams(words[at : at + 20_000])
+        buckets.append(bucket.astype(np.int32))
+        counts.append(np.bincount(owner))
+    del words
+    if not keep:
+        return Model(np.zeros(BUCKETS), 0.0)
+    buckets, counts = np.concatenate(buckets), np.concatenate(counts)
     firsts = np.concatenate(([0], np.cumsum(counts)))
+
+    def all_logits() -> np.ndarray:
+        flat = (table_ @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
+        return np.concatenate([np.add.reduceat(flat[buckets[firsts[at] : firsts[min(at + 20_000, len(counts))]]], firsts[at : at + 20_000][: len(counts) - at] - firsts[at]) for at in range(0, len(counts), 20_000)]) / counts
+
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table_, soft, bias)]
-    step, size = 0, 256
-    for epoch in range(epochs):
+    step = 0
+    for epoch in range(-(-steps // -(-len(keep) // BATCH))):
         order = rng.permutation(keep)
-        # logits of all words under the model as it is, for choosing windows
-        flat = table_ @ (soft[:, 1] - soft[:, 0])
-        logit = np.bincount(owners, flat[buckets], len(number)) / counts
-        for at in range(0, len(order), size):
-            chosen = order[at : at + size]
+        logit = all_logits() if epoch else None  # under the model as it is, for choosing windows
+        for at in range(0, len(order), BATCH):
+            chosen = order[at : at + BATCH]
             rows, cols, sizes = [], [], []
             for r, k in enumerate(chosen):
                 w, once = ids[k], first[k]

@@ -147,10 +147,3 @@ def months_per_key(df: DataFrame, key, date_col) -> DataFrame:
               .agg(F.array_join(F.array_sort(F.collect_list("month")), ", ").alias("months"),
                    F.count(F.lit(1)).cast("bigint").alias("n_months"),
                    F.min("first_date").alias("first_date")))
-
-
-def keys_with_count(df: DataFrame, key, n: int = 1) -> DataFrame:
-    """Keys occurring exactly ``n`` times (with their rows' sum when
-    ``amount`` is needed use :func:`rows_and_sum_by_key`)."""
-    return (df.groupBy(as_col(key).alias("k")).agg(F.count(F.lit(1)).alias("_n"))
-              .where(F.col("_n") == n).select("k"))

@@ -37,12 +37,6 @@ def _has_direction(c: Column) -> bool:
     return " ASC" in text or " DESC" in text
 
 
-def rank_in_key(keys: Sequence, order: Sequence, name: str = "_rn"):
-    """``row_number`` within ``keys`` in ``order`` (W1) as a column spec."""
-    w = Window.partitionBy(*[as_col(k) for k in keys]).orderBy(*nulls_last(order))
-    return F.row_number().over(w).alias(name)
-
-
 def dedup_first(df: DataFrame, keys: Sequence, order: Sequence, n: int = 1) -> DataFrame:
     """Keep the first ``n`` rows of every key in ``order``.
 

@@ -2,7 +2,8 @@
 
 Conventions: side A is the register, side B the portal. Functions take the
 key column, the amount column (exact decimal) and row orders as parameters.
-Keys must be non-NULL (use ``normalize_id``, which maps NULL to "").
+Id keys should be non-NULL (``normalize_id`` maps NULL to ""); the composite
+keys of J4 and J11 may be NULL, which equals NULL there.
 
 Plan shape, chosen for scale:
 
@@ -30,7 +31,7 @@ from tallyspark.functions.numbers import SUM_TYPE
 from tallyspark.functions.text import is_empty_id
 from tallyspark.operators.aggregates import rows_and_sum_by_key
 from tallyspark.operators.dedup import dedup_first, nulls_last
-from tallyspark.operators.skew import DEFAULT_HOT_KEY_ROWS, first_rows_per_key, rank_hot_keys
+from tallyspark.operators.skew import rank_in_ranges
 
 ONLY_A, ONLY_B, BOTH_DIFFER, DIFFERENT_AMOUNT = "only_a", "only_b", "both_differ", "different_amount"
 ONLY_A_EMPTY_ID = "only_a_empty_id"
@@ -170,42 +171,37 @@ def reconcile_amounts(a: DataFrame, b: DataFrame, a_key: str = "k", b_key: str =
 # --------------------------------------------------------------------- J4
 def multiset_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], a_order: Sequence,
                   b_order: Sequence, a_amt: str | None = "amt", b_amt: str | None = "amt",
-                  hot_key_rows: int | None = DEFAULT_HOT_KEY_ROWS, sides: Sequence[str] = ("a", "b")
-                  ) -> DataFrame:
+                  sides: Sequence[str] = ("a", "b")) -> DataFrame:
     """Multiset difference with representative rows.
 
     For every key with ``n_a > n_b`` the first ``n_a - n_b`` A rows in
     ``a_order`` are emitted (``outcome = only_a``, ``delta = amount``), and
-    symmetrically for B (``delta = -amount``). All input columns are kept
-    (B columns are those of ``b``; the union is by name, missing → NULL).
-    With ``a_amt``/``b_amt`` None no ``delta`` column is added.
-
-    Counts come from an aggregation; rows of keys absent on the other side
-    are taken whole without ranking, so only keys on both sides are ranked:
-    by a window, or — for keys with more than ``hot_key_rows`` rows, found
-    from the counts (one small job) — by the partition-spread exact ranking
-    of :mod:`tallyspark.operators.skew`. ``None`` disables the check.
-    ``sides`` limits the output to one side's surplus.
+    symmetrically for B (``delta = -amount``). NULL is a key like others. All
+    input columns are kept (B columns are those of ``b``; the union is by name,
+    missing → NULL). With ``a_amt``/``b_amt`` None no ``delta`` column is added.
+    ``sides`` limits the output to one side's surplus. The orders should be
+    total; rows that tie are interchangeable.
+
+    One aggregation over both sides gives the counts. Rows of keys absent on
+    the other side are taken whole; the others are ranked by
+    :func:`tallyspark.operators.skew.rank_in_ranges` at any size, so no key is
+    gathered in one task.
     """
     keys = list(keys)
-    na = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"))
-    nb = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
-    counts = (na.join(nb, keys, "full")
-                .select(*keys, F.coalesce("_na", F.lit(0)).alias("_na"),
-                        F.coalesce("_nb", F.lit(0)).alias("_nb")))
+    tagged = a.select(*keys, F.lit(1).alias("_side")).unionByName(b.select(*keys, F.lit(0).alias("_side")))
+    counts = tagged.groupBy(*keys).agg(F.sum("_side").alias("_na"), F.sum(1 - F.col("_side")).alias("_nb"))
 
     def side(df, mine, other, order, amt, outcome, sign):
-        surplus = counts.where(F.col(mine) > F.col(other)) \
-                        .select(*keys, (F.col(mine) - F.col(other)).alias("_cut"), F.col(other).alias("_other"))
-        rows = df.join(surplus, keys, "inner")
+        surplus = counts.where(F.col(mine) > F.col(other)).select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+            (F.col(mine) - F.col(other)).alias("_cut"), F.col(other).alias("_other"))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & df[k].eqNullSafe(surplus[f"_k{i}"])
+        rows = df.join(surplus, same, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
         whole = rows.where(F.col("_other") == 0)
-        hot = None
-        if hot_key_rows is not None:
-            hot = surplus.where((F.col("_other") > 0) & (F.col("_cut") + F.col("_other") > hot_key_rows)) \
-                         .select(*keys)
-            hot = None if hot.isEmpty() else hot
-        ranked = first_rows_per_key(rows.where(F.col("_other") > 0), keys, order, "_cut", hot)
-        out = whole.unionByName(ranked).drop("_cut", "_other").withColumn("outcome", F.lit(outcome))
+        ranked = rank_in_ranges(rows.where(F.col("_other") > 0), keys, order).where(F.col("_rn") <= F.col("_cut"))
+        out = whole.unionByName(ranked.drop("_rn")).drop("_cut", "_other").withColumn("outcome", F.lit(outcome))
         if amt is None:
             return out
         return out.withColumn("delta", (as_col(amt) * F.lit(sign)).cast(SUM_TYPE))
@@ -221,12 +217,6 @@ def multiset_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], a_order: Sequ
     return out
 
 
-def dedup_first_cut(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """Rows with rank ≤ ``_cut`` (a per-key column) within ``keys``."""
-    w = Window.partitionBy(*keys).orderBy(*nulls_last(order))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_cut")).drop("_rn")
-
-
 # --------------------------------------------------------------------- J5
 def top_delta_detail(a: DataFrame, b: DataFrame, key: str = "k", a_amt: str = "amt", b_amt: str = "amt",
                      a_order: Sequence = (), b_order: Sequence = (), top_n: int = 30,
@@ -283,12 +273,14 @@ def one_to_one(a: DataFrame, b: DataFrame, key: str = "k", a_amt: str = "amt", b
 
 # --------------------------------------------------------------------- J8
 def arrival_lookup(b: DataFrame, a_filtered: DataFrame, a_all: DataFrame, key: str = "k",
-                   date_col: str = "d") -> DataFrame:
-    """B rows whose key is not in the filtered A table, looked up in
-    the unfiltered A table: months in which the key occurs (sorted text),
+                   date_col: str = "d", b_order: Sequence = (), empty_id_rule: str = "strict") -> DataFrame:
+    """The first B row (in ``b_order``, by default the key alone) of each
+    non-empty key that is not in the filtered A table, looked up in the
+    unfiltered A table: months in which the key occurs (sorted text),
     their count, first/last month number (yyyymm) and first date.
     Keys found nowhere get ``n_months = 0`` and NULLs."""
-    b_only = b.join(a_filtered.select(key).distinct(), key, "left_anti")
+    b_only = b.where(~is_empty_id(F.col(key), empty_id_rule)).join(a_filtered.select(key).distinct(), key, "left_anti")
+    b_only = dedup_first(b_only, [key], list(b_order) or [key])
     d = F.col(date_col)
     ym = F.year(d) * 100 + F.month(d)
     per_month = (a_all.where(d.isNotNull())
@@ -377,22 +369,28 @@ def classify_mismatch(a_all: DataFrame, b_paper: DataFrame, num: str = "num", dt
     a_paper = a_all.where(F.col(a_is_paper))
     surplus = multiset_diff(a_paper.select(*keys), b_paper, keys, [F.lit(0)], list(b_order),
                             None, None, sides=("b",))
-    # The cut size is one scalar (|B| - |paper A|), fetched with one job.
+    # how many: one scalar of the same plan
     diff = (b_paper.select(F.lit(1).alias("_s"))
             .unionByName(a_paper.select(F.lit(-1).alias("_s")))
-            .agg(F.coalesce(F.sum("_s"), F.lit(0))).first()[0])
+            .agg(F.greatest(F.coalesce(F.sum("_s"), F.lit(0)), F.lit(0)))).scalar()
     # The first ``diff`` surplus rows in ``b_order``: ``diff`` grows with the
     # data, so rank globally across partitions instead of ``orderBy.limit``.
-    cut = (rank_hot_keys(surplus.select(*keys, *_names(b_order)), [], list(b_order))
-           .where(F.col("_rn") <= F.lit(max(0, int(diff)))).drop("_rn"))
-
-    any_nd = a_all.groupBy(num, dt).agg(F.max(F.lit(1)).alias("anyc"),
-                                        F.max(F.when(F.col(a_is_paper), 1).otherwise(0)).alias("p"))
-    paper_name = a_paper.groupBy(num, dt, name).agg(F.max(F.lit(1)).alias("pn"))
-    paper_full = a_paper.groupBy(*keys).agg(F.max(F.lit(1)).alias("pna"))
-    j = (cut.join(any_nd, [num, dt], "left")
-            .join(paper_name, [num, dt, name], "left")
-            .join(paper_full, keys, "left"))
+    cut = rank_in_ranges(surplus.select(*keys, *_names(b_order)), [], list(b_order)).where(F.col("_rn") <= diff).drop("_rn")
+
+    # aggregated once at the finest key, and from there upwards
+    full = a_all.groupBy(*keys).agg(F.max(F.when(F.col(a_is_paper), 1).otherwise(0)).alias("pna"))
+    by_name = full.groupBy(num, dt, name).agg(F.max("pna").alias("pn"))
+    by_pair = by_name.groupBy(num, dt).agg(F.max("pn").alias("p"), F.lit(1).alias("anyc"))
+
+    def looked_up(rows, table, on):
+        # NULL parts of a key match NULL
+        named = table.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(on)], *[c for c in table.columns if c not in on])
+        same = F.lit(True)
+        for i, k in enumerate(on):
+            same = same & F.col(k).eqNullSafe(F.col(f"_l{i}"))
+        return rows.join(named, same, "left").drop(*[f"_l{i}" for i in range(len(on))])
+
+    j = looked_up(looked_up(looked_up(cut, by_pair, [num, dt]), by_name, [num, dt, name]), full, keys)
     reason = (F.when(F.col("pna") == 1, F.lit(REASON_FULL))
                .when(F.col("pn") == 1, F.lit(REASON_AMOUNT))
                .when(F.col("p") == 1, F.lit(REASON_NAME))

@@ -1,24 +1,22 @@
-"""Exact per-key ranking for hot keys (a key may hold a third of all rows).
+"""Exact ranking within keys when a key may hold a third of all rows.
 
 ``row_number() OVER (PARTITION BY key ORDER BY …)`` puts every row of a key
 into one task. When only the first row(s) are kept Spark limits each map
 task before the shuffle (``WindowGroupLimit``), which makes hot keys
 harmless; when the cut differs per key (multiset difference: keep the first
-``n_a - n_b`` rows) it cannot. For those keys this module computes the same
-rank without a one-task group:
+``n_a - n_b`` rows) it cannot. Here, at any size:
 
-1. the hot rows are range-partitioned on ``(key, order…)`` — Spark samples
-   the sort key, so one key spreads over many partitions — and sorted within
-   each partition;
+1. rows are range-partitioned on ``(key, order…)`` — Spark samples the sort
+   key, so one key spreads over many partitions — and sorted in each;
 2. every row gets ``monotonically_increasing_id`` (partition id in the high
    bits, position in the low bits) and the result is materialised with a
    reliable ``checkpoint()`` in the cluster's shared checkpoint folder, so
-   later reads see exactly the same ids and lineage is cut;
-3. per (partition, key): first id and row count — at most
-   ``#hot keys + #partitions`` rows, a proven bound, so it is broadcast;
-   a window over that small table gives the rows of the key that sit in
-   earlier partitions;
-4. rank = rows in earlier partitions + position in this partition + 1.
+   later reads see exactly the same ids and lineage is cut (this runs while
+   the plan is built);
+3. rows are ranked within (partition, key), a group that one range bounds;
+4. only a key that goes on from an earlier partition needs an offset, and it
+   is the first key of its partition: at most one offset a partition, whatever
+   the number of keys, so the offsets are broadcast.
 """
 
 from __future__ import annotations
@@ -31,50 +29,30 @@ from pyspark.sql import functions as F
 from tallyspark.operators.dedup import nulls_last
 from tallyspark.session import checkpoint_dir
 
-DEFAULT_HOT_KEY_ROWS = 1_000_000
 
-
-def rank_hot_keys(rows: DataFrame, keys: Sequence[str], order: Sequence, name: str = "_rn",
-                  partitions: int | None = None) -> DataFrame:
-    """Exact ``row_number`` within ``keys`` in ``order`` (NULLs last), for
-    rows of a few very large keys, spread over ``partitions`` tasks. With no
-    keys it is a global rank: the first-``n``-rows cut whose ``n`` grows with
-    the data, without gathering ``n`` rows in one task."""
+def rank_in_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence, name: str = "_rn",
+                   partitions: int | None = None) -> DataFrame:
+    """Exact ``row_number`` within ``keys`` in ``order`` (NULLs last; NULL keys
+    are one key). With no keys it is a global rank: the first-``n``-rows cut
+    whose ``n`` grows with the data, without gathering ``n`` rows in one task.
+    Rows that tie in ``order`` get their ranks in any order: give a total one."""
     spark = rows.sparkSession
     checkpoint_dir(spark)
+    keys = list(keys)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(k).asc_nulls_last() for k in keys] + nulls_last(order)
     ided = (rows.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))
-    spans = ided.groupBy("_pid", *keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    # ``spans`` is tiny (≤ #keys + #partitions rows), a window over it is cheap
+    spans = ided.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
-    s = F.broadcast(spans.alias("_s"))
-    cond = [F.col("_r._pid") == F.col("_s._pid")] + [F.col(f"_r.`{k}`").eqNullSafe(F.col(f"_s.`{k}`")) for k in keys]
-    j = ided.alias("_r").join(s, cond, "inner")
-    out = j.select("_r.*", F.col("_s._first"), F.col("_s._before"))
-    return (out.withColumn(name, F.col("_before") + F.col("_mid") - F.col("_first") + 1)
-               .drop("_pid", "_mid", "_first", "_before"))
-
-
-def first_rows_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence, cut_col: str,
-                       hot_keys: DataFrame | None) -> DataFrame:
-    """Rows whose rank within ``keys`` is ≤ the per-key ``cut_col``.
-
-    ``hot_keys`` (one row per hot key, bounded by ``total / threshold``) go
-    through :func:`rank_hot_keys`; all other keys through a window."""
-    w = Window.partitionBy(*keys).orderBy(*nulls_last(order))
-    if hot_keys is None:
-        normal, hot = rows, None
-    else:
-        hk = F.broadcast(hot_keys.select(*keys))
-        normal = rows.join(hk, list(keys), "left_anti")
-        hot = rows.join(hk, list(keys), "left_semi")
-    out = normal.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col(cut_col)).drop("_rn")
-    if hot is not None:
-        ranked = rank_hot_keys(hot, keys, order).where(F.col("_rn") <= F.col(cut_col)).drop("_rn")
-        out = out.unionByName(ranked)
-    return out
+    offsets = (spans.withColumn("_before", F.sum("_cnt").over(before)).where(F.col("_before") > 0)
+                    .select(F.col("_pid").alias("_opid"), *[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], "_before"))
+    cond = F.col("_pid") == F.col("_opid")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    local = F.row_number().over(Window.partitionBy("_pid", *keys).orderBy("_mid"))
+    out = ided.withColumn(name, local).join(F.broadcast(offsets), cond, "left")
+    return (out.withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("bigint"))
+               .drop("_pid", "_mid", "_opid", "_before", *[f"_o{i}" for i in range(len(keys))]))

@@ -37,6 +37,8 @@ def _money_texts(price) -> dict[str, F.Column]:
         .otherwise(ip.cast("string"))
     return {
         "plain": plain,
+        "plain_nbsp": F.concat(F.lit("\u00a0"), plain),
+        "comma_tab": F.concat(F.replace(plain, F.lit("."), F.lit(",")), F.lit("\t")),
         "comma": F.replace(plain, F.lit("."), F.lit(",")),
         "it": F.concat(grouped("."), F.lit(","), cents),
         "spaced": F.concat(grouped(" "), F.lit(","), cents),
@@ -49,7 +51,7 @@ def _number_texts(spark: SparkSession, sf: str) -> DataFrame:
     li = read(spark, sf, "lineitem")
     t = _money_texts(F.col("l_extendedprice"))
     v = F.col("l_linenumber") % 6
-    txt = (F.when(v == 0, t["plain"]).when(v == 1, t["comma"]).when(v == 2, t["it"])
+    txt = (F.when(v == 0, t["plain_nbsp"]).when(v == 1, t["comma_tab"]).when(v == 2, t["it"])
             .when(v == 3, t["spaced"]).when(v == 4, t["it_int"]).otherwise(t["junk"]))
     return li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"),
                      v.cast("int").alias("v"), txt.alias("txt"))
@@ -118,7 +120,9 @@ def signed_net(spark, sf):
     price = money("l_extendedprice")
     vat = to_money(price * F.col("l_tax").cast("decimal(18,2)"))
     df = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"),
-                   protocol().alias("proto"), F.col("l_returnflag").alias("rf"),
+                   protocol().alias("proto"),
+                   F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("\t"), "l_returnflag"))
+                   .otherwise(F.concat("l_returnflag", F.lit("\u00a0"))).alias("rf"),
                    price.alias("price"), withholding().alias("w"), vat.alias("vat"))
     return finish(df.select(
         "k", "ln", "proto", sign_multiplier("rf").alias("mult"),
@@ -385,16 +389,15 @@ def reconcile_electronic(spark, sf):
 def multiset_diff(spark, sf):
     """Surplus rows per (month, bucket) key, first rows by (date, key).
 
-    Side A's paper invoices are the credit first lines of paper orders (one
-    paper invoice per order, ``ln = 1``) — a class definition that makes
-    surpluses occur on both sides, not a row cap; all of both tables is read.
+    Every register line against every order; the key makes surpluses on both
+    sides (customers of an order play the quantity), and is NULL for every
+    31st order.
     """
-    a = register(spark, sf).where((F.col("rf") == "A") & (F.col("cls") == "paper") & (F.col("ln") == 1))
-    a = a.select((F.year("d") * 100 + F.month("d")).cast("bigint").alias("ym"), F.col("q").cast("bigint").alias("bucket"),
-                 "k", "ln", "d", "amt")
-    b = portal(spark, sf).where(F.col("cls") == "paper")
-    b = b.select((F.year("d") * 100 + F.month("d")).cast("bigint").alias("ym"), (F.col("cu") % 50 + 1).cast("bigint").alias("bucket"),
-                 "k", "d", "amt")
+    key = lambda c: F.when(F.col("k") % 31 != 0, c.cast("bigint")).alias("bucket")
+    a = register(spark, sf)
+    a = a.select((F.year("d") * 100 + F.month("d")).cast("bigint").alias("ym"), key(F.col("q")), "k", "ln", "d", "amt")
+    b = portal(spark, sf)
+    b = b.select((F.year("d") * 100 + F.month("d")).cast("bigint").alias("ym"), key(F.col("cu") % 50 + 1), "k", "d", "amt")
     out = rec.multiset_diff(a, b, ["ym", "bucket"], ["d", "k", "ln"], ["d", "k"])
     return finish(out.select("outcome", "ym", "bucket", "k", "delta"))
 
@@ -423,11 +426,13 @@ def one_to_one_diff(spark, sf):
 
 
 def arrival_lookup(spark, sf):
-    """B keys missing from the credit register, looked up in the
-    whole register: months, first/last month, first date."""
-    a = register(spark, sf)
-    out = rec.arrival_lookup(portal(spark, sf), a.where(F.col("rf") == "A"), a, "k", "d")
-    return finish(out.select("k", "amt", "n_months", "m0", "m1", "months", "first_reg"))
+    """B ids missing from the credit register, looked up in the whole
+    register: months, first/last month, first date. Two orders share an id
+    (the first by date and key is listed), and some ids are blank."""
+    ident = F.when(F.col("k") % 25 == 0, F.lit(" ")).otherwise(F.floor(F.col("k") / 2).cast("string"))
+    a, b = register(spark, sf).withColumn("id", ident), portal(spark, sf).withColumn("id", ident)
+    out = rec.arrival_lookup(b, a.where(F.col("rf") == "A"), a, "id", "d", b_order=["d", "k"])
+    return finish(out.select("id", "k", "amt", "n_months", "m0", "m1", "months", "first_reg"))
 
 
 def unmatched_composite(spark, sf):
@@ -452,15 +457,15 @@ def delta_by_sum_class(spark, sf):
 
 
 def mismatch_reasons(spark, sf):
-    """Reasons for the surplus paper B rows. Paper on side A = credit
-    first lines (one paper invoice per order), every A row is looked up."""
+    """Reasons for the surplus B rows, over the whole register and all
+    orders. Number = order, date = year (NULL for every 13th order), name = line or
+    customer class, amount = its number of digits; paper on side A are credits of a low tax rate."""
     a, b = register(spark, sf), portal(spark, sf)
-    xa = a.select((F.col("k") % 500).alias("num"), (F.year("d") * 100 + F.month("d")).alias("dt"),
-                  (F.col("ln") % 3).alias("nm"), F.floor(F.abs("amt") / 50000).cast("bigint").alias("am"),
-                  ((F.col("rf") == "A") & (F.col("ln") == 1)).alias("is_paper"))
-    xb = b.where(F.col("cls") == "paper").select(
-        "k", (F.col("k") % 500).alias("num"), (F.year("d") * 100 + F.month("d")).alias("dt"),
-        (F.col("cu") % 3).alias("nm"), F.floor(F.col("amt") / 50000).cast("bigint").alias("am"))
+    dt = F.when(F.col("k") % 13 != 0, F.year("d")).alias("dt")
+    digits = F.length(F.floor(F.abs("amt")).cast("string")).alias("am")
+    xa = a.select(F.col("k").alias("num"), dt, (F.col("ln") % 3).alias("nm"), digits,
+                  ((F.col("rf") == "A") & (F.col("tax_rate") < 0.025)).alias("is_paper"))
+    xb = b.select("k", F.col("k").alias("num"), dt, (F.col("cu") % 3).alias("nm"), digits)
     return rec.classify_mismatch(xa, xb, "num", "dt", "nm", "am", "is_paper", ["k"])
 
 
@@ -511,7 +516,8 @@ def _portal_export(spark, sf, received: bool = False):
             F.date_format("o_orderdate", "yyyy-MM-dd").alias("Data emissione"),
             F.date_format("o_orderdate", "yyyy-MM-dd").alias("Data documento"),
             F.date_format("o_orderdate", "MM/dd/yyyy").alias("Data pagamento"),
-            F.replace(vat.cast("string"), F.lit("."), F.lit(",")).alias("IVA"),
+            F.when(k % 7 == 0, F.lit("")).when(k % 7 == 1, F.lit("n/d"))
+            .otherwise(F.replace(vat.cast("string"), F.lit("."), F.lit(","))).alias("IVA"),
             F.when(F.col("o_orderstatus") == "F", t_total["plain"]).otherwise(t_total["comma"])
             .alias("Importo fattura"),
             sdi.alias("Identificativo SDI"))
@@ -545,6 +551,57 @@ def portal_paid_report(spark, sf):
     return finish(job(_portal_export(spark, sf))["stats"])
 
 
+def register_detail(spark, sf):
+    """The register's detail table."""
+    from tallyspark.plans.jobs import register_report as job
+    out = job(_register_export(spark, sf), check_nonempty=False, order=_EXPORT_ORDER)["data"]
+    return finish(out.select("party", "doc_date", "doc_no", "reg_date", "code", "sign", "seq_no", "ext_id", "cls",
+                             "amount", "tax", "order_total", "withholding"))
+
+
+def register_code_counts(spark, sf):
+    """A3/K3: rows of the register per allowed code."""
+    from tallyspark.plans.jobs import register_report as job
+    return finish(job(_register_export(spark, sf), check_nonempty=False, order=_EXPORT_ORDER)["code_counts"])
+
+
+def portal_received_detail(spark, sf):
+    """The received invoices' detail table with its total row; VAT is
+    blank or no number for some orders (then 0)."""
+    from tallyspark.plans.jobs import portal_received_report as job
+    out = job(_portal_export(spark, sf, received=True), RECEIVED_FILE)["data"]
+    return finish(out.select(F.col("Ragione sociale").alias("party"), F.col("`N.fatture`").alias("doc_no"),
+                             F.col("Data pagamento").alias("paid"), F.col("Ivam").alias("vat"),
+                             F.col("Imponibile").alias("taxable"), F.col("Totale fatture").alias("total")))
+
+
+def _compared(spark, sf, table):
+    from tallyspark.plans.jobs import compare_ledgers
+    return compare_ledgers(_register_export(spark, sf), _portal_export(spark, sf), order=_EXPORT_ORDER)[table]
+
+
+def compare_paper_detail(spark, sf):
+    """The paper detail (J4 on number and amount)."""
+    return finish(_compared(spark, sf, "paper_detail").select("outcome", "num_key", "amount_key", "delta"))
+
+
+def compare_delta(spark, sf):
+    """Electronic ids whose amounts differ or that one side lacks."""
+    return finish(_compared(spark, sf, "delta"))
+
+
+def compare_drilldown(spark, sf):
+    """Rows of the 30 ids with the largest difference."""
+    return finish(_compared(spark, sf, "drilldown").select("k", "side", "amt", "doc_no"))
+
+
+def compare_overview(spark, sf):
+    """Counts and amounts of both sides by class, in one row."""
+    out = _compared(spark, sf, "overview")
+    parts = [F.col(f"{side}_{c}")[f].alias(f"{side}_{c}_{f}") for side in "ab" for c in (PAPER, ELECTRONIC) for f in ("count", "amount")]
+    return finish(out.select("period", *parts))
+
+
 RECEIVED_FILE = "Portale Ricevute 2 TRIM 2000.xlsx"
 
 

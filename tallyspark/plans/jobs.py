@@ -24,7 +24,8 @@ from tallyspark.functions import (
     code_dimension, is_empty_id, net_amount, normalize_id, parse_date, parse_number_comma,
     parse_number_mixed, parse_number_plain, quarter_from_name, signed_amount, text_key, to_money,
 )
-from tallyspark.functions.numbers import SUM_TYPE
+from tallyspark.functions.common import strip
+from tallyspark.functions.numbers import SUM_TYPE, out_of_range
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import filters as flt
 from tallyspark.operators import reconcile as rec
@@ -63,7 +64,6 @@ class LazyTables(Mapping):
 
     def __len__(self):
         return len(self._factories)
-MAX_DETAIL_ROWS = 5000
 ALL_PERIOD_LABEL = "Tutto il periodo"
 
 
@@ -74,7 +74,7 @@ def _file_order(df: DataFrame) -> list:
     """File order: (file name, position in the file). Within one file
     ``_row`` increases with the position; across files Spark packs splits by
     size, so the file name comes first."""
-    return ([F.col(SRC)] if SRC in df.columns else []) + [F.col(ROW)]
+    return [F.col(c) for c in _order_cols(df)]
 
 
 def _order_cols(df: DataFrame) -> list[str]:
@@ -92,9 +92,14 @@ def _materialize(df: DataFrame, on: bool) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _require_order(df: DataFrame) -> DataFrame:
-    """Keep-first needs a file order; add one when the source gave none."""
-    return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
+def _require_order(df: DataFrame, order=None) -> DataFrame:
+    """Keep-first needs an order: the file order that the readers of
+    :mod:`tallyspark.sources` supply, or one that the caller states. None is made
+    up here, because a row number taken in the middle of a plan may differ each
+    time the plan runs."""
+    if order is None and ROW not in df.columns:
+        raise ValueError(f"no file order: read with tallyspark.sources (column {ROW!r}) or give order=")
+    return df
 
 
 # ------------------------------------------------------------------- E1
@@ -109,7 +114,7 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     summaries with zero rows (A2) and the stats row (K3). ``order`` replaces
     the file order (``_row``) as the meaning of "first".
     """
-    df = _require_order(apply_layout(raw, REGISTER))
+    df = _require_order(apply_layout(raw, REGISTER), order)
     df = df.withColumn("FAT_PROT", clean_code("FAT_PROT"))
     key = ["FAT_DATDOC", "FAT_NDOC", "TMC_G8"]
     deduped = dedup_first(df, key, order or _file_order(df))
@@ -128,12 +133,13 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
         F.col("FAT_NUM").alias("seq_no"),
         parse_number_mixed("IMPONIBILE", default=0).alias("_amount"),
         parse_number_mixed("FAT_TOTIVA", default=0).alias("_tax"),
-        F.upper(F.trim(F.coalesce(F.col("RA_CODTRIB").cast("string"), F.lit("")))).alias("tax_code"),
+        F.upper(strip(F.coalesce(F.col("RA_CODTRIB").cast("string"), F.lit("")))).alias("tax_code"),
         F.col("DMA_NUM").alias("order_no"),
         parse_number_mixed("TMA_TOT", default=0).alias("_order_total"),
         parse_number_mixed("RA_IMPOSTA", default=0).alias("_withholding"),
         F.col("TMC_G8").alias("ext_id"),
         F.col("M2_TMC_DATREG").alias("value_date"),
+        (out_of_range("IMPONIBILE") | out_of_range("RA_IMPOSTA")).alias("_rejected"),
     )
     d = d.select(
         "*",
@@ -148,8 +154,8 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     # With ``materialize`` the probe reads the checkpoint; otherwise it costs
     # one run of the dedup shuffle before the result tables are built.
     if check_nonempty and d.isEmpty():
-        raise ValueError("Nessun protocollo valido trovato nel file")
-    data = d.orderBy(F.col("reg_date").asc_nulls_last(), *_file_order(d))
+        raise ValueError("no row of the register has an allowed protocol code")
+    data = d.drop("_rejected").orderBy(F.col("reg_date").asc_nulls_last(), *_file_order(d))
     summary = agg.code_summary(d, code_dimension(raw.sparkSession), "code", "paid",
                                total_label="TOTALE", by="cls")
     sheets = {f"summary_{c}": summary.where(F.col("cls") == c).drop("cls")
@@ -158,7 +164,8 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     # A5: the totals row of the detail sheet (plain sums of the money columns)
     data_total = d.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(SUM_TYPE).alias(c)
                          for c in ("amount", "paid", "tax", "order_total", "withholding")])
-    return {"data": data, "data_total": data_total, "summary": summary, **sheets, "stats": stats}
+    return {"data": data, "data_total": data_total, "summary": summary, **sheets, "stats": stats,
+            "code_counts": agg.count_codes(d, "code", ALLOWED_CODES)}
 
 
 def _register_stats(d: DataFrame, dups: Column) -> DataFrame:
@@ -170,34 +177,37 @@ def _register_stats(d: DataFrame, dups: Column) -> DataFrame:
         F.sum(F.when(elec, 1).otherwise(0)).cast("bigint").alias("electronic_records"),
         F.coalesce(F.sum(F.when(paper, F.col("paid"))), F.lit(0)).cast(SUM_TYPE).alias("paper_amount"),
         F.coalesce(F.sum(F.when(elec, F.col("paid"))), F.lit(0)).cast(SUM_TYPE).alias("electronic_amount"),
+        F.count_if("_rejected").cast("bigint").alias("rejected_amounts"),
     )
     return s.withColumn("duplicates_removed", dups.cast("bigint"))
 
 
 # ------------------------------------------------------------------- E2
-def portal_paid_report(raw: DataFrame) -> dict[str, DataFrame]:
+def portal_paid_report(raw: DataFrame, max_rows: int | None = None) -> dict[str, DataFrame]:
     """Portal export of paid invoices.
 
     Layout (aliases, letter columns) → empty-id split (tokens rule N2) →
-    detail capped at 5000 rows in file order with a plain-coerced total row
-    (A5, P9) → class totals (A4) with mixed-locale amounts; the amount is
+    detail with a plain-coerced total row (A5; the first ``max_rows`` rows in
+    file order when given, P9) → class totals (A4) with mixed-locale amounts; the amount is
     ``Importo pagato`` when that column exists, else ``Importo fattura``.
     """
-    df = _require_order(apply_layout(raw, PORTAL_PAID))
+    df = apply_layout(raw, PORTAL_PAID)
+    if max_rows is not None:
+        _require_order(df)
     optional = [c for c in PORTAL_OPTIONAL if c in df.columns]
     df = df.select(*PORTAL_REQUIRED, *optional, *_order_cols(df))
     amount_col = "Importo pagato" if "Importo pagato" in df.columns else "Importo fattura"
     flagged = flt.with_empty_flag(df, "Identificativo SDI", "tokens", "is_paper")
-    shown = flt.cap_rows(df, MAX_DETAIL_ROWS, _file_order(df))
+    shown = df if max_rows is None else flt.cap_rows(df, max_rows, _file_order(df))
     money_cols = [c for c in ("Importo pagato", "Importo fattura", "Importo liquidato") if c in df.columns]
-    shown_num = shown.select(*[parse_number_plain(c).cast("decimal(18,2)").alias(c) if c in money_cols
+    shown_num = shown.select(*[to_money(parse_number_plain(c)).alias(c) if c in money_cols
                                else F.col(f"`{c}`") for c in shown.columns])
     data = agg.detail_with_totals(shown_num.drop(ROW, SRC), money_cols, "Creditore")
-    stats = _split_stats(flagged, parse_number_mixed(amount_col, default=0))
+    stats = _split_stats(flagged, to_money(parse_number_mixed(amount_col, default=0)), out_of_range(amount_col))
     return {"data": data, "stats": stats}
 
 
-def _split_stats(flagged: DataFrame, amount) -> DataFrame:
+def _split_stats(flagged: DataFrame, amount, rejected) -> DataFrame:
     paper = F.col("is_paper")
     return flagged.agg(
         F.count(F.lit(1)).cast("bigint").alias("total_records"),
@@ -206,24 +216,25 @@ def _split_stats(flagged: DataFrame, amount) -> DataFrame:
         F.coalesce(F.sum(F.when(paper, amount)), F.lit(0)).cast(SUM_TYPE).alias("paper_amount"),
         F.coalesce(F.sum(F.when(~paper, amount)), F.lit(0)).cast(SUM_TYPE).alias("electronic_amount"),
         F.lit(0).cast("bigint").alias("duplicates_removed"),
+        F.count_if(rejected).cast("bigint").alias("rejected_amounts"),
     )
 
 
 # ------------------------------------------------------------------- E3
-def portal_received_report(raw: DataFrame, file_name: str | None = None) -> dict[str, DataFrame]:
+def portal_received_report(raw: DataFrame, file_name: str | None = None, max_rows: int | None = None) -> dict[str, DataFrame]:
     """Portal export of received invoices.
 
     The eight columns are selected by exact name (S6, error lists the
-    missing ones) → comma-decimal amounts (F3) → taxable = total − VAT
+    missing ones) → comma-decimal amounts (F3, unparseable → 0) → taxable = total − VAT
     (F16) → month-first dates → period of the file name's quarter on the
     payment date (P3) → empty-id split (N2) → totals of ``Totale fatture``.
     """
     missing = [c for c in RECEIVED_COLUMNS if c not in raw.columns]
     if missing:
         raise MissingColumnsError("Colonne mancanti", missing)
-    df = _require_order(raw)
-    total = parse_number_comma("Importo fattura")
-    vat = parse_number_comma("IVA")
+    df = raw if max_rows is None else _require_order(raw)
+    total = parse_number_comma("Importo fattura", default=0)
+    vat = parse_number_comma("IVA", default=0)
     out = df.select(
         *_order_cols(df),
         F.col("Creditore").alias("Ragione sociale"),
@@ -235,13 +246,14 @@ def portal_received_report(raw: DataFrame, file_name: str | None = None) -> dict
         (total - vat).alias("Imponibile"),
         total.alias("Totale fatture"),
         F.col("Identificativo SDI"),
+        (out_of_range("Importo fattura", "comma") | out_of_range("IVA", "comma")).alias("_rejected"),
     )
     period = quarter_from_name(os.path.basename(file_name)) if file_name else None
     out = flt.filter_period(out, "Data pagamento", period)
     flagged = flt.with_empty_flag(out, "Identificativo SDI", "tokens", "is_paper")
-    shown = flt.cap_rows(out, MAX_DETAIL_ROWS, _file_order(out)).drop(ROW, SRC)
+    shown = (out if max_rows is None else flt.cap_rows(out, max_rows, _file_order(out))).drop(ROW, SRC, "_rejected")
     data = agg.detail_with_totals(shown, ["Ivam", "Imponibile", "Totale fatture"], "Ragione sociale")
-    stats = _split_stats(flagged, F.col("Totale fatture"))
+    stats = _split_stats(flagged, F.col("Totale fatture"), F.col("_rejected"))
     return {"data": data, "stats": stats}
 
 
@@ -249,11 +261,11 @@ def portal_received_report(raw: DataFrame, file_name: str | None = None) -> dict
 def load_compare_register(raw: DataFrame) -> DataFrame:
     """Register side of the comparison before any filter (also the input of
     the arrival lookup J8/J12)."""
-    return _require_order(apply_layout(raw, COMPARE_REGISTER))
+    return apply_layout(raw, COMPARE_REGISTER)
 
 
 def load_compare_portal(raw: DataFrame) -> DataFrame:
-    df = _require_order(apply_layout(raw, COMPARE_PORTAL))
+    df = apply_layout(raw, COMPARE_PORTAL)
     return df.select(*PORTAL_REQUIRED, *_order_cols(df))
 
 
@@ -275,8 +287,8 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
     reg_period = quarter_from_name(os.path.basename(register_name)) if register_name else None
     por_period = quarter_from_name(os.path.basename(portal_name)) if portal_name else None
     if reg_period and por_period and reg_period != por_period:
-        raise ValueError("I due file appartengono a trimestri/anni diversi in base al nome file.")
-    reg = load_compare_register(register_raw)
+        raise ValueError("the file names give different quarters")
+    reg = _require_order(load_compare_register(register_raw), order)
     por = load_compare_portal(portal_raw)
 
     a = reg.withColumn("FAT_PROT", clean_code("FAT_PROT")).where(F.col("FAT_PROT").isin(*ALLOWED_CODES))

@@ -55,7 +55,7 @@ x AS (SELECT *, CAST(p AS VARCHAR) plain, right(CAST(p AS VARCHAR), 2) cents,
         CASE WHEN ip >= 1000 THEN CAST(ip // 1000 AS VARCHAR) || ' ' || lpad(CAST(ip % 1000 AS VARCHAR), 3, '0')
              ELSE CAST(ip AS VARCHAR) END g_sp,
         CASE WHEN ip >= 1000 THEN CAST(ip AS DOUBLE) / 1000 ELSE CAST(ip AS DOUBLE) END dotted_int FROM t),
-y AS (SELECT *, CASE v WHEN 0 THEN plain WHEN 1 THEN replace(plain, '.', ',') WHEN 2 THEN g_dot || ',' || cents
+y AS (SELECT *, CASE v WHEN 0 THEN chr(160) || plain WHEN 1 THEN replace(plain, '.', ',') || chr(9) WHEN 2 THEN g_dot || ',' || cents
                        WHEN 3 THEN g_sp || ',' || cents WHEN 4 THEN g_dot ELSE 'n/d' END txt FROM x)
 """
 
@@ -75,9 +75,9 @@ FROM y"""
 
 Q["parse_numbers_comma"] = NUMBER_TEXTS + """
 SELECT k, ln, v, txt,
-  CASE WHEN v <= 1 THEN CAST(p AS DOUBLE) WHEN v <= 3 AND ip < 1000 THEN CAST(p AS DOUBLE)
+  CASE WHEN v = 1 THEN CAST(p AS DOUBLE) WHEN v IN (2, 3) AND ip < 1000 THEN CAST(p AS DOUBLE)
        WHEN v = 4 THEN dotted_int END comma,
-  CASE WHEN v = 0 THEN CAST(p AS DOUBLE) WHEN v = 4 THEN dotted_int END plain
+  CASE WHEN v = 4 THEN dotted_int END plain
 FROM y"""
 
 Q["parse_dates"] = """
@@ -304,20 +304,16 @@ UNION ALL SELECT 'total', NULL, CAST(sum(a_rows) AS BIGINT), CAST(sum(a_sum) AS
   CAST(sum(b_sum) AS DOUBLE), CAST(sum(delta_rows) AS BIGINT), CAST(sum(delta_sum) AS DOUBLE) FROM l"""
 
 Q["multiset_diff"] = BASE + """,
-ka AS (SELECT CAST(year(d) * 100 + month(d) AS BIGINT) ym, CAST(q AS BIGINT) bucket, k, ln, d, amt
-       FROM a WHERE rf = 'A' AND cls = 'paper' AND ln = 1),
-kb AS (SELECT CAST(year(d) * 100 + month(d) AS BIGINT) ym, CAST(cu % 50 + 1 AS BIGINT) bucket, k, d, amt
-       FROM b WHERE cls = 'paper'),
+ka AS (SELECT CAST(year(d) * 100 + month(d) AS BIGINT) ym, CASE WHEN k % 31 <> 0 THEN CAST(q AS BIGINT) END bucket, k, ln, d, amt FROM a),
+kb AS (SELECT CAST(year(d) * 100 + month(d) AS BIGINT) ym, CASE WHEN k % 31 <> 0 THEN CAST(cu % 50 + 1 AS BIGINT) END bucket, k, d, amt FROM b),
 na AS (SELECT ym, bucket, count(*) n FROM ka GROUP BY ym, bucket),
 nb AS (SELECT ym, bucket, count(*) n FROM kb GROUP BY ym, bucket),
-ra AS (SELECT *, row_number() OVER (PARTITION BY ym, bucket ORDER BY d, k, ln) rn FROM ka),
-rb AS (SELECT *, row_number() OVER (PARTITION BY ym, bucket ORDER BY d, k) rn FROM kb)
+ra AS (SELECT *, row_number() OVER (PARTITION BY ym, bucket ORDER BY d, k, ln) rn, count(*) OVER (PARTITION BY ym, bucket) n FROM ka),
+rb AS (SELECT *, row_number() OVER (PARTITION BY ym, bucket ORDER BY d, k) rn, count(*) OVER (PARTITION BY ym, bucket) n FROM kb)
 SELECT 'only_a' outcome, ra.ym, ra.bucket, ra.k, CAST(ra.amt AS DOUBLE) delta FROM ra
-  JOIN na ON ra.ym = na.ym AND ra.bucket = na.bucket LEFT JOIN nb ON ra.ym = nb.ym AND ra.bucket = nb.bucket
-  WHERE ra.rn <= na.n - coalesce(nb.n, 0)
+  LEFT JOIN nb ON ra.ym = nb.ym AND ra.bucket IS NOT DISTINCT FROM nb.bucket WHERE ra.rn <= ra.n - coalesce(nb.n, 0)
 UNION ALL SELECT 'only_b', rb.ym, rb.bucket, rb.k, CAST(-rb.amt AS DOUBLE) FROM rb
-  JOIN nb ON rb.ym = nb.ym AND rb.bucket = nb.bucket LEFT JOIN na ON rb.ym = na.ym AND rb.bucket = na.bucket
-  WHERE rb.rn <= nb.n - coalesce(na.n, 0)"""
+  LEFT JOIN na ON rb.ym = na.ym AND rb.bucket IS NOT DISTINCT FROM na.bucket WHERE rb.rn <= rb.n - coalesce(na.n, 0)"""
 
 Q["top_delta_detail"] = BASE + f""",
 ga AS (SELECT k, sum(amt) s FROM a GROUP BY k), gb AS (SELECT k, sum(amt) s FROM b GROUP BY k),
@@ -346,14 +342,17 @@ SELECT ga.k, CAST(ga.s AS DOUBLE) a_amt, CAST(gb.s AS DOUBLE) b_amt, CAST(ga.s -
 FROM ga JOIN gb ON ga.k = gb.k WHERE abs(ga.s - gb.s) > 0.01"""
 
 Q["arrival_lookup"] = BASE + f""",
-bo AS (SELECT b.k, b.amt FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.k = b.k AND a.rf = 'A')),
-mm AS (SELECT k, min(d) first_reg, count(DISTINCT year(d) * 100 + month(d)) n_months,
+ai AS (SELECT *, CASE WHEN k % 25 = 0 THEN '' ELSE CAST(k // 2 AS VARCHAR) END id FROM a),
+bi AS (SELECT *, CASE WHEN k % 25 = 0 THEN '' ELSE CAST(k // 2 AS VARCHAR) END id FROM b),
+bo AS (SELECT id, min(d) d FROM bi WHERE id <> '' AND NOT EXISTS (SELECT 1 FROM ai WHERE ai.id = bi.id AND ai.rf = 'A') GROUP BY id),
+bf AS (SELECT bi.id, min(bi.k) k, arg_min(bi.amt, bi.k) amt FROM bi JOIN bo ON bi.id = bo.id AND bi.d = bo.d GROUP BY bi.id),
+mm AS (SELECT id, min(d) first_reg, count(DISTINCT year(d) * 100 + month(d)) n_months,
          min(year(d) * 100 + month(d)) m0, max(year(d) * 100 + month(d)) m1,
          array_to_string(list_sort(list_distinct(list(strftime(d, '%Y-%m')))), ', ') "months"
-       FROM a WHERE d IS NOT NULL GROUP BY k)
-SELECT bo.k, CAST(bo.amt AS DOUBLE) amt, CAST(coalesce(n_months, 0) AS BIGINT) n_months, CAST(m0 AS BIGINT) m0,
+       FROM ai WHERE d IS NOT NULL GROUP BY id)
+SELECT bf.id, bf.k, CAST(bf.amt AS DOUBLE) amt, CAST(coalesce(n_months, 0) AS BIGINT) n_months, CAST(m0 AS BIGINT) m0,
   CAST(m1 AS BIGINT) m1, coalesce("months", '') "months", strftime(first_reg, {DAY}) first_reg
-FROM bo LEFT JOIN mm ON bo.k = mm.k"""
+FROM bf LEFT JOIN mm ON bf.id = mm.id"""
 
 Q["unmatched_composite"] = BASE + """,
 ap AS (SELECT ln % 3 nm, k, year(d) * 100 + month(d) ym FROM a WHERE cls = 'paper'),
@@ -376,14 +375,13 @@ UNION ALL SELECT 'top_shared', k, 1, CAST(a_sum AS DOUBLE), CAST(b_sum AS DOUBLE
 FROM (SELECT * FROM c WHERE section = 'both' ORDER BY abs(delta) DESC, k LIMIT 10)"""
 
 Q["mismatch_reasons"] = BASE + """,
-xa AS (SELECT k % 500 num, year(d) * 100 + month(d) dt, ln % 3 nm, CAST(floor(abs(amt) / 50000) AS BIGINT) am,
-         CASE WHEN rf = 'A' AND ln = 1 THEN 'paper' ELSE 'other' END c FROM a),
-xb AS (SELECT k, k % 500 num, year(d) * 100 + month(d) dt, cu % 3 nm, CAST(floor(amt / 50000) AS BIGINT) am
-       FROM b WHERE cls = 'paper'),
+xa AS (SELECT k num, CASE WHEN k % 13 <> 0 THEN year(d) END dt, ln % 3 nm, length(CAST(CAST(floor(abs(amt)) AS BIGINT) AS VARCHAR)) am,
+         CASE WHEN rf = 'A' AND tax_rate < 0.025 THEN 'paper' ELSE 'other' END c FROM a),
+xb AS (SELECT k, k num, CASE WHEN k % 13 <> 0 THEN year(d) END dt, cu % 3 nm, length(CAST(CAST(floor(abs(amt)) AS BIGINT) AS VARCHAR)) am FROM b),
 na AS (SELECT num, dt, nm, am, count(*) n FROM xa WHERE c = 'paper' GROUP BY num, dt, nm, am),
 rb AS (SELECT xb.*, row_number() OVER (PARTITION BY num, dt, nm, am ORDER BY k) rn,
          count(*) OVER (PARTITION BY num, dt, nm, am) n FROM xb),
-sur AS (SELECT rb.k, rb.num, rb.dt, rb.nm, rb.am FROM rb LEFT JOIN na ON rb.num = na.num AND rb.dt = na.dt
+sur AS (SELECT rb.k, rb.num, rb.dt, rb.nm, rb.am FROM rb LEFT JOIN na ON rb.num = na.num AND rb.dt IS NOT DISTINCT FROM na.dt
           AND rb.nm = na.nm AND rb.am = na.am WHERE rb.rn <= rb.n - coalesce(na.n, 0)),
 cut AS (SELECT * FROM (SELECT sur.*, row_number() OVER (ORDER BY k) pos FROM sur) z
         WHERE pos <= (SELECT greatest((SELECT count(*) FROM xb) - (SELECT count(*) FROM xa WHERE c = 'paper'), 0))),
@@ -391,7 +389,7 @@ fl AS (SELECT cut.k, max(CASE WHEN xa.c = 'paper' THEN 1 ELSE 0 END) p,
          max(CASE WHEN xa.c = 'paper' AND xa.nm = cut.nm THEN 1 ELSE 0 END) pn,
          max(CASE WHEN xa.c = 'paper' AND xa.nm = cut.nm AND xa.am = cut.am THEN 1 ELSE 0 END) pna,
          max(CASE WHEN xa.c IS NOT NULL THEN 1 ELSE 0 END) anyc
-       FROM cut LEFT JOIN xa ON cut.num = xa.num AND cut.dt = xa.dt GROUP BY cut.k)
+       FROM cut LEFT JOIN xa ON cut.num = xa.num AND cut.dt IS NOT DISTINCT FROM xa.dt GROUP BY cut.k)
 SELECT CASE WHEN pna = 1 THEN 'full_match' WHEN pn = 1 THEN 'other_amount' WHEN p = 1 THEN 'other_name'
             WHEN anyc = 1 THEN 'other_class' ELSE 'not_found' END reason, CAST(count(*) AS BIGINT) n FROM fl GROUP BY 1"""
 
@@ -416,7 +414,7 @@ SELECT CAST(count(*) AS BIGINT) total_records,
   CAST(sum(CASE WHEN pcls IN ('electronic', 'self_invoice') THEN 1 ELSE 0 END) AS BIGINT) electronic_records,
   CAST(coalesce(sum(CASE WHEN pcls = 'paper' THEN paid END), 0) AS DOUBLE) paper_amount,
   CAST(coalesce(sum(CASE WHEN pcls IN ('electronic', 'self_invoice') THEN paid END), 0) AS DOUBLE) electronic_amount,
-  CAST((SELECT sum(n) - count(*) FROM g) AS BIGINT) duplicates_removed
+  CAST((SELECT sum(n) - count(*) FROM g) AS BIGINT) duplicates_removed, CAST(0 AS BIGINT) rejected_amounts
 FROM y"""
 
 Q["register_code_sheets"] = _EXPORT + f""",
@@ -433,7 +431,7 @@ SELECT CAST(count(*) AS BIGINT) total_records,
   CAST(sum(CASE WHEN NOT paper THEN 1 ELSE 0 END) AS BIGINT) electronic_records,
   CAST(coalesce(sum(CASE WHEN paper THEN amt END), 0) AS DOUBLE) paper_amount,
   CAST(coalesce(sum(CASE WHEN NOT paper THEN amt END), 0) AS DOUBLE) electronic_amount,
-  CAST(0 AS BIGINT) duplicates_removed FROM t"""
+  CAST(0 AS BIGINT) duplicates_removed, CAST(0 AS BIGINT) rejected_amounts FROM t"""
 
 Q["portal_paid_report"] = """
 WITH t AS (SELECT o_orderstatus = 'P' paper,
@@ -488,3 +486,66 @@ Q["period_if_filled"] = f"""
 SELECT o_orderkey k, strftime(o_orderdate, {DAY}) d, strftime(o_orderdate + INTERVAL 3 DAY, {DAY}) paid FROM orders
 WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' AND o_orderstatus = 'F'
   AND o_orderdate + INTERVAL 3 DAY BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-06-30'"""
+
+Q["register_detail"] = _EXPORT + f"""
+SELECT 'Supplier#' || l_suppkey party, strftime(d, {DAY}) doc_date, CAST(k AS VARCHAR) doc_no, strftime(d, {DAY}) reg_date,
+  proto code, CASE WHEN rf = 'A' THEN 'A' ELSE 'D' END sign, CAST(l_linenumber AS VARCHAR) seq_no, id ext_id, pcls cls,
+  CAST(paid AS DOUBLE) amount, 0.0::DOUBLE tax, 0.0::DOUBLE order_total, CAST(sw AS DOUBLE) withholding FROM y"""
+
+Q["register_code_counts"] = _EXPORT + f""",
+dim AS (SELECT * FROM (VALUES {_DIM}) v(pos, code, descr, cls))
+SELECT dim.code, CAST(count(y.k) AS BIGINT) n FROM dim LEFT JOIN y ON y.proto = dim.code GROUP BY dim.code"""
+
+Q["portal_received_detail"] = f"""
+WITH t AS (SELECT o_orderkey k, o_custkey c, o_orderdate d, CAST(o_totalprice AS DECIMAL(18,2)) total,
+             CASE WHEN o_orderkey % 7 IN (0, 1) THEN 0
+                  ELSE round_even(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.10 AS DECIMAL(18,2)), 2) END vat FROM orders
+           WHERE o_orderdate BETWEEN TIMESTAMP '2000-04-01' AND TIMESTAMP '2000-06-30')
+SELECT 'Customer#' || c party, CAST(k AS VARCHAR) doc_no, strftime(d, {DAY}) paid, CAST(vat AS DOUBLE) vat,
+  CAST(total - vat AS DOUBLE) taxable, CAST(total AS DOUBLE) total FROM t
+UNION ALL SELECT 'TOTALE', NULL, NULL, CAST(sum(vat) AS DOUBLE), CAST(sum(total - vat) AS DOUBLE), CAST(sum(total) AS DOUBLE) FROM t"""
+
+_COMPARED = _EXPORT + """,
+xa AS (SELECT id, k, d, CAST(paid AS DECIMAL(18,2)) amt, CASE WHEN pcls = 'paper' THEN 'paper' ELSE 'electronic' END cls FROM y),
+b0 AS (SELECT CASE WHEN o_orderstatus = 'P' THEN (CASE o_orderkey % 4 WHEN 1 THEN 'nan' WHEN 3 THEN 'None' ELSE '' END)
+                   WHEN o_orderstatus = 'F' AND o_orderkey % 10 = 0 THEN '0' ELSE CAST(o_orderkey AS VARCHAR) END id,
+         o_orderkey k, o_orderdate d,
+         CAST(round_even(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.90 AS DECIMAL(18,2)), 2) AS DECIMAL(18,2)) amt FROM orders),
+xb AS (SELECT *, CASE WHEN id = '' THEN 'paper' ELSE 'electronic' END cls FROM b0),
+ga AS (SELECT id, count(*) n, sum(amt) s FROM xa WHERE cls = 'electronic' AND id <> '' GROUP BY id),
+gb AS (SELECT id, count(*) n, sum(amt) s FROM xb WHERE cls = 'electronic' GROUP BY id),
+m AS (SELECT coalesce(ga.id, gb.id) k, coalesce(ga.n, 0) a_rows, coalesce(ga.s, 0) a_sum, coalesce(gb.n, 0) b_rows, coalesce(gb.s, 0) b_sum
+      FROM ga FULL OUTER JOIN gb ON ga.id = gb.id)"""
+
+Q["compare_delta"] = _COMPARED + """
+SELECT CASE WHEN b_rows = 0 THEN 'only_a' WHEN a_rows = 0 THEN 'only_b' ELSE 'different_amount' END outcome, k,
+  CAST(a_rows AS BIGINT) a_rows, CAST(a_sum AS DOUBLE) a_sum, CAST(b_rows AS BIGINT) b_rows, CAST(b_sum AS DOUBLE) b_sum,
+  CAST(a_sum - b_sum AS DOUBLE) delta_sum
+FROM m WHERE a_rows = 0 OR b_rows = 0 OR abs(a_sum - b_sum) > 0.01"""
+
+Q["compare_drilldown"] = _COMPARED + """,
+top AS (SELECT k FROM m ORDER BY abs(a_sum - b_sum) DESC, k LIMIT 30),
+ra AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, CAST(k AS VARCHAR)) rn FROM xa
+       WHERE cls = 'electronic' AND id IN (SELECT k FROM top)),
+rb AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, CAST(k AS VARCHAR)) rn FROM xb
+       WHERE cls = 'electronic' AND id IN (SELECT k FROM top))
+SELECT id k, 'a' side, CAST(amt AS DOUBLE) amt, CAST(k AS VARCHAR) doc_no FROM ra WHERE rn <= 20
+UNION ALL SELECT id, 'b', CAST(amt AS DOUBLE), CAST(k AS VARCHAR) FROM rb WHERE rn <= 20"""
+
+Q["compare_paper_detail"] = _COMPARED + """,
+pa AS (SELECT CAST(k AS VARCHAR) num, amt, count(*) n FROM xa WHERE cls = 'paper' GROUP BY 1, 2),
+pb AS (SELECT CAST(k AS VARCHAR) num, amt, count(*) n FROM xb WHERE cls = 'paper' GROUP BY 1, 2),
+pm AS (SELECT coalesce(pa.num, pb.num) num, coalesce(pa.amt, pb.amt) amt, coalesce(pa.n, 0) - coalesce(pb.n, 0) d
+       FROM pa FULL OUTER JOIN pb ON pa.num = pb.num AND pa.amt = pb.amt)
+SELECT CASE WHEN d > 0 THEN 'only_a' ELSE 'only_b' END outcome, num num_key, CAST(amt AS VARCHAR) amount_key,
+  CAST(CASE WHEN d > 0 THEN amt ELSE -amt END AS DOUBLE) delta
+FROM (SELECT *, unnest(range(abs(d))) FROM pm WHERE d <> 0)"""
+
+Q["compare_overview"] = _COMPARED + """,
+u AS (SELECT 'a' side, cls, amt FROM xa UNION ALL SELECT 'b', cls, amt FROM xb)
+SELECT 'Tutto il periodo' period,
+  """ + ",\n  ".join(
+    f"count(*) FILTER (side = '{side}' AND cls = '{c}') {side}_{c}_count, "
+    f"CAST(coalesce(sum(amt) FILTER (side = '{side}' AND cls = '{c}'), 0) AS DOUBLE) {side}_{c}_amount"
+    for side in "ab" for c in ("paper", "electronic")) + """
+FROM u"""

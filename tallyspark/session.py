@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,9 +50,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` as configured for the cluster. Only when it
-    is unset (local runs, tests) a fresh local folder is created and set.
-    Works with classic sessions and, through the session conf, with Spark
-    Connect sessions (no ``sparkContext`` there).
+    is unset and the master is local (tests) a fresh local folder is created
+    and set; on a cluster an unset folder is an error, because executors can't see
+    a folder of the driver. Works with classic sessions and, through the session
+    conf, with Spark Connect sessions (no ``sparkContext`` there).
     """
     try:
         sc = spark.sparkContext
@@ -58,12 +62,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
-            configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
-            spark.conf.set("spark.checkpoint.dir", configured)
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return configured
     configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources.delimited import (
     NA_TOKENS, bad_row_count, find_header_row, head_lines, raw_line_count, read_delimited,
-    read_flexible, select_columns, sniff_delimiter, sniff_encoding,
+    read_flexible, select_columns, sniff_delimiter, survey_files,
 )
-from tallyspark.sources.xlsx import read_xlsx, register_xlsx, write_xlsx
+from tallyspark.sources.xlsx import read_xlsx, write_xlsx
 
 
 def read_parquet_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -39,5 +39,5 @@ def read_ledger(spark: SparkSession, path: str, fmt: str | None = None, **kw) ->
 
 
 __all__ = ["read_ledger", "read_delimited", "read_flexible", "read_xlsx", "read_parquet_ledger",
-           "register_xlsx", "write_xlsx", "find_header_row", "select_columns", "raw_line_count",
-           "bad_row_count", "head_lines", "sniff_delimiter", "sniff_encoding", "NA_TOKENS"]
+           "write_xlsx", "find_header_row", "select_columns", "raw_line_count",
+           "bad_row_count", "head_lines", "sniff_delimiter", "survey_files", "NA_TOKENS"]

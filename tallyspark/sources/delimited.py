@@ -4,17 +4,20 @@ Everything is read as ``string`` (never inferred) and carries two extra
 columns: ``_row``, the file order (``monotonically_increasing_id`` taken in
 the scan, so it increases along each file), and ``_src``, the file name.
 
-Only a bounded head sample (a few lines) is looked at on the driver, to
-sniff the delimiter and encoding and to find the header; the data itself is
-parsed by Spark's CSV reader on the executors.
+Each file has its own encoding, delimiter and header. One scan on the
+executors looks at every line of every file — is it valid UTF-8, does a quote
+stay open — and brings the first lines of each file to the driver. Files
+that are alike are read together by Spark's CSV reader, and the parts are
+united by column name.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+from collections import defaultdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,25 +29,36 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def _first_file(spark: SparkSession, path: str) -> str:
-    files = spark.read.text(path).inputFiles()
-    if not files:
-        raise FileNotFoundError(path)
-    return sorted(files)[0]
-
-
-def head_lines(spark: SparkSession, path: str, n: int = SAMPLE_LINES, encoding: str = "UTF-8") -> list[str]:
-    """First ``n`` lines of the first file (a bounded driver-side sample)."""
-    first = _first_file(spark, path)
-    df = spark.read.option("encoding", encoding).text(first) if encoding.upper() != "UTF-8" \
-        else spark.read.text(first)
-    return [r.value for r in df.limit(n).collect()]
+def _text(spark: SparkSession, path) -> DataFrame:
+    """Lines as they are, with their file and their order in it."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias(SRC),
+                                        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias(ROW))
+
+
+def survey_files(spark: SparkSession, path, n: int = SAMPLE_LINES) -> dict[str, dict]:
+    """Of each file its ``encoding`` (UTF-8 if every line is valid UTF-8, else
+    Latin-1), whether a quoted field goes over a line end (``multi_line``),
+    and its first ``n`` lines (``head``)."""
+    lines = _text(spark, path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    facts = lines.groupBy("_file").agg(F.bool_or(~F.is_valid_utf8("value")).alias("latin"), F.bool_or(quotes % 2 == 1).alias("open"))
+    # the first block of a file holds its first lines
+    first = Window.partitionBy("_file").orderBy(ROW)
+    heads = (lines.where("_start = 0").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n)
+                  .select("_file", "_n", F.col("value").cast("binary").alias("value")))
+    out = {r["_file"]: {"encoding": "ISO-8859-1" if r["latin"] else "UTF-8", "multi_line": bool(r["open"]), "head": []} for r in facts.collect()}
+    for r in sorted(heads.collect(), key=lambda r: (r["_file"], r["_n"])):
+        fact = out[r["_file"]]
+        fact["head"].append(bytes(r["value"]).decode(fact["encoding"]).lstrip("\ufeff") if r["_n"] == 1 else bytes(r["value"]).decode(fact["encoding"]))
+    if not out and not spark.read.text(path).inputFiles():
+        raise FileNotFoundError(str(path))
+    return out
 
 
-def sniff_encoding(lines: list[str]) -> str:
-    """UTF-8 unless the sample holds replacement characters (bytes that are
-    not UTF-8), then Latin-1 — the fallback order of the source."""
-    return "ISO-8859-1" if any("�" in ln for ln in lines) else "UTF-8"
+def head_lines(spark: SparkSession, path: str, n: int = SAMPLE_LINES) -> list[str]:
+    """First ``n`` lines of the first file by name."""
+    files = survey_files(spark, path, n)
+    return files[min(files)]["head"] if files else []
 
 
 def sniff_delimiter(lines: list[str], default: str = ",") -> str:
@@ -84,83 +98,108 @@ def _na_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
          .alias(c) if c in cols else F.col(f"`{c}`")) for c in df.columns])
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-                   keep_bad: bool = False, na_to_null: bool = True, header_row: int | None = None
-                   ) -> DataFrame:
+def read_delimited(spark: SparkSession, path, sep: str | None = None, encoding: str | None = None,
+                   keep_bad: bool = False, na_to_null: bool = True, header_row: int | None = None,
+                   known_names=None, min_hits: int = 5) -> DataFrame:
     """Read delimited text as all-string columns.
 
-    * ``sep`` / ``encoding``: sniffed from a head sample when None
-      (delimiter among ``, ; tab |``; UTF-8, else Latin-1). A UTF-8 BOM is
-      dropped.
+    * ``sep`` / ``encoding``: decided for each file when None (delimiter among
+      ``, ; tab |`` from its first lines; UTF-8 if all of it is, else
+      Latin-1). A UTF-8 BOM is dropped.
+    * Columns are matched by name over the files, in the order of the first
+      file by name; files with other names are an error that says which.
+    * Quoted fields may hold line ends (such files aren't split).
     * Short rows are padded with NULLs; rows with *more* fields than the
       header are malformed: dropped, or kept with ``_extra`` set when
       ``keep_bad`` (see :func:`bad_row_count`).
     * ``na_to_null``: pandas' default missing-value tokens become NULL.
-    * ``header_row``: index of the header line when banner lines precede
-      it (see :func:`find_header_row`).
+    * ``header_row``: index of the header line when banner lines precede it in
+      every file; with ``known_names`` it is looked for in each file
+      (:func:`header_row_of`).
     """
-    lines = head_lines(spark, path)
-    enc = encoding or sniff_encoding(lines)
-    if enc != "UTF-8":
-        lines = head_lines(spark, path, encoding=enc)
-    delim = sep or sniff_delimiter(lines[(header_row or 0):])
-    hdr = header_row or 0
-    names = unique_names(split_line(lines[hdr], delim)) if len(lines) > hdr else []
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
-                          + [T.StructField(EXTRA, T.StringType())])
-    opts = {"sep": delim, "encoding": enc, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
-            "multiLine": "false"}
-    if hdr == 0:
-        df = spark.read.schema(schema).options(header="true", **opts).csv(path)
-        df = df.select("*", F.monotonically_increasing_id().alias(ROW), F.col("_metadata.file_name").alias(SRC))
-    else:
-        text = spark.read.option("encoding", enc).text(path).select(
-            "value", F.monotonically_increasing_id().alias(ROW), F.col("_metadata.file_name").alias(SRC))
-        text = text.where(F.col(ROW) > hdr)
-        ddl = ", ".join(f"`{f.name}` string" for f in schema.fields)
-        parsed = F.from_csv(F.col("value"), ddl, {"sep": delim, "quote": '"', "escape": '"'})
-        df = text.select(parsed.alias("_r"), ROW, SRC).select("_r.*", ROW, SRC)
+    alike = defaultdict(list)
+    for file, fact in sorted(survey_files(spark, path).items()):
+        head = fact["head"]
+        hdr = header_row or 0
+        if known_names is not None and header_row is None:
+            hdr = header_row_of(head, known_names, min_hits, sep=sep) or 0
+        delim = sep or sniff_delimiter(head[hdr:])
+        names = tuple(unique_names(split_line(head[hdr], delim))) if len(head) > hdr else ()
+        if names:  # an empty file has no columns and no rows
+            alike[encoding or fact["encoding"], fact["multi_line"], delim, hdr, names].append(file)
+    parts, order = [], None
+    for (enc, multi, delim, hdr, names), files in alike.items():
+        if order is None:
+            order = list(names)
+        elif set(names) != set(order):
+            raise ValueError(f"{files[0]} has other columns than the first file: {sorted(set(names) ^ set(order))}")
+        parts.append(_read_alike(spark, files, enc, multi, delim, hdr, list(names)).select(*[F.col(f"`{c}`") for c in order], EXTRA, ROW, SRC))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(ROW, T.LongType()), T.StructField(SRC, T.StringType())]))
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part)
     if na_to_null:
-        df = _na_to_null(df, names)
+        df = _na_to_null(df, order)
     if keep_bad:
         return df
     return df.where(F.col(EXTRA).isNull()).drop(EXTRA)
 
 
+def _read_alike(spark: SparkSession, files: list[str], enc: str, multi: bool, delim: str, hdr: int, names: list[str]) -> DataFrame:
+    """Files of one encoding, delimiter and header."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA]])
+    opts = {"sep": delim, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    if hdr == 0:
+        df = spark.read.schema(schema).options(header="true", encoding=enc, multiLine=str(multi).lower(), **opts).csv(files)
+        return df.select("*", F.monotonically_increasing_id().alias(ROW), F.col("_metadata.file_name").alias(SRC))
+    # banner lines: each file's lines up to its header are its first ones, which stand in its first block
+    lines = _text(spark, files)
+    first = F.broadcast(lines.where("_start = 0").groupBy("_file").agg(F.min(ROW).alias("_first")))  # a row a file
+    kept = lines.join(first, "_file", "left").where((F.col("_start") > 0) | (F.col(ROW) - F.col("_first") > hdr))
+    value = F.col("value") if enc == "UTF-8" else F.decode(F.col("value").cast("binary"), F.lit(enc))
+    ddl = ", ".join(f"`{n}` string" for n in [*names, EXTRA])
+    parsed = F.from_csv(value, ddl, {k: v for k, v in opts.items() if k != "mode"})
+    return kept.where(F.btrim("value") != "").select(parsed.alias("_r"), ROW, SRC).select("_r.*", ROW, SRC)
+
+
 def bad_row_count(df_with_extra: DataFrame) -> DataFrame:
     """One row ``skipped_rows``: rows with more fields than the header."""
     return df_with_extra.agg(F.sum(F.when(F.col(EXTRA).isNotNull(), 1).otherwise(0))
                              .cast("bigint").alias("skipped_rows"))
 
 
-def find_header_row(spark: SparkSession, path: str, known_names, min_hits: int = 5,
-                    probe_rows: int = 25, sep: str | None = None) -> int | None:
-    """Index of the first of the first ``probe_rows`` lines holding at
-    least ``min_hits`` known column names (compared stripped and
-    upper-cased), or None."""
-    lines = head_lines(spark, path, probe_rows)
-    enc = sniff_encoding(lines)
-    if enc != "UTF-8":
-        lines = head_lines(spark, path, probe_rows, enc)
-    delim = sep or sniff_delimiter(lines)
+def header_row_of(head: list[str], known_names, min_hits: int = 5, probe_rows: int = 25, sep: str | None = None) -> int | None:
+    """0 if the first line names any column; else the first of the first
+    ``probe_rows`` lines holding at least ``min_hits`` known column names
+    (compared stripped and upper-cased), or None."""
+    delim = sep or sniff_delimiter(head)
+    names = split_line(head[0], delim) if head else []
+    if any(n.strip() and not n.strip().lower().startswith("unnamed") for n in names):
+        return 0
     wanted = {str(x).strip().upper() for x in known_names}
-    for i, ln in enumerate(lines[:probe_rows]):
+    for i, ln in enumerate(head[:probe_rows]):
         vals = {v.strip().upper() for v in split_line(ln, delim) if v.strip()}
         if len(vals & wanted) >= min_hits:
             return i
     return None
 
 
+def find_header_row(spark: SparkSession, path: str, known_names, min_hits: int = 5,
+                    probe_rows: int = 25, sep: str | None = None) -> int | None:
+    """Index of the header line of the first file by name, banner or not."""
+    head = head_lines(spark, path)
+    delim = sep or sniff_delimiter(head)
+    wanted = {str(x).strip().upper() for x in known_names}
+    hits = (i for i, ln in enumerate(head[:probe_rows])
+            if len({v.strip().upper() for v in split_line(ln, delim) if v.strip()} & wanted) >= min_hits)
+    return next(hits, None)
+
+
 def read_flexible(spark: SparkSession, path: str, known_names, min_hits: int = 5, **kw) -> DataFrame:
-    """A normal header when any header name is real; otherwise look for
-    the header line among the first 25 lines and read below it."""
-    lines = head_lines(spark, path, 1)
-    delim = kw.get("sep") or sniff_delimiter(head_lines(spark, path))
-    names = split_line(lines[0], delim) if lines else []
-    if any(n.strip() and not n.strip().lower().startswith("unnamed") for n in names):
-        return read_delimited(spark, path, **kw)
-    idx = find_header_row(spark, path, known_names, min_hits, sep=delim)
-    return read_delimited(spark, path, header_row=idx, **kw) if idx else read_delimited(spark, path, **kw)
+    """A normal header when any header name is real; otherwise the header
+    line is looked for among the first 25 lines, in each file."""
+    return read_delimited(spark, path, known_names=known_names, min_hits=min_hits, **kw)
 
 
 def select_columns(df: DataFrame, names) -> DataFrame:

@@ -8,21 +8,17 @@ written in the cell, dates (cells with a date number format) as
 
 :func:`read_xlsx` is the cluster path: ``binaryFile`` reads the workbooks
 from any filesystem Spark reads and each workbook is parsed inside its task
-(``mapInPandas``); a folder of workbooks is parsed in parallel. A Python Data
-Source (``spark.read.format("xlsx")`` after :func:`register_xlsx`) is also
-provided for local paths.
+(``mapInPandas``); a folder of workbooks is parsed in parallel. This is an
+ingest helper beside the operators: a workbook is parsed by one task.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import glob
 import re
 import zipfile
 from xml.etree import ElementTree as ET
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
       "rel": "http://schemas.openxmlformats.org/package/2006/relationships"}
@@ -128,68 +124,6 @@ def header_of(path: str, sheet: str | None = None, header_row: int = 0) -> list[
     return []
 
 
-class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class XlsxDataSource(DataSource):
-    """``spark.read.format("xlsx")``; options: ``path`` (file, folder or
-    glob), ``sheet`` (name, default first), ``headerRow`` (index, default 0).
-    Columns: the header names of the first workbook (all strings), then
-    ``_row`` (row index within the workbook) and ``_src`` (file path)."""
-
-    @classmethod
-    def name(cls):
-        return "xlsx"
-
-    def _files(self) -> list[str]:
-        p = self.options.get("path")
-        if p is None:
-            raise ValueError("option 'path' is required")
-        p = p.replace("file:", "") if p.startswith("file:") else p
-        files = sorted(glob.glob(p if any(ch in p for ch in "*?[") else
-                                 (p + "/*.xlsx" if not p.endswith((".xlsx", ".xlsm")) else p)))
-        if not files:
-            raise FileNotFoundError(p)
-        return files
-
-    def schema(self):
-        from tallyspark.sources.delimited import unique_names
-        names = unique_names(header_of(self._files()[0], self.options.get("sheet"),
-                                       int(self.options.get("headerRow", 0))))
-        cols = ", ".join(f"`{n}` string" for n in names)
-        return f"{cols}, _row bigint, _src string" if cols else "_row bigint, _src string"
-
-    def reader(self, schema):
-        return _XlsxReader(self.options, schema, self._files())
-
-
-class _XlsxReader(DataSourceReader):
-    def __init__(self, options, schema, files):
-        self.sheet = options.get("sheet")
-        self.header_row = int(options.get("headerRow", 0))
-        self.width = len(schema.fields) - 2
-        self.files = files
-
-    def partitions(self):
-        return [_FilePartition(f) for f in self.files]
-
-    def read(self, partition):
-        for i, row in enumerate(iter_rows(partition.path, self.sheet)):
-            if i <= self.header_row:
-                continue
-            if all(v is None or str(v).strip() == "" for v in row):
-                continue
-            vals = (row + [None] * self.width)[: self.width]
-            yield tuple(vals) + (i, partition.path)
-
-
-def register_xlsx(spark) -> None:
-    spark.dataSource.register(XlsxDataSource)
-
-
 def read_xlsx(spark, path: str, sheet: str | None = None, header_row: int = 0):
     """Workbooks at ``path`` (file, folder or glob, on any filesystem Spark
     reads: local, HDFS, object stores) as all-string rows plus ``_row`` and
@@ -197,7 +131,8 @@ def read_xlsx(spark, path: str, sheet: str | None = None, header_row: int = 0):
 
     ``binaryFile`` gives one row per workbook (its bytes), read by the
     executors; each workbook is parsed inside its task (``mapInPandas``).
-    Only the header names of the first workbook reach the driver.
+    Columns are those of the first workbook by path, whose header alone reaches
+    the driver; others are matched by name, and other names are an error.
     """
     import io
 
@@ -216,8 +151,8 @@ def read_xlsx(spark, path: str, sheet: str | None = None, header_row: int = 0):
                 yield pd.DataFrame({"name": names})
                 return
 
-    first = files.orderBy("path").limit(1)
-    names = unique_names([r.name for r in first.mapInPandas(header, "name string").collect()])
+    first = files.agg(F.min("path")).first()[0]  # paths alone are read
+    names = unique_names([r.name for r in files.where(F.col("path") == first).mapInPandas(header, "name string").collect()])
     if not names:
         raise ValueError(f"no header found in {path}")
     width = len(names)
@@ -227,10 +162,15 @@ def read_xlsx(spark, path: str, sheet: str | None = None, header_row: int = 0):
         for pdf in batches:
             for src, content in zip(pdf["path"], pdf["content"]):
                 rows = []
+                own = unique_names(header_of(io.BytesIO(content), sheet, header_row))
+                if set(own) != set(names):
+                    raise ValueError(f"{src} has other columns than the first workbook: {sorted(set(own) ^ set(names))}")
+                at = [own.index(n) for n in names]
                 for i, row in enumerate(iter_rows(io.BytesIO(content), sheet)):
                     if i <= header_row or all(v is None or str(v).strip() == "" for v in row):
                         continue
-                    rows.append((row + [None] * width)[:width] + [i, src])
+                    row = (row + [None] * width)[:width]
+                    rows.append([row[k] for k in at] + [i, src])
                 yield pd.DataFrame(rows, columns=names + ["_row", "_src"]).astype(
                     {**{n: "object" for n in names}, "_row": "int64", "_src": "object"})
 

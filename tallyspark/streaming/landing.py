@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyspark.session import checkpoint_dir
-from tallyspark.sources.delimited import head_lines, sniff_delimiter, sniff_encoding, split_line, unique_names
+from tallyspark.sources.delimited import sniff_delimiter, split_line, survey_files, unique_names
 
 
 def land_exports(spark: SparkSession, folder: str, sample_file: str, out_path: str,
@@ -20,14 +19,13 @@ def land_exports(spark: SparkSession, folder: str, sample_file: str, out_path: s
     layout as the stream). Rows are kept as strings with ``_src`` (file
     name) and ``_landed`` (ingestion time); the table is partitioned by
     ``_src`` so a job can read one export or a quarter of them. The stream's
-    checkpoint lives under the cluster's shared checkpoint folder unless
-    ``checkpoint`` is given. ``available_now`` processes what is there and
+    checkpoint lies beside the data, in ``_checkpoint`` under ``out_path`` (readers
+    skip names that begin with an underscore), so that the next scheduled run
+    finds it, unless ``checkpoint`` is given. ``available_now`` processes what is there and
     stops (a scheduled run); otherwise the query keeps running.
     """
-    lines = head_lines(spark, sample_file)
-    enc = sniff_encoding(lines)
-    if enc != "UTF-8":
-        lines = head_lines(spark, sample_file, encoding=enc)
+    fact = next(iter(survey_files(spark, sample_file).values()))
+    lines, enc = fact["head"], fact["encoding"]
     sep = sniff_delimiter(lines)
     names = unique_names(split_line(lines[0], sep))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -37,7 +35,7 @@ def land_exports(spark: SparkSession, folder: str, sample_file: str, out_path: s
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.csv(folder).select(
         "*", F.col("_metadata.file_name").alias("_src"), F.current_timestamp().alias("_landed"))
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing-{abs(hash(out_path))}"
+    ckpt = checkpoint or f"{out_path.rstrip('/')}/_checkpoint"
     w = (stream.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ckpt)
          .partitionBy("_src").outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -39,7 +39,7 @@ def test_register_missing_columns_fx2(spark):
 
 def test_register_no_valid_code(spark):
     rows = [r[:4] + ["ZZ"] + r[5:] for r in FX1]
-    with pytest.raises(ValueError, match="Nessun protocollo"):
+    with pytest.raises(ValueError, match="allowed protocol"):
         jobs.register_report(_with_order(strings(spark, FX1_HEADER, rows)))
 
 
@@ -162,7 +162,7 @@ def test_compare_header_variants_fx7(spark):
 def test_compare_period_guard(spark):
     reg = strings(spark, REG6_HEADER, REG6)
     por = strings(spark, POR6_HEADER, POR6)
-    with pytest.raises(ValueError, match="trimestri"):
+    with pytest.raises(ValueError, match="quarters"):
         jobs.compare_ledgers(reg, por, "Registro I TRIM 2025.csv", "Portale II TRIM 2025.xlsx")
     out = jobs.compare_ledgers(reg, por, "Registro I TRIM 2025.csv", "Portale.xlsx")
     assert out["overview"].first().period == "01/01/2025 - 31/03/2025"

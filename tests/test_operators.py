@@ -121,22 +121,35 @@ def test_hot_key_ranking_matches_window(spark):
                                  F.lit(Decimal(1)).cast("decimal(18,2)").alias("amt"),
                                  ((F.col("id") * 7919) % 3000).alias("d"))
     b = a.where(F.col("d") % 3 == 0)
-    plain = rec.multiset_diff(a, b, ["k"], ["d"], ["d"], hot_key_rows=None)
-    spread = rec.multiset_diff(a, b, ["k"], ["d"], ["d"], hot_key_rows=100)
-    key = lambda df: sorted((r.outcome, r.k, r.d) for r in df.collect())
-    assert key(plain) == key(spread)
+    spread = rec.multiset_diff(a, b, ["k"], ["d"], ["d"])
+    from pyspark.sql import Window
+    n_a, n_b = (df.groupBy("k").agg(F.count("*").alias(n)) for df, n in ((a, "na"), (b, "nb")))
+    plain = (a.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("d"))).join(n_a, "k").join(n_b, "k", "left")
+              .where(F.col("rn") <= F.col("na") - F.coalesce("nb", F.lit(0))))
+    assert sorted((r.k, r.d) for r in plain.collect()) == sorted((r.k, r.d) for r in spread.collect())
     assert sum(1 for r in spread.collect() if r.k == "hot") == 2400 - 800
 
 
+def test_null_keys_and_repeated_ids(spark):
+    a = spark.createDataFrame([(None, 1, 5), (None, 2, 5), ("x", 3, None)], "k string, d int, m int")
+    b = spark.createDataFrame([(None, 9, 5), ("x", 8, None), ("x", 7, None), ("y", 6, None)], "k string, d int, m int")
+    out = rec.multiset_diff(a, b, ["k", "m"], ["d"], ["d"], None, None)
+    assert sorted((r.outcome, r.k or "", r.d) for r in out.collect()) == [("only_a", "", 1), ("only_b", "x", 7), ("only_b", "y", 6)]
+    import datetime as dt
+    a = spark.createDataFrame([("z", dt.datetime(2025, 1, 3))], "k string, d timestamp_ntz")
+    b = spark.createDataFrame([("x", 2), ("x", 1), ("", 3), (None, 4), ("z", 5)], "k string, v int")
+    got = rec.arrival_lookup(b, a, a, "k", "d", b_order=["v"]).collect()
+    assert [(r.k, r.v) for r in got] == [("x", 1)]
+
+
 def test_count_codes_a3(spark):
     df = spark.createDataFrame([("EP",), ("EP",), ("EL",)], "code string")
     assert {r.code: r.n for r in agg.count_codes(df, "code", ["EP", "EL", "EZ"]).collect()} == {"EP": 2, "EL": 1, "EZ": 0}
 
 
 def test_layout_helpers_m12_m13(spark):
-    from tallyspark.plans.layout import first_present, normalize_name, project
+    from tallyspark.plans.layout import normalize_name, project
     assert normalize_name(" n. Fatture ") == "NFATTURE"
-    assert first_present(["FT_Prot", "X"], "FT_PROT", "FT_Prot") == "FT_Prot"
     df = spark.createDataFrame([("a", "b")], "C_NOME string, FAT_PROT string")
     assert project(df, {"FAT_PROT": "Protocollo", "C_NOME": "Ragione Sociale"}).columns == ["Protocollo", "Ragione Sociale"]
 
