@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Each step is a grouping and a join by node over the links alone; the links of a step are written to
-the shared folder, and only a count and a checksum reach the driver. A node with very many links is
+the shared folder, and the driver learns only whether they are settled. A node with very many links is
 pre-aggregated before the shuffle, and a skewed join on it is split by adaptive execution.
 """
 
@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import stored
 
 
-def _print_of(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether every node is the smallest of its component or has one link, to that one: then
+    another step would change nothing. One grouping by node."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(links.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.where((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") == 1))).isEmpty()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,17 +28,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     give no rows.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") > F.col("v")).distinct())
-    before = _print_of(edges)
-    while before[0]:
+    while not _settled(edges):
         around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = stored(small.distinct())
-        after = _print_of(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
