@@ -1,17 +1,21 @@
-"""Embedding near-dedup by sorted projection passes (operator 9).
-
-Equal vectors are one class. In each of ``PASSES`` passes a class gets a signature of 64 bits, each
-the side of a random hyperplane; rows are ordered by signature, which compares the hash
-bits one after another, and each row is compared with its ``NEIGHBOURS`` successors. Pairs whose cosine
-in double precision reaches the threshold are links; the links of all passes are united.
-
-The order of a pass is cut into blocks of ``BLOCK`` rows, each followed by copies of the next block's
-first ``NEIGHBOURS`` rows, so a task holds a bounded number of vectors and no neighbours are lost at
-a cut.
+"""Embedding near-dedup by projection passes (operator 9).
+
+Equal vectors are one class. In each pass a class gets a signature of bits, each the side of a random
+hyperplane; classes of one signature are a run, and all pairs of a run are compared, cosine in double
+precision. The bits grow with the logarithm of the number of classes, so that a run has about ``RUN``
+rows where vectors are spread evenly, and the passes grow with the bits, so that a pair just at the
+threshold shares a run of some pass with probability ``RECALL`` at every size. A table of ``RUN`` classes
+or fewer is one run, and the result is exact.
+
+The passes give links enough to join what is near; then all pairs within each component are compared
+and the links counted, so that none is missing there, whatever the size of the group. Runs and
+components of many rows are dealt in chunks, a task for two chunks at a time; neither step writes a row
+for each pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +26,17 @@ from pyspark.sql import types as T
 
 from tallyspark.llm.common import stored, table
 from tallyspark.llm.components import components
-from tallyspark.llm.hilbert import ranked
 
-PASSES = 24
-NEIGHBOURS = 24
-BLOCK = 4096
+#: Of a pair just at the threshold, the chance to meet in some pass.
+RECALL = 0.9999
+#: Rows of a run, on average; those compared in one task; and those of a chunk of a longer run.
+RUN, WHOLE, CHUNK = 1024, 2048, 1024
+#: Rows from which a component is cut into chunks, and the chunks it gets before they grow.
+COMPONENT, CHUNKS = 64, 32
 SEED = 11
 
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_COUNTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("others", T.LongType())])
 
 
 def unit(vectors: list) -> np.ndarray:
@@ -43,74 +50,152 @@ def planes(seed: int, one_pass: int, dims: int) -> np.ndarray:
     return np.random.default_rng([seed, one_pass, dims]).normal(size=(dims, 64))
 
 
-def signatures_of(x: np.ndarray, passes: int, seed: int) -> np.ndarray:
-    """For each row and pass, 64 hash bits as a long whose order is that of the bits."""
-    out = np.empty((len(x), passes), np.int64)
+def bits_and_passes(classes: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
+    """A bit is the same for two vectors with probability 1 - angle / pi."""
+    bits = max(0, math.ceil(math.log2(max(classes, 1) / RUN)))
+    meet = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** bits
+    if meet == 1:
+        return bits, 1
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
+
+
+def signatures_of(x: np.ndarray, bits: int, passes: int, seed: int) -> np.ndarray:
+    """For each row and pass, the hash bits as a long."""
+    out = np.zeros((len(x), passes), np.int64)
     for p in range(passes):
-        bits = (x @ planes(seed, p, x.shape[1])) > 0
-        packed = np.packbits(bits, axis=1).view(">u8")[:, 0].astype(np.uint64)
-        out[:, p] = (packed ^ np.uint64(1 << 63)).view(np.int64)
+        sides = (x @ planes(seed, p, x.shape[1])[:, :bits]) > 0
+        out[:, p] = sides @ (np.int64(1) << np.arange(bits, dtype=np.int64))
     return out
 
 
+def packed(vector: np.ndarray) -> bytes:
+    """Little-endian floats, in single precision if that holds them all."""
+    x = np.asarray(vector, "<f8")
+    with np.errstate(over="ignore"):
+        single = x.astype("<f4")
+    return single.tobytes() if (single == x).all() else x.tobytes()
+
+
+def unpacked(values: list[bytes], dims: int) -> list[np.ndarray]:
+    return [np.frombuffer(v, "<f4" if len(v) == 4 * dims else "<f8") for v in values]
+
+
+def near_pairs(x: np.ndarray, chunk: np.ndarray, cosine: float) -> np.ndarray:
+    """The matrix of links between rows of length one: between all, or if there are two chunks, between
+    rows of different ones. Products near the threshold are summed anew in an order that doesn't depend on the
+    other rows."""
+    product = x @ x.T
+    near = product >= cosine
+    a, b = np.nonzero(np.abs(product - cosine) < 1e-9)
+    for at in range(0, len(a), 1 << 16):
+        a1, b1 = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        near[a1, b1] = (x[a1] * x[b1]).sum(axis=1) >= cosine
+    np.fill_diagonal(near, False)
+    if len(chunk) and chunk.min() != chunk.max():
+        near &= chunk[:, None] != chunk[None, :]
+    return near
+
+
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join whatever the matrix joins, one fewer than nodes for each component."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left = near.any(axis=1)
+    while left.any():
+        edge = np.array([left.argmax()])
+        left[edge] = False
+        while len(edge):
+            reach = near[edge]
+            new = np.flatnonzero(reach.any(axis=0) & left)
+            a.append(edge[reach[:, new].argmax(axis=0)])
+            b.append(new)
+            left[new] = False
+            edge = new
+    return np.concatenate(a), np.concatenate(b)
+
+
+def groups_of(part: pd.DataFrame, cosine: float) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The rows of each group in ``part``, and the matrix of their links."""
+    for (_, dims), rows in part.groupby(["group", "dims"], sort=False):
+        if len(rows) > 1:
+            x = unit(unpacked(rows["v"].tolist(), int(dims)))
+            yield rows, near_pairs(x, rows["chunk"].to_numpy(), cosine)
+
+
+def dealt(rows: DataFrame, size: str, whole: int, chunk: str, bins: int) -> DataFrame:
+    """``rows`` (group, node, and more) with ``bin``, ``chunk``, ``i``, ``j``: a group of more than
+    ``whole`` rows in chunks of about ``chunk`` rows, each chunk once for every chunk of the group;
+    groups of fewer rows share ``bins`` tasks, or have one each if that is 0."""
+    cut = F.when(F.expr(f"{size} > {whole}"), F.expr(f"cast(ceil({size} / {chunk}) as int)")).otherwise(F.lit(1))
+    rows = rows.withColumn("chunks", cut).withColumn("chunk", F.expr("cast(pmod(xxhash64(node, 7), chunks) as int)"))
+    rows = rows.withColumn("bin", F.when(F.col("chunks") == 1, F.expr(f"pmod(group, {bins})")).otherwise(F.col("group")) if bins else F.col("group"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    return rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("chunks", "other", size)
+
+
 def usable(vector: str) -> str:
     """SQL for: not null, not empty, not all zero, and all components finite."""
     finite = f"forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     return f"({vector} IS NOT NULL AND size({vector}) > 0 AND {finite} AND exists({vector}, x -> x != 0))"
 
 
-def near_vectors(df: DataFrame, cosine: float = 0.9, passes: int = PASSES, neighbours: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(df: DataFrame, cosine: float = 0.9, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``df``.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without an id,
     link with nothing: they have no links, are their own component and are kept. Vectors of different
     lengths never link. Rows that share an id and a vector are one vector, a row each in the result.
-    Ties in a pass stand in the order of ids. Other columns of ``df`` are not read. An empty table
-    gives no rows.
+    Other columns of ``df`` are not read. An empty table gives no rows.
     """
     rows = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("v"))
     rows = rows.withColumn("class", F.when(F.expr(usable("v")) & F.col("vec_id").isNotNull(), F.sha2(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ",").cast("binary"), 256)))
     distinct = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("v").alias("v"))
-    # an id with two vectors gives two classes; nodes are told apart by a number
-    classes = stored(distinct.withColumn("node", F.xxhash64("class")))
 
-    def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for length, same in part.groupby(part["v"].map(len)):
-                found = signatures_of(unit(same["v"].tolist()), passes, SEED)
-                yield pd.DataFrame({"node": np.repeat(same["node"].to_numpy(), passes), "dims": int(length), "pass": np.tile(np.arange(passes), len(same)), "signature": found.ravel()})
-
-    signed = classes.select("node", "v").mapInPandas(sign, "node long, dims int, pass int, signature long")
-    order = ranked(signed, ["dims", "pass", "signature", "node"]).drop("rows")
-    block = F.floor(F.col("rank") / BLOCK)
-    placed = order.withColumn("block", block)
-    # the first rows of a block also follow the block before
-    copied = placed.where((F.col("rank") % BLOCK < neighbours) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
-    held = placed.union(copied).join(classes.select("node", "v"), "node")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank", ignore_index=True)
-        group = (part["dims"].to_numpy(np.int64) << 32) + part["pass"].to_numpy(np.int64)
-        a, b = [], []
-        nodes = part["node"].to_numpy()
-        for value in np.unique(group):
-            at = np.flatnonzero(group == value)
-            x, own = unit(part["v"].iloc[at].tolist()), nodes[at]
-            for k in range(1, min(neighbours, len(at) - 1) + 1):
-                near = np.flatnonzero((x[:-k] * x[k:]).sum(axis=1) >= cosine)
-                a.append(own[near])
-                b.append(own[near + k])
-        if not a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    near = held.groupBy("block").applyInPandas(compare, _LINKS)
-    links = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    joined = components(links, "a", "b")
-
-    copies = classes.select(F.col("node").alias("b"), "copies")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+            yield part.assign(dims=part["v"].map(len).astype(np.int32), v=part["v"].map(packed))
+
+    # an id with two vectors gives two classes; nodes are told apart by a number
+    classes = distinct.withColumn("node", F.xxhash64("class")).withColumn("dims", F.lit(0))
+    classes = stored(classes.mapInPandas(pack, "class string, rep long, copies long, v binary, node long, dims int"))
+    n_classes = classes.count()
+    bits, passes = bits_and_passes(n_classes, cosine, recall)
+
+    def sign(with_vectors: bool):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for dims, same in part.groupby("dims"):
+                    for at in range(0, len(same), 1000):
+                        some = same.iloc[at : at + 1000]
+                        found = signatures_of(unit(unpacked(some["v"].tolist(), int(dims))), bits, passes, SEED)
+                        out = {"node": np.repeat(some["node"].to_numpy(), passes), "dims": int(dims), "pass": np.tile(np.arange(passes), len(some)), "signature": found.ravel()}
+                        yield pd.DataFrame(out | ({"v": np.repeat(some["v"].to_numpy(), passes)} if with_vectors else {}))
+
+        signed = classes.select("node", "dims", "v").mapInPandas(run, "node long, dims int, pass int, signature long" + ", v binary" * with_vectors)
+        return signed.withColumn("group", F.xxhash64("dims", "pass", "signature")).drop("pass", "signature")
+
+    # only long runs need their sizes
+    long_runs = stored(sign(False).groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WHOLE))
+    held = dealt(sign(True).join(long_runs, "group", "left"), "size", WHOLE, str(CHUNK), 0)
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        found = [(rows["node"].to_numpy(), *forest(near)) for rows, near in groups_of(part, cosine)]
+        empty = np.zeros(0, np.int64)
+        return pd.DataFrame({"a": np.concatenate([empty, *(n[a] for n, a, _ in found)]), "b": np.concatenate([empty, *(n[b] for n, _, b in found)])})
+
+    links = stored(held.groupBy("bin", "i", "j").applyInPandas(link, _LINKS).distinct())
+    joined = stored(components(links, "a", "b"))
+
+    # within components every pair is compared, and only counts are written
+    large = stored(joined.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > COMPONENT))
+    members = joined.join(large, "component", "left").join(classes.select("node", "dims", "copies", "v"), "node").withColumnRenamed("component", "group")
+    held = dealt(members, "size", COMPONENT, f"greatest({COMPONENT}, least({CHUNK}, ceil(size / {CHUNKS})))", max(1, n_classes // (2 * COMPONENT)))
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        found = [(rows["node"].to_numpy(), near @ rows["copies"].to_numpy(np.int64)) for rows, near in groups_of(part, cosine)]
+        empty = np.zeros(0, np.int64)
+        return pd.DataFrame({"node": np.concatenate([empty, *(n for n, _ in found)]), "others": np.concatenate([empty, *(c for _, c in found)])})
+
+    linked = held.groupBy("bin", "i", "j").applyInPandas(count, _COUNTS).groupBy("node").agg(F.sum("others").alias("others"))
     found = classes.select("class", "node", "rep", "copies").join(linked, "node", "left").join(joined, "node", "left")
     found = found.withColumn("component", F.coalesce("component", "node"))
     smallest = found.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -259,6 +259,38 @@ def test_vectors_against_all_pairs(spark):
     assert sum(got[d].n_links for d in ids) >= 0.95 * sum(true.values())
 
 
+def test_planted_vectors_against_all_pairs(spark):
+    """Pairs at 0.90 to 0.95, a star whose leaves link with the hub alone, and a dense group, each larger than any window."""
+    rnd = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    def at_cosine(x, c):
+        noise = rnd.normal(size=x.shape)
+        noise = unit(noise - (noise * x).sum(axis=-1, keepdims=True) * x)
+        return np.asarray(c)[..., None] * x + np.sqrt(1 - np.asarray(c)[..., None] ** 2) * noise
+
+    hub, centre, singles = unit(rnd.normal(size=64)), unit(rnd.normal(size=64)), unit(rnd.normal(size=(1500, 64)))
+    star = at_cosine(np.tile(hub, (1600, 1)), np.full(1600, 0.92))
+    dense = at_cosine(np.tile(centre, (1300, 1)), np.full(1300, 0.97))
+    x = np.concatenate([singles, at_cosine(singles[:500], rnd.uniform(0.901, 0.95, 500)), hub[None], star, dense]).astype(np.float32)
+    ids = rnd.permutation(len(x)).tolist()
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "vec_id long, embedding array<float>")).collect()}
+    x = unit(x.astype(np.float64))
+    near = np.triu(x @ x.T >= 0.9, 1)
+    true = dict(zip(ids, (near | near.T).sum(axis=1).tolist(), strict=True))
+    expected = groups(ids, [(ids[a], ids[b]) for a, b in np.argwhere(near)])
+    assert max(true.values()) >= 1600 and sum(true.values()) > 1300 * 1299
+    assert {d: r.n_links for d, r in got.items()} == true
+    assert {d: (r.component_id, r.kept) for d, r in got.items()} == {d: (c, c == d) for d, c in expected.items()}
+
+
+@pytest.mark.parametrize("classes", [500, 50_000, 500_000, 3_000_000])
+def test_passes_hold_the_recall(classes):
+    bits, passes = embeddings.bits_and_passes(classes, 0.9)
+    assert classes / 2**bits <= embeddings.RUN
+    assert 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** passes >= embeddings.RECALL
+
+
 def test_near_documents_against_all_pairs(spark, texts):
     for shingle, df in ((4, minhash.op10_minhash(spark, SF)), (5, minhash.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")))):
         sets = {}
