@@ -7,14 +7,16 @@ a pair are aligned by patience diff: lines that stand once in either are anchors
 run of anchors is kept, and the gaps between are aligned in turn. Aligned lines that follow one
 another in both documents are a block; blocks of ``min_words`` words and more are deleted from the
 later document. What the first pass leaves is aligned again, so that blocks in another order are
-found too. The first holder of a line never loses it.
+found too; last, the runs of lines that reach ``min_words`` are looked up among those of the other document, so
+that a block is found whichever copies of its lines were aligned. The first holder of a line never loses it.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,28 +92,55 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(seq: Sequence[tuple], min_words: int) -> list[tuple[int, int]]:
+    """Bounds in ``seq`` (its entries as in ``repeated_lines``) of the shortest runs of consecutive lines
+    that reach ``min_words`` words, from each line forward and from each line back. Every line of a block of
+    so many words lies in a run within the block: its own, or the one back from the block's end."""
+    found: set[tuple[int, int]] = set()
+    at = 0
+    while at < len(seq):
+        end = at + 1
+        while end < len(seq) and seq[end][0] == seq[end - 1][0] + 1:
+            end += 1
+        words = [0, *accumulate(x[3] for x in seq[at:end])]
+        for k in range(end - at):
+            if (to := bisect_left(words, max(words[k] + min_words, words[k + 1]))) < len(words):
+                found.add((at + k, at + to))
+            if words[k + 1] >= min_words:
+                found.add((at + min(k, bisect_right(words, words[k + 1] - min_words) - 1), at + k + 1))
+        at = end
+    return sorted(found)
+
+
 def repeated_lines(first: Sequence[tuple], later: Sequence[tuple], min_words: int) -> list[int]:
     """Places in the later document of the lines to delete. The entries of both: (number among the
     document's lines that aren't blank, place, hash, words), in order."""
     gone: list[int] = []
+    whole = later
     while first and later:
         pairs = patience([x[2] for x in first], [x[2] for x in later])
-        if not pairs:
-            break
-        block: list[tuple] = []
+        deleted: set[int] = set()
+        block: list[int] = []
         last = None
         for i, j in [*pairs, (None, None)]:
             here = None if i is None else (first[i][0], later[j][0])
             if block and (here is None or here != (last[0] + 1, last[1] + 1)):
-                if sum(x[3] for x in block) >= min_words:
-                    gone += [x[1] for x in block]
+                if sum(later[k][3] for k in block) >= min_words:
+                    deleted.update(block)
                 block = []
             if here is not None:
-                block.append(later[j])
+                block.append(j)
                 last = here
-        # what is aligned is done with in the later document; the first may repeat in it
-        done = {j for _, j in pairs}
-        later = [x for j, x in enumerate(later) if j not in done]
+        if not deleted:
+            break
+        # what is deleted is done with in the later document; the first may repeat in it
+        gone += [later[j][1] for j in sorted(deleted)]
+        later = [x for j, x in enumerate(later) if j not in deleted]
+    if later:
+        # an alignment takes each line to one copy; what it leaves is looked up among all runs of the first
+        known = {tuple(x[2] for x in first[a:b]) for a, b in runs(first, min_words)}
+        more = {x[1] for a, b in runs(whole, min_words) if tuple(x[2] for x in whole[a:b]) in known for x in whole[a:b]}
+        gone += sorted(more.difference(gone))
     return gone
 
 

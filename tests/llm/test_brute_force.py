@@ -172,6 +172,22 @@ def test_line_dedup_on_documents(spark, texts):
     assert changed
 
 
+def blocks_of(doc, min_words):
+    """Every block of consecutive lines of ``min_words`` words and more; a document is a list of (line, words)."""
+    return [(a, b) for a in range(len(doc)) for b in range(a + 1, len(doc) + 1) if sum(w for _, w in doc[a:b]) >= min_words]
+
+
+def test_lines_of_a_pair_against_all_blocks():
+    pair = lambda first, later: line_dedup.repeated_lines(*([(k, k, x, w) for k, (x, w) in enumerate(d)] for d in (first, later)), 50)
+    assert sorted(pair([(x, 12) for x in (1, 2, 3, 99, 1, 2, 3, 4, 5)], [(x, 12) for x in (1, 2, 3, 4, 5)])) == [0, 1, 2, 3, 4]
+    rnd = random.Random(10)
+    for _ in range(1000):
+        words = [rnd.choice([3, 12, 20, 30, 55]) for _ in range(5)]
+        first, later = ([(x, words[x]) for x in rnd.choices(range(5), k=rnd.randint(0, 14))] for _ in "ab")
+        held = {tuple(first[a:b]) for a, b in blocks_of(first, 50)}
+        assert sorted(pair(first, later)) == sorted({k for a, b in blocks_of(later, 50) if tuple(later[a:b]) in held for k in range(a, b)})
+
+
 # -------------------------------------------------------- 8 context tree
 def tree_probability(history, context, byte, depth):
     """Probability of a byte after a context, by the recursive definition over all training steps (context, byte)."""
