@@ -1,14 +1,17 @@
 """Line dedup by pairwise alignment (operator 7).
 
-Lines are hashed. Lines that stand in one document only drop out at once; every other line pairs
-each document that holds it with the first one that does, so that a line of g documents gives
-g - 1 pairs however frequent it is, and rare lines give few. The shared lines of the two documents of
+Lines are hashed. Lines that stand in one document only drop out at once. Of the others, the shortest
+runs of consecutive lines that reach ``min_words`` are taken, from each line forward and from each line
+back; a run pairs each document that holds it with the first one that does, so that a run of g
+documents gives g - 1 pairs however frequent it is. Every line of a repeated block lies in such a run within the
+block, so no other pairs are needed. The shared lines of the two documents of
 a pair are aligned by patience diff: lines that stand once in either are anchors, the longest rising
 run of anchors is kept, and the gaps between are aligned in turn. Aligned lines that follow one
 another in both documents are a block; blocks of ``min_words`` words and more are deleted from the
 later document. What the first pass leaves is aligned again, so that blocks in another order are
 found too; last, the runs of lines that reach ``min_words`` are looked up among those of the other document, so
-that a block is found whichever copies of its lines were aligned. The first holder of a line never loses it.
+that a block is found whichever copies of its lines were aligned. The first holder of a run never loses
+it for that run.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,6 +150,7 @@ def repeated_lines(first: Sequence[tuple], later: Sequence[tuple], min_words: in
 
 
 _KEY = [T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]
+_RUNS = T.StructType([*_KEY, T.StructField("run", T.BinaryType())])
 _GONE = T.StructType([*_KEY, T.StructField("gone", T.ArrayType(T.IntegerType()))])
 
 
@@ -161,21 +167,36 @@ def lines_to_delete(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     lines = stored(lines)
     doc = F.struct("k1", "k2")
-    shared = lines.groupBy("h", "h2").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first != last").select("h", "h2", "first")
-    held = stored(lines.join(shared, ["h", "h2"]).select("k1", "k2", "number", "pos", "h", "words", "first"))
-    texts = held.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("number", "pos", "h", "words"))).alias("seq"))
-    pairs = held.where((F.col("first.k1") != F.col("k1")) | (F.col("first.k2") != F.col("k2"))).select("k1", "k2", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2")).distinct()
+    shared = lines.groupBy("h", "h2").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first != last").select("h", "h2")
+    held = lines.join(shared, ["h", "h2"]).select("k1", "k2", "number", "pos", "h", "words")
+    texts = stored(held.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("number", "pos", "h", "words"))).alias("seq")))
+
+    def entries(column: pa.Array) -> Iterator[list[tuple]]:
+        flat = column.flatten()
+        rows = list(zip(*(flat.field(n).to_pylist() for n in ("number", "pos", "h", "words")), strict=True))
+        at = 0
+        for n in column.value_lengths().to_pylist():
+            yield rows[at : at + n]
+            at += n
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                owner, keys = [], []
+                for k, seq in enumerate(entries(part.column("seq"))):
+                    hashes = np.array([x[2] for x in seq], "<i8")
+                    found = {blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in runs(seq, min_words)}
+                    keys += found
+                    owner += [k] * len(found)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(owner, pa.int64())) for c in ("k1", "k2")), pa.array(keys, pa.binary())], names=_RUNS.names)
+
+    held = stored(texts.mapInArrow(cut, _RUNS))
+    firsts = held.groupBy("run").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first != last").select("run", "first")
+    pairs = held.join(firsts, "run").where((F.col("first.k1") != F.col("k1")) | (F.col("first.k2") != F.col("k2"))).select("k1", "k2", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2")).distinct()
     both = pairs.join(texts, ["k1", "k2"]).join(texts.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("seq").alias("first_seq")), ["f1", "f2"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def entries(column: pa.Array) -> Iterator[list[tuple]]:
-            flat = column.flatten()
-            rows = list(zip(*(flat.field(n).to_pylist() for n in ("number", "pos", "h", "words")), strict=True))
-            at = 0
-            for n in column.value_lengths().to_pylist():
-                yield rows[at : at + n]
-                at += n
-
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

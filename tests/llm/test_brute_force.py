@@ -188,6 +188,24 @@ def test_lines_of_a_pair_against_all_blocks():
         assert sorted(pair(first, later)) == sorted({k for a, b in blocks_of(later, 50) if tuple(later[a:b]) in held for k in range(a, b)})
 
 
+def test_blocks_against_all_holders(spark):
+    """Passages whose lines first stand elsewhere, and random documents of few lines: whatever block any earlier document has goes."""
+    rnd = random.Random(11)
+    text = lambda x, w: " ".join(f"{x}w{k}" for k in range(w))
+    split = [(f"p{k}", 10) for k in range(8)]
+    docs = [split[:4] + [("new", 10)] + split[4:], split, split, split[2:]]
+    docs += [[(f"q{k}", 10) for k in range(4)], [(f"q{k}", 10) for k in range(4, 8)], *[[(f"q{k}", 10) for k in range(8)]] * 3]
+    for _ in range(150):
+        docs.append([(f"r{x}", [4, 12, 20, 30, 40, 55][x % 6]) for x in rnd.choices(range(14), k=rnd.randint(0, 10))])
+    left = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame([(k, "\n".join(text(*x) for x in d)) for k, d in enumerate(docs)], "doc_id long, text string")).collect()}
+    held: set = set()
+    for k, d in enumerate(docs):
+        own = blocks_of(d, 50)
+        gone = {x for a, b in own if tuple(d[a:b]) in held for x in range(a, b)}
+        assert left[k] == "\n".join(text(*x) for n, x in enumerate(d) if n not in gone), k
+        held |= {tuple(d[a:b]) for a, b in own}
+
+
 # -------------------------------------------------------- 8 context tree
 def tree_probability(history, context, byte, depth):
     """Probability of a byte after a context, by the recursive definition over all training steps (context, byte)."""
