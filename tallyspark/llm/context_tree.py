@@ -8,19 +8,19 @@ children's (the contexts one byte longer), and the posterior weights follow from
 met in training takes what its longest known ending predicts. The code length of a byte is the sum of
 those of its decisions.
 
-Contexts reach back to the start of a word, and before it stands the text's class: a number from
+A text is its words in order, a space after each, and an empty word at the end. Contexts are the bytes
+before in this running text, across words; before its start stands the text's class: a number from
 the text's most frequent short word, which mostly tells its language. The class is sent first, at
-the cost of its own estimate, so the score is the probability of a whole code of the text. The score
-of a word is then the same wherever it stands in texts of a class, and the end of a text is an empty
-word. This makes the model's work grow with the distinct words of the corpus:
+the cost of its own estimate, so the score is the probability of a whole code of the text. The work goes by
+blocks of texts:
 
-1. Each task cuts its texts into blocks, and writes for each block its distinct words by class with training
-   counts, and for each text the numbers and counts of its words in the block's list.
-2. Units (class and word) are summed over blocks; their bytes give counts of (context, byte), again summed by Spark.
+1. Each task cuts its texts into blocks, and writes for each block its texts, its distinct (context, byte) with
+   counts of training, and for the unigram model its distinct words and the numbers and counts of each text's words.
+2. (context, byte) are summed over blocks by Spark.
 3. The tree is weighted from the longest contexts up, and predictions go back down: below contexts of
-   ``TOP`` bytes by subtrees, above by a grouping and a join for each depth. Contexts of held-out words
+   ``TOP`` bytes by subtrees, above by a grouping and a join for each depth. Contexts of held-out texts
    take part with count 0.
-4. Units' scores join the blocks' lists, and each text's score is a sum over its block's list.
+4. Scores of (context, byte) and words join the blocks that hold them, and each text's score is a sum over its bytes.
 """
 
 from __future__ import annotations
@@ -43,16 +43,17 @@ DEPTH = 5
 #: Of texts; 0 is for those without a short word.
 CLASSES = 16
 FOLDS, HELD_OUT = 5, 1
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 #: Depth down to which the tree's levels are tables, and rows of the subtrees weighted together.
 TOP, PART_ROWS = 2, 250_000
-#: Bytes of distinct words (and what stands before them) scored together.
+#: Bytes of texts counted or scored at a time.
 PART_BYTES = 2 << 20
 
 _LISTS = T.StructType([
     T.StructField("block", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("class", T.IntegerType()),
     T.StructField("numbers", T.BinaryType()), T.StructField("times", T.BinaryType()),
     T.StructField("number", T.IntegerType()), T.StructField("unit", T.BinaryType()), T.StructField("trained", T.LongType()),
+    T.StructField("running", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()),
 ])
 
 
@@ -69,10 +70,32 @@ def class_of(count: Counter) -> int:
     return 0 if short is None else zlib.crc32(short[1]) % CLASSES + 1
 
 
-def block_lists(df: DataFrame) -> DataFrame:
-    """Rows of two kinds from (doc_id, text, held_out): for each text its words by number in the
-    block's list, and how often it has each (little-endian 32-bit integers); for each unit of a block,
-    a byte for the class and a word, its number and its count in training texts."""
+class KeyCounts:
+    """Counts of (context, byte), merged as they come."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, texts: list[tuple[bytes, bool]], depth: int) -> None:
+        if texts:
+            owner, context, byte = _unit_bytes([x for x, _ in texts], depth)
+            key, at = np.unique((context << 8) | byte, return_inverse=True)
+            self.parts.append((key, np.bincount(at, np.array([t for _, t in texts], np.float64)[owner], len(key)).astype(np.int64)))
+            if len(self.parts) == 8:
+                self.parts = [self.total()]
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        return key, np.bincount(at, np.concatenate([n for _, n in self.parts]).astype(np.float64), len(key)).astype(np.int64)
+
+
+def block_lists(df: DataFrame, depth: int) -> DataFrame:
+    """Rows of three kinds from (doc_id, text, held_out): for each text its words by number in the
+    block's list, and how often it has each (little-endian 32-bit integers); and its class and
+    running text; for each unit of a block, a byte for the class and a word, its number and its count in training
+    texts; for each (context, byte) of a block, its key and its count in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -82,16 +105,18 @@ def block_lists(df: DataFrame) -> DataFrame:
 
         def batch(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
-            types = {"block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "class": pa.int32(), "numbers": pa.binary(), "times": pa.binary(), "number": pa.int32(), "unit": pa.binary(), "trained": pa.int64()}
+            types = {"block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "class": pa.int32(), "numbers": pa.binary(), "times": pa.binary(), "number": pa.int32(), "unit": pa.binary(), "trained": pa.int64(), "running": pa.binary(), "key": pa.int64(), "n": pa.int64()}
             return pa.RecordBatch.from_arrays([pa.nulls(n, t) if columns.get(c) is None else pa.array(columns[c], t) for c, t in types.items()], names=list(empty))
 
         for k, part in enumerate(blocks(batches, BLOCK_BYTES, 1 << 30)):
             block = first + k
             number: dict[bytes, int] = {}
             trained = np.zeros(1 << 16, np.int64)
-            docs = {c: [] for c in ("doc_id", "held_out", "n_tokens", "class", "numbers", "times")}
+            docs = {c: [] for c in ("doc_id", "held_out", "n_tokens", "class", "numbers", "times", "running")}
+            counts, some, size = KeyCounts(), [], 0
             for doc, held, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), part.column("text"), strict=True):
-                count = Counter(words_of(text.as_py()))
+                words = words_of(text.as_py())
+                count = Counter(words)
                 kind = class_of(count)
                 first_byte = bytes([kind])
                 at = np.array([number.setdefault(first_byte + w, len(number)) for w in count], "<u4")
@@ -100,13 +125,22 @@ def block_lists(df: DataFrame) -> DataFrame:
                     trained = np.concatenate((trained, np.zeros(len(number), np.int64)))
                 if not held:
                     trained[at] += times
-                for c, x in (("doc_id", doc), ("held_out", held), ("n_tokens", int(times.sum())), ("class", kind), ("numbers", at.tobytes()), ("times", times.tobytes())):
+                for c, x in (("doc_id", doc), ("held_out", held), ("n_tokens", int(times.sum())), ("class", kind), ("numbers", at.tobytes()), ("times", times.tobytes()), ("running", running := first_byte + b" ".join(words))):
                     docs[c].append(x)
+                some.append((running, not held))
+                size += len(running)
+                if size >= PART_BYTES:
+                    counts.add(some, depth)
+                    some, size = [], 0
                 if len(docs["doc_id"]) == 1000:
                     yield batch(block=[block] * 1000, **docs)
                     docs = {c: [] for c in docs}
             if docs["doc_id"]:
                 yield batch(block=[block] * len(docs["doc_id"]), **docs)
+            counts.add(some, depth)
+            key, n = counts.total()
+            for at in range(0, len(key), 200_000):
+                yield batch(block=[block] * len(key[at : at + 200_000]), key=key[at : at + 200_000], n=n[at : at + 200_000])
             names = list(number)
             for at in range(0, len(names), 50_000):
                 some = names[at : at + 50_000]
@@ -116,9 +150,9 @@ def block_lists(df: DataFrame) -> DataFrame:
 
 
 def _unit_bytes(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte of every unit's word, the space that ends it with it: the number of the unit, the
+    """For every byte of every text (a byte for its class, and words), the space that ends it with it: the number of the text, the
     context (the ``depth`` bytes before, the nearest lowest, as a long) and the byte. The class stands
-    ``depth`` times before the word."""
+    ``depth`` times before the text."""
     data = np.frombuffer(b"".join(w[:1] * depth + w[1:] + b" " for w in words), np.uint8).astype(np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + depth
     owner = np.repeat(np.arange(len(words)), lengths)
@@ -254,30 +288,19 @@ def byte_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return counts.groupBy("part").cogroup(tops.groupBy("its_part")).applyInPandas(score, "context long, byte int, lp double")
 
 
-def unit_scores(units: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(unit, lp): the natural log probability of each unit's word, its end with it, from (unit, trained)."""
-    size = units.agg(F.sum(F.octet_length("unit") + depth)).first()[0] or 0
-    parts = max(1, math.ceil(size / PART_BYTES))
-    units = units.withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(parts)))
-
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        owner, context, byte = _unit_bytes(part["unit"].tolist(), depth)
-        key, at = np.unique((context << 8) | byte, return_inverse=True)
-        n = np.bincount(at, part["trained"].to_numpy(np.float64)[owner], len(key))
-        return pd.DataFrame({"part": part["part"].iloc[0], "context": key >> 8, "byte": (key & 255).astype(np.int32), "n": n.astype(np.int64)})
-
-    def add(part: pd.DataFrame, scores: pd.DataFrame) -> pd.DataFrame:
-        owner, context, byte = _unit_bytes(part["unit"].tolist(), depth)
-        key = (scores["context"].to_numpy(np.int64) << 8) | scores["byte"].to_numpy(np.int64)
-        order = np.argsort(key)
-        lp = scores["lp"].to_numpy()[order][np.searchsorted(key[order], (context << 8) | byte)]
-        return pd.DataFrame({"unit": part["unit"], "lp": np.bincount(owner, lp, len(part))})
-
-    # each part asks once for every (context, byte) that its units hold, and gets its score
-    asked = stored(units.groupBy("part").applyInPandas(count, "part long, context long, byte int, n long"))
-    scores = byte_scores(asked.groupBy("context", "byte").agg(F.sum("n").alias("n")), depth)
-    answers = asked.select("part", "context", "byte").join(scores, ["context", "byte"])
-    return units.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(add, "unit binary, lp double")
+def text_scores(texts: list[bytes], key: np.ndarray, lp: np.ndarray, depth: int) -> np.ndarray:
+    """The natural log probability of each text, from those of the sorted keys (context, byte)."""
+    out, at = np.zeros(len(texts)), 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= PART_BYTES):
+            size += len(texts[to])
+            to += 1
+        owner, context, byte = _unit_bytes(texts[at:to], depth)
+        own, place = np.unique((context << 8) | byte, return_inverse=True)
+        out[at:to] = np.bincount(owner, lp[np.searchsorted(key, own)][place], to - at)
+        at = to
+    return out
 
 
 _SCORES = T.StructType([
@@ -296,15 +319,20 @@ def context_tree_scores(df: DataFrame, held_out: Column, depth: int = DEPTH, id_
     rows and null ids are learnt from and scored like others; other columns of ``df`` are not read.
     An empty table gives no rows.
     """
-    lists = stored(block_lists(id_and_text(df, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False)))))
+    lists = stored(block_lists(id_and_text(df, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False))), depth))
     listed = lists.where("unit IS NOT NULL").select("block", "number", "unit", "trained")
     units = stored(listed.groupBy("unit").agg(F.sum("trained").alias("trained")))
     word = F.expr("substring(unit, 2)")
     words = stored(units.groupBy(word.alias("word")).agg(F.sum("trained").alias("known")))
     tokens, distinct = words.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count_if(F.col("known") > 0)).first()
-    scored = unit_scores(units, depth).withColumn("word", word).join(words, "word")
-    values = listed.select("block", "number", "unit").join(scored, "unit").select(F.col("block").alias("its_block"), F.col("number").alias("its_number"), F.octet_length("word").alias("bytes"), "known", "lp")
-    docs = lists.where("unit IS NULL").select("block", "doc_id", "held_out", "n_tokens", "class", "numbers", "times")
+    scored = units.withColumn("word", word).join(words, "word").select("unit", "known")
+    values = listed.select("block", "number", "unit").join(scored, "unit").select(F.col("block").alias("its_block"), F.col("number").alias("its_number"), "known", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("lp"))
+    # each block asks once for every (context, byte) that its texts hold, and gets its score
+    asked = lists.where("key IS NOT NULL").select("block", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
+    scores = byte_scores(asked.groupBy("context", "byte").agg(F.sum("n").alias("n")), depth)
+    answers = asked.join(scores, ["context", "byte"]).select("block", F.lit(None).cast("int"), F.lit(None).cast("long"), F.shiftleft("context", 8).bitwiseOR(F.col("byte").cast("long")), "lp")
+    values = values.union(answers)
+    docs = lists.where("running IS NOT NULL").select("block", "doc_id", "held_out", "n_tokens", "class", "numbers", "times", "running")
     # at most CLASSES + 1 rows
     texts = {r[0]: r[1] for r in docs.where("NOT held_out").groupBy("class").count().collect()}
     kinds = np.array([texts.get(k, 0) + 0.5 for k in range(CLASSES + 1)])
@@ -312,14 +340,19 @@ def context_tree_scores(df: DataFrame, held_out: Column, depth: int = DEPTH, id_
     whole = tokens + 0.5 * (distinct + 1)
 
     def score(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("its_number")
-        trained, lp, size = own["known"].to_numpy(np.int64), own["lp"].to_numpy(), own["bytes"].to_numpy(np.int64) + 1
+        asked = own["key"].notna()
+        answers, own = own.loc[asked, ["key", "lp"]], own[~asked].sort_values("its_number")
+        # keys have 48 bits at most, exact in double precision
+        key = answers["key"].to_numpy(np.float64).astype(np.int64)
+        order = np.argsort(key)
+        totals = text_scores(rows["running"].tolist(), key[order], answers["lp"].to_numpy(np.float64)[order], depth)
+        trained = own["known"].to_numpy(np.float64).astype(np.int64)
         base = np.log10((trained + 0.5) / whole)
         found = []
-        for kind, numbers, times in zip(rows["class"], rows["numbers"], rows["times"], strict=True):
+        for kind, numbers, times, running, total in zip(rows["class"], rows["numbers"], rows["times"], rows["running"], totals, strict=True):
             at, n = np.frombuffer(numbers, "<u4"), np.frombuffer(times, "<u4").astype(np.float64)
-            total = float(n @ lp[at]) + kinds[kind]
-            found.append((int(n @ (trained[at] > 0)), float(n @ base[at]), total / math.log(10), -total / math.log(2) / float(n @ size[at])))
+            total = float(total) + kinds[kind]
+            found.append((int(n @ (trained[at] > 0)), float(n @ base[at]), total / math.log(10), -total / math.log(2) / len(running)))
         known, base_score, log10, bits = zip(*found, strict=True)
         return pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": rows["n_tokens"], "n_known": known, "train_tokens": tokens, "base_score": base_score, "score": log10, "bits_per_byte": bits})
 

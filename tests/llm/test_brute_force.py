@@ -273,6 +273,24 @@ def test_base_scores(spark, texts):
     assert 1 < np.mean([r.bits_per_byte for r in rows.values() if r.held_out]) < 3.2
 
 
+def test_contexts_cross_words(spark):
+    """Scores of whole texts by the definition; the order of words counts."""
+    texts = ["ab ba ab ba", "ab ba ab ba", "ba ba ab ab", "ab ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in context_tree.context_tree_scores(df, F.col("doc_id") >= 2, depth=3).collect()}
+    steps = {}
+    for d, t in enumerate(texts):
+        kind = context_tree.class_of(Counter(context_tree.words_of(t)))
+        data = bytes([kind]) * 3 + t.encode() + b"  "
+        steps[d] = kind, [(tuple(data[k - 3 : k]), data[k]) for k in range(3, len(data))]
+    history = steps[0][1] + steps[1][1]
+    classes = Counter(steps[d][0] for d in (0, 1))
+    for d, (kind, own) in steps.items():
+        cost = math.log((classes[kind] + 0.5) / (2 + 0.5 * (context_tree.CLASSES + 1)))
+        assert got[d] == pytest.approx((cost + sum(tree_probability(history, c, b, 3) for c, b in own)) / math.log(10), abs=1e-8)
+    assert got[0] > got[2] + 0.1
+
+
 # -------------------------------------------------------- 9, 10 near-dup
 def test_components(spark):
     rnd = random.Random(6)
