@@ -15,7 +15,7 @@ the cost of its own estimate, so the score is the probability of a whole code of
 blocks of texts:
 
 1. Each task cuts its texts into blocks, and writes for each block its texts, its distinct (context, byte) with
-   counts of training, and for the unigram model its distinct words and the numbers and counts of each text's words.
+   counts of training, and for the unigram model its distinct words.
 2. (context, byte) are summed over blocks by Spark.
 3. The tree is weighted from the longest contexts up, and predictions go back down: below contexts of
    ``TOP`` bytes by subtrees, above by a grouping and a join for each depth. Contexts of held-out texts
@@ -51,8 +51,7 @@ PART_BYTES = 2 << 20
 
 _LISTS = T.StructType([
     T.StructField("block", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("class", T.IntegerType()),
-    T.StructField("numbers", T.BinaryType()), T.StructField("times", T.BinaryType()),
-    T.StructField("number", T.IntegerType()), T.StructField("unit", T.BinaryType()), T.StructField("trained", T.LongType()),
+    T.StructField("unit", T.BinaryType()), T.StructField("trained", T.LongType()),
     T.StructField("running", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()),
 ])
 
@@ -92,10 +91,9 @@ class KeyCounts:
 
 
 def block_lists(df: DataFrame, depth: int) -> DataFrame:
-    """Rows of three kinds from (doc_id, text, held_out): for each text its words by number in the
-    block's list, and how often it has each (little-endian 32-bit integers); and its class and
-    running text; for each unit of a block, a byte for the class and a word, its number and its count in training
-    texts; for each (context, byte) of a block, its key and its count in training texts."""
+    """Rows of three kinds from (doc_id, text, held_out): for each text its class and running text; for
+    each distinct word of a block (``unit``) its count in training texts; for each (context, byte) of a
+    block, its key and its count in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -105,27 +103,27 @@ def block_lists(df: DataFrame, depth: int) -> DataFrame:
 
         def batch(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
-            types = {"block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "class": pa.int32(), "numbers": pa.binary(), "times": pa.binary(), "number": pa.int32(), "unit": pa.binary(), "trained": pa.int64(), "running": pa.binary(), "key": pa.int64(), "n": pa.int64()}
+            types = {"block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "class": pa.int32(), "unit": pa.binary(), "trained": pa.int64(), "running": pa.binary(), "key": pa.int64(), "n": pa.int64()}
             return pa.RecordBatch.from_arrays([pa.nulls(n, t) if columns.get(c) is None else pa.array(columns[c], t) for c, t in types.items()], names=list(empty))
 
         for k, part in enumerate(blocks(batches, BLOCK_BYTES, 1 << 30)):
             block = first + k
             number: dict[bytes, int] = {}
             trained = np.zeros(1 << 16, np.int64)
-            docs = {c: [] for c in ("doc_id", "held_out", "n_tokens", "class", "numbers", "times", "running")}
+            docs = {c: [] for c in ("doc_id", "held_out", "n_tokens", "class", "running")}
             counts, some, size = KeyCounts(), [], 0
             for doc, held, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), part.column("text"), strict=True):
                 words = words_of(text.as_py())
                 count = Counter(words)
                 kind = class_of(count)
                 first_byte = bytes([kind])
-                at = np.array([number.setdefault(first_byte + w, len(number)) for w in count], "<u4")
-                times = np.fromiter(count.values(), "<u4", len(count))
+                at = np.array([number.setdefault(w, len(number)) for w in count], np.int64)
+                times = np.fromiter(count.values(), np.int64, len(count))
                 if len(number) > len(trained):
                     trained = np.concatenate((trained, np.zeros(len(number), np.int64)))
                 if not held:
                     trained[at] += times
-                for c, x in (("doc_id", doc), ("held_out", held), ("n_tokens", int(times.sum())), ("class", kind), ("numbers", at.tobytes()), ("times", times.tobytes()), ("running", running := first_byte + b" ".join(words))):
+                for c, x in (("doc_id", doc), ("held_out", held), ("n_tokens", int(times.sum())), ("class", kind), ("running", running := first_byte + b" ".join(words))):
                     docs[c].append(x)
                 some.append((running, not held))
                 size += len(running)
@@ -144,7 +142,7 @@ def block_lists(df: DataFrame, depth: int) -> DataFrame:
             names = list(number)
             for at in range(0, len(names), 50_000):
                 some = names[at : at + 50_000]
-                yield batch(block=[block] * len(some), number=np.arange(at, at + len(some)), unit=some, trained=trained[at : at + len(some)])
+                yield batch(block=[block] * len(some), unit=some, trained=trained[at : at + len(some)])
 
     return df.mapInArrow(run, _LISTS)
 
@@ -320,19 +318,16 @@ def context_tree_scores(df: DataFrame, held_out: Column, depth: int = DEPTH, id_
     An empty table gives no rows.
     """
     lists = stored(block_lists(id_and_text(df, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False))), depth))
-    listed = lists.where("unit IS NOT NULL").select("block", "number", "unit", "trained")
-    units = stored(listed.groupBy("unit").agg(F.sum("trained").alias("trained")))
-    word = F.expr("substring(unit, 2)")
-    words = stored(units.groupBy(word.alias("word")).agg(F.sum("trained").alias("known")))
+    listed = lists.where("unit IS NOT NULL").select("block", "unit", "trained")
+    words = stored(listed.groupBy("unit").agg(F.sum("trained").alias("known")))
     tokens, distinct = words.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count_if(F.col("known") > 0)).first()
-    scored = units.withColumn("word", word).join(words, "word").select("unit", "known")
-    values = listed.select("block", "number", "unit").join(scored, "unit").select(F.col("block").alias("its_block"), F.col("number").alias("its_number"), "known", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("lp"))
+    values = listed.select("block", "unit").join(words, "unit").select(F.col("block").alias("its_block"), "unit", "known", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("lp"))
     # each block asks once for every (context, byte) that its texts hold, and gets its score
     asked = lists.where("key IS NOT NULL").select("block", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
     scores = byte_scores(asked.groupBy("context", "byte").agg(F.sum("n").alias("n")), depth)
-    answers = asked.join(scores, ["context", "byte"]).select("block", F.lit(None).cast("int"), F.lit(None).cast("long"), F.shiftleft("context", 8).bitwiseOR(F.col("byte").cast("long")), "lp")
+    answers = asked.join(scores, ["context", "byte"]).select("block", F.lit(None).cast("binary"), F.lit(None).cast("long"), F.shiftleft("context", 8).bitwiseOR(F.col("byte").cast("long")), "lp")
     values = values.union(answers)
-    docs = lists.where("running IS NOT NULL").select("block", "doc_id", "held_out", "n_tokens", "class", "numbers", "times", "running")
+    docs = lists.where("running IS NOT NULL").select("block", "doc_id", "held_out", "n_tokens", "class", "running")
     # at most CLASSES + 1 rows
     texts = {r[0]: r[1] for r in docs.where("NOT held_out").groupBy("class").count().collect()}
     kinds = np.array([texts.get(k, 0) + 0.5 for k in range(CLASSES + 1)])
@@ -341,16 +336,18 @@ def context_tree_scores(df: DataFrame, held_out: Column, depth: int = DEPTH, id_
 
     def score(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         asked = own["key"].notna()
-        answers, own = own.loc[asked, ["key", "lp"]], own[~asked].sort_values("its_number")
+        answers, own = own.loc[asked, ["key", "lp"]], own[~asked]
         # keys have 48 bits at most, exact in double precision
         key = answers["key"].to_numpy(np.float64).astype(np.int64)
         order = np.argsort(key)
         totals = text_scores(rows["running"].tolist(), key[order], answers["lp"].to_numpy(np.float64)[order], depth)
         trained = own["known"].to_numpy(np.float64).astype(np.int64)
         base = np.log10((trained + 0.5) / whole)
+        number = {w: k for k, w in enumerate(own["unit"])}
         found = []
-        for kind, numbers, times, running, total in zip(rows["class"], rows["numbers"], rows["times"], rows["running"], totals, strict=True):
-            at, n = np.frombuffer(numbers, "<u4"), np.frombuffer(times, "<u4").astype(np.float64)
+        for kind, running, total in zip(rows["class"], rows["running"], totals, strict=True):
+            count = Counter([*running[1:].split(), b""])
+            at, n = np.array([number[w] for w in count], np.int64), np.fromiter(count.values(), np.float64, len(count))
             total = float(total) + kinds[kind]
             found.append((int(n @ (trained[at] > 0)), float(n @ base[at]), total / math.log(10), -total / math.log(2) / len(running)))
         known, base_score, log10, bits = zip(*found, strict=True)
