@@ -312,7 +312,7 @@ def test_vectors_against_all_pairs(spark):
 
 
 def test_planted_vectors_against_all_pairs(spark):
-    """Pairs at 0.90 to 0.95, a star whose leaves link with the hub alone, and a dense group, each larger than any window."""
+    """Pairs at 0.90 to 0.95, a star whose leaves mostly link with the hub alone, and a dense group, each larger than any window."""
     rnd = np.random.default_rng(9)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
 
