@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, context_tree, embeddings, hilbert, licenses, line_dedup, minhash, packing, quality, toxicity
+from tallyspark.llm import bpe, context_tree, embeddings, fill_middle, hilbert, licenses, line_dedup, minhash, mixture, packing, quality, resampling, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_context_tree": context_tree.op8_context_tree,
     "op9_embedding_dedup": embeddings.op9_embedding_dedup,
     "op10_minhash": minhash.op10_minhash,
+    "op11_mixture_packing": mixture.op11_mixture_packing,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
 
 #: The others don't fit SQL; tests/llm holds them against brute force, round trips or held-out accuracy.
 ORACLE_SQL = {
     "op1_license_scan": licenses.oracle_sql(),
     "op2_quality_cascade": quality.ORACLE_SQL,
+    "op12_importance_resampling": resampling.ORACLE_SQL,
+    "op13_fill_in_middle": fill_middle.ORACLE_SQL,
 }
