@@ -18,12 +18,14 @@ pieces meet the ids again by the number of their row.
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.llm.bpe import byte_characters
 from tallyspark.llm.common import blocks, stored, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -56,41 +59,71 @@ def default_vocabulary() -> str:
 
 
 class ByteEncoder:
-    """Ids of whole texts as the tokenizers library gives them for a byte-level vocabulary whose pattern
-    is that of ``byte_bpe_50k``: a text may be cut before a blank or line end that a printing character
-    follows, because no match of the pattern goes over that place. Chunks met before aren't encoded again.
+    """Ids of whole texts as the tokenizers library gives them for the file at ``path``, a byte-level
+    vocabulary with the pattern of ``byte_bpe_50k``.
+
+    A text of plain characters is cut into the matches of that pattern; any other text only before a
+    blank or line end that a printing character follows, because no match of the pattern goes over that
+    place. What was met before isn't encoded again. Where the file's merges stand in the order of the ids they make, ids follow
+    from the tokens alone, and single matches are merged by tiktoken, which is faster; else, and for all
+    chunks of other texts, by the library.
     """
 
+    PLAIN = re.compile("[\t\n\r -~¡¿«»°´·À-ÿ]*")
+    #: The pattern for plain characters.
+    MATCHES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
     #: The ranges hold no white space.
     CUT = re.compile("(?=[ \n][!-~\u00a1-\u167f\u3001-\ud7ff])")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids of each text (None: empty) in ``kind``."""
-        # a special token's string ends what the pattern sees, so such texts stay whole
-        split = [[] if not t else [t] if any(s in t for s in self.special) else self.CUT.split(t) for t in texts]
-        if len(self.cache) > CACHED_CHUNKS:
-            self.cache = dict(itertools.islice(self.cache.items(), CACHED_CHUNKS // 2))  # those met first are mostly the frequent ones
-        cache = self.cache
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        vocab = {t: i for t, i in model["vocab"].items() if t not in self.special}
+        made = [vocab["".join(m) if not isinstance(m, str) else m.replace(" ", "")] for m in model["merges"]]
+        self.merge = None
+        if all(a < b for a, b in itertools.pairwise(made)) and all(c in byte_of for t in vocab for c in t):
+            ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items()}
+            self.merge = tiktoken.Encoding("bytes", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.matches: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def _whole(self, chunks: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(chunks), 10_000):
+            for found in self.library.encode_batch_fast(chunks[at : at + 10_000], add_special_tokens=False):
+                yield found.ids
+
+    def _encoded(self, split: list[list[str]], cache: dict[str, bytes], learn: Callable[[list[str]], Iterable[list[int]]]) -> list[bytes]:
         new = list(set().union(*split).difference(cache))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[chunk] = np.array(found.ids, self.kind).tobytes()
+        code = "H" if self.kind.itemsize == 2 else "I"
+        cache.update((chunk, array.array(code, ids).tobytes()) for chunk, ids in zip(new, learn(new), strict=True))
         out = [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
         for chunk in new:
             if len(chunk) > CACHED_CHARS:
                 del cache[chunk]
+        if len(cache) > CACHED_CHUNKS:  # those met first are mostly the frequent ones
+            kept = list(itertools.islice(cache.items(), CACHED_CHUNKS // 2))
+            cache.clear()
+            cache.update(kept)
         return out
 
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian ids of each text (None: empty) in ``kind``."""
+        whole = [bool(t) and any(s in t for s in self.special) for t in texts]
+        plain = [not w and bool(self.PLAIN.fullmatch(t or "")) for t, w in zip(texts, whole, strict=True)]
+        # a special token's string ends what the pattern sees, so such texts stay in one chunk
+        other = iter(self._encoded([[t] if w else self.CUT.split(t) for t, w, p in zip(texts, whole, plain, strict=True) if not p], self.chunks, self._whole))
+        merged = self._whole if self.merge is None else lambda new: (self.merge(x.encode()) for x in new)
+        simple = iter(self._encoded([self.MATCHES.findall(t or "") for t, p in zip(texts, plain, strict=True) if p], self.matches, merged))
+        return [next(simple if p else other) for p in plain]
+
 
 @functools.lru_cache(maxsize=2)
 def byte_encoder(path: str) -> ByteEncoder:
