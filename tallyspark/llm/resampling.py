@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import blocks, id_and_text, table
+from tallyspark.llm.common import blocks, id_and_text, stored, table
 from tallyspark.operators.skew import rank_in_ranges
 
 BUCKETS, LONGEST, SEED, LEAST_WORDS, PERCENT = 10_000, 1, 2024, 20, 10
@@ -159,7 +159,7 @@ def resample(
     empty target has the same share in every bucket. Other columns aren't read.
     """
     gain = gains(bucket_counts(df, longest, buckets, text_col), bucket_counts(target, longest, buckets, target_text))
-    rows = weights(df, gain, longest, id_col, text_col)
+    rows = stored(weights(df, gain, longest, id_col, text_col))  # the range sort below reads its input twice
     rows = rows.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("short", F.col("n_words") < least_words)
     # ranked in ranges of (short, score, id), so neither a score nor the whole order goes to one task; short rows come last
     ranked = rank_in_ranges(rows, [], [F.col("short").asc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()], "rank")
