@@ -247,15 +247,36 @@ def top_delta_detail(a: DataFrame, b: DataFrame, key: str = "k", a_amt: str = "a
 def unmatched(a: DataFrame, b: DataFrame, key: str = "k", a_order: Sequence = (),
               b_order: Sequence = (), empty_id_rule: str = "strict") -> DataFrame:
     """B-only keys (first B row each), A-only keys (first A row
-    each; empty keys excluded) and every A row with an empty key, as one
-    table with a ``section`` column (union by name)."""
-    flag = is_empty_id(F.col(key), empty_id_rule)
-    a_ok, a_empty = a.where(~flag), a.where(flag)
-    b_only = dedup_first(b.join(a_ok.select(key).distinct(), key, "left_anti"), [key], b_order)
-    a_only = dedup_first(a_ok.join(b.select(key).distinct(), key, "left_anti"), [key], a_order)
-    return (b_only.withColumn("section", F.lit(ONLY_B))
-            .unionByName(a_only.withColumn("section", F.lit(ONLY_A)), allowMissingColumns=True)
-            .unionByName(a_empty.withColumn("section", F.lit(ONLY_A_EMPTY_ID)), allowMissingColumns=True))
+    each) and every A row with an empty key, as one table with a ``section``
+    column (union by name). Empty keys of either side, NULL among them, match
+    nothing; those of B are left out.
+
+    One scan of each side and one grouped aggregate: of each key the first row of
+    either side and so whether it is there at all. The partial aggregate leaves one
+    row a key and task, so a hot key is harmless; an A row with an empty key is a
+    group of its own, so these spread over all tasks.
+    """
+    names = list(dict.fromkeys([*a.columns, *b.columns]))
+    types = {f.name: f.dataType for f in [*b.schema, *a.schema]}
+
+    def thin(df, mine, order):
+        cols = [(F.col(f"`{c}`").cast(types[c]) if c in df.columns else F.lit(None).cast(types[c])).alias(c) for c in names]
+        # NULLs last, as everywhere
+        place = [x for c in order for x in (as_col(c).isNull(), as_col(c))]
+        return df.select(as_col(key).alias("_key"), is_empty_id(as_col(key), empty_id_rule).alias("_empty"), F.lit(mine).alias("_a"),
+                         F.struct(F.lit(0), *place).alias("_place"), F.struct(*cols).alias("_r"))
+
+    ta, tb = thin(a, True, a_order), thin(b, False, b_order).where(~F.col("_empty"))
+    none = lambda t: F.lit(None).cast(t.schema["_place"].dataType)
+    tagged = (ta.withColumns({"_pa": F.col("_place"), "_pb": none(tb)}).drop("_place")
+              .unionByName(tb.withColumns({"_pa": none(ta), "_pb": F.col("_place")}).drop("_place")))
+    groups = tagged.withColumn("_own", F.when(F.col("_empty"), F.monotonically_increasing_id())).groupBy("_key", "_own").agg(
+        F.min_by("_r", "_pa").alias("_ra"), F.min_by("_r", "_pb").alias("_rb"),
+        F.bool_or("_a").alias("_has_a"), F.bool_and("_a").alias("_only_a"))
+    section = (F.when(F.col("_own").isNotNull(), F.lit(ONLY_A_EMPTY_ID)).when(F.col("_only_a"), F.lit(ONLY_A))
+                .when(~F.col("_has_a"), F.lit(ONLY_B)))
+    listed = groups.select(F.when(F.col("_has_a"), F.col("_ra")).otherwise(F.col("_rb")).alias("_r"), section.alias("section"))
+    return listed.where(F.col("section").isNotNull()).select(*[F.col("_r")[c].alias(c) for c in names], "section")
 
 
 # --------------------------------------------------------------------- J7
@@ -303,9 +324,14 @@ def unmatched_by_columns(b: DataFrame, a: DataFrame, cols: Sequence[str], order:
                          sample: int = 2) -> DataFrame:
     """B rows whose composite key (several columns, not a concatenated
     string) has no A row: the first ``sample`` of them in ``order`` with
-    ``rank`` 1..sample and the total ``n_unmatched`` (a scalar subquery)."""
+    ``rank`` 1..sample and the total ``n_unmatched`` (a scalar subquery).
+    A NULL part equals NULL."""
     cols = list(cols)
-    miss = b.join(a.select(*cols).distinct(), cols, "left_anti")
+    there = a.select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(cols)]).distinct()
+    same = F.lit(True)
+    for i, c in enumerate(cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_l{i}"))
+    miss = b.join(there, same, "left_anti")
     n = miss.select(F.count(F.lit(1)).cast("bigint")).scalar()
     top = miss.orderBy(*nulls_last(order)).limit(sample)
     # ``top`` holds at most ``sample`` rows: ranking it in one task is free.

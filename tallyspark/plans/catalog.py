@@ -354,22 +354,14 @@ def compare_summary(spark, sf):
     return finish(rec.compare_summary(register(spark, sf), portal(spark, sf)))
 
 
-def _slice_sides(spark, sf):
-    a = register(spark, sf).where(F.col("ls") == "O")
-    b = portal(spark, sf).where(F.col("status") != "P")
-    return a, b
-
-
 def reconcile_rows_or_amount(spark, sf):
-    """J2 (SURVEY §7.2): open lines vs non-pending orders by order key."""
-    a, b = _slice_sides(spark, sf)
-    return finish(rec.reconcile_sums(a, b, "k", "k", empty_id_rule=None))
+    """J2 (SURVEY §7.2): register lines vs orders by order key."""
+    return finish(rec.reconcile_sums(register(spark, sf), portal(spark, sf), "k", "k", empty_id_rule=None))
 
 
 def reconcile_amount(spark, sf):
     """Only A, only B, or amounts differing by more than 0.01."""
-    a, b = _slice_sides(spark, sf)
-    return finish(rec.reconcile_amounts(a, b, "k", "k", empty_id_rule=None))
+    return finish(rec.reconcile_amounts(register(spark, sf), portal(spark, sf), "k", "k", empty_id_rule=None))
 
 
 def _electronic_ids(spark, sf):
@@ -411,10 +403,13 @@ def top_delta_detail(spark, sf):
 
 
 def unmatched_both_ways(spark, sf):
-    """B-only keys, A-only keys (first row each), empty-id A rows."""
-    a = register(spark, sf).withColumn(
-        "id", F.when(F.col("pk") % 10 == 0, F.lit("")).otherwise(F.col("k").cast("string")))
-    b = portal(spark, sf).where(F.col("status") != "P").withColumn("id", F.col("k").cast("string"))
+    """B-only keys, A-only keys (first row each), empty-id A rows.
+    Both sides have ids that are blank or NULL; every 7th order has an id of its own,
+    which the register doesn't know."""
+    blank = F.when(F.col("k") % 2 == 0, F.lit(" "))
+    a = register(spark, sf).withColumn("id", F.when(F.col("pk") % 10 == 0, blank).otherwise(F.col("k").cast("string")))
+    b = portal(spark, sf).withColumn("id", F.when(F.col("k") % 11 == 0, blank).when(F.col("k") % 7 == 0, F.concat(F.lit("x"), "k"))
+                                     .otherwise(F.col("k").cast("string")))
     out = rec.unmatched(a.select("id", "k", "ln", "d", "amt"), b.select("id", "k", "d", "amt"), "id",
                         a_order=["d", "ln"], b_order=["d"])
     return finish(out.select("section", "id", "k", "ln", "d", "amt"))
@@ -436,10 +431,10 @@ def arrival_lookup(spark, sf):
 
 
 def unmatched_composite(spark, sf):
-    """Paper B rows without a paper A row on (name, number, month);
-    electronic B ids without an electronic A id; count + first 2 by key."""
+    """Paper B rows without a paper A row on (name, number, month; the
+    month is NULL for every 3rd order); electronic B ids without an electronic A id; count + first 2 by key."""
     a, b = register(spark, sf), portal(spark, sf)
-    ym = lambda: (F.year("d") * 100 + F.month("d"))
+    ym = lambda: F.when(F.col("k") % 3 != 0, F.year("d") * 100 + F.month("d"))
     ap = a.where(F.col("cls") == "paper").select((F.col("ln") % 3).alias("nm"), "k", ym().alias("ym"))
     bp = b.where(F.col("cls") == "paper").select((F.col("cu") % 3).alias("nm"), "k", ym().alias("ym"))
     paper = rec.unmatched_by_columns(bp, ap, ["nm", "k", "ym"], ["k"], sample=2)

@@ -265,19 +265,19 @@ SELECT category, CAST(CASE category WHEN 'paper' THEN 0 WHEN 'electronic' THEN 1
   CAST(a_n AS BIGINT) a_n, CAST(a_amt AS DOUBLE) a_amt, CAST(b_n AS BIGINT) b_n, CAST(b_amt AS DOUBLE) b_amt,
   CAST(a_n - b_n AS BIGINT) delta_n, CAST(a_amt - b_amt AS DOUBLE) delta_amt FROM r"""
 
-_SLICE = BASE + """,
-ga AS (SELECT k, count(*) a_rows, sum(amt) a_sum FROM a WHERE ls = 'O' GROUP BY k),
-gb AS (SELECT k, count(*) b_rows, sum(amt) b_sum FROM b WHERE status <> 'P' GROUP BY k),
+_KEYED = BASE + """,
+ga AS (SELECT k, count(*) a_rows, sum(amt) a_sum FROM a GROUP BY k),
+gb AS (SELECT k, count(*) b_rows, sum(amt) b_sum FROM b GROUP BY k),
 m AS (SELECT coalesce(ga.k, gb.k) k, coalesce(a_rows, 0) a_rows, coalesce(a_sum, 0) a_sum,
         coalesce(b_rows, 0) b_rows, coalesce(b_sum, 0) b_sum FROM ga FULL OUTER JOIN gb ON ga.k = gb.k)"""
 
-Q["reconcile_rows_or_amount"] = _SLICE + """
+Q["reconcile_rows_or_amount"] = _KEYED + """
 SELECT CASE WHEN b_rows = 0 THEN 'only_a' WHEN a_rows = 0 THEN 'only_b' ELSE 'both_differ' END outcome, k,
   CAST(a_rows AS BIGINT) a_rows, CAST(a_sum AS DOUBLE) a_sum, CAST(b_rows AS BIGINT) b_rows, CAST(b_sum AS DOUBLE) b_sum,
   CAST(a_rows - b_rows AS BIGINT) delta_rows, CAST(a_sum - b_sum AS DOUBLE) delta_sum
 FROM m WHERE a_rows <> b_rows OR abs(a_sum - b_sum) > 0.01"""
 
-Q["reconcile_amount"] = _SLICE + """
+Q["reconcile_amount"] = _KEYED + """
 SELECT CASE WHEN a_rows > 0 AND b_rows = 0 THEN 'only_a' WHEN b_rows > 0 AND a_rows = 0 THEN 'only_b'
             ELSE 'different_amount' END outcome, k,
   CAST(a_rows AS BIGINT) a_rows, CAST(a_sum AS DOUBLE) a_sum, CAST(b_rows AS BIGINT) b_rows, CAST(b_sum AS DOUBLE) b_sum,
@@ -325,15 +325,15 @@ SELECT k, 'a' side, CAST(rn AS BIGINT) rn, strftime(d, {DAY}) d, CAST(amt AS DOU
 UNION ALL SELECT k, 'b', CAST(rn AS BIGINT), strftime(d, {DAY}), CAST(amt AS DOUBLE) FROM rb WHERE rn <= 20"""
 
 Q["unmatched_both_ways"] = BASE + f""",
-ai AS (SELECT CASE WHEN pk % 10 = 0 THEN '' ELSE CAST(k AS VARCHAR) END id, k, ln, d, amt FROM a),
-bi AS (SELECT CAST(k AS VARCHAR) id, k, d, amt FROM b WHERE status <> 'P'),
+ai AS (SELECT CASE WHEN pk % 10 = 0 THEN (CASE WHEN k % 2 = 0 THEN ' ' END) ELSE CAST(k AS VARCHAR) END id, k, ln, d, amt FROM a),
+bi AS (SELECT CASE WHEN k % 11 = 0 THEN (CASE WHEN k % 2 = 0 THEN ' ' END) WHEN k % 7 = 0 THEN 'x' || k ELSE CAST(k AS VARCHAR) END id, k, d, amt FROM b),
 bo AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) rn FROM bi
-       WHERE id NOT IN (SELECT id FROM ai WHERE id <> '')),
+       WHERE trim(id) <> '' AND id NOT IN (SELECT id FROM ai WHERE trim(id) <> '')),
 ao AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, ln) rn FROM ai
-       WHERE id <> '' AND id NOT IN (SELECT id FROM bi))
+       WHERE trim(id) <> '' AND id NOT IN (SELECT id FROM bi WHERE trim(id) <> ''))
 SELECT 'only_b' section, id, k, CAST(NULL AS INTEGER) ln, strftime(d, {DAY}) d, CAST(amt AS DOUBLE) amt FROM bo WHERE rn = 1
 UNION ALL SELECT 'only_a', id, k, ln, strftime(d, {DAY}), CAST(amt AS DOUBLE) FROM ao WHERE rn = 1
-UNION ALL SELECT 'only_a_empty_id', id, k, ln, strftime(d, {DAY}), CAST(amt AS DOUBLE) FROM ai WHERE id = ''"""
+UNION ALL SELECT 'only_a_empty_id', id, k, ln, strftime(d, {DAY}), CAST(amt AS DOUBLE) FROM ai WHERE coalesce(trim(id), '') = ''"""
 
 Q["one_to_one_diff"] = BASE + """,
 ga AS (SELECT k, count(*) n, sum(amt) s FROM a GROUP BY k HAVING count(*) = 1),
@@ -355,9 +355,9 @@ SELECT bf.id, bf.k, CAST(bf.amt AS DOUBLE) amt, CAST(coalesce(n_months, 0) AS BI
 FROM bf LEFT JOIN mm ON bf.id = mm.id"""
 
 Q["unmatched_composite"] = BASE + """,
-ap AS (SELECT ln % 3 nm, k, year(d) * 100 + month(d) ym FROM a WHERE cls = 'paper'),
-bp AS (SELECT cu % 3 nm, k, year(d) * 100 + month(d) ym FROM b WHERE cls = 'paper'),
-mp AS (SELECT * FROM bp WHERE NOT EXISTS (SELECT 1 FROM ap WHERE ap.nm = bp.nm AND ap.k = bp.k AND ap.ym = bp.ym)),
+ap AS (SELECT ln % 3 nm, k, CASE WHEN k % 3 <> 0 THEN year(d) * 100 + month(d) END ym FROM a WHERE cls = 'paper'),
+bp AS (SELECT cu % 3 nm, k, CASE WHEN k % 3 <> 0 THEN year(d) * 100 + month(d) END ym FROM b WHERE cls = 'paper'),
+mp AS (SELECT * FROM bp WHERE NOT EXISTS (SELECT 1 FROM ap WHERE ap.nm = bp.nm AND ap.k = bp.k AND ap.ym IS NOT DISTINCT FROM bp.ym)),
 me AS (SELECT k FROM b WHERE cls = 'electronic' AND k NOT IN (SELECT k FROM a WHERE cls = 'electronic')),
 s AS (SELECT 'paper' section, k, row_number() OVER (ORDER BY k) rank, (SELECT count(*) FROM mp) n FROM mp
       UNION ALL SELECT 'electronic', k, row_number() OVER (ORDER BY k), (SELECT count(*) FROM me) FROM me)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.plans import jobs
 from conftest import strings
 
+# The fixtures of the end-to-end tests (FIXTURES.md).
 FX1_HEADER = ["C_NOME", "FAT_DATDOC", "FAT_NDOC", "FAT_DATREG", "FAT_PROT", "FAT_NUM", "IMPONIBILE", "FAT_TOTFAT",
               "FAT_TOTIVA", "RA_IMPON", "RA_CODTRIB", "RA_IMPOSTA", "TMC_G8"]
 FX1 = [["ACME Inc", "2025-01-01", "F001", "2025-01-01", "EP", "1", "100.0", "122.0", "22.0", "100.0", "I9", "5.0", "ID1"],
@@ -147,10 +148,10 @@ def test_compare_fx6_and_invariants(spark):
 
 
 def test_compare_header_variants_fx7(spark):
-    reg = strings(spark, REG6_HEADER, [REG6[1][:12] + ["123"]])
+    reg = _with_order(strings(spark, REG6_HEADER, [REG6[1][:12] + ["123"]]))
     por = strings(spark, ["Identificativo SDI", "Numero fattura", "Data emissione", "Importo fattura", "Ragione Sociale"],
                   [["123", "n1", "2025-01-20", "200.0", "Ragione B"]])
-    out = jobs.compare_ledgers(reg, por)
+    out = jobs.compare_ledgers(reg, _with_order(por))
     summ = {r.category: (r.b_n, r.delta_amt) for r in out["summary"].collect()}
     assert summ["electronic"] == (1, Decimal("0.00"))
     paid = jobs.portal_paid_report(strings(spark, ["Ragione Sociale", "Numero fattura", "Identificativo SDI",
@@ -160,8 +161,8 @@ def test_compare_header_variants_fx7(spark):
 
 
 def test_compare_period_guard(spark):
-    reg = strings(spark, REG6_HEADER, REG6)
-    por = strings(spark, POR6_HEADER, POR6)
+    reg = _with_order(strings(spark, REG6_HEADER, REG6))
+    por = _with_order(strings(spark, POR6_HEADER, POR6))
     with pytest.raises(ValueError, match="quarters"):
         jobs.compare_ledgers(reg, por, "Registro I TRIM 2025.csv", "Portale II TRIM 2025.xlsx")
     out = jobs.compare_ledgers(reg, por, "Registro I TRIM 2025.csv", "Portale.xlsx")
@@ -198,6 +199,6 @@ def test_cli_compare(spark, tmpdir_path):
 
 
 def test_compare_to_check_sheet(spark):
-    out = jobs.compare_ledgers(strings(spark, REG6_HEADER, REG6), strings(spark, POR6_HEADER, POR6))
+    out = jobs.compare_ledgers(_with_order(strings(spark, REG6_HEADER, REG6)), _with_order(strings(spark, POR6_HEADER, POR6)))
     rows = {r.category: r.detail_table for r in out["to_check"].collect()}
     assert rows == {"paper": "paper_detail", "electronic": "electronic_detail", "total": None}
