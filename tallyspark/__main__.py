@@ -56,7 +56,7 @@ def main(argv=None) -> None:
         res = jobs.compare_ledgers(read_ledger(spark, args.register), read_ledger(spark, args.portal),
                                    args.register, args.portal, materialize=True)
         show = "summary"
-    jobs.write_report(res, args.out)
+    jobs.write_report(res, args.out, check=jobs.comparison_invariants if args.job == "compare" else None)
     spark.read.parquet(f"{args.out.rstrip('/')}/{show}").show(truncate=False)
 
 

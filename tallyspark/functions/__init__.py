@@ -7,7 +7,7 @@ from tallyspark.functions.numbers import (
 )
 from tallyspark.functions.dates import (
     date_text, extend_period, month_of, parse_date, quarter_from_name,
-    quarter_start_col,
+    quarter_end_col, quarter_start_col,
 )
 from tallyspark.functions.text import (
     amount_key, blank_null_tokens, is_empty_id, normalize_id, text_key,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.common import as_col, strip
 
+# The shapes of date texts that are read.
 ISO_TEXT = r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2}(\.\d+)?)?$"
 # Day/month/year text with '/', '-' or '.' separators and an optional time.
 DMY_TEXT = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}( \d{1,2}:\d{2}(:\d{2})?)?$"
@@ -92,3 +93,8 @@ def quarter_start_col(name_col) -> Column:
     q = (F.when(q_raw == "IV", 4).when(q_raw == "III", 3).when(q_raw == "II", 2)
          .when(q_raw == "I", 1).otherwise(q_raw.try_cast("int")))
     return F.when(q_raw != "", F.make_date(year.try_cast("int"), q * 3 - 2, F.lit(1)))
+
+
+def quarter_end_col(name_col, days: int = 0) -> Column:
+    """F18/F19 as a Column: last day of the quarter named in the file name, ``days`` later; NULL when none."""
+    return F.date_add(F.last_day(F.add_months(quarter_start_col(name_col), 2)), days)

@@ -61,14 +61,11 @@ def duplicates_removed(df: DataFrame, keys: Sequence) -> DataFrame:
                  (F.sum("_n") - F.count(F.lit(1))).cast("bigint").alias("duplicates_removed"))
 
 
-def dedup_then_filter(df: DataFrame, keys: Sequence, order: Sequence, predicate: Column) -> DataFrame:
-    """De-duplicate first, then filter (register report order).
-
-    A group whose first row fails ``predicate`` disappears entirely.
-    """
-    return dedup_first(df, keys, order).where(predicate)
-
-
-def filter_then_dedup(df: DataFrame, keys: Sequence, order: Sequence, predicate: Column) -> DataFrame:
-    """Filter first, then de-duplicate (comparison order)."""
-    return dedup_first(df.where(predicate), keys, order)
+def dedup_first_counted(df: DataFrame, keys: Sequence, order: Sequence, name: str = "_copies") -> DataFrame:
+    """D1 and D3 in one pass: the first row of every key and in ``name`` how many rows the key has. One scan,
+    one shuffle; the partial aggregate leaves a row a key and task, so a hot key is harmless."""
+    # NULLs last, as in nulls_last
+    place = F.struct(F.lit(0), *[x for c in order for x in (as_col(c).isNull(), as_col(c))])
+    firsts = df.groupBy(*[as_col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), place).alias("_r"), F.count(F.lit(1)).alias(name))
+    return firsts.select(*[F.col("_r")[c].alias(c) for c in df.columns], name)

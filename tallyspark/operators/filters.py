@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.codes import ALLOWED_CODES, is_allowed
 from tallyspark.functions.common import as_col, strip
-from tallyspark.functions.dates import extend_period
+from tallyspark.functions.dates import extend_period, quarter_end_col, quarter_start_col
 from tallyspark.functions.text import is_empty_id
 from tallyspark.operators.dedup import nulls_last
 
@@ -46,6 +46,16 @@ def filter_period_extended(df: DataFrame, date_col: str, period, days: int = 8)
     return filter_period(df, date_col, extend_period(period, days))
 
 
+def filter_file_period(df: DataFrame, date_col, name_col="_src", days: int = 0) -> DataFrame:
+    """F18 + P3/P4 over many files: each row is held against the quarter in the name of its own
+    file (its end ``days`` later). Rows of files without a quarter stay; NULL dates
+    drop out where there is one. The quarter is a function of the name, so no table of files
+    is joined; :func:`tallyspark.sources.read_exports` leaves whole files out before the scan."""
+    start, end = quarter_start_col(name_col), quarter_end_col(name_col, days)
+    day = as_col(date_col).cast("timestamp_ntz")
+    return df.where(start.isNull() | day.between(start.cast("timestamp_ntz"), end.cast("timestamp_ntz")))
+
+
 def filter_date_range(df: DataFrame, date_col, start, end) -> DataFrame:
     """P5: explicit inclusive range."""
     return df.where(in_period(date_col, (start, end)))

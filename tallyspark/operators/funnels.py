@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.common import as_col
 from tallyspark.operators.dedup import dedup_first
 
 OVERALL = "overall"
@@ -35,26 +36,38 @@ def step_funnel(df: DataFrame, keys: Sequence, order: Sequence, allowed: Column,
 
 
 def dedup_sensitivity(df: DataFrame, variants: Mapping[str, tuple], ok_col: str) -> DataFrame:
-    """For every variant ``name → (keys, order, pre_filter or None)`` the
+    """For every variant ``name → (keys, order, pre_filter or None)`` the
     rows kept by keep-first dedup (``name``) and how many of them pass
     ``ok_col`` (``name_ok``), plus ``base_rows``; one output row.
 
-    Each variant is its own shuffle (its own key); each is reduced to one
-    row before the variants are put side by side.
+    One scan and one shuffle for all variants: each row stands once for each variant with the
+    variant's key and order, and of each (variant, key) only the flag of the first row is kept, by a
+    partial aggregate before the shuffle. Key parts are compared as text.
     """
-    parts = None
-    for name, (keys, order, pre) in variants.items():
-        src = df if pre is None else df.where(pre)
-        one = dedup_first(src, keys, order).agg(
-            F.lit(name).alias("variant"), F.count(F.lit(1)).cast("bigint").alias("n"),
-            _count_if(F.col(ok_col)).alias("n_ok"))
-        parts = one if parts is None else parts.unionByName(one)
-    base = df.select(F.count(F.lit(1)).cast("bigint")).scalar()
-    cols = [base.alias("base_rows")]
+    orders = {name: [x for c in order for x in (as_col(c).isNull(), as_col(c))] for name, (_, order, _) in variants.items()}
+    places = {name: F.struct(F.lit(0), *o) for name, o in orders.items()}
+    kinds = df.select(*[p.alias(n) for n, p in places.items()]).schema
+    base_of = next((n for n, (_, _, pre) in variants.items() if pre is None), None)
+
+    def stands(name, keys, pre):
+        key = F.array(*[as_col(k).cast("string") for k in keys])
+        fields = [(places[n] if n == name else F.lit(None).cast(kinds[n].dataType)).alias(f"p{i}") for i, n in enumerate(variants)]
+        one = F.struct(F.lit(name).alias("variant"), key.alias("key"), *fields)
+        return one if pre is None else F.when(pre, one)
+
+    each = [stands(name, keys, pre) for name, (keys, _, pre) in variants.items()]
+    if base_of is None:
+        each.append(F.struct(F.lit("").alias("variant"), F.array().cast("array<string>").alias("key"),
+                             *[F.lit(None).cast(kinds[n].dataType).alias(f"p{i}") for i, n in enumerate(variants)]))
+    rows = df.select(F.col(ok_col).alias("_ok"), F.explode(F.array(*each)).alias("_v")).where(F.col("_v").isNotNull()).select("_ok", "_v.*")
+    # a row has the place of its own variant alone, and rows without a place don't count
+    firsts = rows.groupBy("variant", "key").agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(*[F.min_by(F.coalesce("_ok", F.lit(False)), f"p{i}") for i in range(len(variants))]).alias("_ok"))
+    cols = [F.coalesce(F.sum(F.when(F.col("variant") == (base_of or ""), F.col("_n"))), F.lit(0)).cast("bigint").alias("base_rows")]
     for name in variants:
-        cols += [F.max(F.when(F.col("variant") == name, F.col("n"))).alias(name),
-                 F.max(F.when(F.col("variant") == name, F.col("n_ok"))).alias(f"{name}_ok")]
-    return parts.agg(*cols)
+        mine = F.col("variant") == name
+        cols += [F.count_if(mine).cast("bigint").alias(name), F.count_if(mine & F.col("_ok")).cast("bigint").alias(f"{name}_ok")]
+    return firsts.agg(*cols)
 
 
 def class_delta_counts(a: DataFrame, b: DataFrame, a_cls: str, b_cls: str, classes: Sequence[str],

@@ -642,6 +642,84 @@ def csv_roundtrip(spark, sf):
                             date_text(parse_date("Data emissione")).alias("d")))
 
 
+def _written(df: DataFrame, folder: str, name: str, **options) -> None:
+    """``df`` as CSV files ``<name>.<part>.csv`` in a folder (the parts in the order of their names)."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    df.write.options(header=True, **options).csv(f"{folder}/_{name.replace(' ', '_')}")
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path(f"{folder}/_{name.replace(' ', '_')}/part-*")):
+        part = found.getPath().getName().split("-")[1]
+        fs.rename(found.getPath(), path(folder, f"{name}.{part}.csv"))
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from tallyspark.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+#: One column whose name is a header line and whose values are lines: written as they are.
+_AS_THEY_ARE = {"sep": "\u0001", "quote": "\u0002", "escape": "\u0002"}
+
+
+def csv_quoted_lines(spark, sf):
+    """Names with line ends, delimiters and quotes in quoted fields, written by
+    many tasks and read back."""
+    from tallyspark.sources import read_delimited
+    o = read(spark, sf, "orders")
+    k, name = F.col("o_orderkey"), F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string"))
+    names = (F.when(k % 5 == 0, F.concat(name, F.lit('\n"Sons", Ltd\n'), k.cast("string")))
+              .when(k % 5 == 1, F.concat(F.lit('5" pipe, '), name)).otherwise(name))
+    export = o.select(k.cast("string").alias("Numero fattura"), names.alias("Creditore"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("Importo fattura"))
+    path = _scratch(spark, "csv_quoted_lines")
+    _written(export.repartition(3, "Numero fattura"), path, "export", escape='"')
+    df = read_delimited(spark, path)
+    return finish(df.select(F.col("Numero fattura").cast("bigint").alias("k"), "Creditore", parse_number_mixed("Importo fattura").alias("amount")))
+
+
+def register_from_files(spark, sf):
+    """S2/S4/M2–M6/M10/M11/D3/K3 on E1: the register in one folder of exports of two
+    kinds: odd lines under loose names, ";" and Italian amounts, some with too many
+    fields; even lines under lower-case names, ",", with another document number that gives way and no protocol number. "First" is the order of the files."""
+    from tallyspark.plans.jobs import register_report as job
+    from tallyspark.plans.layout import REGISTER
+    from tallyspark.sources import read_exports
+    e = _register_export(spark, sf)
+    plain = F.replace(F.replace(F.col("IMPONIBILE"), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    odd_header = "Ragione Sociale;FAT_DATDOC;N. Fatture;DATA_REG_FATTURA;FT_PROT;FT_SEGNO;N_PROTOCOLLO;IMPONIBILE;IMP_TOT_IVA;IMP_TOT_RIT;IDENT_SDI"
+    odd = F.concat_ws(";", *[F.col(f"`{c}`") for c in odd_header.split(";")])
+    odd = F.when((F.col("`N. Fatture`").cast("bigint") % 50 == 0) & (F.col("l_linenumber") == 1), F.concat(odd, F.lit(";5\" x;y"))).otherwise(odd)
+    even_header = "c_nome,fat_datdoc,n_fatture,n_documento,fat_datreg,fat_prot,ft_segno,imponibile,fat_totiva,ra_imposta,tmc_g8"
+    even = F.concat_ws(",", "`Ragione Sociale`", "FAT_DATDOC", F.concat(F.lit("X"), F.col("`N. Fatture`")), "`N. Fatture`", "DATA_REG_FATTURA", F.trim("FT_PROT"),
+                       "FT_SEGNO", plain, "IMP_TOT_IVA", F.replace("IMP_TOT_RIT", F.lit(","), F.lit(".")), "IDENT_SDI")
+    path = _scratch(spark, "register_from_files")
+    first = e.orderBy(*_EXPORT_ORDER)
+    _written(first.where(F.col("l_linenumber") % 2 == 1).select(odd.alias(odd_header)), path, "a register", **_AS_THEY_ARE)
+    _written(first.where(F.col("l_linenumber") % 2 == 0).select(even.alias(even_header)), path, "b register", **_AS_THEY_ARE)
+    raw = read_exports(spark, f"{path}/*.csv", REGISTER, keep_bad=True)
+    return finish(job(raw, check_nonempty=False)["stats"])
+
+
+def portal_periods_by_file(spark, sf):
+    """F18/P3 by file, M8: orders dealt to the exports of three quarters; each row counts in the quarter
+    that its file is named after, and files outside the period asked for aren't read."""
+    import datetime as dt
+
+    from tallyspark.plans.layout import PORTAL_PAID
+    from tallyspark.sources import read_exports
+    o = _portal_export(spark, sf).withColumn("k", F.col("C").cast("bigint"))
+    path = _scratch(spark, "portal_periods_by_file")
+    for i, name in enumerate(("Portale I TRIM 2000", "Portale 2° trimestre 2000", "Portale III TRIM. 2000")):
+        _written(o.where(F.col("k") % 3 == i).drop("k"), path, name, sep=";")
+    raw = read_exports(spark, f"{path}/*.csv", PORTAL_PAID, ["Importo pagato"], period=(dt.date(2000, 4, 1), dt.date(2000, 9, 30)))
+    out = flt.filter_file_period(raw.withColumn("d", parse_date("Data emissione")), "d")
+    return finish(out.select(F.col("Numero fattura").cast("bigint").alias("k"), "d", parse_number_mixed("Importo pagato").alias("paid"),
+                             F.substring_index("_src", ".", 1).alias("file")))
+
+
 def period_if_filled(spark, sf):
     """P6 "both in turn": a period on the order date, then a second period
     on the paid date, applied because some paid dates are filled (status F:

@@ -14,9 +14,10 @@ tax_code, withholding, order_no, order_total, ext_id, value_date``.
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyspark.functions import (
@@ -29,7 +30,7 @@ from tallyspark.functions.numbers import SUM_TYPE, out_of_range
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import filters as flt
 from tallyspark.operators import reconcile as rec
-from tallyspark.operators.dedup import dedup_first, duplicates_removed
+from tallyspark.operators.dedup import dedup_first, dedup_first_counted
 from tallyspark.session import checkpoint_dir
 from tallyspark.plans.layout import (
     COMPARE_PORTAL, COMPARE_REGISTER, PORTAL_OPTIONAL, PORTAL_PAID, PORTAL_REQUIRED,
@@ -64,10 +65,13 @@ class LazyTables(Mapping):
 
     def __len__(self):
         return len(self._factories)
+
+
+# Fixed value: the label of a comparison without a period.
 ALL_PERIOD_LABEL = "Tutto il periodo"
 
 
-SRC = "_src"
+SRC, EXTRA = "_src", "_extra"
 
 
 def _file_order(df: DataFrame) -> list:
@@ -108,22 +112,26 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     """Clean one register export.
 
     Layout → keep-first on (doc date, doc no, id) in file order **before**
-    the code filter (D1) → duplicates metric (D3) → allowed codes (P1) →
+    the code filter (D1), which counts the duplicates too (D3) → allowed codes (P1) →
     month-first dates, mixed-locale amounts (failures → 0), sign, net of
     withholding → detail sorted by registration date (W2), per-class code
     summaries with zero rows (A2) and the stats row (K3). ``order`` replaces
     the file order (``_row``) as the meaning of "first".
+
+    Every table comes from one scan and one shuffle. Malformed rows (read with ``keep_bad``:
+    ``_extra`` is set) are counted as ``skipped_rows`` of the stats and belong to nothing else.
     """
     df = _require_order(apply_layout(raw, REGISTER), order)
     df = df.withColumn("FAT_PROT", clean_code("FAT_PROT"))
     key = ["FAT_DATDOC", "FAT_NDOC", "TMC_G8"]
-    deduped = dedup_first(df, key, order or _file_order(df))
-    kept = deduped.where(F.col("FAT_PROT").isin(*ALLOWED_CODES))
-    # D3 (before the code filter): a grouped count with map-side partial
-    # aggregation — cheaper than re-running the keep-first window.
-    dups = duplicates_removed(df, key).select(F.max("duplicates_removed")).scalar()
-    d = kept.select(
-        *_order_cols(kept),
+    if EXTRA in df.columns:  # each malformed row is a group of its own
+        df = df.withColumn("_bad", F.when(F.col(EXTRA).isNotNull(), F.monotonically_increasing_id())).drop(EXTRA)
+        key = [*key, "_bad"]
+    else:
+        df = df.withColumn("_bad", F.lit(None).cast("bigint"))
+    deduped = dedup_first_counted(df, key, order or _file_order(df))
+    d = deduped.select(
+        *_order_cols(deduped),
         F.col("C_NOME").alias("party"),
         parse_date("FAT_DATDOC", day_first=False).alias("doc_date"),
         F.col("FAT_NDOC").alias("doc_no"),
@@ -140,6 +148,8 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
         F.col("TMC_G8").alias("ext_id"),
         F.col("M2_TMC_DATREG").alias("value_date"),
         (out_of_range("IMPONIBILE") | out_of_range("RA_IMPOSTA")).alias("_rejected"),
+        F.col("_bad").isNotNull().alias("_bad"), "_copies",
+        (F.col("_bad").isNull() & F.coalesce(F.col("FAT_PROT").isin(*ALLOWED_CODES), F.lit(False))).alias("_allowed"),
     )
     d = d.select(
         "*",
@@ -150,7 +160,8 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     ).drop("_amount", "_tax", "_order_total", "_withholding") \
      .withColumn("paid", F.col("amount")) \
      .withColumn("cls", code_class("code"))
-    d = _materialize(d, materialize)
+    every = _materialize(d, materialize)
+    d = every.where("_allowed").drop("_bad", "_copies", "_allowed")
     # With ``materialize`` the probe reads the checkpoint; otherwise it costs
     # one run of the dedup shuffle before the result tables are built.
     if check_nonempty and d.isEmpty():
@@ -160,7 +171,9 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
                                total_label="TOTALE", by="cls")
     sheets = {f"summary_{c}": summary.where(F.col("cls") == c).drop("cls")
               for c in (PAPER, ELECTRONIC, SELF_INVOICE)}
-    stats = _register_stats(d, dups)
+    stats = _register_stats(every)
+    if EXTRA not in raw.columns:
+        stats = stats.drop("skipped_rows")
     # A5: the totals row of the detail sheet (plain sums of the money columns)
     data_total = d.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(SUM_TYPE).alias(c)
                          for c in ("amount", "paid", "tax", "order_total", "withholding")])
@@ -168,18 +181,20 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
             "code_counts": agg.count_codes(d, "code", ALLOWED_CODES)}
 
 
-def _register_stats(d: DataFrame, dups: Column) -> DataFrame:
-    paper = F.col("cls") == PAPER
-    elec = F.col("cls").isin(ELECTRONIC, SELF_INVOICE)
-    s = d.agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_records"),
+def _register_stats(every: DataFrame) -> DataFrame:
+    ok = F.col("_allowed")
+    paper = ok & (F.col("cls") == PAPER)
+    elec = ok & F.col("cls").isin(ELECTRONIC, SELF_INVOICE)
+    return every.agg(
+        F.count_if(ok).cast("bigint").alias("total_records"),
         F.sum(F.when(paper, 1).otherwise(0)).cast("bigint").alias("paper_records"),
         F.sum(F.when(elec, 1).otherwise(0)).cast("bigint").alias("electronic_records"),
         F.coalesce(F.sum(F.when(paper, F.col("paid"))), F.lit(0)).cast(SUM_TYPE).alias("paper_amount"),
         F.coalesce(F.sum(F.when(elec, F.col("paid"))), F.lit(0)).cast(SUM_TYPE).alias("electronic_amount"),
-        F.count_if("_rejected").cast("bigint").alias("rejected_amounts"),
+        F.count_if(ok & F.col("_rejected")).cast("bigint").alias("rejected_amounts"),
+        F.coalesce(F.sum(F.when(~F.col("_bad"), F.col("_copies") - 1)), F.lit(0)).cast("bigint").alias("duplicates_removed"),
+        F.count_if("_bad").cast("bigint").alias("skipped_rows"),
     )
-    return s.withColumn("duplicates_removed", dups.cast("bigint"))
 
 
 # ------------------------------------------------------------------- E2
@@ -384,17 +399,99 @@ def compare_ledgers(register_raw: DataFrame, portal_raw: DataFrame, register_nam
 
 
 # ------------------------------------------------------------------- K1/K2
-def write_report(result: Mapping[str, DataFrame], out_dir: str, fmt: str = "parquet",
-                 mode: str = "overwrite") -> dict[str, str]:
-    """K1/K2: one folder per result table (parquet or csv with header).
-    Each table is written by the executors; nothing passes the driver."""
-    paths = {}
-    for name, df in result.items():
-        path = f"{out_dir.rstrip('/')}/{name}"
-        w = df.write.mode(mode)
-        if fmt == "csv":
-            w.option("header", True).csv(path)
-        else:
-            w.parquet(path)
-        paths[name] = path
-    return paths
+MANIFEST = "manifest"
+
+
+def comparison_invariants(tables: Mapping[str, DataFrame]) -> list[str]:
+    """What the tables of one comparison must agree on; a line for each disagreement."""
+    def one(df, *cols):
+        row = df.agg(*cols).first()
+        return tuple(row)
+
+    def money(cond=None, col="delta"):
+        return F.coalesce(F.sum(F.col(col) if cond is None else F.when(cond, F.col(col))), F.lit(0)).cast(SUM_TYPE)
+
+    of = lambda c, col: money(F.col("category") == c, col)
+    paper, electronic, rows, total, total_rows, a_total = one(
+        tables["summary"], of(PAPER, "delta_amt"), of(ELECTRONIC, "delta_amt"), of(ELECTRONIC, "delta_n"), of("total", "delta_amt"),
+        of("total", "delta_n"), of(PAPER, "delta_n"))
+    listed, = one(tables["paper_detail"], money())
+    residue = F.col("outcome") == "total"
+    listed_el, rows_el = one(tables["electronic_detail"].where(~residue), money(None, "delta_sum"), money(None, "delta_rows"))
+    total_el, total_rows_el = one(tables["electronic_detail"].where(residue), money(None, "delta_sum"), money(None, "delta_rows"))
+    found = []
+    if listed != paper:
+        found.append(f"paper detail sums to {listed}, the summary has {paper}")
+    if (listed_el, rows_el) != (total_el, total_rows_el):
+        found.append(f"electronic detail sums to {listed_el} over {rows_el} rows, its total row has {total_el} over {total_rows_el}")
+    if rows != total_rows_el:  # amounts within the tolerance aren't listed, but rows are all
+        found.append(f"electronic detail differs by {total_rows_el} rows, the summary by {rows}")
+    if total != paper + electronic or total_rows != a_total + rows:
+        found.append("the total of the summary isn't the sum of its classes")
+    return found
+
+
+def write_report(result: Mapping[str, DataFrame], out_dir: str, fmt: str = "parquet", mode: str = "overwrite",
+                 check: Callable[[Mapping[str, DataFrame]], list[str]] | None = None) -> dict[str, str]:
+    """K1/K2: one folder per result table (parquet or csv with header) and a table ``manifest`` of
+    their rows and the totals of their money columns, counted while they are written.
+
+    All tables are written to a folder beside ``out_dir``, ``check`` (e.g.
+    :func:`comparison_invariants`) looks at what was written, and only then the folder takes the place of
+    ``out_dir`` by a rename; whatever fails before leaves an earlier report as it was. ``mode``
+    "error" refuses to replace one. Each table is written by the executors; nothing passes the driver."""
+    if mode not in ("overwrite", "error"):
+        raise ValueError(f"mode: overwrite or error, not {mode!r}")
+    spark = next(iter(result.values())).sparkSession
+    jvm, out_dir = spark.sparkContext._jvm, out_dir.rstrip("/")
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(out_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if mode == "error" and fs.exists(path(out_dir)):
+        raise ValueError(f"{out_dir} exists")
+    mark = uuid.uuid4().hex
+    parent, name = os.path.split(out_dir)
+    staged = f"{parent}/_{name}.{mark}" if parent else f"_{name}.{mark}"
+    try:
+        facts = []
+        for table, df in result.items():
+            seen = Observation(f"{table}.{mark}")
+            sums = [c for c, kind in df.dtypes if kind.startswith("decimal")]
+            counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.sum(F.col(f"`{c}`")).cast("string").alias(f"t{i}") for i, c in enumerate(sums)])
+            _written(counted, f"{staged}/{table}", fmt)
+            got = seen.get
+            facts.append((table, got["rows"], {c: got[f"t{i}"] for i, c in enumerate(sums)}))
+        _manifest = spark.createDataFrame(facts, "table string, rows long, totals map<string, string>")
+        _manifest.coalesce(1).write.json(f"{staged}/{MANIFEST}")
+        if check is not None:
+            wrong = check({t: _read_back(spark, df, f"{staged}/{t}", fmt) for t, df in result.items()})
+            if wrong:
+                raise ValueError("the tables of the report disagree: " + "; ".join(wrong))
+        old = None
+        if fs.exists(path(out_dir)):
+            old = path(f"{parent}/_{name}.old.{mark}" if parent else f"_{name}.old.{mark}")
+            if not fs.rename(path(out_dir), old):
+                raise OSError(f"cannot replace {out_dir}")
+        elif parent:
+            fs.mkdirs(path(parent))
+        if not fs.rename(path(staged), path(out_dir)):
+            if old is not None:
+                fs.rename(old, path(out_dir))
+            raise OSError(f"cannot publish {out_dir}")
+        if old is not None:
+            fs.delete(old, True)
+    finally:
+        if fs.exists(path(staged)):
+            fs.delete(path(staged), True)
+    return {table: f"{out_dir}/{table}" for table in result}
+
+
+def _written(df: DataFrame, path: str, fmt: str) -> None:
+    if fmt == "csv":
+        df.write.option("header", True).csv(path)
+    else:
+        df.write.parquet(path)
+
+
+def _read_back(spark, df: DataFrame, path: str, fmt: str) -> DataFrame:
+    reader = spark.read.schema(df.schema)
+    return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)

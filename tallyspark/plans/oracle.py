@@ -549,3 +549,36 @@ SELECT 'Tutto il periodo' period,
     f"CAST(coalesce(sum(amt) FILTER (side = '{side}' AND cls = '{c}'), 0) AS DOUBLE) {side}_{c}_amount"
     for side in "ab" for c in ("paper", "electronic")) + """
 FROM u"""
+
+Q["csv_quoted_lines"] = """
+SELECT o_orderkey k, CASE o_orderkey % 5 WHEN 0 THEN 'Customer#' || o_custkey || chr(10) || '"Sons", Ltd' || chr(10) || o_orderkey
+    WHEN 1 THEN '5" pipe, Customer#' || o_custkey ELSE 'Customer#' || o_custkey END "Creditore",
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) amount FROM orders"""
+
+Q["register_from_files"] = f"""
+WITH r AS (SELECT l_shipdate d, l_orderkey k,
+             CASE WHEN l_partkey % 10 = 0 THEN '' ELSE CAST(l_orderkey AS VARCHAR) END id,
+             {PROTO} proto, l_returnflag rf, CAST(l_extendedprice AS DECIMAL(18,2)) price,
+             round_even(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)), 2) w,
+             l_orderkey % 50 = 0 AND l_linenumber = 1 bad, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
+g AS (SELECT count(*) n FROM r WHERE NOT bad GROUP BY d, k, id),
+f AS (SELECT *, row_number() OVER (PARTITION BY d, k, id
+        ORDER BY l_linenumber % 2 = 0, l_linenumber, l_partkey, l_suppkey, l_extendedprice) rn FROM r WHERE NOT bad),
+x AS (SELECT *, CASE WHEN rf = 'A' THEN -price ELSE price END sp, CASE WHEN rf = 'A' THEN -w ELSE w END sw,
+        {_pcls('proto')} pcls FROM f WHERE rn = 1),
+y AS (SELECT *, CASE WHEN proto IN ('EL', '2EL', 'L') THEN sp - sw ELSE sp END paid FROM x)
+SELECT CAST(count(*) AS BIGINT) total_records,
+  CAST(sum(CASE WHEN pcls = 'paper' THEN 1 ELSE 0 END) AS BIGINT) paper_records,
+  CAST(sum(CASE WHEN pcls IN ('electronic', 'self_invoice') THEN 1 ELSE 0 END) AS BIGINT) electronic_records,
+  CAST(coalesce(sum(CASE WHEN pcls = 'paper' THEN paid END), 0) AS DOUBLE) paper_amount,
+  CAST(coalesce(sum(CASE WHEN pcls IN ('electronic', 'self_invoice') THEN paid END), 0) AS DOUBLE) electronic_amount,
+  CAST((SELECT sum(n) - count(*) FROM g) AS BIGINT) duplicates_removed, CAST(0 AS BIGINT) rejected_amounts,
+  CAST((SELECT count(*) FROM r WHERE bad) AS BIGINT) skipped_rows
+FROM y"""
+
+Q["portal_periods_by_file"] = f"""
+SELECT o_orderkey k, strftime(o_orderdate, {DAY}) d,
+  CAST(round_even(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.90 AS DECIMAL(18,2)), 2) AS DOUBLE) paid,
+  CASE o_orderkey % 3 WHEN 1 THEN 'Portale 2° trimestre 2000' ELSE 'Portale III TRIM' END file
+FROM orders WHERE (o_orderkey % 3 = 1 AND o_orderdate BETWEEN TIMESTAMP '2000-04-01' AND TIMESTAMP '2000-06-30')
+  OR (o_orderkey % 3 = 2 AND o_orderdate BETWEEN TIMESTAMP '2000-07-01' AND TIMESTAMP '2000-09-30')"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources.delimited import (
     NA_TOKENS, bad_row_count, find_header_row, head_lines, raw_line_count, read_delimited,
-    read_flexible, select_columns, sniff_delimiter, survey_files,
+    read_exports, read_flexible, select_columns, sniff_delimiter, survey_files,
 )
 from tallyspark.sources.xlsx import read_xlsx, write_xlsx
 
@@ -38,6 +38,6 @@ def read_ledger(spark: SparkSession, path: str, fmt: str | None = None, **kw) ->
     raise ValueError(f"unsupported ledger format: {kind}")
 
 
-__all__ = ["read_ledger", "read_delimited", "read_flexible", "read_xlsx", "read_parquet_ledger",
+__all__ = ["read_ledger", "read_delimited", "read_exports", "read_flexible", "read_xlsx", "read_parquet_ledger",
            "write_xlsx", "find_header_row", "select_columns", "raw_line_count",
            "bad_row_count", "head_lines", "sniff_delimiter", "survey_files", "NA_TOKENS"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyspark.sources.delimited import sniff_delimiter, split_line, survey_files, unique_names
+from tallyspark.sources.delimited import survey_files
 
 
 def land_exports(spark: SparkSession, folder: str, sample_file: str, out_path: str,
@@ -25,9 +25,7 @@ def land_exports(spark: SparkSession, folder: str, sample_file: str, out_path: s
     stops (a scheduled run); otherwise the query keeps running.
     """
     fact = next(iter(survey_files(spark, sample_file).values()))
-    lines, enc = fact["head"], fact["encoding"]
-    sep = sniff_delimiter(lines)
-    names = unique_names(split_line(lines[0], sep))
+    enc, sep, names = fact["encoding"], fact["delim"], fact["names"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     reader = (spark.readStream.schema(schema).option("header", "true").option("sep", sep)
               .option("encoding", enc).option("mode", "PERMISSIVE"))

@@ -184,6 +184,29 @@ def test_compare_materialized_report(spark, tmpdir_path):
     assert spark.read.parquet(paths["summary"]).count() == 3
 
 
+def test_a_report_is_published_whole(spark, tmpdir_path):
+    """A table that fails, or tables that disagree, leave the earlier report; the manifest counts what was written."""
+    reg, por = _with_order(strings(spark, REG6_HEADER, REG6)), _with_order(strings(spark, POR6_HEADER, POR6))
+    place = os.path.join(tmpdir_path, "out")
+    tables = jobs.compare_ledgers(reg, por, materialize=True)
+    jobs.write_report(tables, place, check=jobs.comparison_invariants)
+    first = {r["table"]: r for r in spark.read.json(f"{place}/manifest").collect()}
+    assert first["summary"].rows == 3 and first["paper_detail"].rows == 4 and first["paper_detail"].totals.delta == "-390.00"
+    before = sorted(os.listdir(place))
+    broken = {"summary": spark.range(2), "paper_detail": spark.range(3).select(F.raise_error(F.lit("lost")).alias("x"))}
+    with pytest.raises(Exception, match="lost"):
+        jobs.write_report(broken, place)
+    other = dict(tables) | {"paper_detail": tables["paper_detail"].limit(1)}
+    with pytest.raises(ValueError, match="paper detail sums"):
+        jobs.write_report(other, place, check=jobs.comparison_invariants)
+    assert sorted(os.listdir(place)) == before and os.listdir(tmpdir_path) == ["out"]
+    assert spark.read.parquet(f"{place}/summary").count() == 3
+    with pytest.raises(ValueError, match="exists"):
+        jobs.write_report(tables, place, mode="error")
+    jobs.write_report({"summary": spark.range(7)}, place, fmt="csv")
+    assert sorted(x for x in os.listdir(place) if not x.startswith(".")) == ["manifest", "summary"]
+
+
 def test_cli_compare(spark, tmpdir_path):
     from tallyspark.__main__ import main
     reg = os.path.join(tmpdir_path, "reg.csv")

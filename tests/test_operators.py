@@ -3,20 +3,21 @@
 
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import code_dimension
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import filters as flt
 from tallyspark.operators import reconcile as rec
-from tallyspark.operators.dedup import dedup_first, dedup_then_filter, duplicates_removed, filter_then_dedup
+from tallyspark.operators.dedup import dedup_first, dedup_first_counted, duplicates_removed
 
 
 def test_dedup_order_g1(spark):
     df = spark.createDataFrame([(1, "k", "XX"), (2, "k", "EP")], "row int, key string, code string")
     ok = F.col("code").isin("EP")
-    assert dedup_then_filter(df, ["key"], ["row"], ok).count() == 0
-    assert [r.row for r in filter_then_dedup(df, ["key"], ["row"], ok).collect()] == [2]
+    assert dedup_first(df, ["key"], ["row"]).where(ok).count() == 0
+    assert [r.row for r in dedup_first(df.where(ok), ["key"], ["row"]).collect()] == [2]
 
 
 def test_dedup_null_keys_g2(spark):
@@ -162,3 +163,34 @@ def test_period_if_filled_p6(spark):
     assert flt.filter_period_if_filled(df, "d", q, "t").count() == 1
     blank = spark.createDataFrame([(r[0], " ") for r in rows], "d timestamp_ntz, t string")
     assert flt.filter_period_if_filled(blank, "d", q, "t").count() == 2
+
+
+def test_first_and_count_in_one_pass(spark):
+    df = spark.createDataFrame([(None, 3, "c"), (None, 1, "a"), ("k", None, "x"), ("k", 5, "y"), ("k", 6, "z"), ("m", None, None)], "k string, o int, v string")
+    got = {r.k: (r.o, r.v, r._copies) for r in dedup_first_counted(df, ["k"], ["o", "v"]).collect()}
+    assert got == {None: (1, "a", 2), "k": (5, "y", 3), "m": (None, None, 1)}  # NULLs last, NULL keys one key
+    same = dedup_first(df, ["k"], ["o", "v"]).collect()
+    assert {r.k: (r.o, r.v) for r in same} == {k: v[:2] for k, v in got.items()}
+
+
+def test_unmatched_empty_ids_and_null_parts(spark):
+    """Empty ids of either side match nothing, B's are left out; J9: NULL equals NULL."""
+    a = spark.createDataFrame([("1", 2, "a2"), ("1", 1, "a1"), ("2", 1, "both"), (" ", 1, "e1"), (None, 2, "e2"), (None, 3, "e3")], "id string, o int, v string")
+    b = spark.createDataFrame([("2", 1, "b"), ("3", None, "late"), ("3", 9, "first"), ("", 1, "x"), (None, 1, "y")], "id string, o int, w string")
+    got = rec.unmatched(a, b, "id", ["o"], ["o"])
+    assert got.columns == ["id", "o", "v", "w", "section"]
+    assert sorted((r.section, r.id or "", r.v or r.w) for r in got.collect()) == [
+        ("only_a", "1", "a1"), ("only_a_empty_id", "", "e2"), ("only_a_empty_id", "", "e3"), ("only_a_empty_id", " ", "e1"), ("only_b", "3", "first")]
+    left = rec.unmatched_by_columns(b.select("id", "o"), a.select("id", "o"), ["id", "o"], ["id", "o"], sample=9).collect()
+    assert [(r.id, r.o, r.n_unmatched) for r in left] == [("", 1, 4), ("3", 9, 4), ("3", None, 4), (None, 1, 4)]
+    same = rec.unmatched_by_columns(a.select("id", "o"), a.select("id", "o"), ["id", "o"], ["id", "o"])
+    assert same.count() == 0
+
+
+def test_first_present_m12(spark):
+    from tallyspark.plans.layout import MissingColumnsError, first_present
+    df = spark.createDataFrame([("1", "2")], "`a.b` string, c string")
+    assert df.select(first_present(df, ["x", "a.b", "c"])).first()[0] == "1"
+    assert df.select(first_present(df, ["x"], "none")).first()[0] == "none"
+    with pytest.raises(MissingColumnsError, match="x, y"):
+        first_present(df, ["x", "y"])
