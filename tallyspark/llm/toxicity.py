@@ -200,9 +200,10 @@ def fit(texts: list[str | None], labels: list[int], steps: int = STEPS, seed: in
     return Model(table_ @ (soft[:, 1] - soft[:, 0]), bias[1] - bias[0])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, exclude: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """(text, label) of at most ``rows`` labelled documents, half of them of either label if there
-    are so many, by the smallest hashes of their ids. Rows with a null id or label are not used."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, exclude: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _text, _label) of at most ``rows`` labelled documents, half of them of either label if there
+    are so many, by the smallest hashes of their ids; of rows of one id the text of the smallest
+    hash. Rows with a null id or label are not used."""
     known = labels.select(labels[id_col].cast("long").alias("_id"), labels[label].cast("int").alias("_label")).where("_id IS NOT NULL AND _label IN (0, 1)")
     if exclude is not None:
         known = known.where(~exclude)
@@ -210,14 +211,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows
     half = [known.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(rows // 2) for k in (0, 1)]
     chosen = F.broadcast(half[0].union(half[1]))  # bounded by ``rows``
     texts = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"))
-    return texts.join(chosen, "_id").select("_id", "_text", "_label").toPandas().sort_values(["_id", "_text"], ignore_index=True)
+    # one row an id, so that the bound holds for rows too
+    first = F.min_by("_text", F.struct(F.xxhash64("_text"), F.col("_text")))
+    return texts.join(chosen, "_id").groupBy("_id", "_label").agg(first.alias("_text")).select("_id", "_text", "_label")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fitted on rows outside the held-out fold alone."""
+    """Fitted on rows outside the held-out fold alone, in one task: the driver gets the weights of the buckets, no texts."""
     held = crc32_of_id("_id") % FOLDS == HELD_OUT
-    found = training_rows(docs, labels, rows=rows, exclude=held)
-    return fit(found["_text"].tolist(), found["_label"].tolist())
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = pd.concat([pd.DataFrame({"_id": [], "_text": [], "_label": []}), *parts], ignore_index=True).sort_values(["_id", "_text"], ignore_index=True)
+        model = fit(found["_text"].tolist(), found["_label"].tolist())
+        yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    found = training_rows(docs, labels, rows=rows, exclude=held).repartition(1).mapInPandas(run, "weights binary, bias double").first()
+    if found is None:
+        return fit([], [])
+    return Model(np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
 def score_column(model: Model, text: Column) -> Column:
@@ -247,7 +258,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(df: DataFrame, docs: DataFrame, labels: DataFrame, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, that score below ``limit`` under a model of the labelled ``docs``."""
+    """The rows of ``df``, all columns, that score below ``limit`` under a model of the labelled ``docs``.
+    Null and empty texts have the score of the bias; repeated rows stay or go together."""
     return df.where(score_column(train(docs, labels), df[text_col].cast("string")) < limit)
 
 
