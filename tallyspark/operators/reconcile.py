@@ -31,7 +31,7 @@ from tallyspark.functions.numbers import SUM_TYPE
 from tallyspark.functions.text import is_empty_id
 from tallyspark.operators.aggregates import rows_and_sum_by_key
 from tallyspark.operators.dedup import dedup_first, nulls_last
-from tallyspark.operators.skew import rank_in_ranges
+from tallyspark.operators.skew import bucket_cuts, order_bucket, take_by_bucket
 
 ONLY_A, ONLY_B, BOTH_DIFFER, DIFFERENT_AMOUNT = "only_a", "only_b", "both_differ", "different_amount"
 ONLY_A_EMPTY_ID = "only_a_empty_id"
@@ -182,35 +182,35 @@ def multiset_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], a_order: Sequ
     ``sides`` limits the output to one side's surplus. The orders should be
     total; rows that tie are interchangeable.
 
-    One aggregation over both sides gives the counts. Rows of keys absent on
-    the other side are taken whole; the others are ranked by
-    :func:`tallyspark.operators.skew.rank_in_ranges` at any size, so no key is
-    gathered in one task.
+    One aggregation over both sides counts rows by key and bucket of the order
+    (:func:`tallyspark.operators.skew.order_bucket`); sums along the buckets tell which of them the
+    surplus reaches, and rows are ranked only within (key, bucket). So no key is gathered in one
+    task, and the plan is lazy: no job runs while it is built.
     """
     keys = list(keys)
-    tagged = a.select(*keys, F.lit(1).alias("_side")).unionByName(b.select(*keys, F.lit(0).alias("_side")))
-    counts = tagged.groupBy(*keys).agg(F.sum("_side").alias("_na"), F.sum(1 - F.col("_side")).alias("_nb"))
 
-    def side(df, mine, other, order, amt, outcome, sign):
-        surplus = counts.where(F.col(mine) > F.col(other)).select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            (F.col(mine) - F.col(other)).alias("_cut"), F.col(other).alias("_other"))
-        same = F.lit(True)
-        for i, k in enumerate(keys):
-            same = same & df[k].eqNullSafe(surplus[f"_k{i}"])
-        rows = df.join(surplus, same, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
-        whole = rows.where(F.col("_other") == 0)
-        ranked = rank_in_ranges(rows.where(F.col("_other") > 0), keys, order).where(F.col("_rn") <= F.col("_cut"))
-        out = whole.unionByName(ranked.drop("_rn")).drop("_cut", "_other").withColumn("outcome", F.lit(outcome))
+    def bucketed(df, order, wanted):
+        return df.withColumn("_bucket", order_bucket(df, order) if wanted else F.lit(0).cast("bigint"))
+
+    a, b = bucketed(a, a_order, "a" in sides), bucketed(b, b_order, "b" in sides)
+    tagged = a.select(*keys, F.lit("a").alias("_side"), "_bucket").unionByName(b.select(*keys, F.lit("b").alias("_side"), "_bucket"))
+    counts = tagged.groupBy(*keys, "_side", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    mine, all_of_key = F.sum("_n").over(Window.partitionBy(*keys, "_side")), F.sum("_n").over(whole)
+    counts = counts.withColumn("_cut", 2 * mine - all_of_key)  # own rows less those of the other side
+
+    def side(df, label, order, amt, outcome, sign):
+        cuts = bucket_cuts(counts.where((F.col("_side") == label) & (F.col("_cut") > 0)), keys)
+        out = take_by_bucket(df, cuts, keys, order).withColumn("outcome", F.lit(outcome))
         if amt is None:
             return out
         return out.withColumn("delta", (as_col(amt) * F.lit(sign)).cast(SUM_TYPE))
 
     parts = []
     if "a" in sides:
-        parts.append(side(a, "_na", "_nb", a_order, a_amt, ONLY_A, 1))
+        parts.append(side(a, "a", a_order, a_amt, ONLY_A, 1))
     if "b" in sides:
-        parts.append(side(b, "_nb", "_na", b_order, b_amt, ONLY_B, -1))
+        parts.append(side(b, "b", b_order, b_amt, ONLY_B, -1))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -380,8 +380,8 @@ def classify_mismatch(a_all: DataFrame, b_paper: DataFrame, num: str = "num", dt
     1. Multiset surplus of B over paper A on the 4-part key
        (num, dt, name, amt): per key, the first ``n_b - n_a`` B rows.
     2. Cut: the first ``max(0, |B| - |paper A|)`` surplus rows in
-       ``b_order`` (the number is one scalar aggregate; the cut is an exact
-       global rank spread over partitions, not one big ordered take).
+       ``b_order`` (the number is one scalar aggregate; the cut is exact, by
+       counts along buckets of the order, not one big ordered take).
     3. Reasons, by looking up (num, dt) in A: a paper row with the same
        name and amount → full_match; same name → other_amount; any paper
        row → other_name; any A row → other_class; else not_found.
@@ -400,8 +400,10 @@ def classify_mismatch(a_all: DataFrame, b_paper: DataFrame, num: str = "num", dt
             .unionByName(a_paper.select(F.lit(-1).alias("_s")))
             .agg(F.greatest(F.coalesce(F.sum("_s"), F.lit(0)), F.lit(0)))).scalar()
     # The first ``diff`` surplus rows in ``b_order``: ``diff`` grows with the
-    # data, so rank globally across partitions instead of ``orderBy.limit``.
-    cut = rank_in_ranges(surplus.select(*keys, *_names(b_order)), [], list(b_order)).where(F.col("_rn") <= diff).drop("_rn")
+    # data, so they are cut by buckets of the order instead of ``orderBy.limit``.
+    rows = surplus.select(*keys, *[c for c in _names(b_order) if c not in keys])
+    rows = rows.withColumn("_bucket", order_bucket(rows, list(b_order)))
+    cut = take_by_bucket(rows, bucket_cuts(rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cut", diff), []), [], list(b_order))
 
     # aggregated once at the finest key, and from there upwards
     full = a_all.groupBy(*keys).agg(F.max(F.when(F.col(a_is_paper), 1).otherwise(0)).alias("pna"))

@@ -23,10 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.dedup import nulls_last
+from tallyspark.functions.common import as_col
+from tallyspark.operators.dedup import _has_direction, nulls_last
 from tallyspark.session import checkpoint_dir
 
 
@@ -56,3 +57,43 @@ def rank_in_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence, name:
     out = ided.withColumn(name, local).join(F.broadcast(offsets), cond, "left")
     return (out.withColumn(name, (F.col(name) + F.coalesce("_before", F.lit(0))).cast("bigint"))
                .drop("_pid", "_mid", "_opid", "_before", *[f"_o{i}" for i in range(len(keys))]))
+
+
+#: Above every bucket of a value: where NULL stands.
+_LAST = 1 << 40
+
+
+def order_bucket(df: DataFrame, order: Sequence) -> Column:
+    """A small number that never falls along ``order``, from its first column alone and without a look
+    at the data: days of dates and times, 64 steps each time a number doubles, the first three bytes
+    of text. So a key has at most some thousands of buckets, whatever its rows."""
+    if not order or _has_direction(as_col(order[0])):
+        return F.lit(0).cast("bigint")
+    c = as_col(order[0])
+    kind = df.select(c.alias("c")).dtypes[0][1]
+    if kind == "date" or kind.startswith("timestamp"):
+        bucket = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+    elif kind == "string":
+        bucket = F.conv(F.rpad(F.substring(F.hex(c.cast("binary")), 1, 6), 6, "0"), 16, 10)
+    else:
+        v = c.cast("double")
+        bucket = F.signum(v) * F.floor(F.log2(F.lit(1.0) + F.abs(v)) * 64)
+    return F.coalesce(bucket.cast("bigint"), F.lit(_LAST))
+
+
+def bucket_cuts(counts: DataFrame, keys: Sequence[str], cut: str = "_cut") -> DataFrame:
+    """``counts`` (keys, ``_bucket``, ``_n`` rows, the number ``cut`` of rows to take of the key): the buckets that
+    the first ``cut`` rows of a key reach, and how many of each (``_take``)."""
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col(cut) - F.coalesce(F.sum("_n").over(before), F.lit(0))
+    return counts.withColumn("_take", left).where(F.col("_take") > 0).select(*keys, "_bucket", "_take")
+
+
+def take_by_bucket(rows: DataFrame, cuts: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """The first rows in ``order`` of every key, as many as ``cuts`` (of :func:`bucket_cuts`) say. Rows meet
+    the cuts and are ranked by (key, bucket), so a key that holds a third of all rows is spread over its buckets;
+    NULL keys are one key. Give a total order."""
+    group = F.struct(*keys, "_bucket")  # NULL parts of a struct are equal
+    found = rows.withColumn("_group", group).join(cuts.select(group.alias("_group"), "_take"), "_group")
+    place = F.row_number().over(Window.partitionBy("_group").orderBy(*nulls_last(order)))
+    return found.withColumn("_place", place).where(F.col("_place") <= F.col("_take")).drop("_group", "_bucket", "_take", "_place")
