@@ -131,11 +131,14 @@ def sniff_delimiter(lines: list[str], default: str = ",") -> str:
     if not sample:
         return default
     try:
-        return csv.Sniffer().sniff(sample, delimiters=DELIMITERS).delimiter
+        found = csv.Sniffer().sniff(sample, delimiters=DELIMITERS).delimiter
     except csv.Error:
-        counts = {d: lines[0].count(d) for d in DELIMITERS}
-        best = max(counts, key=counts.get)
-        return best if counts[best] else default
+        found = None
+    first = sample.split("\n", 1)[0]
+    if found is None or found not in first:  # decimal commas below a header of ";" and the like
+        counts = {d: first.count(d) for d in DELIMITERS}
+        found = max(counts, key=counts.get)
+    return found if found in first else default
 
 
 def split_line(line: str, sep: str) -> list[str]:
