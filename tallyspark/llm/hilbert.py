@@ -57,9 +57,24 @@ def index_column(cells: Sequence[Column], bits: int = BITS) -> Column:
     return run(*cells)
 
 
-def name_cell(col: Column, bits: int = BITS) -> Column:
-    """A name's cell: equal names share one, so an equality filter still prunes (null: as the empty name)."""
-    return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(1 << bits)).cast("int")
+def name_cell(col: Column, cuts: Sequence[str]) -> Column:
+    """A name's cell, growing with the name: how many of the sorted ``cuts`` don't come after it, less
+    one. Null names are as the empty one."""
+    name = F.coalesce(col.cast("string"), F.lit(""))
+    return F.greatest(F.lit(0), sum((F.when(name >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(-1))).cast("int")
+
+
+def name_cuts(df: DataFrame, name: str, bits: int = BITS) -> list[str]:
+    """The first name of each cell: the sorted distinct names in 2^bits runs of equal counts (fewer names:
+    a cell each, spread over the range by repeating the first). At most 2^bits names reach the driver."""
+    names = ranked(df.select(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("name")).distinct(), ["name"])
+    cells = 1 << bits
+    firsts = names.groupBy(F.expr(f"rank * {cells} div rows").alias("cell")).agg(F.min("name").alias("name")).collect()
+    out, reached = [], 0
+    for cell, first in sorted((r["cell"], r["name"]) for r in firsts):
+        out += [first] * (cell + 1 - reached)
+        reached = cell + 1
+    return out
 
 
 def size_cell(col: Column, bits: int = BITS) -> Column:
@@ -101,18 +116,23 @@ def write_shards(df: DataFrame, path: str, partition: str = "shard", order: Sequ
 def shard_documents(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, lang, source, hilbert, shard, slot) for every row of documents.
 
-    Dimensions: size, language and source. Nulls: a null text has size 1 and the crc32 of the empty
-    text; null languages and sources share the empty name's cell. Rows of a cell stand in the order
-    of size, text_crc32, doc_id, so that equal texts of one cell are neighbours. Repeated rows get a
-    slot each. Other columns of ``df`` are not read.
+    Dimensions: size, language and source. Rows of equal texts stand together, in the cell of the one of
+    the smallest doc_id (of these, the smallest language and source), so a shard's end cuts at most one such
+    group. Nulls: a null text has size 1 and equals the empty text; null languages and sources share
+    the empty name's cell. Rows of a cell stand in the order of size, text_crc32, the text's hash, doc_id.
+    Repeated rows get a slot each. Other columns of ``df`` are not read. An empty table gives no rows.
     """
     text = F.coalesce(df["text"].cast("string"), F.lit(""))
     rows = df.select(
         df["doc_id"].cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), df["lang"].cast("string").alias("lang"), df["source"].cast("string").alias("source"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), df["lang"].cast("string").alias("lang"), df["source"].cast("string").alias("source"),
     )
-    cells = {"size": size_cell(F.col("size")), "lang": name_cell(F.col("lang")), "source": name_cell(F.col("source"))}
-    return hilbert_shards(rows, cells, ["size", "text_crc32", "doc_id"], shards)
+    key = ["size", "text_crc32", "text_hash"]
+    groups = rows.groupBy(*key).agg(F.min(F.struct("doc_id", "lang", "source")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    rows = rows.join(groups.drop("copies"), key, "left")
+    place = {c: F.when(F.col("first").isNotNull(), F.col(f"first.{c}")).otherwise(F.col(c)) for c in ("lang", "source")}
+    cells = {"size": size_cell(F.col("size"))} | {c: name_cell(place[c], name_cuts(df, c)) for c in place}
+    return hilbert_shards(rows, cells, [*key, "doc_id"], shards).drop("first", "text_hash")
 
 
 def op6_hilbert_shards(spark, sf_dir: str) -> DataFrame:

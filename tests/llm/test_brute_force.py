@@ -126,6 +126,69 @@ def test_shards(spark, texts):
     assert all(r["size"] == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
 
 
+def test_shards_in_the_order_of_the_curve(spark, texts):
+    """Rows sorted by the curve's index of their group's cells, cut by count: the whole assignment."""
+    rows = hilbert.shard_documents(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    names = {c: sorted({r[c] for r in rows}) for c in ("lang", "source")}
+    first = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        first.setdefault(texts[r.doc_id], r)
+
+    def cell(r):
+        g = first[texts[r.doc_id]]
+        rank = [sum(names[c].index(x) * 32 // len(names[c]) <= names[c].index(g[c]) * 32 // len(names[c]) for x in names[c]) - 1 for c in ("lang", "source")]
+        starts = [[i * 32 // len(names[c]) for i in range(len(names[c]))][k] for c, k in zip(("lang", "source"), rank, strict=True)]
+        return [min(31, int(math.log2(r["size"]) * 1.5)), *starts]
+
+    index = hilbert.hilbert_index(np.array([cell(r) for r in rows]), 5).tolist()
+    assert [r.hilbert for r in rows] == index
+    ordered = sorted(rows, key=lambda r: (r.shard, r.slot))
+    place = [(r.hilbert, r["size"], r.text_crc32) for r in ordered]
+    assert place == sorted(place)
+    # equal texts are neighbours, so a shard's end cuts one group at most
+    held = {}
+    for r in rows:
+        held.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(s) - 1 for s in held.values()) <= 7
+
+
+def test_shards_prune(spark, tmp_path):
+    """Minima and maxima of the shards rule out shards for equality filters on languages and sources."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["text"])
+    hilbert.write_shards(hilbert.shard_documents(docs), str(tmp_path / "out"))
+    ranges = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        for c in ("lang", "source"):
+            ranges.setdefault((c, r.shard), set()).add(r[c])
+    for c, most in (("lang", 0.7), ("source", 0.8)):
+        names = set().union(*(v for (k, _), v in ranges.items() if k == c))
+        read = [sum(min(v) <= n <= max(v) for (k, _), v in ranges.items() if k == c) / 8 for n in names]
+        assert sum(read) / len(read) <= most, (c, read)
+
+
+def test_rules_by_rejection_per_cost():
+    """The cheap rule first; then what it leaves decides, and statistics computed before cost nothing."""
+    from tallyspark.llm.quality import cheapest_first
+
+    found = [((True, True, False), 60), ((False, True, False), 5), ((False, False, True), 20), ((False, False, False), 15)]
+    assert cheapest_first(found, [("a",), ("b",), ("c",)], {"a": 1.0, "b": 1.0, "c": 1.0}) == [1, 2, 0]
+    assert cheapest_first(found, [("a",), ("b",), ("c",)], {"a": 0.1, "b": 1.0, "c": 1.0}) == [0, 2, 1]
+    assert cheapest_first(found, [("a",), ("a", "b"), ("b",)], {"a": 0.0, "b": 1.0}) == [0, 2, 1]
+    assert cheapest_first([], [("b",), ("a",)], {"a": 1.0, "b": 2.0}) == [0, 1]
+
+
+def test_statistics_behind_a_rejecting_rule(spark):
+    """A statistic is null in rows that a rule before its own rejected, and there in the others."""
+    from tallyspark.llm import quality
+
+    rules = {r.name: r for r in quality.default_rules()}
+    order = [rules[n] for n in ("short", "symbols", "shouting", "stutter")]
+    rows = [(1, "too short"), (2, "# " * 12), (3, "LOUD " * 12), (4, "plain words of a text that no rule at all rejects here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.verdict(quality.prepared(df), order).collect()}
+    assert [(got[d].n_symbols, got[d].n_upper, got[d].n_stutter, got[d]._kept) for d in (1, 2, 3, 4)] == [(None, None, None, False), (12, None, None, False), (0, 48, None, False), (0, 0, 0, True)]
+
+
 # ---------------------------------------------------------- 7 line dedup
 def test_patience_and_blocks():
     assert line_dedup.patience([1, 2, 3, 9, 4], [7, 1, 2, 8, 4]) == [(0, 1), (1, 2), (4, 4)]
