@@ -1,16 +1,19 @@
-"""Embedding near-dedup by projection passes (operator 9).
-
-Equal vectors are one class. In each pass a class gets a signature of bits, each the side of a random
-hyperplane; classes of one signature are a run, and all pairs of a run are compared, cosine in double
-precision. The bits grow with the logarithm of the number of classes, so that a run has about ``RUN``
-rows where vectors are spread evenly, and the passes grow with the bits, so that a pair just at the
-threshold shares a run of some pass with probability ``RECALL`` at every size. A table of ``RUN`` classes
-or fewer is one run, and the result is exact.
-
-The passes give links enough to join what is near; then all pairs within each component are compared
-and the links counted, so that none is missing there, whatever the size of the group. Runs and
-components of many rows are dealt in chunks, a task for two chunks at a time; neither step writes a row
-for each pair.
+"""Embedding near-dedup by sorted projection passes (operator 9).
+
+Equal vectors are one class. In each pass a class gets ``HASH_BITS`` random bits, each the side of a random
+hyperplane, and classes are sorted by them, bit by bit from the first, in ranges over all tasks. Each
+class is compared with at least the next ``WINDOW`` of the order, cosine in double precision; the last rows
+of a range meet the first of the next one. Links of all passes are united into components.
+
+A pair that agrees in its first bits stands in one run of the order. The bits counted on grow with the
+logarithm of the number of classes, so that such a run has half a window on average, and the passes
+grow with the bits, so that a pair just at the threshold shares a run in some pass with probability ``RECALL``.
+Runs longer than the window (dense groups, hubs) are compared whole, dealt in chunks, so no window
+cuts their links off.
+
+Then all pairs within each component are compared and the links counted, so that none is missing there,
+whatever the size of the group. Long runs and components of many rows are dealt in chunks, a task for
+two chunks at a time; no step writes a row for each pair.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +31,19 @@ from pyspark.sql import types as T
 from tallyspark.llm.common import stored, table
 from tallyspark.llm.components import components
 
-#: Of a pair just at the threshold, the chance to meet in some pass.
+#: Of a pair just at the threshold, the chance to share a run in some pass.
 RECALL = 0.9999
-#: Rows of a run, on average; those compared in one task; and those of a chunk of a longer run.
-RUN, WHOLE, CHUNK = 1024, 2048, 1024
+#: Bits that a pass sorts by; rows of the order that each is compared with, at least.
+HASH_BITS, WINDOW = 62, 256
+#: Rows of a range of the order, on average.
+RANGE_ROWS = 100_000
+#: Rows of a run longer than the window that are compared in one task; and those of a chunk of a longer run.
+WHOLE, CHUNK = 2048, 1024
 #: Rows from which a component is cut into chunks, and the chunks it gets before they grow.
 COMPONENT, CHUNKS = 64, 32
 SEED = 11
+#: In the place of a range's number: the row is a link.
+LINK = -2
 
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _COUNTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("others", T.LongType())])
@@ -41,7 +51,7 @@ _COUNTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("othe
 
 def unit(vectors: list) -> np.ndarray:
     """Rows of length one, in double precision; vectors are scaled first, lest squares overflow."""
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    x = np.stack(vectors).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -51,20 +61,19 @@ def planes(seed: int, one_pass: int, dims: int) -> np.ndarray:
 
 
 def bits_and_passes(classes: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
-    """A bit is the same for two vectors with probability 1 - angle / pi."""
-    bits = max(0, math.ceil(math.log2(max(classes, 1) / RUN)))
+    """The first bits that make a run, and the passes. A bit is the same for two vectors with
+    probability 1 - angle / pi."""
+    bits = min(HASH_BITS, max(1, math.ceil(math.log2(max(classes, 1) * 2 / WINDOW))))
     meet = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** bits
-    if meet == 1:
-        return bits, 1
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
+    return bits, 1 if meet == 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
 
 
-def signatures_of(x: np.ndarray, bits: int, passes: int, seed: int) -> np.ndarray:
-    """For each row and pass, the hash bits as a long."""
+def signatures_of(x: np.ndarray, passes: int, seed: int) -> np.ndarray:
+    """For each row and pass, the hash bits as a long, the first the highest."""
     out = np.zeros((len(x), passes), np.int64)
     for p in range(passes):
-        sides = (x @ planes(seed, p, x.shape[1])[:, :bits]) > 0
-        out[:, p] = sides @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+        sides = (x @ planes(seed, p, x.shape[1])[:, :HASH_BITS]) > 0
+        out[:, p] = sides @ (np.int64(1) << np.arange(HASH_BITS - 1, -1, -1, dtype=np.int64))
     return out
 
 
@@ -96,6 +105,30 @@ def near_pairs(x: np.ndarray, chunk: np.ndarray, cosine: float) -> np.ndarray:
     return near
 
 
+def window_links(part: pd.DataFrame, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join what rows of the order link within the window, one fewer than nodes for each
+    group of a window. Rows are compared in single precision first, near the threshold and above it in double."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for (_, dims), rows in part.groupby(["pass", "dims"], sort=False):
+        node, x = rows["node"].to_numpy(), unit(unpacked(rows["v"].tolist(), int(dims)))
+        single = x.astype(np.float32)
+        for at in range(0, len(x), WINDOW):
+            end = min(len(x), at + 2 * WINDOW)
+            product = single[at : at + WINDOW] @ single[at:end].T
+            i, j = np.nonzero(np.triu(product >= cosine - 1e-4, 1))
+            if not len(i):
+                continue
+            close = product[i, j] < cosine + 1e-4
+            sure = ~close
+            sure[close] = (x[at + i[close]] * x[at + j[close]]).sum(axis=1) >= cosine
+            near = np.zeros((end - at, end - at), bool)
+            near[i[sure], j[sure]] = near[j[sure], i[sure]] = True
+            one, two = forest(near)
+            a.append(node[at + one])
+            b.append(node[at + two])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join whatever the matrix joins, one fewer than nodes for each component."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -159,30 +192,53 @@ def near_vectors(df: DataFrame, cosine: float = 0.9, recall: float = RECALL, id_
     classes = stored(classes.mapInPandas(pack, "class string, rep long, copies long, v binary, node long, dims int"))
     n_classes = classes.count()
     bits, passes = bits_and_passes(n_classes, cosine, recall)
+    order = ["pass", "dims", "signature", "node"]
 
-    def sign(with_vectors: bool):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for dims, same in part.groupby("dims"):
-                    for at in range(0, len(same), 1000):
-                        some = same.iloc[at : at + 1000]
-                        found = signatures_of(unit(unpacked(some["v"].tolist(), int(dims))), bits, passes, SEED)
-                        out = {"node": np.repeat(some["node"].to_numpy(), passes), "dims": int(dims), "pass": np.tile(np.arange(passes), len(some)), "signature": found.ravel()}
-                        yield pd.DataFrame(out | ({"v": np.repeat(some["v"].to_numpy(), passes)} if with_vectors else {}))
+    def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for dims, same in part.groupby("dims"):
+                for at in range(0, len(same), 1000):
+                    some = same.iloc[at : at + 1000]
+                    found = signatures_of(unit(unpacked(some["v"].tolist(), int(dims))), passes, SEED)
+                    yield pd.DataFrame({"pass": np.tile(np.arange(passes), len(some)), "dims": int(dims), "signature": found.ravel(), "node": np.repeat(some["node"].to_numpy(), passes), "v": np.repeat(some["v"].to_numpy(), passes)})
 
-        signed = classes.select("node", "dims", "v").mapInPandas(run, "node long, dims int, pass int, signature long" + ", v binary" * with_vectors)
-        return signed.withColumn("group", F.xxhash64("dims", "pass", "signature")).drop("pass", "signature")
+    signed = classes.select("node", "dims", "v").mapInPandas(sign, "pass int, dims int, signature long, node long, v binary")
 
-    # only long runs need their sizes
-    long_runs = stored(sign(False).groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WHOLE))
-    held = dealt(sign(True).join(long_runs, "group", "left"), "size", WHOLE, str(CHUNK), 0)
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links of a sorted range (``edge`` is LINK), and its first and last rows for the ranges beside it."""
+        me, firsts, held = TaskContext.get().partitionId(), 0, None
+        for part in parts:
+            if firsts < WINDOW:
+                some = part.head(WINDOW - firsts)
+                firsts += len(some)
+                yield some.assign(edge=me - 1, other=0)
+            rows = part if held is None else pd.concat([held, part])
+            a, b = window_links(rows, cosine)
+            yield pd.DataFrame({"pass": 0, "dims": 0, "signature": 0, "node": a, "v": None, "edge": LINK, "other": b})
+            held = rows.tail(WINDOW)
+        if held is not None:
+            yield held.assign(edge=me, other=0)
+
+    def across(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = window_links(rows.sort_values(order), cosine)
+        return pd.DataFrame({"a": a, "b": b})
+
+    ranges = max(1, math.ceil(n_classes * passes / RANGE_ROWS))
+    compared = stored(signed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInPandas(compare, "pass int, dims int, signature long, node long, v binary, edge int, other long"))
+    links = compared.where(F.col("edge") == LINK).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    links = links.union(compared.where(F.col("edge") != LINK).groupBy("edge").applyInPandas(across, _LINKS))
+
+    # runs of equal first bits that are longer than the window
+    runs = signed.withColumn("group", F.xxhash64("dims", "pass", F.shiftright("signature", HASH_BITS - bits))).drop("pass", "signature")
+    long_runs = stored(runs.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WINDOW))
+    held = dealt(runs.join(long_runs, "group"), "size", WHOLE, str(CHUNK), 0)
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         found = [(rows["node"].to_numpy(), *forest(near)) for rows, near in groups_of(part, cosine)]
         empty = np.zeros(0, np.int64)
         return pd.DataFrame({"a": np.concatenate([empty, *(n[a] for n, a, _ in found)]), "b": np.concatenate([empty, *(n[b] for n, _, b in found)])})
 
-    links = stored(held.groupBy("bin", "i", "j").applyInPandas(link, _LINKS).distinct())
+    links = stored(links.union(held.groupBy("bin", "i", "j").applyInPandas(link, _LINKS)).distinct())
     joined = stored(components(links, "a", "b"))
 
     # within components every pair is compared, and only counts are written
