@@ -46,6 +46,8 @@ FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 32 << 20
 #: Depth down to which the tree's levels are tables, and rows of the subtrees weighted together.
 TOP, PART_ROWS = 2, 250_000
+#: How tables of sorted keys are stored: differences of neighbours, a few bytes each, instead of whole longs.
+DELTAS = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
 #: Bytes of texts counted or scored at a time.
 PART_BYTES = 2 << 20
 
@@ -245,7 +247,7 @@ def byte_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     time; the levels above, a small share of the nodes, by a grouping and a join for each.
     """
     top = min(TOP, depth)
-    counts = stored(counts)
+    counts = stored(counts, **DELTAS)
     parts = max(1, math.ceil(counts.count() / PART_ROWS))
     low = (1 << (8 * top)) - 1
     counts = counts.withColumn("part", F.pmod(F.xxhash64(F.col("context").bitwiseAND(low)), F.lit(parts)))
@@ -317,15 +319,16 @@ def context_tree_scores(df: DataFrame, held_out: Column, depth: int = DEPTH, id_
     rows and null ids are learnt from and scored like others; other columns of ``df`` are not read.
     An empty table gives no rows.
     """
-    lists = stored(block_lists(id_and_text(df, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False))), depth))
+    lists = stored(block_lists(id_and_text(df, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False))), depth), **DELTAS)
     listed = lists.where("unit IS NOT NULL").select("block", "unit", "trained")
     words = stored(listed.groupBy("unit").agg(F.sum("trained").alias("known")))
     tokens, distinct = words.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count_if(F.col("known") > 0)).first()
     values = listed.select("block", "unit").join(words, "unit").select(F.col("block").alias("its_block"), "unit", "known", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("lp"))
     # each block asks once for every (context, byte) that its texts hold, and gets its score
-    asked = lists.where("key IS NOT NULL").select("block", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
-    scores = byte_scores(asked.groupBy("context", "byte").agg(F.sum("n").alias("n")), depth)
-    answers = asked.join(scores, ["context", "byte"]).select("block", F.lit(None).cast("binary"), F.lit(None).cast("long"), F.shiftleft("context", 8).bitwiseOR(F.col("byte").cast("long")), "lp")
+    asked = lists.where("key IS NOT NULL").select("block", "key", "n")
+    counted = asked.groupBy("key").agg(F.sum("n").alias("n")).select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
+    scores = byte_scores(counted, depth).select(F.shiftleft("context", 8).bitwiseOR(F.col("byte").cast("long")).alias("key"), "lp")
+    answers = asked.select("block", "key").join(scores, "key").select("block", F.lit(None).cast("binary"), F.lit(None).cast("long"), "key", "lp")
     values = values.union(answers)
     docs = lists.where("running IS NOT NULL").select("block", "doc_id", "held_out", "n_tokens", "class", "running")
     # at most CLASSES + 1 rows
