@@ -323,12 +323,13 @@ def context_tree_scores(df: DataFrame, held_out: Column, depth: int = DEPTH, id_
     listed = lists.where("unit IS NOT NULL").select("block", "unit", "trained")
     words = stored(listed.groupBy("unit").agg(F.sum("trained").alias("known")))
     tokens, distinct = words.agg(F.coalesce(F.sum("known"), F.lit(0)), F.count_if(F.col("known") > 0)).first()
-    values = listed.select("block", "unit").join(words, "unit").select(F.col("block").alias("its_block"), "unit", "known", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("lp"))
+    # for a word its count; for a (context, byte), without a word, its score
+    values = listed.select("block", "unit").join(words, "unit").select(F.col("block").alias("its_block"), "unit", F.col("known").alias("key"), F.lit(0.0).alias("lp"))
     # each block asks once for every (context, byte) that its texts hold, and gets its score
     asked = lists.where("key IS NOT NULL").select("block", "key", "n")
     counted = asked.groupBy("key").agg(F.sum("n").alias("n")).select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
     scores = byte_scores(counted, depth).select(F.shiftleft("context", 8).bitwiseOR(F.col("byte").cast("long")).alias("key"), "lp")
-    answers = asked.select("block", "key").join(scores, "key").select("block", F.lit(None).cast("binary"), F.lit(None).cast("long"), "key", "lp")
+    answers = asked.select("block", "key").join(scores, "key").select("block", F.lit(None).cast("binary"), "key", "lp")
     values = values.union(answers)
     docs = lists.where("running IS NOT NULL").select("block", "doc_id", "held_out", "n_tokens", "class", "running")
     # at most CLASSES + 1 rows
@@ -338,15 +339,14 @@ def context_tree_scores(df: DataFrame, held_out: Column, depth: int = DEPTH, id_
     whole = tokens + 0.5 * (distinct + 1)
 
     def score(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        asked = own["key"].notna()
-        answers, own = own.loc[asked, ["key", "lp"]], own[~asked]
-        # keys have 48 bits at most, exact in double precision
-        key = answers["key"].to_numpy(np.float64).astype(np.int64)
+        asked = own["unit"].isna().to_numpy()
+        key, lp, units, trained = own["key"].to_numpy()[asked], own["lp"].to_numpy()[asked], own["unit"].to_numpy()[~asked], own["key"].to_numpy()[~asked]
+        del own
         order = np.argsort(key)
-        totals = text_scores(rows["running"].tolist(), key[order], answers["lp"].to_numpy(np.float64)[order], depth)
-        trained = own["known"].to_numpy(np.float64).astype(np.int64)
+        totals = text_scores(rows["running"].tolist(), key[order], lp[order], depth)
+        del key, lp, order
         base = np.log10((trained + 0.5) / whole)
-        number = {w: k for k, w in enumerate(own["unit"])}
+        number = {w: k for k, w in enumerate(units)}
         found = []
         for kind, running, total in zip(rows["class"], rows["running"], totals, strict=True):
             count = Counter([*running[1:].split(), b""])
