@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -44,6 +45,15 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hand memory that was freed back to the system. Python workers are kept for later stages, which would
+    otherwise run beside what the largest earlier one once needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20, max_rows: int = 20_000) -> Iterator[pa.Table]:
     """The rows of a partition in tables of about ``max_bytes`` (a single row may be larger)."""
     held: list[pa.RecordBatch] = []

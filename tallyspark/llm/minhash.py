@@ -10,9 +10,10 @@
    corrected for chance collisions, isn't far below the threshold, and a link if the full sets say so.
    Each member's likeliest head is tried first, the others if they are still in other components.
 4. Members of a bucket that are not joined yet are compared with those of other components of the
-   bucket, by estimate and then on full sets. So no pair of a bucket stays untested unless both are
-   in one component already, where a link would change nothing. Pairs are ruled out by an exact bound
-   first, from shingles that no other document of such buckets has, and by longer signatures.
+   bucket, two chunks of it to a task, by estimate and then on full sets. So no pair of a bucket stays
+   untested unless both are in one component already, where a link would change nothing. Pairs are ruled
+   out by an exact bound first, from shingles that no other document of such buckets has, and by longer
+   signatures; a task writes only the links that join what was apart in it, never the pairs it compared.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import blocks, id_and_text, stored, table
+from tallyspark.llm.common import blocks, give_back, id_and_text, stored, table
 from tallyspark.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -36,6 +38,8 @@ SIGNATURE, BITS = 192, 4
 LONG_SIGNATURE = 1024
 #: Standard deviations of the estimate that a candidate may lie below the threshold.
 SLACK = 4.5
+#: Rows of a chunk of a crowded bucket, and shingles of its sets.
+CHUNK_ROWS, CHUNK_SHINGLES = 1024, 1 << 20
 WORDS_KEPT = 500_000
 
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
@@ -128,6 +132,8 @@ def signatures(df: DataFrame, shingle: int) -> DataFrame:
                 bits.append(packed_bits(least[:SIGNATURE], BITS))
             columns = [block.column("doc_id").combine_chunks(), pa.array(classes, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=_SIGNATURE_OUT.names)
+        _words.clear()
+        give_back()
 
     return df.mapInArrow(run, _SIGNATURE_OUT)
 
@@ -139,12 +145,14 @@ def sets(df: DataFrame, shingle: int) -> DataFrame:
         for block in blocks(batches, 4 << 20):
             found = [shingle_set(words_of(t), shingle).view(np.int64) for t in block.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), pa.array(found, pa.list_(pa.int64()))], names=_SET_OUT.names)
+        _words.clear()
+        give_back()
 
     return df.mapInArrow(run, _SET_OUT)
 
 
 def long_signatures(full: DataFrame) -> DataFrame:
-    """(doc_id, bits): the longer signature of each set of sets()."""
+    """(doc_id, shingles, bits): the sets of sets() with their longer signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = multipliers(LONG_SIGNATURE)
@@ -152,9 +160,9 @@ def long_signatures(full: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 bits = [packed_bits(minima(np.asarray(s.values).view(np.uint64), factors), BITS) for s in part.column("shingles")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shingles"), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "shingles", "bits"])
 
-    return full.select("doc_id", "shingles").mapInArrow(run, "doc_id long, bits array<long>")
+    return full.select("doc_id", "shingles").mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
 
 
 def estimate(a: Column, b: Column, length: int = SIGNATURE) -> Column:
@@ -179,6 +187,72 @@ def slack(similarity: float, length: int = SIGNATURE) -> float:
     return SLACK * (p * (1 - p) / length) ** 0.5 / (1 - chance)
 
 
+def met_in_buckets(open_: DataFrame, able: DataFrame, bands: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components within each bucket of ``open_`` (key, rep, component, main).
+
+    The members of a bucket are dealt to chunks, by number and by size of their sets, and a task compares
+    two chunks: sizes and the bound ``most`` of ``able`` first, then longer signatures, then full
+    sets. It keeps only links between what was still apart there, fewer than it has rows, so what is written
+    never grows with the pairs compared. A pair is compared in the first bucket that it shares.
+    """
+    found = open_.join(able, "rep")
+    # a bucket in which every member left is in one component has nothing to join
+    dealt = found.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    dealt = dealt.select("key", F.ceil(F.greatest(F.col("rows") / CHUNK_ROWS, F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    found = found.join(dealt, "key").withColumn("chunk", F.pmod(F.xxhash64("rep", "key"), F.col("chunks")).cast("int"))
+    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    found = found.select("key", "rep", "component", "main", "most", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    longer = long_signatures(full.join(able.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    found = found.join(bands, "rep").join(longer.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def meet(rows: pa.Table) -> pa.Table:
+        component = rows["component"].to_numpy().copy()
+        pairs: list[tuple[int, int]] = []
+        if (component != component[0]).any():
+            rep, most, chunk, main = (rows[c].to_numpy() for c in ("rep", "most", "chunk", "main"))
+            key, two = rows["key"][0].as_py(), rows["i"][0].as_py() != rows["j"][0].as_py()
+            minor = component != main
+            keys = np.asarray(pc.list_flatten(rows["bands"])).reshape(-1, BANDS)
+            bits = np.asarray(pc.list_flatten(rows["bits"])).view(np.uint64).reshape(len(rep), BITS, -1)
+            n = pc.list_value_length(rows["shingles"]).to_numpy().astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(n)))
+            shingles = np.asarray(pc.list_flatten(rows["shingles"])).view(np.uint64)
+            sets_ = [shingles[ends[k] : ends[k + 1]] for k in range(len(rep))]
+            chance = 2.0**-BITS
+            least = percent / 100 - slack(percent / 100, LONG_SIGNATURE)
+            for k in np.flatnonzero(minor):
+                # each pair once: a minor with a main member, or with a minor of a larger id
+                apart = (component != component[k]) & (~minor | (rep > rep[k]))
+                if two:
+                    apart &= chunk != chunk[k]
+                common = np.minimum(most, most[k])
+                at = np.flatnonzero(apart & (100 * common >= percent * (n + n[k] - common)))
+                if not len(at):
+                    continue
+                differ = np.bitwise_or.reduce(bits[at] ^ bits[k], axis=1)
+                equal = LONG_SIGNATURE - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+                alike = (equal / LONG_SIGNATURE - chance) / (1 - chance)
+                near = alike >= least
+                at, alike = at[near], alike[near]
+                if not len(at):
+                    continue
+                same = keys[at] == keys[k]
+                here = keys[k][same.argmax(axis=1)] == key
+                at, alike = at[here], alike[here]
+                for x in at[np.argsort(-alike, kind="stable")]:
+                    if component[x] == component[k]:
+                        continue
+                    small, large = sorted((sets_[k], sets_[x]), key=len)
+                    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    both = int((large[place] == small).sum())
+                    if 100 * both >= percent * (len(small) + len(large) - both):
+                        pairs.append((int(rep[k]), int(rep[x])))
+                        component[component == component[x]] = component[k]
+        return pa.table([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["a", "b"])
+
+    return found.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``df``: documents whose sets of
     ``shingle``-word shingles have 100 * intersection >= ``percent`` * union are linked.
@@ -245,20 +319,12 @@ def near_duplicates(df: DataFrame, percent: int = 80, shingle: int = 5, id_col:
     who = open_.select("rep").distinct()
     mine = full.join(who.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("h")).distinct()
     private = mine.groupBy("h").agg(F.count("*").alias("held"), F.min("rep").alias("rep")).where("held = 1").groupBy("rep").agg(F.count("*").alias("private"))
-    longer = long_signatures(full.join(who.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
-    open_faces = stored(who.join(faces.drop("bits"), "rep").join(longer, "rep").join(private, "rep", "left").withColumn("most", F.col("n") - F.coalesce("private", F.lit(0))))
-    met_rows = open_.join(open_faces.select("rep", "n", "bits", "most"), "rep")
-    minor = met_rows.where("component != main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "bits", "most")])
-    every = met_rows.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "bits", "most")])
-    other = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b")))
-    common = F.least("most_a", "most_b")
-    bounded = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
-    surer = estimate(F.col("bits_a"), F.col("bits_b"), LONG_SIGNATURE) >= percent / 100 - slack(percent / 100, LONG_SIGNATURE)
-    met = minor.join(every, "key").where(other & bounded & surer).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    tried = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = stored(met.join(tried, ["a", "b"], "left_anti"))
+    held = who.join(faces, "rep").groupBy("rep").agg(F.sum("n").alias("n"), F.min("n").alias("least"))  # a repeated id has several sets
+    able = held.join(private, "rep", "left").withColumn("most", F.col("n") - F.coalesce("private", F.lit(0))).where(100 * F.col("most") >= percent * F.col("least"))
+    able = stored(able.select("rep", "n", "most"))
+    more = stored(met_in_buckets(open_, able, classes.select("rep", "bands"), full, percent))
     if not more.isEmpty():
-        joined = components(links.union(confirmed(more)), "a", "b")
+        joined = components(links.union(more), "a", "b")
 
     found = classes.select("class", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     out = marks.select("doc_id", "class", F.col("n").alias("n_shingles")).join(found, "class", "left")

@@ -470,3 +470,25 @@ def test_one_group_of_many_near_copies(spark):
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4).collect()}
     assert got == groups(sets, links)
+
+
+def test_crowded_buckets_in_chunks(spark, monkeypatch):
+    """Families of texts about as alike as the threshold asks, in which many pairs are near it and no head
+    links with all: chunks of 20 rows and 2,000 shingles give the links of all pairs."""
+    monkeypatch.setattr(minhash, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(minhash, "CHUNK_SHINGLES", 2_000)
+    rng = np.random.default_rng(5)
+    docs = []
+    for _ in range(3):
+        base = [f"w{x}" for x in rng.integers(0, 4000, 150)]
+        for _ in range(60):
+            w = list(base)
+            for at in rng.choice(150, rng.integers(2, 5), replace=False):
+                w[at] = f"v{rng.integers(0, 3)}"
+            docs.append((len(docs), " ".join(w)))
+    sets = {d: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for d, t in docs}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if (n := len(sets[a] & sets[b])) and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    expected = groups(sets, links)
+    assert 20 < len(set(expected.values())) < 160  # neither whole families nor single texts only
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4).collect()}
+    assert got == expected
