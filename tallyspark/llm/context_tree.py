@@ -33,11 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import blocks, crc32_of_id, id_and_text, stored, table
+from tallyspark.llm.common import blocks, crc32_of_id, give_back, id_and_text, stored, table
 
 DEPTH = 5
 #: Of texts; 0 is for those without a short word.
@@ -45,11 +46,11 @@ CLASSES = 16
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 32 << 20
 #: Depth down to which the tree's levels are tables, and rows of the subtrees weighted together.
-TOP, PART_ROWS = 2, 250_000
+TOP, PART_ROWS = 3, 100_000
 #: How tables of sorted keys are stored: differences of neighbours, a few bytes each, instead of whole longs.
 DELTAS = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
-#: Bytes of texts counted or scored at a time.
-PART_BYTES = 2 << 20
+#: Bytes of texts counted, and scored, at a time.
+PART_BYTES, SCORED_BYTES = 2 << 20, 256 << 10
 
 _LISTS = T.StructType([
     T.StructField("block", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("class", T.IntegerType()),
@@ -145,6 +146,7 @@ def block_lists(df: DataFrame, depth: int) -> DataFrame:
             for at in range(0, len(names), 50_000):
                 some = names[at : at + 50_000]
                 yield batch(block=[block] * len(some), unit=some, trained=trained[at : at + len(some)])
+        give_back()
 
     return df.mapInArrow(run, _LISTS)
 
@@ -256,11 +258,14 @@ def byte_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         return Subtree(part["context"].to_numpy(), part["byte"].to_numpy(), part["n"].to_numpy(), top, depth)
 
     def weigh(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(subtree(part).top_nodes())
+        found = pd.DataFrame(subtree(part).top_nodes())
+        give_back()
+        return found
 
     def score(part: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
         tops = tops.sort_values(["context", "node"])  # the order of the subtree's keys
         lp = subtree(part).scores(tops["sum"].to_numpy(), tops["left"].to_numpy(), tops["known"].to_numpy())
+        give_back()
         return pd.DataFrame({"context": part["context"], "byte": part["byte"], "lp": lp})
 
     level = counts.groupBy("part").applyInPandas(weigh, "context long, node long, zeros double, ones double, own double, weighted double")
@@ -293,7 +298,7 @@ def text_scores(texts: list[bytes], key: np.ndarray, lp: np.ndarray, depth: int)
     out, at = np.zeros(len(texts)), 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= PART_BYTES):
+        while to < len(texts) and (to == at or size + len(texts[to]) <= SCORED_BYTES):
             size += len(texts[to])
             to += 1
         owner, context, byte = _unit_bytes(texts[at:to], depth)
@@ -338,25 +343,29 @@ def context_tree_scores(df: DataFrame, held_out: Column, depth: int = DEPTH, id_
     kinds = np.log(kinds / kinds.sum())
     whole = tokens + 0.5 * (distinct + 1)
 
-    def score(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        asked = own["unit"].isna().to_numpy()
-        key, lp, units, trained = own["key"].to_numpy()[asked], own["lp"].to_numpy()[asked], own["unit"].to_numpy()[~asked], own["key"].to_numpy()[~asked]
-        del own
-        order = np.argsort(key)
-        totals = text_scores(rows["running"].tolist(), key[order], lp[order], depth)
-        del key, lp, order
+    def score(rows: pa.Table, own: pa.Table) -> pa.Table:
+        asked = pc.is_null(own["unit"])
+        mine = own.select(["key", "lp"]).filter(asked).sort_by("key")
+        running = rows["running"].to_pylist()
+        totals = text_scores(running, mine["key"].to_numpy(), mine["lp"].to_numpy(), depth)
+        del mine
+        listed = own.select(["unit", "key"]).filter(pc.invert(asked))
+        trained = listed["key"].to_numpy()
         base = np.log10((trained + 0.5) / whole)
-        number = {w: k for k, w in enumerate(units)}
+        number = {w: k for k, w in enumerate(listed["unit"].to_pylist())}
         found = []
-        for kind, running, total in zip(rows["class"], rows["running"], totals, strict=True):
-            count = Counter([*running[1:].split(), b""])
+        for kind, text, total in zip(rows["class"].to_pylist(), running, totals, strict=True):
+            count = Counter([*text[1:].split(), b""])
             at, n = np.array([number[w] for w in count], np.int64), np.fromiter(count.values(), np.float64, len(count))
             total = float(total) + kinds[kind]
-            found.append((int(n @ (trained[at] > 0)), float(n @ base[at]), total / math.log(10), -total / math.log(2) / len(running)))
+            found.append((int(n @ (trained[at] > 0)), float(n @ base[at]), total / math.log(10), -total / math.log(2) / len(text)))
         known, base_score, log10, bits = zip(*found, strict=True)
-        return pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": rows["n_tokens"], "n_known": known, "train_tokens": tokens, "base_score": base_score, "score": log10, "bits_per_byte": bits})
+        columns = [pa.array(known, pa.int64()), pa.array([tokens] * len(known), pa.int64()), *(pa.array(c, pa.float64()) for c in (base_score, log10, bits))]
+        del running, listed, number, found
+        give_back()
+        return pa.table([rows["doc_id"], rows["held_out"], rows["n_tokens"], *columns], names=_SCORES.names)
 
-    return docs.groupBy("block").cogroup(values.groupBy("its_block")).applyInPandas(score, _SCORES)
+    return docs.groupBy("block").cogroup(values.groupBy("its_block")).applyInArrow(score, _SCORES)
 
 
 def op8_context_tree(spark, sf_dir: str) -> DataFrame:
