@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm.bpe import default_vocabulary, encoder
-from tallyspark.llm.common import blocks, id_and_text, stored, table
+from tallyspark.llm.common import blocks, give_back, id_and_text, stored, table
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -84,6 +84,7 @@ def token_pieces(df: DataFrame, path: str | None = None, capacity: int = CAPACIT
                     part = raw[at : at + cut]
                     rows.append((doc, row, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=_PIECES.names)
+        give_back()
 
     return id_and_text(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _PIECES)
 

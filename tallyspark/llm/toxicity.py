@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import crc32_of_id, table
+from tallyspark.llm.common import crc32_of_id, give_back, table
 
 TRAIN_ROWS = 6_000
 BUCKETS = 1 << 18
@@ -223,6 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = pd.concat([pd.DataFrame({"_id": [], "_text": [], "_label": []}), *parts], ignore_index=True).sort_values(["_id", "_text"], ignore_index=True)
         model = fit(found["_text"].tolist(), found["_label"].tolist())
+        del found
+        give_back()
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
     found = training_rows(docs, labels, rows=rows, exclude=held).repartition(1).mapInPandas(run, "weights binary, bias double").first()
@@ -241,6 +243,7 @@ def score_column(model: Model, text: Column) -> Column:
         for part in parts:
             found = [score([None if t is None else t for t in part.iloc[at : at + 2000]]) for at in range(0, len(part), 2000)]
             yield pd.Series(np.concatenate(found) if found else np.zeros(0))
+        give_back()
 
     return run(text)
 
