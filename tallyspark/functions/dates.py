@@ -32,9 +32,10 @@ def parse_date(c, day_first: bool = True) -> Column:
     one format (a regular expression test), so no row pays for failed parse
     attempts.
     """
-    s = strip(as_col(c).cast("string"))
-    dmy = F.regexp_replace(s, r"[.-]", "/")
-    n_colons = F.length(s) - F.length(F.replace(s, F.lit(":"), F.lit("")))
+    raw = as_col(c).cast("string")
+    s = strip(raw)
+    dmy = F.translate(s, ".-", "//")
+    n_colons = F.length(raw) - F.length(F.replace(raw, F.lit(":"), F.lit("")))
     base = "d/M/yyyy" if day_first else "M/d/yyyy"
     other = (F.when(n_colons == 0, F.try_to_timestamp(dmy, F.lit(base)))
               .when(n_colons == 1, F.try_to_timestamp(dmy, F.lit(base + " H:mm")))

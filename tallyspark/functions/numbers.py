@@ -31,20 +31,22 @@ NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+def _number(text: Column) -> Column:
+    return F.coalesce(text.try_cast(PARSE_TYPE), text.try_cast("double").try_cast(PARSE_TYPE))
+
+
 def _numeric_or_null(text: Column) -> Column:
     """Exact decimal parse of a plain numeric literal; literals the decimal
     cast rejects although they are in range (e.g. ``0E0138``) go through
     double."""
-    return F.when(text.rlike(NUMERIC_TEXT), F.coalesce(text.try_cast(PARSE_TYPE), text.try_cast("double").try_cast(PARSE_TYPE)))
+    return F.when(text.rlike(NUMERIC_TEXT), _number(text))
 
 
 def _with_default(text: Column, default) -> Column:
     """The number, or ``default`` for text that isn't one (a number that
     can't be held stays NULL)."""
     out = _numeric_or_null(text)
-    if default is None:
-        return out
-    return F.when(F.coalesce(text.rlike(NUMERIC_TEXT), F.lit(False)), out).otherwise(F.lit(default).cast(PARSE_TYPE))
+    return out if default is None else out.otherwise(F.lit(default).cast(PARSE_TYPE))
 
 
 def _no_spaces(c) -> Column:
@@ -52,10 +54,10 @@ def _no_spaces(c) -> Column:
 
 
 def _mixed_text(c) -> Column:
-    s = _no_spaces(c)
-    both = s.contains(".") & s.contains(",")
-    s = F.when(both, F.replace(s, F.lit("."), F.lit(""))).otherwise(s)
-    return F.replace(s, F.lit(","), F.lit("."))
+    # the marks are looked for in the raw text, so that the text is stripped once
+    raw, s = as_col(c).cast("string"), _no_spaces(c)
+    both = raw.contains(".") & raw.contains(",")
+    return F.replace(F.when(both, F.replace(s, F.lit("."), F.lit(""))).otherwise(s), F.lit(","), F.lit("."))
 
 
 def _comma_text(c) -> Column:
@@ -66,7 +68,7 @@ def out_of_range(c, style: str = "mixed") -> Column:
     """Whether the text is a number (in the ``mixed`` or ``comma`` style) that
     the exact types can't hold."""
     text = _mixed_text(c) if style == "mixed" else _comma_text(c)
-    return F.coalesce(text.rlike(NUMERIC_TEXT) & to_money(_numeric_or_null(text)).isNull(), F.lit(False))
+    return F.coalesce(text.rlike(NUMERIC_TEXT) & to_money(_number(text)).isNull(), F.lit(False))
 
 
 def parse_number_mixed(c, default=None) -> Column:

@@ -37,6 +37,14 @@ def _has_direction(c: Column) -> bool:
     return " ASC" in text or " DESC" in text
 
 
+def _text_hash(df: DataFrame, keys: Sequence) -> list[Column]:
+    """A hash of the text parts of a key, to group by before the key itself: sorts then compare one number,
+    where texts that begin alike (dates) would be compared to their end. Empty without text parts."""
+    kinds = df.select(*[as_col(k).alias(f"c{i}") for i, k in enumerate(keys)]).dtypes
+    texts = [as_col(k) for k, (_, kind) in zip(keys, kinds, strict=True) if kind == "string"]
+    return [F.xxhash64(*texts)] if texts else []
+
+
 def dedup_first(df: DataFrame, keys: Sequence, order: Sequence, n: int = 1) -> DataFrame:
     """Keep the first ``n`` rows of every key in ``order``.
 
@@ -44,7 +52,9 @@ def dedup_first(df: DataFrame, keys: Sequence, order: Sequence, n: int = 1) -> D
     keys form one group, as in pandas ``drop_duplicates``. The order must be
     total for a deterministic result: append a unique tie-breaker.
     """
-    w = Window.partitionBy(*[as_col(k) for k in keys]).orderBy(*nulls_last(order))
+    # one key alone stays as it is, so that a join on it needs no further shuffle
+    hashed = _text_hash(df, keys) if len(keys) > 1 else []
+    w = Window.partitionBy(*hashed, *[as_col(k) for k in keys]).orderBy(*nulls_last(order))
     return (df.withColumn("_rn", F.row_number().over(w))
               .where(F.col("_rn") <= n).drop("_rn"))
 
@@ -66,6 +76,12 @@ def dedup_first_counted(df: DataFrame, keys: Sequence, order: Sequence, name: st
     one shuffle; the partial aggregate leaves a row a key and task, so a hot key is harmless."""
     # NULLs last, as in nulls_last
     place = F.struct(F.lit(0), *[x for c in order for x in (as_col(c).isNull(), as_col(c))])
-    firsts = df.groupBy(*[as_col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), place).alias("_r"), F.count(F.lit(1)).alias(name))
-    return firsts.select(*[F.col("_r")[c].alias(c) for c in df.columns], name)
+    # a text that is part of the key is the same in all its rows and comes from the group
+    kinds, own = dict(df.dtypes), {}
+    for i, k in enumerate(keys):
+        if isinstance(k, str) and kinds.get(k) == "string":
+            own.setdefault(k, f"_g{i}")
+    rest = [c for c in df.columns if c not in own]
+    firsts = df.groupBy(*[h.alias("_h") for h in _text_hash(df, keys)], *[as_col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(
+        F.min_by(F.struct(F.lit(0).alias("_0"), *[F.col(f"`{c}`") for c in rest]), place).alias("_r"), F.count(F.lit(1)).alias(name))
+    return firsts.select(*[F.col(own[c]).alias(c) if c in own else F.col("_r")[c].alias(c) for c in df.columns], name)

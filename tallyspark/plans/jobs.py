@@ -25,7 +25,7 @@ from tallyspark.functions import (
     code_dimension, is_empty_id, net_amount, normalize_id, parse_date, parse_number_comma,
     parse_number_mixed, parse_number_plain, quarter_from_name, signed_amount, text_key, to_money,
 )
-from tallyspark.functions.common import strip
+from tallyspark.functions.common import as_col, strip
 from tallyspark.functions.numbers import SUM_TYPE, out_of_range
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import filters as flt
@@ -118,7 +118,8 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
     summaries with zero rows (A2) and the stats row (K3). ``order`` replaces
     the file order (``_row``) as the meaning of "first".
 
-    Every table comes from one scan and one shuffle. Malformed rows (read with ``keep_bad``:
+    Every table comes from one scan and one shuffle of its own columns (with ``materialize`` all from one
+    checkpoint). Malformed rows (read with ``keep_bad``:
     ``_extra`` is set) are counted as ``skipped_rows`` of the stats and belong to nothing else.
     """
     df = _require_order(apply_layout(raw, REGISTER), order)
@@ -129,49 +130,70 @@ def register_report(raw: DataFrame, check_nonempty: bool = True, order=None,
         key = [*key, "_bad"]
     else:
         df = df.withColumn("_bad", F.lit(None).cast("bigint"))
-    deduped = dedup_first_counted(df, key, order or _file_order(df))
-    d = deduped.select(
-        *_order_cols(deduped),
-        F.col("C_NOME").alias("party"),
-        parse_date("FAT_DATDOC", day_first=False).alias("doc_date"),
-        F.col("FAT_NDOC").alias("doc_no"),
-        parse_date("FAT_DATREG", day_first=False).alias("reg_date"),
-        F.col("FAT_PROT").alias("code"),
-        F.col("FT_SEGNO").alias("sign"),
-        F.col("FAT_NUM").alias("seq_no"),
-        parse_number_mixed("IMPONIBILE", default=0).alias("_amount"),
-        parse_number_mixed("FAT_TOTIVA", default=0).alias("_tax"),
-        F.upper(strip(F.coalesce(F.col("RA_CODTRIB").cast("string"), F.lit("")))).alias("tax_code"),
-        F.col("DMA_NUM").alias("order_no"),
-        parse_number_mixed("TMA_TOT", default=0).alias("_order_total"),
-        parse_number_mixed("RA_IMPOSTA", default=0).alias("_withholding"),
-        F.col("TMC_G8").alias("ext_id"),
-        F.col("M2_TMC_DATREG").alias("value_date"),
-        (out_of_range("IMPONIBILE") | out_of_range("RA_IMPOSTA")).alias("_rejected"),
-        F.col("_bad").isNotNull().alias("_bad"), "_copies",
-        (F.col("_bad").isNull() & F.coalesce(F.col("FAT_PROT").isin(*ALLOWED_CODES), F.lit(False))).alias("_allowed"),
-    )
-    d = d.select(
-        "*",
-        net_amount("_amount", "sign", "code", "_withholding").alias("amount"),
-        signed_amount("_tax", "sign").alias("tax"),
-        signed_amount("_order_total", "sign").alias("order_total"),
-        signed_amount("_withholding", "sign").alias("withholding"),
-    ).drop("_amount", "_tax", "_order_total", "_withholding") \
-     .withColumn("paid", F.col("amount")) \
-     .withColumn("cls", code_class("code"))
-    every = _materialize(d, materialize)
-    d = every.where("_allowed").drop("_bad", "_copies", "_allowed")
+    place = _order_cols(df)
+    if order is not None:
+        place = [f"_place{i}" for i in range(len(order))]
+        df = df.withColumns({name: as_col(c) for name, c in zip(place, order, strict=True)})
+    # the sort of the detail reads its input twice: its date is read before the dedup, numbers after the sort
+    df = df.withColumn("reg_date", parse_date("FAT_DATREG", day_first=False)).withColumn(
+        "_allowed", F.col("_bad").isNull() & F.coalesce(F.col("FAT_PROT").isin(*ALLOWED_CODES), F.lit(False)))
+    numbers = ["IMPONIBILE", "FAT_TOTIVA", "TMA_TOT", "RA_IMPOSTA"]
+    texts = ["C_NOME", "FT_SEGNO", "FAT_PROT", "FAT_NUM", "RA_CODTRIB", "DMA_NUM", "M2_TMC_DATREG"]
+    order_cols = _order_cols(df)
+    df = df.select(*dict.fromkeys([*order_cols, *place, "FAT_DATDOC", "FAT_NDOC", "TMC_G8", "_bad", "reg_date", *texts, *numbers, "_allowed"]))
+
+    def shown(firsts):
+        d = firsts.select(
+            *order_cols,
+            F.col("C_NOME").alias("party"),
+            parse_date("FAT_DATDOC", day_first=False).alias("doc_date"),
+            F.col("FAT_NDOC").alias("doc_no"),
+            "reg_date",
+            F.col("FAT_PROT").alias("code"),
+            F.col("FT_SEGNO").alias("sign"),
+            F.col("FAT_NUM").alias("seq_no"),
+            parse_number_mixed("IMPONIBILE", default=0).alias("_amount"),
+            parse_number_mixed("FAT_TOTIVA", default=0).alias("_tax"),
+            F.upper(strip(F.coalesce(F.col("RA_CODTRIB").cast("string"), F.lit("")))).alias("tax_code"),
+            F.col("DMA_NUM").alias("order_no"),
+            parse_number_mixed("TMA_TOT", default=0).alias("_order_total"),
+            parse_number_mixed("RA_IMPOSTA", default=0).alias("_withholding"),
+            F.col("TMC_G8").alias("ext_id"),
+            F.col("M2_TMC_DATREG").alias("value_date"),
+        )
+        return d.select(
+            "*",
+            net_amount("_amount", "sign", "code", "_withholding").alias("amount"),
+            signed_amount("_tax", "sign").alias("tax"),
+            signed_amount("_order_total", "sign").alias("order_total"),
+            signed_amount("_withholding", "sign").alias("withholding"),
+        ).drop("_amount", "_tax", "_order_total", "_withholding") \
+         .withColumn("paid", F.col("amount")) \
+         .withColumn("cls", code_class("code"))
+
+    # the count of copies needs every row of a key, the other tables only its first
+    facts = ["_allowed", "FAT_PROT", "FT_SEGNO", "IMPONIBILE", "RA_IMPOSTA", "_bad"]
+    if materialize:
+        every = counted = _materialize(dedup_first_counted(df, key, place), True)
+    else:
+        every = dedup_first(df, key, place)
+        counted = dedup_first_counted(df.select(*dict.fromkeys([*key, *place, *facts])), key, place)
+    every = every.where("_allowed")
+    d = shown(every)
     # With ``materialize`` the probe reads the checkpoint; otherwise it costs
     # one run of the dedup shuffle before the result tables are built.
     if check_nonempty and d.isEmpty():
         raise ValueError("no row of the register has an allowed protocol code")
-    data = d.drop("_rejected").orderBy(F.col("reg_date").asc_nulls_last(), *_file_order(d))
+    data = shown(every.orderBy(F.col("reg_date").asc_nulls_last(), *_file_order(every)))
     summary = agg.code_summary(d, code_dimension(raw.sparkSession), "code", "paid",
                                total_label="TOTALE", by="cls")
     sheets = {f"summary_{c}": summary.where(F.col("cls") == c).drop("cls")
               for c in (PAPER, ELECTRONIC, SELF_INVOICE)}
-    stats = _register_stats(every)
+    amount = net_amount("_amount", "FT_SEGNO", "FAT_PROT", "_withholding")
+    stats = _register_stats(counted.select(
+        "*", parse_number_mixed("IMPONIBILE", default=0).alias("_amount"), parse_number_mixed("RA_IMPOSTA", default=0).alias("_withholding")).select(
+        "_allowed", (out_of_range("IMPONIBILE") | out_of_range("RA_IMPOSTA")).alias("_rejected"), amount.alias("paid"),
+        code_class("FAT_PROT").alias("cls"), F.col("_bad").isNotNull().alias("_bad"), "_copies"))
     if EXTRA not in raw.columns:
         stats = stats.drop("skipped_rows")
     # A5: the totals row of the detail sheet (plain sums of the money columns)

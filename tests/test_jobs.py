@@ -225,3 +225,11 @@ def test_compare_to_check_sheet(spark):
     out = jobs.compare_ledgers(_with_order(strings(spark, REG6_HEADER, REG6)), _with_order(strings(spark, POR6_HEADER, POR6)))
     rows = {r.category: r.detail_table for r in out["to_check"].collect()}
     assert rows == {"paper": "paper_detail", "electronic": "electronic_detail", "total": None}
+
+
+def test_detail_reads_numbers_after_its_sort(spark):
+    """The sort of the register's detail reads its input twice: numbers aren't read below it."""
+    out = jobs.register_report(_with_order(strings(spark, FX1_HEADER, FX1)))["data"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan[:plan.index("Sort [")], plan[plan.index("Sort ["):]
+    assert "[eE]" in above and "[eE]" not in below
