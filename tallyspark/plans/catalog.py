@@ -467,8 +467,10 @@ def mismatch_reasons(spark, sf):
 # ------------------------------------------------------------ end to end
 # The driver tables rendered as the raw text exports the jobs read: loosely
 # named headers, Italian number formats, month-first dates, blank ids.
-def _register_export(spark, sf):
+def _register_export(spark, sf, order=()):
+    """``order``: the lines are sorted before their texts are made, so that numbers are shuffled."""
     li = read(spark, sf, "lineitem")
+    li = li.orderBy(*order) if order else li
     t = _money_texts(F.col("l_extendedprice"))
     w = withholding()
     return li.select(
@@ -687,7 +689,7 @@ def register_from_files(spark, sf):
     from tallyspark.plans.jobs import register_report as job
     from tallyspark.plans.layout import REGISTER
     from tallyspark.sources import read_exports
-    e = _register_export(spark, sf)
+    e = _register_export(spark, sf, _EXPORT_ORDER)
     plain = F.replace(F.replace(F.col("IMPONIBILE"), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     odd_header = "Ragione Sociale;FAT_DATDOC;N. Fatture;DATA_REG_FATTURA;FT_PROT;FT_SEGNO;N_PROTOCOLLO;IMPONIBILE;IMP_TOT_IVA;IMP_TOT_RIT;IDENT_SDI"
     odd = F.concat_ws(";", *[F.col(f"`{c}`") for c in odd_header.split(";")])
@@ -696,9 +698,8 @@ def register_from_files(spark, sf):
     even = F.concat_ws(",", "`Ragione Sociale`", "FAT_DATDOC", F.concat(F.lit("X"), F.col("`N. Fatture`")), "`N. Fatture`", "DATA_REG_FATTURA", F.trim("FT_PROT"),
                        "FT_SEGNO", plain, "IMP_TOT_IVA", F.replace("IMP_TOT_RIT", F.lit(","), F.lit(".")), "IDENT_SDI")
     path = _scratch(spark, "register_from_files")
-    first = e.orderBy(*_EXPORT_ORDER)
-    _written(first.where(F.col("l_linenumber") % 2 == 1).select(odd.alias(odd_header)), path, "a register", **_AS_THEY_ARE)
-    _written(first.where(F.col("l_linenumber") % 2 == 0).select(even.alias(even_header)), path, "b register", **_AS_THEY_ARE)
+    _written(e.where(F.col("l_linenumber") % 2 == 1).select(odd.alias(odd_header)), path, "a register", **_AS_THEY_ARE)
+    _written(e.where(F.col("l_linenumber") % 2 == 0).select(even.alias(even_header)), path, "b register", **_AS_THEY_ARE)
     raw = read_exports(spark, f"{path}/*.csv", REGISTER, keep_bad=True)
     return finish(job(raw, check_nonempty=False)["stats"])
 

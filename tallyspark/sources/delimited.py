@@ -27,8 +27,10 @@ from collections.abc import Iterator, Sequence
 from itertools import chain, groupby
 from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,20 +74,28 @@ def survey_files(spark: SparkSession, path, n: int = SAMPLE_LINES, sep: str | No
 
         schema = pa.schema([("file", pa.string()), ("latin", pa.bool_()), ("quotes", pa.bool_()), ("head", pa.list_(pa.binary()))])
         for batch in batches:
-            for value, file, start in zip(*(batch.column(c).to_pylist() for c in ("value", "_file", "_start")), strict=True):
+            files, starts, values = (batch.column(c) for c in ("_file", "_start", "value"))
+            # lines of one block follow one another: look at them together
+            at, n_rows = 0, batch.num_rows
+            changes = np.flatnonzero((np.diff(starts.to_numpy()) != 0) | (np.diff(files.dictionary_encode().indices.to_numpy()) != 0)) + 1
+            for end in [*changes.tolist(), n_rows]:
+                if end == at:  # an empty batch
+                    continue
+                file, start, lines = files[at].as_py(), starts[at].as_py(), values.slice(at, end - at)
+                at = end
                 if (file, start) != block:
                     if block is not None:
                         yield fact()
                     block, latin, quotes, head = (file, start), False, False, []
                 if start == 0 and len(head) < n:
-                    head.append(value)
-                if not latin and not value.isascii():
+                    head.extend(lines.slice(0, n - len(head)).to_pylist())
+                if not latin:
                     try:
-                        value.decode()
-                    except UnicodeDecodeError:
+                        lines.cast(pa.string())  # valid UTF-8 only
+                    except pa.ArrowInvalid:
                         latin = True
-                if not quotes and b'"' in value:
-                    quotes = b'"' in _WHOLE_FIELD.sub(rb"\1", value)
+                if not quotes:
+                    quotes = any(b'"' in _WHOLE_FIELD.sub(rb"\1", v) for v in lines.filter(pc.match_substring(lines, '"')).to_pylist())
         if block is not None:
             yield fact()
 
