@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.common import as_col
-from tallyspark.operators.dedup import dedup_first
+from tallyspark.operators.dedup import dedup_first, nulls_last
 
 OVERALL = "overall"
 
@@ -40,7 +40,30 @@ def dedup_sensitivity(df: DataFrame, variants: Mapping[str, tuple], ok_col: str)
     rows kept by keep-first dedup (``name``) and how many of them pass
     ``ok_col`` (``name_ok``), plus ``base_rows``; one output row.
 
-    One scan and one shuffle for all variants: each row stands once for each variant with the
+    One scan and one shuffle for all variants. Keys that all variants share (an order number) deal the
+    rows, each shuffled once and as it is; every variant then numbers the rows of its groups
+    where they are. Rows with one value of the shared keys meet in one task; variants that share no
+    key go by :func:`sensitivity_by_variant`, where they don't.
+    """
+    parts = [{str(as_col(k)): as_col(k) for k in keys} for keys, _, _ in variants.values()]
+    shared = [c for text, c in parts[0].items() if all(text in p for p in parts)] if parts else []
+    if not shared:
+        return sensitivity_by_variant(df, variants, ok_col)
+    out, firsts = df.withColumn("_ok", F.coalesce(F.col(ok_col), F.lit(False))).repartition(*shared), {}
+    for i, (name, (keys, order, pre)) in enumerate(variants.items()):
+        counts = [] if pre is None else [F.coalesce(pre, F.lit(False))]  # rows that don't count are groups apart
+        w = Window.partitionBy(*[as_col(k) for k in keys], *counts).orderBy(*nulls_last(order))
+        out = out.withColumn(f"_first{i}", F.row_number().over(w) == 1)
+        out = out.withColumn(f"_first{i}", F.col(f"_first{i}") & counts[0]) if counts else out
+        firsts[name] = F.col(f"_first{i}")
+    cols = [F.count(F.lit(1)).cast("bigint").alias("base_rows")]
+    for name, first in firsts.items():
+        cols += [F.count_if(first).cast("bigint").alias(name), F.count_if(first & F.col("_ok")).cast("bigint").alias(f"{name}_ok")]
+    return out.agg(*cols)
+
+
+def sensitivity_by_variant(df: DataFrame, variants: Mapping[str, tuple], ok_col: str) -> DataFrame:
+    """:func:`dedup_sensitivity` for keys of any kind: each row stands once for each variant with the
     variant's key and order, and of each (variant, key) only the flag of the first row is kept, by a
     partial aggregate before the shuffle. Key parts are compared as text.
     """

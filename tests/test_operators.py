@@ -10,6 +10,7 @@ from tallyspark.functions import code_dimension
 from tallyspark.operators import aggregates as agg
 from tallyspark.operators import filters as flt
 from tallyspark.operators import reconcile as rec
+from tallyspark.operators import funnels
 from tallyspark.operators.dedup import dedup_first, dedup_first_counted, duplicates_removed
 
 
@@ -194,3 +195,27 @@ def test_first_present_m12(spark):
     assert df.select(first_present(df, ["x"], "none")).first()[0] == "none"
     with pytest.raises(MissingColumnsError, match="x, y"):
         first_present(df, ["x", "y"])
+
+
+def test_sensitivity_shuffles_each_row_once(spark):
+    """Variants that share a key number their groups where one shuffle put the rows, with the results of the general way."""
+    rows = [(k, s, ln, p, ok) for k in (1, 2, None) for s in ("a", "b", None) for ln in (1, 2, None) for p, ok in ((1.5, True), (2.5, False), (None, None))]
+    df = spark.createDataFrame(rows, "k long, s string, ln int, p double, ok boolean")
+    variants = {"v1": (["k", "ln"], ["s", "p"], None), "pre": (["k", "ln"], ["s", "p"], F.col("ok")),
+                "v2": ([F.col("k"), F.floor("p"), "s"], ["ln"], None)}
+    out = funnels.dedup_sensitivity(df, variants, "ok")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+    assert out.collect() == funnels.sensitivity_by_variant(df, variants, "ok").collect()
+    other = {"v1": (["k"], ["s", "ln", "p"], None), "v2": (["s"], ["k", "ln", "p"], None)}
+    assert funnels.dedup_sensitivity(df, other, "ok").first().asDict()["v2"] == 3
+
+
+def test_text_keys_are_sorted_by_their_hash(spark):
+    df = spark.createDataFrame([("1996-01-01", "x", 2, "b"), ("1996-01-01", "x", 1, "a"), (None, "x", 1, "c"), (None, "x", 3, "d"), ("1996-01-01", None, 5, "e")],
+                               "d string, n string, o int, v string")
+    counted = dedup_first_counted(df, ["d", "n"], ["o"])
+    first = dedup_first(df, ["d", "n"], ["o"])
+    assert {(r.d, r.n, r.v, r._copies) for r in counted.collect()} == {("1996-01-01", "x", "a", 2), (None, "x", "c", 2), ("1996-01-01", None, "e", 1)}
+    assert {r.v for r in first.collect()} == {"a", "c", "e"}
+    assert all("xxhash64" in x._jdf.queryExecution().executedPlan().toString() for x in (counted, first))
