@@ -492,3 +492,14 @@ def test_crowded_buckets_in_chunks(spark, monkeypatch):
     assert 20 < len(set(expected.values())) < 160  # neither whole families nor single texts only
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4).collect()}
     assert got == expected
+
+
+def test_rejected_rows_have_all_statistics(spark, tmp_path):
+    """op2_quality_cascade leaves no statistic out for a row that some rule rejects."""
+    from tallyspark.llm.quality import op2_quality_cascade
+
+    texts = [(1, "A a a"), (2, "ONE TWO\nONE TWO\n" + "WORD " * 30), (3, None), (4, " ".join(f"word{i}" for i in range(20)))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op2_quality_cascade(spark, str(tmp_path)).collect()}
+    assert [got[i].kept for i in (1, 2, 3, 4)] == [False, False, False, True]
+    assert [(got[i].n_lines, got[i].n_upper, got[i].n_stutter) for i in (1, 2, 3, 4)] == [(1, 1, 1), (3, 132, 29), (0, 0, 0), (1, 0, 0)]
