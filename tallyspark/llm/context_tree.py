@@ -25,6 +25,7 @@ blocks of texts:
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections import Counter
@@ -49,8 +50,10 @@ BLOCK_BYTES = 32 << 20
 TOP, PART_ROWS = 3, 100_000
 #: How tables of sorted keys are stored: differences of neighbours, a few bytes each, instead of whole longs.
 DELTAS = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
-#: Bytes of texts counted, and scored, at a time.
-PART_BYTES, SCORED_BYTES = 2 << 20, 256 << 10
+#: Bytes of texts counted together, spread into contexts, and whose words are looked up at a time.
+PART_BYTES, SPREAD_BYTES, WORDS_BYTES = 1 << 20, 256 << 10, 2 << 20
+#: Counts below this take the logs of their estimates from a table.
+SMALL = 4096
 
 _LISTS = T.StructType([
     T.StructField("block", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("class", T.IntegerType()),
@@ -68,29 +71,33 @@ def words_of(text: str | None) -> list[bytes]:
 
 def class_of(count: Counter) -> int:
     """From the most frequent word of up to four ASCII letters (the last of those as frequent)."""
-    short = max(((n, w) for w, n in count.items() if len(w) <= 4 and w.isalpha()), default=None)
-    return 0 if short is None else zlib.crc32(short[1]) % CLASSES + 1
+    most, short = 0, b""
+    for w, n in count.items():
+        if n >= most and len(w) <= 4 and w.isalpha() and (n > most or w > short):
+            most, short = n, w
+    return zlib.crc32(short) % CLASSES + 1 if most else 0
 
 
 class KeyCounts:
-    """Counts of (context, byte), merged as they come."""
+    """The sorted keys (context, byte) of the texts added, with their counts in those learnt from."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.key, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, texts: list[tuple[bytes, bool]], depth: int) -> None:
-        if texts:
-            owner, context, byte = _unit_bytes([x for x, _ in texts], depth)
-            key, at = np.unique((context << 8) | byte, return_inverse=True)
-            self.parts.append((key, np.bincount(at, np.array([t for _, t in texts], np.float64)[owner], len(key)).astype(np.int64)))
-            if len(self.parts) == 8:
-                self.parts = [self.total()]
+        for learnt in (True, False):
+            some = [x for x, t in texts if t == learnt]
+            if some:
+                key, n = np.unique(np.concatenate([_unit_keys(x, depth)[1] for x in _some(some, SPREAD_BYTES)]), return_counts=True)
+                self._merge(key, n if learnt else np.zeros_like(n))
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        key, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        return key, np.bincount(at, np.concatenate([n for _, n in self.parts]).astype(np.float64), len(key)).astype(np.int64)
+    def _merge(self, key: np.ndarray, n: np.ndarray) -> None:
+        at = np.searchsorted(self.key, key)
+        known = np.zeros(len(key), bool)
+        within = at < len(self.key)
+        known[within] = self.key[at[within]] == key[within]
+        self.n[at[known]] += n[known]
+        self.key, self.n = np.insert(self.key, at[~known], key[~known]), np.insert(self.n, at[~known], n[~known])
 
 
 def block_lists(df: DataFrame, depth: int) -> DataFrame:
@@ -111,8 +118,7 @@ def block_lists(df: DataFrame, depth: int) -> DataFrame:
 
         for k, part in enumerate(blocks(batches, BLOCK_BYTES, 1 << 30)):
             block = first + k
-            number: dict[bytes, int] = {}
-            trained = np.zeros(1 << 16, np.int64)
+            trained: Counter[bytes] = Counter()
             docs = {c: [] for c in ("doc_id", "held_out", "n_tokens", "class", "running")}
             counts, some, size = KeyCounts(), [], 0
             for doc, held, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), part.column("text"), strict=True):
@@ -120,13 +126,12 @@ def block_lists(df: DataFrame, depth: int) -> DataFrame:
                 count = Counter(words)
                 kind = class_of(count)
                 first_byte = bytes([kind])
-                at = np.array([number.setdefault(w, len(number)) for w in count], np.int64)
-                times = np.fromiter(count.values(), np.int64, len(count))
-                if len(number) > len(trained):
-                    trained = np.concatenate((trained, np.zeros(len(number), np.int64)))
-                if not held:
-                    trained[at] += times
-                for c, x in (("doc_id", doc), ("held_out", held), ("n_tokens", int(times.sum())), ("class", kind), ("running", running := first_byte + b" ".join(words))):
+                if held:
+                    for w in count:
+                        trained.setdefault(w, 0)
+                else:
+                    trained.update(words)
+                for c, x in (("doc_id", doc), ("held_out", held), ("n_tokens", len(words)), ("class", kind), ("running", running := first_byte + b" ".join(words))):
                     docs[c].append(x)
                 some.append((running, not held))
                 size += len(running)
@@ -139,31 +144,45 @@ def block_lists(df: DataFrame, depth: int) -> DataFrame:
             if docs["doc_id"]:
                 yield batch(block=[block] * len(docs["doc_id"]), **docs)
             counts.add(some, depth)
-            key, n = counts.total()
-            for at in range(0, len(key), 200_000):
-                yield batch(block=[block] * len(key[at : at + 200_000]), key=key[at : at + 200_000], n=n[at : at + 200_000])
-            names = list(number)
+            for at in range(0, len(counts.key), 200_000):
+                key = counts.key[at : at + 200_000]
+                yield batch(block=[block] * len(key), key=key, n=counts.n[at : at + 200_000])
+            names = list(trained)
             for at in range(0, len(names), 50_000):
                 some = names[at : at + 50_000]
-                yield batch(block=[block] * len(some), unit=some, trained=trained[at : at + len(some)])
+                yield batch(block=[block] * len(some), unit=some, trained=[trained[w] for w in some])
         give_back()
 
     return df.mapInArrow(run, _LISTS)
 
 
-def _unit_bytes(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte of every text (a byte for its class, and words), the space that ends it with it: the number of the text, the
-    context (the ``depth`` bytes before, the nearest lowest, as a long) and the byte. The class stands
+def _some(texts: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """The texts in order, some of about ``most`` bytes at a time (one text may be larger)."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > most:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
+def _unit_keys(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of every text (a byte for its class, and words), the space that ends it with it: the number of the text, and
+    the context (the ``depth`` bytes before, the nearest lowest) and the byte, as a long. The class stands
     ``depth`` times before the text."""
     data = np.frombuffer(b"".join(w[:1] * depth + w[1:] + b" " for w in words), np.uint8).astype(np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + depth
-    owner = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    context = np.zeros(len(data), np.int64)
+    key = data.copy()
     for d in range(1, depth + 1):
-        context[d:] |= data[:-d] << (8 * (d - 1))
-    real = place >= depth
-    return owner[real], context[real], data[real]
+        key[d:] |= data[:-d] << (8 * d)
+    real = np.ones(len(data), bool)
+    starts = np.cumsum(lengths) - lengths
+    for d in range(depth):
+        real[starts + d] = False
+    return np.repeat(np.arange(len(words)), lengths - depth), key[real]
 
 
 def log_gamma(x: Column) -> Column:
@@ -182,17 +201,31 @@ def log_kt(zeros: Column, ones: Column) -> Column:
     return log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1.0) - F.lit(math.log(math.pi))
 
 
-def kt_logs(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log probability that the Krichevsky-Trofimov estimator gives a sequence with these counts (log
-    gamma by Stirling's series eight higher)."""
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of x >= 0.5, by Stirling's series eight higher."""
+    y, low = x + 8.0, np.ones_like(x)
+    for k in range(8):
+        low *= x + k
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
+
 
-    def log_gamma(x: np.ndarray) -> np.ndarray:
-        y, low = x + 8.0, np.ones_like(x)
-        for k in range(8):
-            low *= x + k
-        return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
+@functools.cache
+def _small_log_gammas(plus: float) -> np.ndarray:
+    return _log_gamma(np.arange(SMALL) + plus)
 
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+
+def _log_gammas(n: np.ndarray, plus: float) -> np.ndarray:
+    """Log gamma of whole numbers with ``plus`` added."""
+    out = _small_log_gammas(plus)[np.minimum(n, SMALL - 1).astype(np.int64)]
+    large = n >= SMALL
+    if large.any():
+        out[large] = _log_gamma(n[large] + plus)
+    return out
+
+
+def kt_logs(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log probability that the Krichevsky-Trofimov estimator gives a sequence with these counts."""
+    return _log_gammas(zeros, 0.5) + _log_gammas(ones, 0.5) - _log_gammas(zeros + ones, 1.0) - math.log(math.pi)
 
 
 class Subtree:
@@ -201,22 +234,38 @@ class Subtree:
 
     def __init__(self, context: np.ndarray, byte: np.ndarray, n: np.ndarray, top: int, depth: int):
         self.top, self.depth = top, depth
-        k = np.tile(np.arange(8), len(context))
-        whole = np.repeat(byte.astype(np.int64), 8)
-        self.bit = (whole >> (7 - k)) & 1
-        keys = (np.repeat(context.astype(np.int64), 8) << 8) | ((whole + 256) >> (8 - k))
-        times = np.repeat(n.astype(np.float64), 8)
-        key, self.leaf = np.unique(keys, return_inverse=True)
-        zeros, ones = (np.bincount(self.leaf, times * (self.bit == x), len(key)) for x in (0, 1))
-        own = kt_logs(zeros, ones)
+        rows, times = (context.astype(np.int64) << 8) | byte, n.astype(np.float64)
+        self.bit = ((byte.astype(np.int64)[:, None] >> (7 - np.arange(8))) & 1).astype(bool)
         #: from the longest contexts up: key, counts, log probabilities, and each node's parent in the next
-        self.levels = [[key, zeros, ones, own, own, None]]
-        for d in range(depth - 1, top - 1, -1):
-            key, parent = np.unique(((key >> 8) & ((1 << (8 * d)) - 1)) << 8 | (key & 255), return_inverse=True)
-            self.levels[-1][5] = parent
-            zeros, ones, below = (np.bincount(parent, x, len(key)) for x in (zeros, ones, self.levels[-1][4]))
+        self.levels: list[list] = []
+        for d in range(depth, top - 1, -1):
+            # sorted (context, byte): the nodes before each bit are runs of them
+            rows, place = np.unique(rows & ((1 << (8 * d + 8)) - 1), return_inverse=True)
+            times = np.bincount(place, times, len(rows))
+            keys, zeros, ones, node, starts = [], [], [], [], []
+            at = 0
+            for k in range(8):
+                key = (rows >> 8 << 8) | (((rows & 255) + 256) >> (8 - k))
+                first = np.append(True, key[1:] != key[:-1])
+                run = np.cumsum(first) - 1
+                one = (rows >> (7 - k)) & 1
+                starts.append(np.flatnonzero(first))
+                keys.append(key[starts[-1]])
+                ones.append(np.bincount(run, times * one, len(keys[-1])))
+                zeros.append(np.bincount(run, times * (1 - one), len(keys[-1])))
+                node.append(run + at)
+                at += len(keys[-1])
+            key, zeros, ones = (np.concatenate(x) for x in (keys, zeros, ones))
             own = kt_logs(zeros, ones)
-            self.levels.append([key, zeros, ones, own, math.log(0.5) + np.logaddexp(own, below), None])
+            if d == depth:
+                self.leaf = np.stack([x[place] for x in node], axis=1)
+                weighted = own
+            else:
+                parent = np.concatenate([x[place[s]] for x, s in zip(node, longer, strict=True)])
+                self.levels[-1][5] = parent
+                weighted = math.log(0.5) + np.logaddexp(own, np.bincount(parent, self.levels[-1][4], len(key)))
+            longer = starts
+            self.levels.append([key, zeros, ones, own, weighted, None])
 
     def top_nodes(self) -> dict[str, np.ndarray]:
         key, zeros, ones, own, weighted, _ = self.levels[-1]
@@ -226,6 +275,8 @@ class Subtree:
         """Of each given (context, byte), its log probability. Given for each top node, in the order of
         keys: what shorter contexts add to the probability of a one, the weight they leave, and what
         they predict by themselves."""
+        rank = np.argsort(np.argsort(self.levels[-1][0]))
+        total, left, known = total[rank], left[rank], known[rank]
         for d, (_, zeros, ones, own, weighted, _) in zip(range(self.top, self.depth + 1), reversed(self.levels), strict=True):
             if d > self.top:
                 parent = self.levels[self.depth - d][5]
@@ -238,7 +289,7 @@ class Subtree:
                 stop = np.exp(math.log(0.5) + own - weighted)
                 total, left = total + left * stop * kt, left * (1 - stop)
         one = known[self.leaf]
-        return np.log(np.where(self.bit == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1)
+        return np.log(np.where(self.bit, one, 1 - one)).sum(axis=1)
 
 
 def byte_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -294,18 +345,13 @@ def byte_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def text_scores(texts: list[bytes], key: np.ndarray, lp: np.ndarray, depth: int) -> np.ndarray:
-    """The natural log probability of each text, from those of the sorted keys (context, byte)."""
-    out, at = np.zeros(len(texts)), 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= SCORED_BYTES):
-            size += len(texts[to])
-            to += 1
-        owner, context, byte = _unit_bytes(texts[at:to], depth)
-        own, place = np.unique((context << 8) | byte, return_inverse=True)
-        out[at:to] = np.bincount(owner, lp[np.searchsorted(key, own)][place], to - at)
-        at = to
-    return out
+    """The natural log probability of each text, from those of the distinct keys (context, byte)."""
+    place = pd.Index(key)
+    found = [np.zeros(0)]
+    for some in _some(texts, SPREAD_BYTES):
+        owner, asked = _unit_keys(some, depth)
+        found.append(np.bincount(owner, lp[place.get_indexer(asked)], len(some)))
+    return np.concatenate(found)
 
 
 _SCORES = T.StructType([
@@ -345,23 +391,27 @@ def context_tree_scores(df: DataFrame, held_out: Column, depth: int = DEPTH, id_
 
     def score(rows: pa.Table, own: pa.Table) -> pa.Table:
         asked = pc.is_null(own["unit"])
-        mine = own.select(["key", "lp"]).filter(asked).sort_by("key")
+        mine = own.select(["key", "lp"]).filter(asked)
         running = rows["running"].to_pylist()
         totals = text_scores(running, mine["key"].to_numpy(), mine["lp"].to_numpy(), depth)
         del mine
-        listed = own.select(["unit", "key"]).filter(pc.invert(asked))
+        listed = own.select(["unit", "key"]).filter(pc.invert(asked)).combine_chunks()
         trained = listed["key"].to_numpy()
         base = np.log10((trained + 0.5) / whole)
-        number = {w: k for k, w in enumerate(listed["unit"].to_pylist())}
-        found = []
-        for kind, text, total in zip(rows["class"].to_pylist(), running, totals, strict=True):
-            count = Counter([*text[1:].split(), b""])
-            at, n = np.array([number[w] for w in count], np.int64), np.fromiter(count.values(), np.float64, len(count))
-            total = float(total) + kinds[kind]
-            found.append((int(n @ (trained[at] > 0)), float(n @ base[at]), total / math.log(10), -total / math.log(2) / len(text)))
+        found, kind = [], iter(zip(rows["class"].to_pylist(), totals, strict=True))
+        for some in _some(running, WORDS_BYTES):
+            counts = [Counter([*text[1:].split(), b""]) for text in some]
+            place = pc.index_in(pa.array([w for c in counts for w in c], pa.binary()), value_set=listed["unit"]).to_numpy()
+            to = 0
+            for text, count in zip(some, counts, strict=True):
+                start, to = to, to + len(count)
+                at, n = place[start:to], np.fromiter(count.values(), np.float64, len(count))
+                its, total = next(kind)
+                total = float(total) + kinds[its]
+                found.append((int(n @ (trained[at] > 0)), float(n @ base[at]), total / math.log(10), -total / math.log(2) / len(text)))
         known, base_score, log10, bits = zip(*found, strict=True)
         columns = [pa.array(known, pa.int64()), pa.array([tokens] * len(known), pa.int64()), *(pa.array(c, pa.float64()) for c in (base_score, log10, bits))]
-        del running, listed, number, found
+        del running, listed, found
         give_back()
         return pa.table([rows["doc_id"], rows["held_out"], rows["n_tokens"], *columns], names=_SCORES.names)
 

@@ -503,3 +503,36 @@ def test_rejected_rows_have_all_statistics(spark, tmp_path):
     got = {r.doc_id: r for r in op2_quality_cascade(spark, str(tmp_path)).collect()}
     assert [got[i].kept for i in (1, 2, 3, 4)] == [False, False, False, True]
     assert [(got[i].n_lines, got[i].n_upper, got[i].n_stutter) for i in (1, 2, 3, 4)] == [(1, 1, 1), (3, 132, 29), (0, 0, 0), (1, 0, 0)]
+
+
+def test_tree_counts_by_definition_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rnd = random.Random(5)
+    texts = [(b"\x02" + bytes(rnd.choice(b"abcdefgh ") for _ in range(rnd.randrange(1, 300))), rnd.random() < 0.7) for _ in range(60)]
+    expected = Counter()
+    for text, learnt in texts:
+        whole = text[:1] * 3 + text[1:] + b" "
+        for i in range(3, len(whole)):
+            expected[whole[i] | sum(whole[i - d] << (8 * d) for d in range(1, 4))] += learnt
+    counts = context_tree.KeyCounts()
+    for at in range(0, 60, 7):
+        counts.add(texts[at : at + 7], 3)
+    assert dict(zip(counts.key.tolist(), counts.n.tolist(), strict=True)) == dict(expected) and np.all(np.diff(counts.key) > 0)
+    # what a task needs beside its block: 25 bytes a byte counted at a time, once 75
+    many = [(bytes(row), True) for row in np.random.default_rng(1).choice(np.frombuffer(b"abcdefgh ", np.uint8), (1000, 2000))]
+    tracemalloc.start()
+    context_tree.KeyCounts().add(many, context_tree.DEPTH)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000
+
+
+def test_tree_logs_of_small_and_large_counts():
+    import numpy as np
+
+    zeros, ones = np.array([0.0, 3, 4095, 4096, 70_000]), np.array([0.0, 1, 4096, 0, 123_456])
+    expected = [math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi) for z, o in zip(zeros, ones, strict=True)]
+    assert context_tree.kt_logs(zeros, ones) == pytest.approx(expected, rel=1e-10, abs=1e-9)
